@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, tied
-from tidemark.llm.tokens import MEMO, PATTERN, vocabulary
+from tidemark.llm.tokens import MEMO, byte_letters, library_tokenizer, pre_tokens, vocabulary
 
 WINDOW = 32  # bytes a cut depends on
-MEAN_BITS = 9  # a cut every 512 bytes on average
-LEAST, MOST = 128, 4096  # bytes of a chunk, but for the last
+MEAN_BITS = 10  # a cut every 1024 bytes on average
+LEAST, MOST = 256, 8192  # bytes of a chunk, but for the last
 BITMAP_BITS = 25  # 4 MB in each worker
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint32)
 #: White space under every definition in use, after a character that is none under any.
@@ -86,35 +86,33 @@ def _name(chunk: bytes) -> bytes:
 
 
 class Encoder(dict):
-    """Pre-token to ids, remembered up to a bound."""
+    """Pre-token to the bytes of its ids, remembered up to a bound."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.vocab = vocabulary(path)
-        self.split = regex.compile(PATTERN)
+        self.model = library_tokenizer(path).model
+        self.packed = "H" if len(self.vocab.bytes) <= 1 << 16 else "i"  # of ids in tables
+        self.letters = [byte_letters()[b] for b in range(256)]
         self.strings = sorted(self.vocab.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.strings)) + ")") if self.strings else None
 
-    def __missing__(self, piece: str) -> array:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        ids = self[piece] = array("i", self.vocab.merge(piece.encode()))
+        spelled = "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = self[piece] = array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return ids
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, pre_tokens(text)))
+
     def encode(self, text: str) -> array:
         """Ids of a text that starts and ends at a boundary of the whole text."""
-        out = array("i")
         if any(s in text for s in self.strings):
-            for i, part in enumerate(self.special.split(text)):
-                if i % 2:
-                    out.append(self.vocab.special[part])
-                else:
-                    for ids in map(self.__getitem__, self.split.findall(part)):
-                        out += ids
-            return out
-        for ids in map(self.__getitem__, self.split.findall(text)):
-            out += ids
-        return out
+            parts = self.special.split(text)
+            return array("i", b"".join(array("i", [self.vocab.special[p]]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts)))
+        return array("i", self._plain(text))
 
     def decode(self, ids: array) -> str:
         return b"".join(map(self.vocab.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -251,7 +249,7 @@ def encode(
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            ids = [enc.encode(t.decode()).tobytes() for t in batch.column(1).to_pylist()]
+            ids = [array(enc.packed, enc.encode(t.decode())).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["name", "ids"])
 
     def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +291,7 @@ def encode(
             given, out = batch.column(2).to_pylist(), []
             for row, text, ends, own in _chunked(batch, 1):
                 have = {x["name"]: x["ids"] for x in given[row] or ()}
-                known = [array("i", have[n]) if n in have else None for n in own]
+                known = [array("i", array(enc.packed, have[n])) if n in have else None for n in own]
                 out.append(assemble(enc, text, ends, known))
             yield finished(batch.column(0), out, enc)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, sharding, simhash, tokens, urls
+from tidemark.llm import bpe, decontaminate, licenses, line_dedup, sharding, simhash, tokens, topk, urls
 
 #: The rules of the URL query: fixed values.
 URL_RULES = [
@@ -37,10 +37,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", F.col("hits.item_id").alias("item_ids"), F.col("hits.score").alias("scores"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -50,6 +60,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return out.select(
@@ -65,9 +79,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
+    "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }

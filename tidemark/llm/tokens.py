@@ -9,6 +9,7 @@ import functools
 import heapq
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: The split pattern of byte-level BPE with ``use_regex``: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same split for texts below U+0370 without odd digits or separators, where ``re`` agrees and is faster.
+PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0370-\U0010ffff]")
+FULL = regex.compile(PATTERN)
 LONG = 200  # bytes from which a pre-token is merged with a heap
 NO_MERGE = (1 << 60, -1)
 MEMO = 400_000  # pre-tokens a worker remembers at a time
@@ -31,6 +36,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens of a text without special strings."""
+    return (FULL if NOT_PLAIN.search(text) else PLAIN).findall(text)
+
+
 class Vocabulary:
     """Token bytes, merge ranks and special strings of a byte-level BPE file."""
 
@@ -101,14 +111,13 @@ class Vocabulary:
 
         A string qualifies if it is a single pre-token and its own merges end in itself.
         """
-        one = regex.compile(PATTERN)
         out = set()
         for raw in self.ids:
             try:
                 s = raw.decode()
             except UnicodeDecodeError:
                 continue
-            if (m := one.match(s)) and m.end() == len(s) and self.merge(raw) == [self.ids[raw]]:
+            if (m := FULL.match(s)) and m.end() == len(s) and self.merge(raw) == [self.ids[raw]]:
                 out.add(s)
         return frozenset(out)
 
@@ -153,16 +162,16 @@ class Counter(dict):
 def counter(path: str) -> tuple:
     vocab = vocabulary(path)
     special = regex.compile("|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) or r"(?!)")
-    return Counter(vocab, vocab.whole_tokens()), regex.compile(PATTERN), special, sorted(vocab.special)
+    return Counter(vocab, vocab.whole_tokens()), special, sorted(vocab.special)
 
 
 def count_text(text: str, path: str) -> int:
     """Tokens of one text, special strings in it counted as the library does: one each."""
-    counts, split, special, strings = counter(path)
+    counts, special, strings = counter(path)
     if any(s in text for s in strings):
         parts = special.split(text)
-        return len(parts) - 1 + sum(sum(map(counts.__getitem__, split.findall(p))) for p in parts)
-    return sum(map(counts.__getitem__, split.findall(text)))
+        return len(parts) - 1 + sum(sum(map(counts.__getitem__, pre_tokens(p))) for p in parts)
+    return sum(map(counts.__getitem__, pre_tokens(text)))
 
 
 def token_counts(
