@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import sliced, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -202,7 +202,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, shard_items: int, sha
     """Indexes over bounded shards of the items, with BM25 statistics of all items."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             found = [words_of(t) for t in texts]
             columns = [batch.column(0), batch.column(1), pa.array([len(w) for w in found]), pa.array([sorted(set(w)) for w in found], pa.list_(pa.string()))]
@@ -254,7 +254,7 @@ def decontaminate(
 
     def searched(frame: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 before = batch.column(len(kept)).to_pylist()
                 hits = [
                     (b or []) + (shared.value.hits(t, least, question, answer) if t else [])

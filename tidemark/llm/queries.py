@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, line_dedup, sharding, simhash, tokens, topk, urls
+from tidemark.llm import bpe, decontaminate, licenses, line_dedup, sharding, simhash, tokens, topk, toxicity, urls
 
 #: The rules of the URL query: fixed values.
 URL_RULES = [
@@ -55,6 +55,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, column="score")
+    return out.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -83,6 +92,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import sliced
+
 #: The split pattern of byte-level BPE with ``use_regex``: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for texts below U+0370 without odd digits or separators, where ``re`` agrees and is faster.
@@ -25,7 +27,7 @@ NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0370-\U0010ffff]")
 FULL = regex.compile(PATTERN)
 LONG = 200  # bytes from which a pre-token is merged with a heap
 NO_MERGE = (1 << 60, -1)
-MEMO = 400_000  # pre-tokens a worker remembers at a time
+MEMO = 200_000  # pre-tokens a worker remembers at a time
 
 
 @functools.cache
@@ -186,7 +188,7 @@ def token_counts(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n = [count_text(t, tokenizer_path) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
