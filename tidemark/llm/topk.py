@@ -187,7 +187,7 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, k: int, every: int) -> Dat
             for row in frame.itertuples():
                 block = Block(row, rotation)
                 best = scan(block, np.full(len(block.ids), -np.inf), longest, k)
-                got.append(np.array([-b[-1][0] if len(b) == k else -np.inf for b in best]))
+                got.append(np.array([-b[-1][0] if len(b) == k else -np.inf for b in best], float))
             frame = frame.assign(floors=[g.tobytes() for g in got])
             # what a candidate's length must reach for any query of the block
             need = [min([*(g / max(1e-300, x) for g, x in zip(f, Block(r, rotation).length)), np.inf]) for f, r in zip(got, frame.itertuples())]
