@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,40 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def _slots(names: list[bytes], bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(names), np.uint64)[::2] & np.uint64((1 << bits) - 1)
+
+
+def bitmap(names: DataFrame, bits: int) -> np.ndarray:
+    """A set of 16-byte names as 2 ** ``bits`` bits, whatever their number.
+
+    It holds every name, and others by chance: it may only save work, never decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(1 << bits, bool)
+        for batch in batches:
+            if batch.num_rows:
+                mine[_slots(batch.column(0).to_pylist(), bits)] = True
+        words = np.packbits(mine, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+    words = names.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    got = words.toArrow()  # at most 2 ** bits / 64 rows
+    full = np.zeros(1 << bits >> 6, np.int64)
+    full[got.column("at").to_numpy()] = got.column("word").to_numpy()
+    return full
+
+
+def bitmap_has(names: list[bytes], words: np.ndarray, bits: int) -> list[bool]:
+    if not names:
+        return []
+    at = _slots(names, bits)
+    word = words[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64)
+    return (word >> (at & np.uint64(63)) & np.uint64(1)).astype(bool).tolist()
+
+
 def tied(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
