@@ -27,10 +27,11 @@ from tidemark.llm.common import sliced
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 64, 32
-WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 14
+WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 15
 EMBED, HIDDEN = 8, 8
 SAMPLE = 4000  # labelled rows that training reads at most, half of them toxic
 EPOCHS, BATCH, RATE = 14, 128, 0.01
+STEPS = 800  # least number of weight updates, about
 ASIDE = 5  # one in so many sampled rows only sets the threshold
 MEMO = 200_000  # words a worker remembers at a time
 CHUNK = 1024  # windows scored at a time
@@ -43,10 +44,10 @@ def word_row(word: str) -> int:
 
 
 def char_rows(word: str) -> list[int]:
-    """Hashed rows of the word's three- and four-letter runs, ends marked."""
+    """Hashed rows of the word's runs of four bytes, ends marked, and of its beginnings, which carry stems."""
     raw = ("<" + word + ">").encode()
-    runs = [raw[i : i + n] for n in (3, 4) for i in range(len(raw) - n + 1)] or [raw]
-    return [zlib.crc32(r, 1) % CHAR_ROWS for r in runs]
+    runs = [raw[i : i + 4] for i in range(len(raw) - 3)] or [raw]
+    return [zlib.crc32(r, 1) % CHAR_ROWS for r in runs] + [zlib.crc32(raw[:n], 2) % CHAR_ROWS for n in range(4, min(10, len(raw)))]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -297,6 +298,8 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
         x = _inputs(rows, flat, starts, sizes, w)
         return Model(w).logits(ids, spans, x @ w["xf"] + w["bf"], x @ w["xb"] + w["bb"])
 
+    # small samples are seen more often
+    epochs = max(epochs, min(60, -(-STEPS * BATCH // (2 * len(seen)))))
     for epoch in range(epochs):
         logits = all_logits() if epoch else rng.random(len(spans))
         picks = []
