@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, tied
+from tidemark.llm.common import bitmap, bitmap_has, sliced, stored, tied
 from tidemark.llm.tokens import MEMO, byte_letters, library_tokenizer, pre_tokens, vocabulary
 
 WINDOW = 32  # bytes a cut depends on
@@ -55,9 +55,8 @@ def _candidates(data: np.ndarray) -> np.ndarray:
 
 def cuts(texts: pa.Array) -> list[list[int]]:
     """For each UTF-8 text the byte offsets of its chunks' ends; none for empty or null texts."""
-    texts = texts.cast(pa.large_binary())
     _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data else np.zeros(0, np.uint8)
     base = int(ends[0])
     where = _candidates(raw[base:]) + base
@@ -166,10 +165,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slots(names: list[bytes], bits: int) -> np.ndarray:
-    return np.frombuffer(b"".join(names), np.uint64)[::2] & np.uint64((1 << bits) - 1)
-
-
 def _chunked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes, list[int], list[bytes]]]:
     """Row, text, chunk ends and chunk names."""
     texts = batch.column(column)
@@ -182,36 +177,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+def _shared(rows: DataFrame, bits: int) -> np.ndarray:
     """Bits of the chunks that occur more than once; its size does not depend on the rows."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             seen = [n for _, _, _, names in _chunked(batch, 0) for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary())], names=["name"])
 
     found = rows.select("text").mapInArrow(names, "name binary").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    found = found.where("n > 1").select("name")
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(1 << bits, bool)
-        for batch in batches:
-            if batch.num_rows:
-                mine[_slots(batch.column(0).to_pylist(), bits)] = True
-        words = np.packbits(mine, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
-
-    words = found.mapInArrow(slots, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    got = words.toArrow()  # at most 2 ** bits / 64 rows
-    full = np.zeros(1 << bits >> 6, np.int64)
-    full[got.column("at").to_numpy()] = got.column("word").to_numpy()
-    return full
-
-
-def _hits(names: list[bytes], words: np.ndarray, bits: int) -> list[bool]:
-    at = _slots(names, bits)
-    return ((words[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).tolist()
+    return bitmap(found.where("n > 1").select("name"), bits)
 
 
 def encode(
@@ -232,15 +207,15 @@ def encode(
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(_bitmap(rows, bitmap_bits))  # of fixed size
+    shared = spark.sparkContext.broadcast(_shared(rows, bitmap_bits))  # of fixed size
     result = f"id {kind}, ids array<int>" + ", decoded string" * decode
 
     def texts_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names, texts = [], []
             for _, text, ends, own in _chunked(batch, 0):
                 if own:
-                    for a, b, n, hit in zip([0, *ends], ends, own, _hits(own, shared.value, bitmap_bits)):
+                    for a, b, n, hit in zip([0, *ends], ends, own, bitmap_has(own, shared.value, bitmap_bits)):
                         if hit:
                             names.append(n)
                             texts.append(text[a:b])
@@ -248,15 +223,15 @@ def encode(
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [array(enc.packed, enc.encode(t.decode())).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["name", "ids"])
 
     def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep, names = [], []
             for row, _, _, own in _chunked(batch, 2):
-                if own and any(hit := _hits(own, shared.value, bitmap_bits)):
+                if own and any(hit := bitmap_has(own, shared.value, bitmap_bits)):
                     keep.append(row)
                     names.append([n for n, h in zip(own, hit) if h])
             kept = batch.take(pa.array(keep, pa.int32()))
@@ -276,10 +251,10 @@ def encode(
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches):
             keep, out = [], []
             for row, text, ends, own in _chunked(batch, 1):
-                if not own or not any(_hits(own, shared.value, bitmap_bits)):
+                if not own or not any(bitmap_has(own, shared.value, bitmap_bits)):
                     keep.append(row)
                     out.append(assemble(enc, text, ends, [None] * len(ends)))
             kept = batch.column(0).take(pa.array(keep, pa.int32()))
@@ -287,7 +262,7 @@ def encode(
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches):
             given, out = batch.column(2).to_pylist(), []
             for row, text, ends, own in _chunked(batch, 1):
                 have = {x["name"]: x["ids"] for x in given[row] or ()}
@@ -315,7 +290,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [enc.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "decoded"])
 
