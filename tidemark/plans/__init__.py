@@ -1 +1,6 @@
+"""Queries over the tables, and the SQL they must equal."""
 
+from tidemark.plans import indicators  # noqa: F401  registers its queries
+from tidemark.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
