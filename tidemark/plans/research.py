@@ -271,11 +271,11 @@ MONEY = ["entry_price", "exit_price", "gross_pnl", "commission", "slippage", "ne
 add(
     "trade_sim_vector",
     lambda s, d: X.independent_trades(signals(s, d), RULES).select(
-        "symbol", "entry_time", "exit_time", "direction", F.col("contracts").cast("int"), *[F.round(c, 4).alias(c) for c in MONEY], "exit_reason", F.col("bars_held").cast("int")
+        "symbol", "entry_time", "exit_time", "direction", F.col("contracts").cast("int"), *[F.round(c, 6).alias(c) for c in MONEY], "exit_reason", F.col("bars_held").cast("int")
     ),
     SIMULATED
     + " SELECT symbol, entry_time, exit_time, direction, contracts, "
-    + ", ".join(f"round({'gross_pnl - commission - slippage' if c == 'net_pnl' else c}, 4) AS {c}" for c in MONEY)
+    + ", ".join(f"round({'gross_pnl - commission - slippage' if c == 'net_pnl' else c}, 6) AS {c}" for c in MONEY)
     + ", exit_reason, CAST(bars_held AS INTEGER) AS bars_held FROM trades",
 )
 add(
