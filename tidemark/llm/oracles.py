@@ -32,9 +32,9 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN cla
 
 OP7_LINE_DEDUP = f"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-line_rows AS (SELECT doc_id, text, unnest(parts) AS line, unnest(range(len(parts))) AS at FROM raw),
+line_rows AS (SELECT doc_id, text, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM raw),
 filled AS (SELECT *, trim(line, {WHITE}) AS body FROM line_rows),
-placed AS (SELECT *, CASE WHEN body <> '' THEN row_number() OVER (PARTITION BY doc_id, body <> '' ORDER BY at) - 1 END AS pos FROM filled),
+placed AS (SELECT *, CASE WHEN body <> '' THEN row_number() OVER (PARTITION BY doc_id, body <> '' ORDER BY line_no) - 1 END AS pos FROM filled),
 kept_lines AS (SELECT doc_id, pos, body FROM placed WHERE pos IS NOT NULL),
 windows AS (
   SELECT doc_id, pos, body AS l0, lead(body) OVER w AS l1, lead(body, 2) OVER w AS l2 FROM kept_lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -42,7 +42,7 @@ ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY l0, l1, l2 ORDER
 gone AS (SELECT DISTINCT doc_id, pos + o AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS o) WHERE k > 1),
 marked AS (SELECT p.*, g.pos IS NOT NULL AS dropped FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos),
 sums AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT dropped) AS clean, count(pos) AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed FROM marked GROUP BY doc_id)
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT dropped) AS clean, count(pos) AS n_lines, count(*) FILTER (WHERE dropped) AS n_removed FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.clean, '') END AS text, CAST(coalesce(s.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(s.n_removed, 0) AS INTEGER) AS n_removed
 FROM documents d LEFT JOIN sums s USING (doc_id)
 """
