@@ -30,6 +30,14 @@ def ratio(a: str | Column, b: str | Column, eps: float = 0.0) -> Column:
     return col(a) / F.nullif(below.cast("double"), F.lit(0.0))
 
 
+def correlation(a: str | Column, b: str | Column, frame: WindowSpec | None = None) -> Column:
+    """Correlation of complete pairs, null where either side is constant; an aggregate, or over ``frame``."""
+    x, y = F.when(col(b).isNotNull(), col(a).cast("double")), F.when(col(a).isNotNull(), col(b).cast("double"))
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    both, sx, sy = [p.over(frame) for p in parts] if frame else parts
+    return both / F.nullif(sx * sy, F.lit(0.0))
+
+
 class Frames:
     """Frames over rows of the same ``keys`` in the order of ``order``."""
 
@@ -89,7 +97,7 @@ class Frames:
         """Correlation of the pairs of ``n`` rows, null unless every pair is complete."""
         frame = self.back(n)
         both = F.when(col(a).isNotNull() & col(b).isNotNull(), 1)
-        return F.when(F.count(both).over(frame) == n, F.corr(a, b).over(frame))
+        return F.when(F.count(both).over(frame) == n, correlation(a, b, frame))
 
     def values(self, x: str | Column, n: int) -> Column:
         """The frame's values in order as an array, null unless it is full."""

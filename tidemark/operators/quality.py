@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import correlation
+
 
 def valid_ohlc() -> Column:
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
@@ -63,7 +65,7 @@ def feature_quality(df: DataFrame, columns: list[str], target: str) -> DataFrame
     """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
-        aggs += [F.count(c).alias(f"n_{c}"), F.var_samp(c).alias(f"v_{c}"), F.avg(c).alias(f"m_{c}"), F.max(c).alias(f"a_{c}"), F.min(c).alias(f"b_{c}"), F.corr(c, F.col(target).cast("double")).alias(f"r_{c}")]
+        aggs += [F.count(c).alias(f"n_{c}"), F.var_samp(c).alias(f"v_{c}"), F.avg(c).alias(f"m_{c}"), F.max(c).alias(f"a_{c}"), F.min(c).alias(f"b_{c}"), correlation(c, target).alias(f"r_{c}")]
     one = df.agg(*aggs)
     rows = []
     for c in columns:
@@ -110,6 +112,6 @@ def looks_ahead(df: DataFrame) -> bool:
 def lookahead_scan(df: DataFrame, columns: list[str], ret: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
     """Correlation of each column with the current and the next return, all in one aggregate."""
     rows = df.withColumn("_next", F.lead(ret).over(Window.partitionBy(*keys).orderBy(order)))
-    one = rows.agg(*[F.corr(c, ret).alias(f"p_{c}") for c in columns], *[F.corr(c, "_next").alias(f"f_{c}") for c in columns])
+    one = rows.agg(*[correlation(c, ret).alias(f"p_{c}") for c in columns], *[correlation(c, "_next").alias(f"f_{c}") for c in columns])
     out = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"p_{c}").alias("past"), F.col(f"f_{c}").alias("future")) for c in columns])).alias("r"))
     return out.select("r.*").withColumn("suspicious", F.coalesce(F.abs("future") > 0.3, F.lit(False)).cast("int"))

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import correlation
 from tidemark.operators.quality import long_form
 
 
@@ -45,7 +46,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def prune(df: DataFrame, columns: list[str], target: str, most: float = 0.95) -> list[str]:
     """Of each pair correlated above ``most`` the column less correlated with the target goes."""
-    row = df.agg(*[F.corr(c, F.col(target).cast("double")).alias(c) for c in columns]).first()
+    row = df.agg(*[correlation(c, target).alias(c) for c in columns]).first()
     strength = {c: abs(row[c] or 0.0) for c in columns}
     gone: set[str] = set()
     for r in correlation_matrix(df, columns).where(F.abs("corr") > most).orderBy("a", "b").collect():  # pairs of columns
@@ -63,7 +64,7 @@ def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
         return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("feature", c)) - 1) / 2
 
     rows = rows.withColumns({"_rx": ranked("x"), "_ry": ranked(target)})
-    return rows.groupBy("feature").agg(F.corr("_rx", "_ry").alias("score"))
+    return rows.groupBy("feature").agg(correlation("_rx", "_ry").alias("score"))
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 16) -> DataFrame:

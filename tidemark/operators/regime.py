@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import EPS, Frames, flag, ratio
+from tidemark.functions.frames import EPS, Frames, correlation, flag, ratio
 
 FRAMES = Frames()
 #: Regime codes: fixed values.
@@ -105,7 +105,7 @@ def autocorrelation(df: DataFrame, x: str, n: int = 21, frames: Frames = FRAMES)
     """Lag-one autocorrelation inside windows of ``n`` rows, from their ``n - 1`` inner pairs."""
     out = df.withColumn("_p", frames.lag(x))
     rows = F.count(x).over(frames.back(n))
-    return out.withColumn(f"autocorr_{n}", F.when(rows == n, F.corr(x, "_p").over(frames.back(n - 1)))).drop("_p")
+    return out.withColumn(f"autocorr_{n}", F.when(rows == n, correlation(x, "_p", frames.back(n - 1)))).drop("_p")
 
 
 def mixture_regimes(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> DataFrame:

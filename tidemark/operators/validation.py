@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import normal
-from tidemark.functions.frames import EPS
+from tidemark.functions.frames import EPS, correlation
 from tidemark.operators.metrics import draw
 
 
@@ -160,7 +160,7 @@ def stationarity(series: DataFrame, x: str, keys: tuple[str, ...] = ("symbol",),
     """An approximate unit-root statistic: correlation of the level with the next change, times root n."""
     before = F.lag(x).over(Window.partitionBy(*keys).orderBy(order))
     out = series.withColumn("_b", before).withColumn("_c", F.col(x) - F.col("_b")).where("_b is not null")
-    out = out.groupBy(*keys).agg((F.corr("_b", "_c") * F.sqrt(F.count(F.lit(1)))).alias("statistic"))
+    out = out.groupBy(*keys).agg((correlation("_b", "_c") * F.sqrt(F.count(F.lit(1)))).alias("statistic"))
     return out.withColumn("stationary", (F.col("statistic") < -2.86).cast("int"))
 
 
