@@ -31,11 +31,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage, and the rows outlive any executor. Columns keep their
-    names and types.
+    names and types. A join that needs a stored side deals both sides out anew, so
+    Spark can split a hot key of the other side. The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,9 +115,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) ->
     for _ in range(most if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(least, "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u"))
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").where(F.col("v") != F.col("m"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(

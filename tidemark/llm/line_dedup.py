@@ -3,9 +3,10 @@
 Every run of three consecutive lines is hashed. A window that occurs more than once in
 the corpus is repeated; its first occurrence stays and each later one covers its three
 lines. A document loses the union of its covered lines, so overlapping windows merge.
-Only hashes and positions are shuffled until the last join; the windows of one hash are
-reduced to their first occurrence before the shuffle, so a window that a third of all
-documents hold is no hot group.
+Only hashes and positions are shuffled until the last join. The windows of one hash are
+reduced to their first occurrence before the shuffle, and the join of all windows with the
+repeated ones can be split by key, so a window that a third of all documents hold is no
+hot group.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tied
+from tidemark.llm.common import stored, tied
 
 WINDOW = 3
 
@@ -52,7 +53,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     all_windows = windows(docs, id_col, text_col, size)
     where = F.struct(F.col("_id").isNull().alias("none"), "_id", "_mark", "pos")
     first = all_windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("h1", "h2", "first")
+    first = stored(first.where("n > 1").select("h1", "h2", "first"), "repeated")
     later = all_windows.join(first, ["h1", "h2"]).where(
         ~(tied(F.col("_id"), F.col("first._id")) & (F.col("_mark") == F.col("first._mark")) & (F.col("pos") == F.col("first.pos")))
     )
