@@ -22,7 +22,8 @@ from tidemark.operators import vectors
 from tidemark.operators.recursive import ema, hurst_of
 from tidemark.plans import ORACLES, QUERIES
 from tidemark.plans.catalog import hour_bars
-from tidemark.plans.halo import chunked, row_numbers
+from tidemark.functions.rows import row_numbers
+from tidemark.plans.halo import chunked
 from tidemark.sources import files
 from tidemark.sources.series import DailySeries
 from tidemark.streaming import bars as SB
@@ -118,10 +119,10 @@ def test_pandas_semantics(spark):
     assert np.allclose(got.rsi_14, 100 - 100 / (1 + gain / (loss + 1e-10)), equal_nan=True)
 
 
-@pytest.mark.parametrize("rows", [7, 1000])
-def test_ema_in_chunks_is_the_whole_fold(spark, rows):
+@pytest.mark.parametrize(("rows", "long"), [(7, False), (1000, False), (9, True)])
+def test_ema_in_chunks_is_the_whole_fold(spark, rows, long):
     b = series(spark).withColumn("x", F.when((F.col("ts") < "2024-01-01 03:00:00") | (F.col("volume") % 7 == 0), None).otherwise(F.col("close")))
-    got = ema(b, {"e": ("x", 12), "f": ("close", 5)}, chunk_rows=rows).toPandas().sort_values(["symbol", "ts"])
+    got = ema(b, {"e": ("x", 12), "f": ("close", 5)}, chunk_rows=rows, long_series=long).toPandas().sort_values(["symbol", "ts"])
     for _, g in got.groupby("symbol"):
         assert np.allclose(g.f, g.close.ewm(span=5, adjust=False).mean())
         want, last = [], np.nan

@@ -15,9 +15,9 @@ from tidemark.operators.ranking import fold_scores
 
 FRAMES = Frames()
 #: Levels and long-run averages of the sentiment columns: fixed values.
-FEAR, EXTREME_FEAR, CALM = 25.0, 35.0, 15.0
+FEAR, EXTREME_FEAR, CALM = 25.0, 30.0, 15.0
 BULL_AVERAGE, BEAR_AVERAGE = 37.5, 31.0
-PUT_HEAVY, CALL_HEAVY = 1.1, 0.7
+PUT_HEAVY, CALL_HEAVY = 1.1, 0.8
 
 
 def _clip(x, low, high):
@@ -82,7 +82,7 @@ def snapshot_zones(bars: DataFrame, score: str, news: str, posts: str, frames: F
     ).drop("_r")
 
 
-def contrarian_signals(df: DataFrame, prob: str, percentile: str, atr: str, high: float = 0.8, low: float = 0.2, min_prob: float = 0.55, tp: float = 2.0, sl: float = 1.0, most: int = 3) -> DataFrame:
+def contrarian_signals(df: DataFrame, prob: str, percentile: str, atr: str, high: float = 0.7, low: float = 0.3, min_prob: float = 0.55, tp: float = 2.0, sl: float = 1.0, most: int = 3) -> DataFrame:
     """Against the crowd where volatility is expected to expand: long in fear, short in calm; sized by the probability."""
     p, x = F.col(prob), F.col(percentile)
     side = F.when((p > min_prob) & (x > high), 1).when((p > min_prob) & (x < low), -1).otherwise(0)

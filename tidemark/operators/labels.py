@@ -59,7 +59,7 @@ def trend_targets(bars: DataFrame, horizons: tuple[int, ...] = (10, 20, 30), dea
     return out
 
 
-def price_targets(bars: DataFrame, multiples: tuple[float, ...] = (1.0, 2.0), horizons: tuple[int, ...] = (5, 10, 20), atr_n: int = 14, frames: Frames = FRAMES) -> DataFrame:
+def price_targets(bars: DataFrame, multiples: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5), horizons: tuple[int, ...] = (10, 20, 30), atr_n: int = 14, frames: Frames = FRAMES) -> DataFrame:
     """Whether levels of so many ATR are reached, new highs and lows, upside, downside and their ratio."""
     out = bars.withColumn("_tr", true_range(frames)).withColumn("_atr", frames.mean("_tr", atr_n))
     c = F.col("close")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.rows import row_numbers
+
 CHUNK_ROWS = 200_000
 
 
@@ -40,11 +42,23 @@ def fold(x: np.ndarray, alpha: float, start: float | None) -> np.ndarray:
 
 
 def ema(
-    df: DataFrame, columns: dict[str, tuple[str, int]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", chunk_rows: int = CHUNK_ROWS
+    df: DataFrame,
+    columns: dict[str, tuple[str, int]],
+    keys: tuple[str, ...] = ("symbol",),
+    order: str = "ts",
+    chunk_rows: int = CHUNK_ROWS,
+    long_series: bool = False,
 ) -> DataFrame:
-    """Add ``{new: (source column, span)}`` exponential averages."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    chunked = df.withColumn("_chunk", F.floor(number / chunk_rows).cast("long"))
+    """Add ``{new: (source column, span)}`` exponential averages.
+
+    Rows are numbered by a window over each series; with ``long_series`` by range-partitioned pieces
+    and their counts, so that no task sees a whole series.
+    """
+    if long_series:
+        numbered = row_numbers(df, keys, order, "_number")
+    else:
+        numbered = df.withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    chunked = numbered.withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("long")).drop("_number")
     sources = {n: (c, alpha_of(s)) for n, (c, s) in columns.items()}
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in columns]])
     ends = _chunk_ends(chunked, sources, keys, order)

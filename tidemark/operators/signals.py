@@ -20,16 +20,16 @@ FRAMES = Frames()
 class Rules:
     """Thresholds, sizes, exits and costs. The defaults are fixed values."""
 
-    min_vol: float = 0.40
-    min_breakout: float = 0.45
+    min_vol: float = 0.50
+    min_breakout: float = 0.50
     min_sentiment: float = 0.55
     technical_weight: float = 0.6
     sentiment_weight: float = 0.4
-    tp_atr: float = 2.5
-    sl_atr: float = 1.25
+    tp_atr: float = 2.0
+    sl_atr: float = 1.0
     tp_adjust: float = 0.0
-    base_contracts: int = 2
-    max_contracts: int = 5
+    base_contracts: int = 1
+    max_contracts: int = 3
     holding: int = 20
     point_value: float = 50.0
     tick: float = 0.25
@@ -128,16 +128,16 @@ def fixed_horizon_trades(signals: DataFrame, horizon: int, rules: Rules, frames:
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits and exits of the one-position simulator."""
+    """Limits and exits of the one-position simulator. The defaults are fixed values."""
 
-    hold_bars: int = 10
-    stop_ticks: float | None = 40
-    target_ticks: float | None = 80
+    hold_bars: int = 3
+    stop_ticks: float | None = 20
+    target_ticks: float | None = 40
     long_above: float = 0.55
     short_below: float = 0.45
-    min_strength: float = 0.0
+    min_strength: float = 0.1
     max_daily_trades: int = 10
-    max_daily_loss: float = 5000.0
+    max_daily_loss: float = 1000.0
     max_consecutive_losses: int = 5
 
 
@@ -298,12 +298,8 @@ def excursions(trades: DataFrame, bars: DataFrame, rules: Rules) -> DataFrame:
     return found.select(*keys, (f * money).alias("mfe"), (a * money).alias("mae"), (f / rules.tick).alias("mfe_ticks"), (a / rules.tick).alias("mae_ticks"))
 
 
-def meta_size(prob: str, method: str = "linear", floor: float = 0.5, largest: float = 1.0) -> Column:
-    """Bet size from the probability that a signal is right: none below ``floor``."""
-    p = F.col(prob)
-    size = {
-        "linear": (p - floor) / (1 - floor),
-        "kelly": 2 * p - 1,
-        "sqrt": F.sqrt(F.greatest((p - floor) / (1 - floor), F.lit(0.0))),
-    }[method]
-    return F.when(p >= floor, F.least(F.greatest(size, F.lit(0.0)), F.lit(largest))).otherwise(0.0)
+def meta_size(prob: str, method: str = "linear", floor: float = 0.55, largest: float = 1.0) -> Column:
+    """Bet size from the probability that a signal is right: none below ``floor``, ``largest`` at certainty."""
+    edge = (F.col(prob) - 0.5) * 2
+    size = {"linear": edge, "kelly": 2 * F.col(prob) - 1, "sqrt": F.sqrt(F.greatest(edge, F.lit(0.0)))}[method] * largest
+    return F.when(F.col(prob) >= floor, F.least(F.greatest(size, F.lit(0.0)), F.lit(largest))).otherwise(0.0)

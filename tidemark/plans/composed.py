@@ -24,14 +24,14 @@ DS = [
     {"v": frame_list("vol", 10)},
     {
         "vix_ma5": roll("avg", "vol", 5), "vix_ma10": roll("avg", "vol", 10), "vix_vs_ma10": f"vol / nullif({roll('avg', 'vol', 10)}, 0)", "vix_percentile": below_share("vol", "v", 10),
-        "vix_fear": flag("vol > 25"), "vix_extreme_fear": flag("vol > 35"), "vix_calm": flag("vol < 15"), "vix_change": f"vol / nullif({lag('vol')}, 0) - 1",
+        "vix_fear": flag("vol > 25"), "vix_extreme_fear": flag("vol > 30"), "vix_calm": flag("vol < 15"), "vix_change": f"vol / nullif({lag('vol')}, 0) - 1",
         "vix_sentiment": f"-{CLIP('(vol - 20) / 15', -1.0, 1.0)}", "pcr_total": f"0.6::DOUBLE + 0.7::DOUBLE * {CLIP('(vol - 12) / 25', 0.0, 1.0)}",
     },
     {"vix_spike": flag("vix_change > 0.15"), "bearish": "25 + coalesce(vix_percentile, 0.5) * 30", "bullish": "50 - coalesce(vix_percentile, 0.5) * 30"},
     {
         "neutral": "100 - bullish - bearish", "survey_spread": "bullish - bearish", "bull_deviation": "bullish - 37.5", "bear_deviation": "bearish - 31.0", "extreme_bullish": flag("bullish > 50"),
         "extreme_bearish": flag("bearish > 50"), "survey_contrarian": "(bearish - bullish) / 100", "pcr_ma5": roll("avg", "pcr_total", 5), "pcr_put_heavy": flag("pcr_total > 1.1"),
-        "pcr_call_heavy": flag("pcr_total < 0.7"), "pcr_contrarian": CLIP("(pcr_total - 0.95::DOUBLE) / 0.35::DOUBLE", -1.0, 1.0),
+        "pcr_call_heavy": flag("pcr_total < 0.8"), "pcr_contrarian": CLIP("(pcr_total - 0.95::DOUBLE) / 0.35::DOUBLE", -1.0, 1.0),
     },
     {
         "composite_contrarian": mean_of(["vix_sentiment", "survey_contrarian", "pcr_contrarian"]), "fear_regime": flag("vix_fear = 1 OR extreme_bearish = 1 OR pcr_put_heavy = 1"),
@@ -68,7 +68,7 @@ add(
 CS = [
     {"tr": TR, "p": f"(close - low) / (high - low + {EPS})", "v": frame_list("close", 20)},
     {"a": roll("avg", "tr", 14), "x": below_share("close", "v", 20)},
-    {"signal": "CASE WHEN p > 0.55 AND x > 0.8 THEN 1 WHEN p > 0.55 AND x < 0.2 THEN -1 ELSE 0 END"},
+    {"signal": "CASE WHEN p > 0.55 AND x > 0.7 THEN 1 WHEN p > 0.55 AND x < 0.3 THEN -1 ELSE 0 END"},
     {
         "size": "CASE WHEN signal <> 0 THEN least(greatest(floor(1 + (p - 0.55::DOUBLE) * 4), 1), 3) ELSE 0 END",
         "tp_price": "CASE WHEN signal <> 0 THEN close + signal * 2.0 * a ELSE 0.0 END", "sl_price": "CASE WHEN signal <> 0 THEN close - signal * 1.0 * a ELSE 0.0 END",

@@ -9,20 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Frames
-
-
-def row_numbers(df: DataFrame, keys: tuple[str, ...], order: str, name: str = "_row") -> DataFrame:
-    """Row numbers of each series from range-partitioned pieces: counts of the pieces give the offsets."""
-    pieces = df.repartitionByRange(*keys, order).withColumn("_piece", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(order)) - 1
-    sizes = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_piece")) - F.col("_n")
-    offsets = sizes.select(*keys, "_piece", before.alias("_before"))  # one row for each piece
-    return pieces.withColumn("_in", inside).join(offsets, [*keys, "_piece"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_piece", "_in", "_before")
+from tidemark.functions.rows import row_numbers
 
 
 def chunked(

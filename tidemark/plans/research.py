@@ -54,7 +54,7 @@ for h in (5, 10, 20):
 PT3 = {f"rr_ratio_{h}": f"upside_{h} / (downside_{h} + 0.0001)" for h in (5, 10, 20)}
 PTF = [c for c in PT2 if "side" in c] + list(PT3)
 PTI = [c for c in PT2 if "side" not in c]
-add("targets_price", on_bars(L.price_targets, PTF, PTI), statement([PT0, PT1, PT2, PT3], PTF, PTI))
+add("targets_price", on_bars(lambda b: L.price_targets(b, (1.0, 2.0), (5, 10, 20)), PTF, PTI), statement([PT0, PT1, PT2, PT3], PTF, PTI))
 R5 = f"({LEADC(5)} / nullif(close, 0) - 1)"
 PP = {f"target_direction_{h}": flag(f"{LEADC(h)} > close") for h in (1, 5)}
 PP |= {"target_class_3": f"CASE WHEN {R5} <= -0.005 THEN 0 WHEN {R5} <= 0.005 THEN 1 WHEN {R5} > 0.005 THEN 2 END"}
@@ -119,7 +119,7 @@ add(
     statement(
         [
             {"p": f"(close - low) / (high - low + {EPS})"},
-            {n: f"CASE WHEN p >= 0.5 THEN least(greatest({e}, 0.0), 1.0) ELSE 0.0 END" for n, e in (("size_linear", "(p - 0.5) / 0.5"), ("size_kelly", "2 * p - 1"), ("size_sqrt", "sqrt(greatest((p - 0.5) / 0.5, 0.0))"))},
+            {n: f"CASE WHEN p >= 0.55 THEN least(greatest({e}, 0.0), 1.0) ELSE 0.0 END" for n, e in (("size_linear", "(p - 0.5) * 2"), ("size_kelly", "2 * p - 1"), ("size_sqrt", "sqrt(greatest((p - 0.5) * 2, 0.0))"))},
         ],
         ["p", *[n for n, _ in SIZES]],
     ),
@@ -202,7 +202,7 @@ add(
 )
 
 # ---- signals and trades
-RULES = X.Rules(tick=0.25, point_value=50.0)
+RULES = X.Rules(min_vol=0.40, min_breakout=0.45, tp_atr=2.5, sl_atr=1.25, base_contracts=2, max_contracts=5)  # the served model's
 
 
 def scored(spark, sf_dir):
