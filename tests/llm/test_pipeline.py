@@ -190,3 +190,17 @@ def test_held_out_rows_follow_the_rule(spark):
     for r in rows:
         groups[r.h] += 1
     assert groups[True] > 20
+
+
+def test_stages_take_clashing_column_names(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(60)
+    names = ("n_lines", "n_removed", "gone", "pos", "h1", "id", "key", "mark", "fp", "norm", "band", "component", "hits", "contaminated", "score", "toxicity", "ids", "names", "given")
+    wide = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, tables)
+        assert Counter(out.columns) == Counter(wide.columns), name
+        kept = {r.doc_id for r in stage(spark, docs, tables).collect()}
+        rows = out.collect()
+        assert {r.doc_id for r in rows} == kept and {r.key for r in rows} == {"own key"}
+    assert corpus_pipeline.encode(spark, wide, tables).count() == 60
+    assert near.keep_one(wide).count() == near.keep_one(docs).count()

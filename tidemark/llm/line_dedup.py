@@ -20,19 +20,19 @@ WINDOW = 3
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_id": F.col(id_col), "_mark": F.xxhash64(text_col)})
+    return docs.withColumns({"_tm_id": F.col(id_col), "_tm_mark": F.xxhash64(text_col)})
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``_id, _mark, pos, h1, h2``: the 128-bit hash of every window, ``pos`` from 0 among kept lines.
+    """``_tm_id, _tm_mark, pos, h1, h2``: the 128-bit hash of every window, ``pos`` from 0 among kept lines.
 
     Lines are trimmed of white space; lines without anything else are no lines here.
     """
     lines = F.filter(F.transform(F.split(text_col, "\n", -1), _trim), lambda x: x != "")
-    rows = _keyed(docs, id_col, text_col).select("_id", "_mark", lines.alias("lines"))
+    rows = _keyed(docs, id_col, text_col).select("_tm_id", "_tm_mark", lines.alias("lines"))
     rows = rows.where(F.size("lines") >= size)
     # a line's two hashes are computed once, the windows combine them
-    once = rows.select("_id", "_mark", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b"))).alias("marks"))
+    once = rows.select("_tm_id", "_tm_mark", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b"))).alias("marks"))
 
     def window(pos):
         at = [F.get("marks", pos + i) for i in range(size)]
@@ -41,7 +41,7 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         )
 
     starts = F.sequence(F.lit(0), F.size("marks") - size)
-    return once.select("_id", "_mark", F.explode(F.transform(starts, window)).alias("w")).select("_id", "_mark", "w.*")
+    return once.select("_tm_id", "_tm_mark", F.explode(F.transform(starts, window)).alias("w")).select("_tm_id", "_tm_mark", "w.*")
 
 
 def _trim(x):
@@ -49,17 +49,17 @@ def _trim(x):
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``_id, _mark, gone``: the positions of lines that later occurrences cover, for documents that have any."""
+    """``_tm_id, _tm_mark, gone``: the positions of lines that later occurrences cover, for documents that have any."""
     all_windows = windows(docs, id_col, text_col, size)
-    where = F.struct(F.col("_id").isNull().alias("none"), "_id", "_mark", "pos")
+    where = F.struct(F.col("_tm_id").isNull().alias("none"), "_tm_id", "_tm_mark", "pos")
     first = all_windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
     first = stored(first.where("n > 1").select("h1", "h2", "first"), "repeated")
     later = all_windows.join(first, ["h1", "h2"]).where(
-        ~(tied(F.col("_id"), F.col("first._id")) & (F.col("_mark") == F.col("first._mark")) & (F.col("pos") == F.col("first.pos")))
+        ~(tied(F.col("_tm_id"), F.col("first._tm_id")) & (F.col("_tm_mark") == F.col("first._tm_mark")) & (F.col("pos") == F.col("first.pos")))
     )
     # at most as many positions as the document has lines
     gone = F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + size - 1))))
-    return later.groupBy("_id", "_mark").agg(gone.alias("gone"))
+    return later.groupBy("_tm_id", "_tm_mark").agg(gone.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -67,30 +67,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The first occurrence of a window is the one with the smallest (id, hash of the text,
     position), null ids last. Removed lines go with their line ends; empty lines stay where
-    they are. Texts with fewer than ``size`` lines that hold more than white space, empty
+    they are. Columns of the names it adds are replaced. Texts with fewer than ``size`` lines that hold more than white space, empty
     texts and null texts come back as they are. Rows equal in id and text count as one
     document: each keeps what the others keep. An empty table gives an empty table.
     """
-    gone = covered(docs, id_col, text_col, size).withColumnsRenamed({"_id": "_gone_id", "_mark": "_gone_mark"})
+    gone = covered(docs, id_col, text_col, size).withColumnsRenamed({"_tm_id": "_tm_gid", "_tm_mark": "_tm_gmark", "gone": "_tm_gone"})
     rows = _keyed(docs, id_col, text_col)
-    rows = rows.join(gone, tied(F.col("_id"), F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
+    rows = rows.join(gone, tied(F.col("_tm_id"), F.col("_tm_gid")) & (F.col("_tm_mark") == F.col("_tm_gmark")), "left")
     parts = F.split(text_col, "\n", -1)
     # positions count only lines that hold something
     number = F.aggregate(
-        F.col("_parts"),
+        F.col("_tm_parts"),
         F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
         lambda s, x: F.when(_trim(x) == "", F.struct(s["n"].alias("n"), F.array_append(s["kept"], x).alias("kept"))).otherwise(
             F.struct(
                 (s["n"] + 1).alias("n"),
-                F.when(F.array_contains("gone", s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
+                F.when(F.array_contains("_tm_gone", s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
             )
         ),
         lambda s: F.array_join(s["kept"], "\n"),
     )
-    filled = F.size(F.filter("_parts", lambda x: _trim(x) != ""))
-    clean = rows.withColumn("_parts", parts)
+    filled = F.size(F.filter("_tm_parts", lambda x: _trim(x) != ""))
+    clean = rows.withColumn("_tm_parts", parts)
     return clean.select(
-        *[F.when(F.col("gone").isNull(), F.col(c)).otherwise(number).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("_tm_gone").isNull(), F.col(c)).otherwise(number).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_col).isNull(), 0).otherwise(filled).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("_tm_gone"), F.lit(0)).alias("n_removed"),
     )

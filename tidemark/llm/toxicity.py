@@ -33,8 +33,8 @@ SAMPLE = 4000  # labelled rows that training reads at most, half of them toxic
 EPOCHS, BATCH, RATE = 14, 128, 0.01
 STEPS = 800  # least number of weight updates, about
 ASIDE = 5  # one in so many sampled rows only sets the threshold
-MEMO = 200_000  # words a worker remembers at a time
-CHUNK = 1024  # windows scored at a time
+MEMO = 100_000  # words a worker remembers at a time
+CHUNK = 512  # windows scored at a time
 
 Weights = dict[str, np.ndarray]
 
@@ -393,7 +393,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 150):
             scores = scorer.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, column])
 
