@@ -59,7 +59,22 @@ def windows(n: int) -> list[tuple[int, int]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
+
+
+def _project(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``x @ m`` by blocks so small that the matrix library keeps to one thread."""
+    if not len(x):
+        return x @ m
+    return np.concatenate([x[at : at + CHUNK] @ m for at in range(0, len(x), CHUNK)])
+
+
+def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each of ``values`` to its row of ``into``; rows may repeat."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    into[ranked[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
 def initial(seed: int = 3) -> Weights:
@@ -175,7 +190,7 @@ class Scorer:
             table = getattr(self, name)
             while len(table) < first + len(fresh):
                 table = np.vstack([table, np.zeros_like(table)])
-            table[first : first + len(fresh)] = x @ w[f"x{d}"] + w[f"b{d}"]
+            table[first : first + len(fresh)] = _project(x, w[f"x{d}"]) + w[f"b{d}"]
             setattr(self, name, table)
         self.known.update(zip(fresh, range(first, first + len(fresh))))
 
@@ -204,7 +219,7 @@ class Scorer:
 
 def gradients(x: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, y: np.ndarray, weight: np.ndarray, w: Weights):
     """Loss gradient of every weight but the embeddings, and of the input vectors ``x``."""
-    pf, pb = x @ w["xf"] + w["bf"], x @ w["xb"] + w["bb"]
+    pf, pb = _project(x, w["xf"]) + w["bf"], _project(x, w["xb"]) + w["bb"]
     flip = None if mask is None else mask[::-1]
     hf, tf = gru(pf[ids], w["uf"], mask, keep=True)
     hb, tb = gru(pb[ids][::-1], w["ub"], flip, keep=True)
@@ -228,9 +243,9 @@ def gradients(x: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, y: np.nda
     for d, trace, part, marks, steps in (("f", tf, dh[:, :, :HIDDEN], mask, ids), ("b", tb, dh[::-1, :, HIDDEN:], flip, ids[::-1])):
         dp, out[f"u{d}"] = _gru_back(part, trace, w[f"u{d}"], marks)
         sums = np.zeros((len(x), 3 * HIDDEN), np.float32)
-        np.add.at(sums, steps.ravel(), dp.reshape(-1, 3 * HIDDEN))
-        out[f"x{d}"], out[f"b{d}"] = x.T @ sums, sums.sum(0)
-        dx += sums @ w[f"x{d}"].T
+        _add_rows(sums, steps.ravel(), dp.reshape(-1, 3 * HIDDEN))
+        out[f"x{d}"], out[f"b{d}"] = np.einsum("vi,vj->ij", x, sums), sums.sum(0)
+        dx += _project(sums, w[f"x{d}"].T)
     return out, dx
 
 
@@ -296,7 +311,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
 
     def all_logits() -> np.ndarray:
         x = _inputs(rows, flat, starts, sizes, w)
-        return Model(w).logits(ids, spans, x @ w["xf"] + w["bf"], x @ w["xb"] + w["bb"])
+        return Model(w).logits(ids, spans, _project(x, w["xf"]) + w["bf"], _project(x, w["xb"]) + w["bb"])
 
     # small samples are seen more often
     epochs = max(epochs, min(60, -(-STEPS * BATCH // (2 * len(seen)))))
@@ -316,14 +331,14 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
             some = picks[at : at + BATCH]
             words, mask = _padded(ids, [spans[s] for s, _ in some])
             used, local = np.unique(words, return_inverse=True)
-            own = np.concatenate([np.arange(starts[v], starts[v] + sizes[v]) for v in used])
             own_starts = np.cumsum(sizes[used]) - sizes[used]
+            own = np.arange(sizes[used].sum()) + np.repeat(starts[used] - own_starts, sizes[used])
             x = _inputs(rows[used], flat[own], own_starts, sizes[used], w)
             docs = [i for _, i in some]
             grads, dx = gradients(x, local.reshape(words.shape), mask, y[docs], weigh[docs] / len(some), w)
             grads["word"], grads["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-            np.add.at(grads["word"], rows[used], dx[:, :EMBED])
-            np.add.at(grads["char"], flat[own], np.repeat(dx[:, EMBED:] / sizes[used][:, None], sizes[used], axis=0))
+            _add_rows(grads["word"], rows[used], dx[:, :EMBED])
+            _add_rows(grads["char"], flat[own], np.repeat(dx[:, EMBED:] / sizes[used][:, None], sizes[used], axis=0))
             adam.step(w, grads, rate)
     logits = all_logits()
     # rows that training did not see set the threshold, unless they lack a class
