@@ -204,3 +204,22 @@ def test_stages_take_clashing_column_names(spark, tables):
         assert {r.doc_id for r in rows} == kept and {r.key for r in rows} == {"own key"}
     assert corpus_pipeline.encode(spark, wide, tables).count() == 60
     assert near.keep_one(wide).count() == near.keep_one(docs).count()
+
+
+def near_components(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.id: r.component for r in near.groups(docs, **more).collect()}
+
+
+def test_a_link_whose_samples_agree_seldom_stays(spark):
+    rng = random.Random(1)
+    for _ in range(30_000):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(54)]
+        texts = [" ".join(words), " ".join(words[:44])]  # 40 of 50 shingles
+        a, b = (near.samples(near.hashes(t.encode(), 5)) for t in texts)
+        same = [x == y for x, y in zip(a, b)]
+        if sum(same) <= 20 and any(all(same[i : i + 3]) for i in range(0, 36, 3)):
+            break
+    assert sum(same) <= 20
+    got = near_components(spark, texts)
+    assert got[0] == got[1]

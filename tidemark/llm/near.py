@@ -32,6 +32,7 @@ SLOTS = ROWS * BANDS
 ALL_PAIRS = 32
 CENTRES, OUTSIDE_CENTRES = 2, 24
 ROUNDS = 3
+SKETCH = 512
 BITMAP_BITS = 25
 _RNG = np.random.default_rng(17)
 FACTORS = _RNG.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,29 +55,42 @@ def samples(found: np.ndarray) -> list[int]:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
+def sketch(found: np.ndarray) -> list[int]:
+    """For each of ``SKETCH`` cells, whether an odd number of shingles falls in it; 64 cells a number.
+
+    Two sketches differ in no more cells than there are shingles in just one of the two sets.
+    """
+    odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col)
     return docs.withColumns({"_tm_key": key, "_tm_mark": F.xxhash64(text_col)})
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id, key, mark, norm, fp, least`` for each row; ``norm`` names the word sequence."""
+    """``id, key, mark, norm, fp, least, size, sketch`` for each row; ``norm`` names the word sequence."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            norms, fps, least = [], [], []
+            norms, fps, least, sizes, sketches = [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 text = text or b""
                 norms.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
                 fps.append(simhash.fingerprint(simhash.shingles(text, size)))
-                least.append(samples(hashes(text, size)))
+                found = hashes(text, size)
+                least.append(samples(found))
+                sizes.append(len(found))
+                sketches.append(sketch(found))
             made = [pa.array(norms, pa.binary()), pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["id", "key", "mark", "norm", "fp", "least"])
+            made += [pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["id", "key", "mark", "norm", "fp", "least", "size", "sketch"])
 
     rows = _keys(docs, id_col, text_col)
     rows = rows.select(F.col(id_col).alias("id"), F.col("_tm_key").alias("key"), F.col("_tm_mark").alias("mark"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, key long, mark long, norm binary, fp long, least array<int>")
+    return rows.mapInArrow(run, f"id {kind}, key long, mark long, norm binary, fp long, least array<int>, size int, sketch array<long>")
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -126,14 +140,19 @@ def _outsiders(members: DataFrame, nodes: DataFrame, all_pairs: int, seed: int)
     return pairs.unionByName(_stars(big.join(many.select("band").distinct(), "band", "left_semi"), seed, OUTSIDE_CENTRES, many))
 
 
-def _likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs whose samples agree as often as the similarity lets expect, three and a half deviations below it at least."""
+def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs without those that cannot be similar enough, by bounds that hold for every pair.
+
+    The smaller set has at least the similarity's share of the larger one, and sketches differ in no
+    more cells than the sets have shingles that are in one of them only.
+    """
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    alike = F.size(F.filter(F.zip_with("la", "lb", lambda x, y: x == y), lambda e: e))
-    pairs = pairs.join(texts.select(F.col("norm").alias("a"), F.col("least").alias("la")), "a")
-    pairs = pairs.join(texts.select(F.col("norm").alias("b"), F.col("least").alias("lb")), "b")
-    enough = SLOTS * similarity - 3.5 * (SLOTS * similarity * (1 - similarity)) ** 0.5
-    return stored(pairs.where(alike >= max(1, enough)).select("a", "b"), "pairs")
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("norm").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-6
+    unlike = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    return stored(pairs.where(sized & (unlike <= most)).select("a", "b"), "pairs")
 
 
 def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
@@ -193,17 +212,17 @@ def groups(
     smallest id stays, null ids last. Texts without a word are one group; null counts as empty.
     """
     marks = stored(_marks(docs, id_col, text_col, shingle_words), "marks")
-    texts = marks.groupBy("norm").agg(F.first("fp").alias("fp"), F.first("least").alias("least"))
+    texts = marks.groupBy("norm").agg(F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     texts = stored(texts, "texts")
     members = _bands(texts)
-    pairs = _likely(_candidates(texts, members, all_pairs), texts, similarity)
+    pairs = _possible(_candidates(texts, members, all_pairs), texts, similarity)
     large = members.where(F.col("n") > all_pairs).select("norm")
     involved = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).unionByName(large)
     held = _held(docs, involved.distinct(), text_col, shingle_words)
     alike = _verified(pairs, held, similarity)
     nodes = components(alike, "a", "b")
     for turn in range(1, ROUNDS):
-        more = _likely(_outsiders(members, nodes, all_pairs, turn * OUTSIDE_CENTRES), texts, similarity)
+        more = _possible(_outsiders(members, nodes, all_pairs, turn * OUTSIDE_CENTRES), texts, similarity)
         if more.isEmpty():
             break
         alike = stored(alike.unionByName(_verified(more, held, similarity)), "alike")
