@@ -211,6 +211,21 @@ def near_components(spark, texts, **more):
     return {r.id: r.component for r in near.groups(docs, **more).collect()}
 
 
+def test_pairs_among_texts_that_share_a_long_passage_are_linked(spark):
+    rng = random.Random(3)
+    passage = [f"shared{i}" for i in range(148)]
+    texts = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(36)]
+        other = own[:-19] + [f"other{i}x{j}" for j in range(19)]
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    order = rng.sample(range(len(texts)), len(texts))
+    got = near_components(spark, [texts[i] for i in order], all_pairs=8)
+    where = {i: n for n, i in enumerate(order)}
+    assert all(got[where[i]] == got[where[i + 1]] for i in range(0, len(texts), 2))
+    assert len(set(got.values())) == 60
+
+
 def test_a_link_whose_samples_agree_seldom_stays(spark):
     rng = random.Random(1)
     for _ in range(30_000):

@@ -6,16 +6,18 @@ to fifteen bits, far beyond the two bits that the grid join can reach. So the Si
 shingles, and a candidate pair becomes a link only if the shingle sets of its texts are similar
 enough. Equal word sequences are one text from the start and are never paired.
 
-Bands with many texts do not make all pairs: above ``all_pairs`` texts, each text is compared
-with ``CENTRES`` texts of the band, others in each band. That joins a large group of near copies
-but for texts that are similar to few of it. In further rounds every text that is still outside its
-band's main group is compared with the whole band, as long as there are no more than ``all_pairs``
-of them, and with ``OUTSIDE_CENTRES`` other texts of the band else. Links can be missed only there,
-and in bands of many texts without any group, which share a passage and little more.
+Bands with many texts do not make all pairs: above ``all_pairs`` texts, each text is first compared
+with ``CENTRES`` texts of the band, which joins most of a large group of near copies. What is still
+apart then meets by an exact prefix filter over all texts of large bands: with shingles ordered from
+rare to common, two texts of enough similarity share one of their first ones. In the texts of such a
+shingle, every text outside its main group is compared with all texts of other groups; where many are
+outside, they first meet ``OUTSIDE_CENTRES`` of their own, which leaves fewer groups. No pair of texts
+that share a band is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ from tidemark.llm.common import bitmap, bitmap_has, components, sliced, stored
 ROWS, BANDS = 3, 12
 SLOTS = ROWS * BANDS
 ALL_PAIRS = 32
-CENTRES, OUTSIDE_CENTRES = 2, 24
-ROUNDS = 3
+CENTRES, OUTSIDE_CENTRES = 2, 4
 SKETCH = 512
+COUNT_BITS = 18
 BITMAP_BITS = 25
 _RNG = np.random.default_rng(17)
 FACTORS = _RNG.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,11 +103,11 @@ def _bands(texts: DataFrame) -> DataFrame:
     return stored(entries.join(sizes, "band"), "bands")
 
 
-def _stars(members: DataFrame, seed: int, many: int, only: DataFrame | None = None) -> DataFrame:
-    """Every member, or those of ``only``, with each centre of its band."""
-    picks = [F.min(F.struct(F.xxhash64("norm", "band", F.lit(seed + i)).alias("o"), "norm"))["norm"].alias(f"c{i}") for i in range(many)]
+def _stars(members: DataFrame, many: int) -> DataFrame:
+    """Every member with each centre of its band."""
+    picks = [F.min(F.struct(F.xxhash64("norm", F.lit(i)).alias("o"), "norm"))["norm"].alias(f"c{i}") for i in range(many)]
     centres = members.groupBy("band").agg(*picks)
-    met = (members if only is None else only).join(centres, "band").select(F.col("norm").alias("a"), F.explode(F.array(*[f"c{i}" for i in range(many)])).alias("b"))
+    met = members.join(centres, "band").select(F.col("norm").alias("a"), F.explode(F.array(*[f"c{i}" for i in range(many)])).alias("b"))
     return met.where("a != b")
 
 
@@ -120,24 +122,61 @@ def _candidates(texts: DataFrame, members: DataFrame, all_pairs: int) -> DataFra
     near = near.join(firsts.select(F.col("fp").alias("a"), F.col("pick").alias("pa")), "a")
     near = near.join(firsts.select(F.col("fp").alias("b"), F.col("pick").alias("pb")), "b")
     near = near.select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    return few.unionByName(_stars(members.where(F.col("n") > all_pairs), 0, CENTRES)).unionByName(same).unionByName(near)
+    return few.unionByName(_stars(members.where(F.col("n") > all_pairs), CENTRES)).unionByName(same).unionByName(near)
 
 
-def _outsiders(members: DataFrame, nodes: DataFrame, all_pairs: int, seed: int) -> DataFrame:
-    """Pairs of large bands that are still apart: texts outside the main group with the band, or with new centres."""
-    big = members.where(F.col("n") > all_pairs).join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
-    big = stored(big.select("band", "norm", F.coalesce("component", "norm").alias("group")), "apart")
-    sizes = big.groupBy("band", "group").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("band").agg(
-        F.max_by("group", F.struct("k", "group")).alias("main"), F.max("k").alias("top"), (F.sum("k") - F.max("k")).alias("out")
-    )
-    # a band without a group of some size is of texts that share a passage; similar ones share other bands
-    main = main.where((F.col("out") > 0) & (F.col("top") * 10 >= F.col("out"))).drop("top")
-    outside = big.join(main, "band").where("group != main")
-    one = outside.where(F.col("out") <= all_pairs).select("band", F.col("norm").alias("a"), F.col("group").alias("ga"))
-    pairs = one.join(big.select("band", F.col("norm").alias("b"), F.col("group").alias("gb")), "band").where("ga != gb").select("a", "b")
-    many = outside.where(F.col("out") > all_pairs).select("band", "norm")
-    return pairs.unionByName(_stars(big.join(many.select("band").distinct(), "band", "left_semi"), seed, OUTSIDE_CENTRES, many))
+def _first_shingles(held: DataFrame, similarity: float) -> DataFrame:
+    """``band, norm, size``: the rare shingles of each text of which similar texts share one, where texts share it.
+
+    Any fixed order of shingles serves; rarity is told by counts of 2 ** ``COUNT_BITS`` cells.
+    """
+    cells = np.uint64((1 << COUNT_BITS) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for packed in batch.column(1).to_pylist():
+                mine += np.bincount((_unpack(packed) & cells).astype(np.int64), minlength=len(mine))
+        at = np.flatnonzero(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine[at])], names=["at", "n"])
+
+    got = held.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
+    full = np.zeros(1 << COUNT_BITS, np.int64)
+    full[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    counts = held.sparkSession.sparkContext.broadcast(full)  # of fixed size
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sizes, firsts = [], []
+            for packed in batch.column(1).to_pylist():
+                found = np.unique(_unpack(packed))
+                order = np.lexsort((found, counts.value[(found & cells).astype(np.int64)]))
+                some = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1
+                sizes.append(len(found))
+                firsts.append(found[order[:some]].view(np.int64))
+            made = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["norm", "size", "firsts"])
+
+    entries = held.mapInArrow(first, "norm binary, size int, firsts array<long>").select("norm", "size", F.explode("firsts").alias("band"))
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    return stored(entries.join(shared, "band"), "firsts")
+
+
+def _apart(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``band, norm, size, group, main, out`` of the bands that have texts outside their main group, and how many."""
+    grouped = members.join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
+    grouped = stored(grouped.select("band", "norm", "size", F.coalesce("component", "norm").alias("group")), "grouped")
+    sizes = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("band").agg(F.max_by("group", F.struct("k", "group")).alias("main"), (F.sum("k") - F.max("k")).alias("out"))
+    return stored(grouped.join(stored(main.where("out > 0"), "main"), "band"), "apart")
+
+
+def _across(apart: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of texts of a band that are in different groups and of sizes that can be similar."""
+    outside = apart.where("group != main").select("band", F.col("norm").alias("a"), F.col("group").alias("ga"), F.col("size").alias("sa"))
+    every = apart.select("band", F.col("norm").alias("b"), F.col("group").alias("gb"), F.col("size").alias("sb"), (F.col("group") == F.col("main")).alias("in_main"))
+    sized = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(similarity) - 1e-6
+    return outside.join(every, "band").where((F.col("ga") != F.col("gb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & sized).select("a", "b")
 
 
 def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -155,6 +194,12 @@ def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return stored(pairs.where(sized & (unlike <= most)).select("a", "b"), "pairs")
 
 
+def _unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
     """``norm, held``: the shingle hashes of the texts that pairs need; no other text leaves its task."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(involved, BITMAP_BITS))  # of fixed size
@@ -176,18 +221,13 @@ def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> Dat
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
 
-    def unpack(packed: bytes) -> np.ndarray:
-        wide = np.zeros((len(packed) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-        return wide.view(np.uint64).ravel()
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if min(len(x), len(y)) < (similarity - 0.01) * max(len(x), len(y)):
                     continue
-                ours, theirs = unpack(x), unpack(y)
+                ours, theirs = _unpack(x), _unpack(y)
                 both = len(np.intersect1d(ours, theirs))
                 if both >= similarity * (len(ours) + len(theirs) - both) - 1e-9:
                     keep.append(i)
@@ -216,15 +256,21 @@ def groups(
     texts = stored(texts, "texts")
     members = _bands(texts)
     pairs = _possible(_candidates(texts, members, all_pairs), texts, similarity)
-    large = members.where(F.col("n") > all_pairs).select("norm")
+    large = stored(members.where(F.col("n") > all_pairs).select("norm").distinct(), "large")
     involved = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).unionByName(large)
     held = _held(docs, involved.distinct(), text_col, shingle_words)
     alike = _verified(pairs, held, similarity)
     nodes = components(alike, "a", "b")
-    for turn in range(1, ROUNDS):
-        more = _possible(_outsiders(members, nodes, all_pairs, turn * OUTSIDE_CENTRES), texts, similarity)
-        if more.isEmpty():
-            break
+    if not large.isEmpty():
+        firsts = _first_shingles(held.join(large, "norm", "left_semi"), similarity)
+        apart = _apart(firsts, nodes)
+        many = apart.where((F.col("out") > all_pairs) & (F.col("group") != F.col("main")))
+        if not many.isEmpty():
+            more = _possible(_stars(many, OUTSIDE_CENTRES), texts, similarity)
+            alike = stored(alike.unionByName(_verified(more, held, similarity)), "alike")
+            nodes = components(alike, "a", "b")
+            apart = _apart(firsts, nodes)
+        more = _possible(_across(apart, similarity), texts, similarity)
         alike = stored(alike.unionByName(_verified(more, held, similarity)), "alike")
         nodes = components(alike, "a", "b")
     labelled = marks.select("id", "key", "mark", "norm").join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
