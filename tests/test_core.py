@@ -318,3 +318,19 @@ def test_constant_prices_have_defined_columns(spark):
     b = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "ts", "open", "high", "low", "close", "volume"]))
     last = wide(b).orderBy(F.desc("ts")).first()
     assert last.rsi_14 == 0.0 and last.atr_14 == 0.0 and math.isfinite(last.bb_pct)
+
+
+def test_queries_named_for_boosting_fit_it(spark, sf, monkeypatch):
+    from tidemark.operators import composites, ranking
+
+    class Found(Exception):
+        pass
+
+    def stop(members, columns, target, kind="gbt"):
+        raise Found(kind)
+
+    monkeypatch.setattr(ranking, "fold_scores", stop)
+    monkeypatch.setattr(composites, "fold_scores", stop)
+    for name, kind in (("walk_forward_gbt_auc", "gbt"), ("walk_forward_logistic_auc", "logistic"), ("ensemble_backtest", "gbt")):
+        with pytest.raises(Found, match=f"^{kind}$"):
+            QUERIES[name](spark, sf)

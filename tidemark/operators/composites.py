@@ -136,6 +136,6 @@ def ensemble_scores(members: DataFrame, columns: list[str], targets: dict[str, s
     """Out-of-fold scores of several models side by side: ``{score column: target column}``, each with its own kind."""
     parts = []
     for name, target in targets.items():
-        one = fold_scores(members, columns, target, (kinds or {}).get(name, "logistic"))
+        one = fold_scores(members, columns, target, (kinds or {}).get(name, "gbt"))
         parts.append(one.select("symbol", "ts", "fold", F.col("score").alias(name)))
     return reduce(lambda a, b: a.join(b, ["symbol", "ts", "fold"]), parts)

@@ -249,4 +249,5 @@ def folds(spark, sf_dir):
     return V.walk_forward(V.numbered(f), 5, 10)
 
 
-add("walk_forward_gbt_auc", lambda s, d: A.auc(A.fold_scores(folds(s, d), MODEL, "target_direction_1", "logistic"), "score", "target_direction_1", ("fold",)))
+for kind in ("gbt", "logistic"):
+    add(f"walk_forward_{kind}_auc", lambda s, d, k=kind: A.auc(A.fold_scores(folds(s, d), MODEL, "target_direction_1", k), "score", "target_direction_1", ("fold",)))
