@@ -87,6 +87,23 @@ def test_decontamination_takes_odd_rows(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_very_different_length_do_not_change_each_other(spark):
+    rng = random.Random(8)
+    short = "copper lantern beside quiet harbor wakes early. seven grey herons"
+    long = " ".join(f"filler{rng.randrange(4000)}" for _ in range(2500)) + ". the end of it"
+    middle = " ".join(f"middle{rng.randrange(4000)}" for _ in range(150)) + ". some answer here"
+    bench = spark.createDataFrame([(1, short), (2, long), (3, middle)], "item_id long, text string")
+    spread = [f"clean{i}" for i in range(3000)]
+    for i, w in enumerate(rng.sample(decontaminate.words_of(short), 10)):
+        spread[200 + 250 * i] = w
+    pad = " pad" * 700
+    docs = documents(spark, [" ".join(spread), pad + " " + short + pad, pad + " " + middle + pad, "x " * 333 + long + pad, short])
+    pick = lambda df: {r.doc_id: sorted((h.item_id, round(h.score, 9), h.start) for h in r.hits) for r in df.collect()}
+    got = pick(decontaminate.decontaminate(docs, bench))
+    assert [[h[0] for h in got[i]] for i in range(5)] == [[], [1], [3], [2], [1]]
+    assert got == pick(decontaminate.decontaminate(docs, bench, shard_items=1))
+
+
 # ---- licenses
 
 

@@ -2,15 +2,18 @@
 
 The items' words form an inverted index with impacts: the BM25 part of a word in an item,
 divided by the item's score for its own whole text, so that 1 means the full item. Postings
-are in blocks with their largest impact. A passage is a window of words twice as long as the
-longest item, half overlapping, so any item that stands in a text lies whole in one passage.
+are in blocks with their largest impact. Items are in classes by length, ``CLASS`` words, four
+times that, and so on. A passage is a window of words twice as long as the class, half overlapping,
+so any item that stands in a text lies whole in one passage.
 Block-max WAND moves through the postings in item order and scores an item only where the
 blocks' maxima can reach the threshold. Words of many items do not drive the search: together
-they add at most a known share to any one item's score, which is part of every bound. Retrieved items are verified: enough of the question's
-words and of the answer's words must stand in the passage.
+they add at most a known share to any one item's score, which is part of every bound. Retrieved items are verified in
+windows twice as long as the item itself, half overlapping: enough of the item's weight, of the
+question's words and of the answer's words must stand in one of them. So neither the shards nor
+the other items change what is found of an item.
 
 The index is as large as the test set, not as the corpus. It is sent to the tasks in shards
-of at most ``shard_items`` items; a larger test set means more passes, not larger tasks.
+of at most ``shard_items`` items of one class; a larger test set means more passes, not larger tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from tidemark.llm.common import sliced, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 8
+CLASS = 64
 SHARD_ITEMS = 20_000
 SHARD_BYTES = 16 << 20
 DENSE = 1 << 22
@@ -52,13 +56,21 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return all_words[:half], all_words[half:]
 
 
+def class_of(words: int) -> int:
+    """The longest length of an item's class: it depends on the item alone."""
+    length = CLASS
+    while length < words:
+        length *= 4
+    return length
+
+
 class Index:
     """Impact-ordered inverted index over test items ``(item_id, text)``."""
 
     def __init__(self, items: list[tuple[int, str]], idf: dict[str, float], mean: float) -> None:
-        self.ids, self.parts = [], []
+        self.ids, self.parts, self.lengths = [], [], []
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.longest = 1
+        self.longest = CLASS
         for n, (item, text) in enumerate(sorted(items)):
             words = words_of(text)
             count = Counter(words)
@@ -68,7 +80,8 @@ class Index:
                 postings[w].append((n, x / whole))
             self.ids.append(item)
             self.parts.append(tuple(map(Counter, question_and_answer(text))))
-            self.longest = max(self.longest, len(words))
+            self.lengths.append(len(words))
+            self.longest = max(self.longest, class_of(len(words)))
         self.term = {w: t for t, w in enumerate(postings)}
         self.items = [[n for n, _ in p] for p in postings.values()]
         self.impacts = [[x for _, x in p] for p in postings.values()]
@@ -185,43 +198,55 @@ class Index:
 
     def hits(self, text: str, least: float, question: float, answer: float) -> list[dict]:
         """The best verified hit for each item in a text."""
-        words, best = words_of(text), {}
+        words, best, seen = words_of(text), {}, set()
         for start, terms in self.passages(words, least):
             retrieved = self.search(terms, least)
-            have = Counter(words[start : start + 2 * self.longest]) if retrieved else None
-            for n, score in retrieved:
-                q, a = (sum((have & p).values()) / max(1, sum(p.values())) for p in self.parts[n])
-                if q >= question and (a >= answer or not self.parts[n][1]):
-                    hit = {"item_id": self.ids[n], "score": score, "question": q, "answer": a, "start": start}
-                    if n not in best or score > best[n]["score"] + 1e-12:
-                        best[n] = hit
+            for n, _ in retrieved:
+                size = self.lengths[n]
+                for at in range(start // size * size, min(start + 2 * self.longest, len(words)), size):
+                    if (n, at) in seen:
+                        continue
+                    seen.add((n, at))
+                    window = words[at : at + 2 * size]
+                    held = {self.term[w] for w in window if w in self.term}
+                    score = sum(self.of_item[t].get(n, 0.0) for t in sorted(held))
+                    if score < least - 1e-9:
+                        continue
+                    have = Counter(window)
+                    q, a = (sum((have & p).values()) / max(1, sum(p.values())) for p in self.parts[n])
+                    if q >= question and (a >= answer or not self.parts[n][1]):
+                        hit = {"item_id": self.ids[n], "score": score, "question": q, "answer": a, "start": at}
+                        if n not in best or score > best[n]["score"] + 1e-12:
+                            best[n] = hit
         return [best[n] for n in sorted(best)]
 
 
 def _indexes(items: DataFrame, id_col: str, text_col: str, shard_items: int, shard_bytes: int) -> Iterator[Index]:
-    """Indexes over bounded shards of the items, with BM25 statistics of all items."""
+    """Indexes over bounded shards of each class of items, with BM25 statistics of all items."""
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             found = [words_of(t) for t in texts]
-            columns = [batch.column(0), batch.column(1), pa.array([len(w) for w in found]), pa.array([sorted(set(w)) for w in found], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["item", "text", "n", "words"])
+            columns = [batch.column(0), batch.column(1), pa.array([len(w) for w in found], pa.int64()), pa.array([class_of(len(w)) for w in found], pa.int64()), pa.array([sorted(set(w)) for w in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "text", "n", "class", "words"])
 
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(spelled, "item long, text string, n long, words array<string>").where("n > 0")
+    rows = rows.mapInArrow(spelled, "item long, text string, n long, class long, words array<string>").where("n > 0")
     rows = stored(rows, "items")
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
     if not sums["n"]:
         return
-    shards = max(math.ceil(sums["n"] / shard_items), math.ceil(sums["bytes"] / shard_bytes))
     frequency = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("d"))
-    for s in range(shards):
-        mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == s)
-        own = mine.select(F.explode("words").alias("word")).distinct().join(frequency, "word")
-        idf = {w: math.log(1 + (sums["n"] - d + 0.5) / (d + 0.5)) for w, d in own.select("word", "d").collect()}
-        yield Index([(r["item"], r["text"]) for r in mine.select("item", "text").collect()], idf, sums["mean"])
+    classes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("class")
+    for c in classes.collect():  # few: lengths grow by four
+        shards = max(math.ceil(c["n"] / shard_items), math.ceil(c["bytes"] / shard_bytes))
+        for s in range(shards):
+            mine = rows.where((F.col("class") == c["class"]) & (F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == s))
+            own = mine.select(F.explode("words").alias("word")).distinct().join(frequency, "word")
+            idf = {w: math.log(1 + (sums["n"] - d + 0.5) / (d + 0.5)) for w, d in own.select("word", "d").collect()}
+            yield Index([(r["item"], r["text"]) for r in mine.select("item", "text").collect()], idf, sums["mean"])
 
 
 def decontaminate(
@@ -239,8 +264,8 @@ def decontaminate(
 ) -> DataFrame:
     """All columns of ``docs`` but those it adds: ``contaminated`` and ``hits``.
 
-    ``hits`` has, for each item found, its id, the BM25 score of the best passage as a share of
-    the item's own, the shares of its question's and answer's words there, and the passage's
+    ``hits`` has, for each item found, its id, the BM25 score of its best window as a share of
+    the item's own, the shares of its question's and answer's words there, and the window's
     first word. A hit needs a score of at least ``least`` and shares of at least ``question`` and
     ``answer``. Null and empty texts have no hits. Items with a null id, or without a word, take
     no part; repeated items are found as often as they are there. Repeated rows are kept. No
