@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -42,10 +43,17 @@ def key(r):
     return (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
 
 
+def shingle_set(text):
+    """Five-word shingles as tuples of words."""
+    words = re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    words = [w for w in words if w]
+    return set(zip(*(words[i:] for i in range(5)))) if len(words) >= 5 else {tuple(words)} - {()}
+
+
 def brute_near(rows):
     """One row of each group by comparing all pairs."""
     rows = sorted(rows, key=key)
-    sets = [set(near.hashes((r["text"] or "").encode(), 5).tolist()) for r in rows]
+    sets = [shingle_set(r["text"]) for r in rows]
     top = list(range(len(rows)))
 
     def find(x):
@@ -208,7 +216,50 @@ def test_stages_take_clashing_column_names(spark, tables):
 
 def near_components(spark, texts, **more):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.id: r.component for r in near.groups(docs, **more).collect()}
+    return {r.id: bytes(r.component) for r in near.groups(docs, **more).collect()}
+
+
+def brute_components(texts, similarity=0.8):
+    sets = [shingle_set(t) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        union = len(sets[i] | sets[j])
+        if not union or len(sets[i] & sets[j]) >= similarity * union:
+            top[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def same_partition(got, want):
+    assert len(got) == len(want) and len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("more_stars", [near.MORE_STARS, 0])
+def test_no_link_of_large_groups_of_copies_is_lost(spark, more_stars):
+    """Groups with and without their unedited text, edits so many that most copies are just above or below the limit."""
+    rng = random.Random(11)
+    bases = [[f"w{k}x{rng.randrange(10**6)}" for _ in range(n)] for k, n in enumerate((90, 200, 200, 700))]
+    texts = [" ".join(bases[0]), " ".join(bases[1])]
+    for base, edits in zip(bases, ((0, 3), (2, 6), (1, 5), (8, 16))):
+        texts += [" ".join(edited(rng, base, rng.randint(*edits))) for _ in range(90)]
+    chain = [f"c{i}" for i in range(100)]
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 40, 4)]  # each similar to its neighbours only
+    rng.shuffle(texts)
+    want = brute_components(texts)
+    assert 10 < len(set(want)) < 300
+    same_partition(near_components(spark, texts, more_stars=more_stars), want)
 
 
 def test_pairs_among_texts_that_share_a_long_passage_are_linked(spark):
@@ -219,22 +270,34 @@ def test_pairs_among_texts_that_share_a_long_passage_are_linked(spark):
         own = [f"own{i}x{j}" for j in range(36)]
         other = own[:-19] + [f"other{i}x{j}" for j in range(19)]
         texts += [" ".join(passage + own), " ".join(passage + other)]
-    order = rng.sample(range(len(texts)), len(texts))
-    got = near_components(spark, [texts[i] for i in order], all_pairs=8)
-    where = {i: n for n, i in enumerate(order)}
-    assert all(got[where[i]] == got[where[i + 1]] for i in range(0, len(texts), 2))
-    assert len(set(got.values())) == 60
+    rng.shuffle(texts)
+    want = brute_components(texts)
+    assert len(set(want)) == 60
+    same_partition(near_components(spark, texts), want)
 
 
-def test_a_link_whose_samples_agree_seldom_stays(spark):
+def test_links_at_the_limit_stay(spark):
+    """Similarity of exactly 0.8, of sizes 40 and 50, and just below it."""
     rng = random.Random(1)
-    for _ in range(30_000):
+    texts = []
+    for _ in range(100):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(54)]
+        texts += [" ".join(words), " ".join(words[:44])]
         words = [f"w{rng.randrange(10**9)}" for _ in range(54)]
-        texts = [" ".join(words), " ".join(words[:44])]  # 40 of 50 shingles
-        a, b = (near.samples(near.hashes(t.encode(), 5)) for t in texts)
-        same = [x == y for x, y in zip(a, b)]
-        if sum(same) <= 20 and any(all(same[i : i + 3]) for i in range(0, 36, 3)):
-            break
-    assert sum(same) <= 20
-    got = near_components(spark, texts)
-    assert got[0] == got[1]
+        texts += [" ".join(words), " ".join(words[:43])]
+    want = brute_components(texts)
+    assert len(set(want)) == 300
+    same_partition(near_components(spark, texts), want)
+
+
+def test_shingle_hashes_do_not_depend_on_place_or_block(monkeypatch):
+    words = [f"w{i * 31 % 997}" for i in range(3000)]
+    words[100] = "x" * 5000
+    norm = near.normal(" ".join(words).encode())
+    whole = near.shingle_hashes(norm, 5)
+    assert len(whole) == 2996 and len(set(whole.tolist())) == len(set(zip(*(words[i:] for i in range(5)))))
+    for at in (0, 1, 99, 1500, 2995):
+        assert near.shingle_hashes(" ".join(words[at : at + 5]).encode(), 5)[0] == whole[at]
+    monkeypatch.setattr(near, "SPAN", 700)
+    assert (near.shingle_hashes(norm, 5) == whole).all()
+    assert len(near.shingle_hashes(b"", 5)) == 0 and len(near.shingle_hashes(b"a b", 5)) == 1

@@ -363,8 +363,8 @@ def test_groups_hold_all_similar_pairs(spark, sf):
         texts.append(" ".join(copy))
     texts += [None, "", " \n", "One two", "one  TWO", "one two three four five six", texts[3], texts[3]]
     docs = documents(spark, texts)
-    rows = {r.id: r for r in near.groups(docs, all_pairs=12).collect()}
-    sets = [set(near.hashes((t or "").encode(), 5).tolist()) for t in texts]
+    rows = {r.id: r for r in near.groups(docs).collect()}
+    sets = [set(near.shingle_hashes(near.normal((t or "").encode()), 5).tolist()) for t in texts]
     for i, j in itertools.combinations(range(len(texts)), 2):
         union = len(sets[i] | sets[j])
         if not union or len(sets[i] & sets[j]) >= 0.8 * union:

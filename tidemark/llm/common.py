@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,28 @@ def _test_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a temporary folder of this machine takes its place.
+    Only where all tasks run in this process, as in local tests, may it be unset; a temporary folder
+    takes its place then.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return _test_folder()
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -34,12 +51,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     names and types. A join that needs a stored side deals both sides out anew, so
     Spark can split a hot key of the other side. The table goes when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out, path = _write(df, name)
+    place, system = _place(df.sparkSession, path)
+    system.deleteOnExit(place)
+    return out
+
+
+class Scratch:
+    """Stored tables that an operator needs only until its own result is stored."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the tables; no frame that reads them may be used after this."""
+        for path in self.paths:
+            place, system = _place(spark, path)
+            system.delete(place, True)
+        self.paths.clear()
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -49,21 +83,23 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def _slots(names: list[bytes], bits: int) -> np.ndarray:
-    return np.frombuffer(b"".join(names), np.uint64)[::2] & np.uint64((1 << bits) - 1)
+def _slots(names: list[bytes] | np.ndarray, bits: int) -> np.ndarray:
+    words = names.view(np.uint64) if isinstance(names, np.ndarray) else np.frombuffer(b"".join(names), np.uint64)[::2]
+    return words & np.uint64((1 << bits) - 1)
 
 
 def bitmap(names: DataFrame, bits: int) -> np.ndarray:
-    """A set of 16-byte names as 2 ** ``bits`` bits, whatever their number.
+    """A set of 16-byte names or of 64-bit hashes as 2 ** ``bits`` bits, whatever their number.
 
     It holds every name, and others by chance: it may only save work, never decide.
     """
+    longs = names.schema[0].dataType.simpleString() == "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(1 << bits, bool)
         for batch in batches:
             if batch.num_rows:
-                mine[_slots(batch.column(0).to_pylist(), bits)] = True
+                mine[_slots(batch.column(0).to_numpy() if longs else batch.column(0).to_pylist(), bits)] = True
         words = np.packbits(mine, bitorder="little").view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
@@ -75,8 +111,9 @@ def bitmap(names: DataFrame, bits: int) -> np.ndarray:
     return full
 
 
-def bitmap_has(names: list[bytes], words: np.ndarray, bits: int) -> list[bool]:
-    if not names:
+def bitmap_has(names: list[bytes] | np.ndarray, words: np.ndarray, bits: int) -> list[bool]:
+    """Which names may be in the set."""
+    if not len(names):
         return []
     at = _slots(names, bits)
     word = words[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64)
@@ -102,28 +139,32 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) ->
     Returns ``node, component``, one row for each node that has an edge to another
     node; ``component`` is the smallest node of its component. Alternates large-star
     and small-star steps until the edges stay the same, so a chain of n nodes needs
-    about log n rounds. Each round is joins and grouped minima, and its result is a
-    table in the shared folder. Null ends and loops are dropped.
+    about log n rounds (more than ``most`` raise an error). Each round is joins and grouped minima,
+    and its result is a table in the shared folder. Null ends and loops are dropped. No edges give no rows.
     """
     edges = (
         edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
         .where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    edges = stored(edges, "edges")
+    keep = Scratch()
+    edges = keep.stored(edges, "edges")
     before = _fingerprint(edges)
     for _ in range(most if before[0] else 0):
+        last = Scratch()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = stored(least, "least")
+        least = last.stored(least, "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u"))
-        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        lower = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        large = last.stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = last.stored(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").where(F.col("v") != F.col("m"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(
+        last.paths, keep.paths = last.paths + keep.paths, []
+        edges = keep.stored(
             small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges"
         )
+        last.drop(edges.sparkSession)
         after = _fingerprint(edges)
         if after == before:
             break
@@ -132,4 +173,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) ->
         if before[0]:
             raise RuntimeError(f"components did not settle in {most} rounds")
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+    nodes = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops), "nodes")
+    keep.drop(nodes.sparkSession)
+    return nodes

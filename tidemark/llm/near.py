@@ -1,221 +1,302 @@
-"""Groups of similar documents: SimHash links and sampled shingles, verified by Jaccard similarity.
+"""Groups of similar documents: SimHash links and rare shingles, verified by Jaccard similarity.
 
 At five-word shingles, texts of similarity 0.8 have 64-bit SimHashes that mostly differ in five
 to fifteen bits, far beyond the two bits that the grid join can reach. So the SimHash links of
-:mod:`tidemark.llm.simhash` are candidates here together with bands of sampled (min-wise)
-shingles, and a candidate pair becomes a link only if the shingle sets of its texts are similar
-enough. Equal word sequences are one text from the start and are never paired.
-
-Bands with many texts do not make all pairs: above ``all_pairs`` texts, each text is first compared
-with ``CENTRES`` texts of the band, which joins most of a large group of near copies. What is still
-apart then meets by an exact prefix filter over all texts of large bands: with shingles ordered from
-rare to common, two texts of enough similarity share one of their first ones. In the texts of such a
-shingle, every text outside its main group is compared with all texts of other groups; where many are
-outside, they first meet ``OUTSIDE_CENTRES`` of their own, which leaves fewer groups. No pair of texts
-that share a band is left out.
+:mod:`tidemark.llm.simhash` are candidates here together with those of an exact prefix filter,
+and a candidate pair becomes a link only if the shingle sets of its texts are similar enough.
+Equal word sequences are one text from the start and are never paired.
+
+The prefix filter loses no pair. With the shingles of all texts in one fixed order, two texts of
+similarity t share one of the first ``n - ceil(t * n) + 1`` of their n shingles each. Rare ones come
+first in that order, so what many documents quote stands in few prefixes. The texts of one such
+shingle are a posting. Two facts about a shared shingle prune further and hold for every similar
+pair in the first posting that it shares: the sizes differ by no more than the similarity allows,
+and enough shingles are left after the shared one in both. A parity sketch bounds how many
+shingles are in one of the two texts only.
+
+Postings do not make all pairs. Each text first meets one text of its posting, the one of which the
+largest share of its prefix is held by others: the unedited text of a group of edited copies. That is
+linear and joins most of a large group. Then every text outside the largest group of its posting is
+held against all texts of other groups there, with the bounds as join conditions, so no link is
+left out; only the pairs that pass are rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import bitmap, bitmap_has, components, sliced, stored
+from tidemark.llm.common import Scratch, bitmap, bitmap_has, components, sliced, stored
 
-ROWS, BANDS = 3, 12
-SLOTS = ROWS * BANDS
-ALL_PAIRS = 32
-CENTRES, OUTSIDE_CENTRES = 2, 4
 SKETCH = 512
+WORDS = SKETCH // 64
 COUNT_BITS = 18
 BITMAP_BITS = 25
-_RNG = np.random.default_rng(17)
-FACTORS = _RNG.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _RNG.integers(1, 2**63, SLOTS, dtype=np.uint64)
+MORE_STARS = 1000  # comparisons for each row of the postings beyond which another star round comes first
+STAR_ROUNDS = 6
+SPAN = 1 << 18  # bytes hashed at a time
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+CELLS = np.uint64((1 << COUNT_BITS) - 1)
 
 
-def hashes(text: bytes, size: int) -> np.ndarray:
-    """Distinct shingle hashes, rising."""
-    parts = set(simhash.shingles(text, size))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, seed=42) for x in parts), np.uint64, len(parts)))
+def normal(text: bytes | None) -> bytes:
+    """The words of a text, A-Z lower-cased, with one space between them."""
+    return b" ".join((text or b"").lower().split())
 
 
-def samples(found: np.ndarray) -> list[int]:
-    """The least shingle under each of the fixed random orders, as 32 bits; none for no shingles."""
-    if not len(found):
-        return []
-    least = np.full(SLOTS, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 4096):
-        least = np.minimum(least, (found[at : at + 4096, None] * FACTORS + SHIFTS).min(0))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+@functools.lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, INVERSE):
+        x = np.full(1 << bits, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
-def sketch(found: np.ndarray) -> list[int]:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingle_hashes(norm: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of each shingle of ``normal`` text in order, repeats included.
+
+    Fewer words than ``size`` are one shingle; no words are none. Prefix sums of a polynomial over the
+    bytes give any stretch's hash without a loop; it does not depend on where the stretch stands.
+    """
+    if not norm:
+        return np.zeros(0, np.uint64)
+    text = np.frombuffer(norm, np.uint8)
+    gaps = np.flatnonzero(text == 32)
+    count = max(1, len(gaps) + 2 - size)
+    starts, ends = np.zeros(count, np.int64), np.full(count, len(text), np.int64)
+    starts[1:], ends[:-1] = gaps[: count - 1] + 1, gaps[size - 1 : size - 2 + count]
+    out, at = np.empty(count, np.uint64), 0
+    while at < count:  # one pass for all but very long texts
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, side="right")))
+        first, last = int(starts[at]), int(ends[upto - 1])
+        powers, inverses = _powers(max(18, (last - first).bit_length()))
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum((text[first:last].astype(np.uint64) + np.uint64(1)) * powers[: last - first], out=sums[1:])
+        s, e = starts[at:upto] - first, ends[at:upto] - first
+        out[at:upto] = (sums[e] - sums[s]) * inverses[s]
+        at = upto
+    return _mixed(out)
+
+
+def distinct(found: np.ndarray) -> np.ndarray:
+    """The different hashes, rising."""
+    found = np.sort(found)
+    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
     """For each of ``SKETCH`` cells, whether an odd number of shingles falls in it; 64 cells a number.
 
     Two sketches differ in no more cells than there are shingles in just one of the two sets.
     """
     odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col)
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string"), text_col)
     return docs.withColumns({"_tm_key": key, "_tm_mark": F.xxhash64(text_col)})
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id, key, mark, norm, fp, least, size, sketch`` for each row; ``norm`` names the word sequence."""
+    """``id, key, mark, norm, fp`` for each row, and a row for each task with its shingle counts by cell, ``cells``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "key", "mark", "norm", "fp", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, types = np.zeros(1 << COUNT_BITS, np.int32), None
         for batch in sliced(batches):
-            norms, fps, least, sizes, sketches = [], [], [], [], []
+            types = [c.type for c in batch.columns[:3]]
+            norms, fps, sets = [], [], []
             for text in batch.column(3).to_pylist():
-                text = text or b""
-                norms.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
-                fps.append(simhash.fingerprint(simhash.shingles(text, size)))
-                found = hashes(text, size)
-                least.append(samples(found))
-                sizes.append(len(found))
-                sketches.append(sketch(found))
-            made = [pa.array(norms, pa.binary()), pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int32()))]
-            made += [pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["id", "key", "mark", "norm", "fp", "least", "size", "sketch"])
+                norm = normal(text)
+                found = shingle_hashes(norm, size)
+                norms.append(xxhash.xxh3_128_digest(norm))
+                fps.append(simhash.majority(found))
+                sets.append((distinct(found) & CELLS).astype(np.int64))
+            if sets:
+                mine += np.bincount(np.concatenate(sets), minlength=len(mine)).astype(np.int32)
+            made = [pa.array(norms, pa.binary()), pa.array(fps, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=names)
+        if types:
+            last = [pa.nulls(1, t) for t in (*types, pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*last, pa.array([mine.tobytes()], pa.binary())], names=names)
 
     rows = _keys(docs, id_col, text_col)
     rows = rows.select(F.col(id_col).alias("id"), F.col("_tm_key").alias("key"), F.col("_tm_mark").alias("mark"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, key long, mark long, norm binary, fp long, least array<int>, size int, sketch array<long>")
-
-
-def _bands(texts: DataFrame) -> DataFrame:
-    """``band, norm, n``: the bands that more than one text is in."""
-    band = [F.xxhash64(F.lit(j), *[F.get("least", F.lit(ROWS * j + i)) for i in range(ROWS)]) for j in range(BANDS)]
-    entries = texts.where(F.size("least") > 0).select("norm", F.explode(F.array(*band)).alias("band"))
-    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stored(entries.join(sizes, "band"), "bands")
+    return rows.mapInArrow(run, f"id {kind}, key long, mark long, norm binary, fp long, cells binary")
 
 
-def _stars(members: DataFrame, many: int) -> DataFrame:
-    """Every member with each centre of its band."""
-    picks = [F.min(F.struct(F.xxhash64("norm", F.lit(i)).alias("o"), "norm"))["norm"].alias(f"c{i}") for i in range(many)]
-    centres = members.groupBy("band").agg(*picks)
-    met = members.join(centres, "band").select(F.col("norm").alias("a"), F.explode(F.array(*[f"c{i}" for i in range(many)])).alias("b"))
-    return met.where("a != b")
-
-
-def _candidates(texts: DataFrame, members: DataFrame, all_pairs: int) -> DataFrame:
-    """``a, b``: distinct pairs of texts that share a band or have near SimHashes."""
-    few = members.where(F.col("n") <= all_pairs).groupBy("band").agg(F.collect_list("norm").alias("all"))
-    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
-    # SimHash: texts of one fingerprint meet its first text, first texts of linked fingerprints meet each other
-    firsts = stored(texts.groupBy("fp").agg(F.min("norm").alias("pick")), "firsts")
-    same = texts.join(firsts, "fp").select(F.col("norm").alias("a"), F.col("pick").alias("b"))
-    near = simhash.links(firsts.select("fp"))
-    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("pick").alias("pa")), "a")
-    near = near.join(firsts.select(F.col("fp").alias("b"), F.col("pick").alias("pb")), "b")
-    near = near.select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    return few.unionByName(_stars(members.where(F.col("n") > all_pairs), CENTRES)).unionByName(same).unionByName(near)
-
-
-def _first_shingles(held: DataFrame, similarity: float) -> DataFrame:
-    """``band, norm, size``: the rare shingles of each text of which similar texts share one, where texts share it.
-
-    Any fixed order of shingles serves; rarity is told by counts of 2 ** ``COUNT_BITS`` cells.
-    """
-    cells = np.uint64((1 << COUNT_BITS) - 1)
+def _counts(marks: DataFrame) -> np.ndarray:
+    """How many texts' shingles fall in each cell: 2 ** ``COUNT_BITS`` numbers, whatever the table's size."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            for packed in batch.column(1).to_pylist():
-                mine += np.bincount((_unpack(packed) & cells).astype(np.int64), minlength=len(mine))
+            for cells in batch.column(0).to_pylist():
+                mine += np.frombuffer(cells, np.int32)
         at = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine[at])], names=["at", "n"])
 
-    got = held.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
+    tables = marks.where(F.col("cells").isNotNull()).select("cells")
+    got = tables.mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
     full = np.zeros(1 << COUNT_BITS, np.int64)
     full[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    counts = held.sparkSession.sparkContext.broadcast(full)  # of fixed size
+    return full
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _prefixes(docs: DataFrame, text_col: str, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """``norm, size, s0..s7, firsts``: each text's sketch and its rarest shingles, rarest first."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, firsts = [], []
-            for packed in batch.column(1).to_pylist():
-                found = np.unique(_unpack(packed))
-                order = np.lexsort((found, counts.value[(found & cells).astype(np.int64)]))
-                some = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1
+            norms, sizes, sketches, firsts = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                norm = normal(text)
+                found = distinct(shingle_hashes(norm, size))
+                order = np.lexsort((found, shared.value[(found & CELLS).astype(np.int64)]))
+                norms.append(xxhash.xxh3_128_digest(norm))
                 sizes.append(len(found))
-                firsts.append(found[order[:some]].view(np.int64))
-            made = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(made, names=["norm", "size", "firsts"])
+                sketches.append(sketch(found))
+                firsts.append(found[order[: prefix_size(len(found), similarity)]].view(np.int64))
+            table = np.array(sketches, np.int64).reshape(len(norms), WORDS)
+            made = [pa.array(norms, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(table[:, i]) for i in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(firsts, pa.list_(pa.int64()))], names=["norm", "size", *SKETCHES, "firsts"])
 
-    entries = held.mapInArrow(first, "norm binary, size int, firsts array<long>").select("norm", "size", F.explode("firsts").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    return stored(entries.join(shared, "band"), "firsts")
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"norm binary, size int, {_LONGS}, firsts array<long>")
 
 
-def _apart(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``band, norm, size, group, main, out`` of the bands that have texts outside their main group, and how many."""
-    grouped = members.join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
-    grouped = stored(grouped.select("band", "norm", "size", F.coalesce("component", "norm").alias("group")), "grouped")
-    sizes = grouped.groupBy("band", "group").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("band").agg(F.max_by("group", F.struct("k", "group")).alias("main"), (F.sum("k") - F.max("k")).alias("out"))
-    return stored(grouped.join(stored(main.where("out > 0"), "main"), "band"), "apart")
+SKETCHES = [f"s{i}" for i in range(WORDS)]
+_LONGS = ", ".join(f"{s} long" for s in SKETCHES)
+MEMBER = ["norm", "size", "pos", *SKETCHES]
 
 
-def _across(apart: DataFrame, similarity: float) -> DataFrame:
-    """Every pair of texts of a band that are in different groups and of sizes that can be similar."""
-    outside = apart.where("group != main").select("band", F.col("norm").alias("a"), F.col("group").alias("ga"), F.col("size").alias("sa"))
-    every = apart.select("band", F.col("norm").alias("b"), F.col("group").alias("gb"), F.col("size").alias("sb"), (F.col("group") == F.col("main")).alias("in_main"))
-    sized = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(similarity) - 1e-6
-    return outside.join(every, "band").where((F.col("ga") != F.col("gb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & sized).select("a", "b")
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """``shingle, norm, size, pos, s0..s7, held``: the prefix shingles that other rows have in their prefixes, too.
 
+    ``pos`` is the shingle's place in the prefix, ``held`` about the share of the prefix that others have.
+    """
+    twice = prefixes.select(F.explode("firsts").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap(twice.select("shingle"), BITMAP_BITS))  # of fixed size
 
-def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs without those that cannot be similar enough, by bounds that hold for every pair.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows, shingles, places, held = [], [], [], []
+            for i, firsts in enumerate(batch.column("firsts")):
+                found = firsts.values.to_numpy() if firsts.is_valid else np.zeros(0, np.int64)
+                hit = np.flatnonzero(bitmap_has(found, shared.value, BITMAP_BITS))
+                if len(hit):
+                    rows.append(np.full(len(hit), i))
+                    shingles.append(found[hit])
+                    places.append(hit)
+                    held.append(np.full(len(hit), len(hit) / len(found)))
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                made = [pa.array(np.concatenate(shingles)), *[batch.column(c).take(at) for c in ("norm", "size")], pa.array(np.concatenate(places).astype(np.int32))]
+                made += [batch.column(s).take(at) for s in SKETCHES] + [pa.array(np.concatenate(held))]
+                yield pa.RecordBatch.from_arrays(made, names=["shingle", *MEMBER, "held"])
+
+    found = prefixes.mapInArrow(run, f"shingle long, norm binary, size int, pos int, {_LONGS}, held double")
+    # rows of one word sequence are one text
+    return found.groupBy("shingle", "norm").agg(*[F.first(c).alias(c) for c in (*MEMBER[1:], "held")])
+
+
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether two members of a posting can be similar and have it as their first one; true for every similar pair."""
+    na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    sized = F.least(na, nb) >= F.greatest(na, nb) * F.lit(similarity) - 1e-6
+    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))  # the shared shingle and what comes after it
+    enough = left >= (na + nb) * F.lit(similarity / (1 + similarity)) - 1e-6
+    unlike = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCHES), F.lit(0))
+    return sized & enough & (unlike <= (na + nb) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _stars(members: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: each member of a posting with the posting's centre, where they can be similar."""
+    met = members.alias("m").join(centres.select("shingle", F.struct("c.*").alias("c")).alias("x"), "shingle")
+    met = met.select(F.struct(*[F.col(f"m.{k}") for k in MEMBER]).alias("m"), F.col("x.c").alias("c")).where(_may_link("m", "c", similarity))
+    return met.select(F.col("m.norm").alias("a"), F.col("c.norm").alias("b"))
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """``shingle, n, c``: the size of each posting of two texts or more, and its centre."""
+    best = F.max(F.struct("held", *MEMBER)).alias("c")
+    return members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), best).where("n > 1")
+
+
+def _simhash_pairs(marks: DataFrame, keep: Scratch) -> DataFrame:
+    """``a, b``: texts of one fingerprint with its first text, and first texts of linked fingerprints."""
+    texts = keep.stored(marks.select("norm", "fp").distinct(), "texts")
+    firsts = keep.stored(texts.groupBy("fp").agg(F.min("norm").alias("pick")), "firsts")
+    same = texts.join(firsts, "fp").select(F.col("norm").alias("a"), F.col("pick").alias("b"))
+    near = simhash.links(firsts.select("fp"))
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("pick").alias("pa")), "a")
+    near = near.join(firsts.select(F.col("fp").alias("b"), F.col("pick").alias("pb")), "b")
+    return same.unionByName(near.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
 
-    The smaller set has at least the similarity's share of the larger one, and sketches differ in no
-    more cells than the sets have shingles that are in one of them only.
-    """
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for x in "ab":
-        pairs = pairs.join(texts.select(F.col("norm").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-6
-    unlike = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    most = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-    return stored(pairs.where(sized & (unlike <= most)).select("a", "b"), "pairs")
 
+def _apart(members: DataFrame, nodes: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The members of postings that have more than one group, with ``group``; and ``shingle, main, out, n`` of those."""
+    grouped = members.join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
+    grouped = keep.stored(grouped.withColumn("group", F.coalesce("component", "norm")).drop("component"), "grouped")
+    sizes = grouped.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("shingle").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("out"))
+    main = keep.stored(main.where("out > 0"), "main")
+    return keep.stored(grouped.join(main.select("shingle", "main"), "shingle"), "apart"), main
 
-def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
+
+def _across(apart: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: every pair of texts of a posting that are in different groups and can be similar."""
+    columns = [F.struct(*MEMBER, "group").alias("m"), (F.col("group") == F.col("main")).alias("in_main")]
+    every = apart.select("shingle", *columns)
+    outside = every.where("not in_main").select("shingle", F.col("m").alias("o"))
+    apart_still = (F.col("o.group") != F.col("m.group")) & (F.col("in_main") | (F.col("o.norm") < F.col("m.norm")))
+    met = outside.join(every, "shingle").where(apart_still & _may_link("o", "m", similarity))
+    return met.select(F.col("o.norm").alias("a"), F.col("m.norm").alias("b"))
 
 
-def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``norm, held``: the shingle hashes of the texts that pairs need; no other text leaves its task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(involved, BITMAP_BITS))  # of fixed size
+def _held(docs: DataFrame, marks: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``norm, held``: the shingle sets of the texts that pairs need; no other text leaves its task."""
+    # one spelling of each word sequence is enough
+    spelled = marks.groupBy("norm").agg(F.min("mark").alias("mark")).join(involved, "norm", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(spelled.select("mark"), BITMAP_BITS))  # of fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
-            norms = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            hit = [i for i, h in enumerate(bitmap_has(norms, shared.value, BITMAP_BITS)) if h]
-            found = [(hashes(texts[i], size) >> np.uint64(24)).astype("<u8") for i in hit]
-            # five bytes of each hash tell the shingles of two texts apart
-            packed = [f.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([norms[i] for i in hit], pa.binary()), pa.array(packed, pa.binary())], names=["norm", "held"])
+            hit = pa.array(np.flatnonzero(bitmap_has(batch.column(0).to_numpy(), shared.value, BITMAP_BITS)))
+            norms = [normal(t) for t in batch.column(1).take(hit).to_pylist()]
+            held = [distinct(shingle_hashes(n, size)).tobytes() for n in norms]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(n) for n in norms], pa.binary()), pa.array(held, pa.binary())], names=["norm", "held"])
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(sets, "norm binary, held binary")
-    return stored(rows.groupBy("norm").agg(F.first("held").alias("held")), "shingles")
+    rows = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text")).mapInArrow(sets, "norm binary, held binary")
+    return rows.groupBy("norm").agg(F.first("held").alias("held"))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -225,17 +306,48 @@ def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame
         for batch in sliced(batches):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if min(len(x), len(y)) < (similarity - 0.01) * max(len(x), len(y)):
+                if min(len(x), len(y)) < (similarity - 1e-6) * max(len(x), len(y)):
                     continue
-                ours, theirs = _unpack(x), _unpack(y)
-                both = len(np.intersect1d(ours, theirs))
+                ours, theirs = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(ours, theirs, assume_unique=True))
                 if both >= similarity * (len(ours) + len(theirs) - both) - 1e-9:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int32())) for c in (0, 1)], names=["a", "b"])
 
     full = pairs.join(held.select(F.col("norm").alias("a"), F.col("held").alias("x")), "a")
     full = full.join(held.select(F.col("norm").alias("b"), F.col("held").alias("y")), "b")
-    return stored(full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "alike")
+    return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+
+
+def links(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
+    """``a, b``: links of at least ``similarity`` between word sequences, with the components that all links give."""
+    spark, keep = docs.sparkSession, Scratch()
+    rows = marks.where(F.col("norm").isNotNull())
+    prefixes = keep.stored(_prefixes(docs, text_col, shingle_words, similarity, _counts(marks)), "prefixes")
+    postings = keep.stored(_postings(prefixes), "postings")
+    centres = keep.stored(_centres(postings), "centres")
+    members = keep.stored(postings.join(centres.select("shingle"), "shingle"), "members")
+    near = _ordered(_simhash_pairs(rows, keep))
+    pairs = keep.stored(_ordered(_stars(members, centres, similarity)).unionByName(near).distinct(), "pairs")
+    involved = members.select("norm").unionByName(pairs.select(F.col("a").alias("norm"))).unionByName(pairs.select(F.col("b").alias("norm")))
+    held = keep.stored(_held(docs, rows, keep.stored(involved.distinct(), "involved"), text_col, shingle_words), "shingles")
+    alike = keep.stored(_verified(pairs, held, similarity), "alike")
+    before = math.inf
+    for _ in range(STAR_ROUNDS + 1):
+        nodes = components(alike, "a", "b")
+        apart, main = _apart(members, nodes, keep)
+        work = main.agg(F.sum(F.col("out") * F.col("n"))).first()[0] or 0
+        # more stars save comparisons only while groups grow by them
+        if work <= more_stars * members.count() or work > 0.9 * before:
+            break
+        before = work
+        outside = keep.stored(_centres(apart.where("group != main")), "outside")
+        more = keep.stored(_ordered(_stars(apart, outside, similarity)), "more")
+        alike = keep.stored(alike.unionByName(_verified(more, held, similarity)), "alike")
+    last = keep.stored(_ordered(_across(apart, similarity)), "across")
+    out = stored(alike.unionByName(_verified(last, held, similarity)), "links")
+    keep.drop(spark)
+    return out
 
 
 def groups(
@@ -244,37 +356,22 @@ def groups(
     shingle_words: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    all_pairs: int = ALL_PAIRS,
+    more_stars: float = MORE_STARS,
 ) -> DataFrame:
     """``id, key, mark, component, stays`` for every row: its group, and whether it is the one that stays.
 
-    Groups are connected components over links of at least ``similarity``. The row with the
-    smallest id stays, null ids last. Texts without a word are one group; null counts as empty.
+    Groups are connected components over all links of at least ``similarity``. The row with the smallest id
+    stays, null ids last; of rows equal in id, the one of the smallest hash. Texts without a word are
+    one group, and null counts as empty. Repeated rows are all returned. Texts may be of any length:
+    what a task holds grows with the longest text. An empty table gives an empty table.
+    ``more_stars`` decides about effort, not about results.
     """
-    marks = stored(_marks(docs, id_col, text_col, shingle_words), "marks")
-    texts = marks.groupBy("norm").agg(F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    texts = stored(texts, "texts")
-    members = _bands(texts)
-    pairs = _possible(_candidates(texts, members, all_pairs), texts, similarity)
-    large = stored(members.where(F.col("n") > all_pairs).select("norm").distinct(), "large")
-    involved = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).unionByName(large)
-    held = _held(docs, involved.distinct(), text_col, shingle_words)
-    alike = _verified(pairs, held, similarity)
-    nodes = components(alike, "a", "b")
-    if not large.isEmpty():
-        firsts = _first_shingles(held.join(large, "norm", "left_semi"), similarity)
-        apart = _apart(firsts, nodes)
-        many = apart.where((F.col("out") > all_pairs) & (F.col("group") != F.col("main")))
-        if not many.isEmpty():
-            more = _possible(_stars(many, OUTSIDE_CENTRES), texts, similarity)
-            alike = stored(alike.unionByName(_verified(more, held, similarity)), "alike")
-            nodes = components(alike, "a", "b")
-            apart = _apart(firsts, nodes)
-        more = _possible(_across(apart, similarity), texts, similarity)
-        alike = stored(alike.unionByName(_verified(more, held, similarity)), "alike")
-        nodes = components(alike, "a", "b")
-    labelled = marks.select("id", "key", "mark", "norm").join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
+    keep = Scratch()
+    marks = keep.stored(_marks(docs, id_col, text_col, shingle_words), "marks")
+    nodes = components(links(docs, marks, similarity, shingle_words, text_col, more_stars), "a", "b")
+    labelled = marks.where(F.col("norm").isNotNull()).select("id", "key", "mark", "norm").join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "norm")), "labelled")
+    keep.drop(docs.sparkSession)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "mark")
     first = stored(labelled.groupBy("component").agg(F.min(order).alias("first")), "first")
     out = labelled.join(first, "component")
@@ -287,7 +384,8 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of similar documents, all columns kept.
 
-    Rows equal in id and text are one document, of which one row stays.
+    Rows equal in id and text are one document, of which one row stays. For nulls, empty and long texts,
+    ties and empty tables see :func:`groups`. Columns whose names start with ``_tm_`` are not allowed.
     """
     stays = groups(docs, similarity, shingle_words, id_col, text_col).where("stays").select(
         F.col("key").alias("_tm_key"), F.col("mark").alias("_tm_mark")

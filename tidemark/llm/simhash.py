@@ -44,17 +44,18 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(words[i:] for i in range(size)))]
 
 
-def fingerprint(parts: list[bytes]) -> int:
-    """The signed 64-bit SimHash: a bit is set if over half the shingles' XXH64 have it."""
-    if not parts:
-        return 0
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set if over half the hashes have them; zero for none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(parts), SLICE):
-        some = parts[at : at + SLICE]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed=42) for x in some), np.uint64, len(some))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), SLICE):
+        bits = np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(parts), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(parts: list[bytes]) -> int:
+    """The signed 64-bit SimHash of shingles by their XXH64, seed 42."""
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, seed=42) for x in parts), np.uint64, len(parts)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -144,6 +145,6 @@ def classes(marks: DataFrame, id_col: str = "doc_id", max_bits: int = MAX_BITS,
     distinct = stored(marks.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     nodes = components(links(distinct.select("fp"), max_bits, cell_limit), "a", "b")
     named = distinct.join(nodes, distinct["fp"] == nodes["node"], "left")
-    named = named.select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = stored(named.select("fp", "first", F.coalesce("component", "fp").alias("component")), "named")
+    least = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "least-ids")
     return named.join(least, "component").select("fp", "component_id")
