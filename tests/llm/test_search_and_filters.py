@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -233,6 +234,15 @@ def test_line_dedup_equals_brute_force(spark, sf):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_takes_very_long_texts_and_clashing_names(spark):
+    long = "\n".join(f"long line {i % 40_000}" for i in range(60_000))
+    rows = [(1, long), (2, "head\n" + long[:200_000] + "\ntail")]
+    docs = spark.createDataFrame([(i, t, 5, "h") for i, t in rows], "doc_id long, text string, n_lines int, h1 string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    for (i, _), want in zip(rows, brute_lines(rows)):
+        assert (got[i].text, got[i].n_lines, got[i].n_removed) == want and got[i].h1 == "h"
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc")] * 3 + [(2, "a\nb\nc\nd")], "doc_id long, text string")
     rows = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
@@ -349,6 +359,63 @@ def test_toxicity_is_learnt_and_held_out_rows_show_it(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("toxicity >= 0.5").count() == 0
 
 
+def plain_score(model, text):
+    """A text's score window by window and word by word, in double precision."""
+    w = {k: x.astype(np.float64) for k, x in model.weights.items()}
+    words = re.findall(r"\w+", (text or "").lower())
+    if not words:
+        return 0.0
+    size = toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(inputs, d):
+        h, out = np.zeros(size), []
+        for x in inputs:
+            p = x @ w[f"x{d}"] + w[f"b{d}"]
+            z, r = sig(p[:size] + h @ w[f"u{d}"][:, :size]), sig(p[size : 2 * size] + h @ w[f"u{d}"][:, size : 2 * size])
+            h = (1 - z) * h + z * np.tanh(p[2 * size :] + (r * h) @ w[f"u{d}"][:, 2 * size :])
+            out.append(h)
+        return out
+
+    logits = []
+    for at in [*range(0, max(0, len(words) - 64), 32), max(0, len(words) - 64)]:
+        inputs = [np.concatenate([w["word"][toxicity.word_row(x)], w["char"][toxicity.char_rows(x)].mean(0)]) for x in words[at : at + 64]]
+        both = np.hstack([states(inputs, "f"), states(inputs[::-1], "b")[::-1]])
+        weigh = np.exp(both @ w["attend"])
+        logits.append((weigh @ (both @ w["out"])) / weigh.sum() + w["bias"][0])
+    return sig((max(logits) - model.shift) * model.scale)
+
+
+def test_scores_equal_a_plain_scorer_and_do_not_depend_on_batches(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice((1, 5, 63, 64, 65, 97, 300, 1500)))) for _ in range(60)] + [None, "", " ,. "]
+    weights = toxicity.settled(toxicity.initial(5))
+    model = toxicity.Model(weights, shift=0.1, scale=3.0)
+    scorer = toxicity.Scorer(model)
+    alone = [toxicity.Scorer(model).score([t])[0] for t in texts]
+    assert np.allclose(alone, [plain_score(model, t) for t in texts], atol=3e-3)
+    for size in (1, 7, 63):
+        assert [s for at in range(0, len(texts), size) for s in scorer.score(texts[at : at + size])] == alone
+    docs = documents(spark, texts)
+    for parts in (1, 3):
+        got = {r.doc_id: r.toxicity for r in toxicity.score(docs.repartition(parts), model).collect()}
+        assert [got[i] for i in range(len(texts))] == alone
+
+
+def test_training_reads_a_bounded_sample_and_takes_odd_labels(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(("mild", "calm", "vile", "foul")[: 2 + 2 * (i % 2)]) for _ in range(30)), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "no id"), (1000, None), (3, "second text of an id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (1000, 1), (7, 0), (8, None)], "doc_id long, toxic int")
+    taken, share = toxicity.sample(docs, labels, 50, "doc_id", "text", "toxic")
+    got = taken.collect()
+    assert len(got) <= 50 and not {1000, 7} & {r.id for r in got} and 0.4 < share < 0.6
+    small = toxicity.fit(docs, labels, most_bytes=0)
+    assert toxicity.score(docs, small).where("toxicity >= 0.5").count() == 0
+    whole, again = toxicity.fit(docs, labels, most=60), toxicity.fit(docs.repartition(7), labels.repartition(3), most=60)
+    assert all((whole.weights[k] == again.weights[k]).all() for k in whole.weights) and whole.shift == again.shift
+
+
 # ---- near-duplicate groups
 
 

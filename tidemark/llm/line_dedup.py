@@ -24,20 +24,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``_tm_id, _tm_mark, pos, h1, h2``: the 128-bit hash of every window, ``pos`` from 0 among kept lines.
+    """``_tm_id, _tm_mark, p0, p1, .., h1, h2``: the 128-bit hash of every window, and the numbers of its lines.
 
-    Lines are trimmed of white space; lines without anything else are no lines here.
+    Lines are trimmed of white space and counted from 0; lines without anything else are no lines of a window.
     """
-    lines = F.filter(F.transform(F.split(text_col, "\n", -1), _trim), lambda x: x != "")
-    rows = _keyed(docs, id_col, text_col).select("_tm_id", "_tm_mark", lines.alias("lines"))
+    lines = F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(_trim(x).alias("body"), i.alias("i")))
+    rows = _keyed(docs, id_col, text_col).select("_tm_id", "_tm_mark", F.filter(lines, lambda x: x["body"] != "").alias("lines"))
     rows = rows.where(F.size("lines") >= size)
     # a line's two hashes are computed once, the windows combine them
-    once = rows.select("_tm_id", "_tm_mark", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b"))).alias("marks"))
+    line = F.transform("lines", lambda x: F.struct(F.xxhash64(x["body"]).alias("a"), F.xxhash64(F.lit("b"), x["body"]).alias("b"), x["i"].alias("i")))
+    once = rows.select("_tm_id", "_tm_mark", line.alias("marks"))
 
     def window(pos):
         at = [F.get("marks", pos + i) for i in range(size)]
         return F.struct(
-            pos.alias("pos"), F.xxhash64(*[m["a"] for m in at]).alias("h1"), F.xxhash64(*[m["b"] for m in at]).alias("h2")
+            *[m["i"].alias(f"p{i}") for i, m in enumerate(at)], F.xxhash64(*[m["a"] for m in at]).alias("h1"), F.xxhash64(*[m["b"] for m in at]).alias("h2")
         )
 
     starts = F.sequence(F.lit(0), F.size("marks") - size)
@@ -49,16 +50,16 @@ def _trim(x):
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``_tm_id, _tm_mark, gone``: the positions of lines that later occurrences cover, for documents that have any."""
+    """``_tm_id, _tm_mark, gone``: the rising numbers of lines that later occurrences cover, for documents that have any."""
     all_windows = windows(docs, id_col, text_col, size)
-    where = F.struct(F.col("_tm_id").isNull().alias("none"), "_tm_id", "_tm_mark", "pos")
+    where = F.struct(F.col("_tm_id").isNull().alias("none"), "_tm_id", "_tm_mark", "p0")
     first = all_windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
     first = stored(first.where("n > 1").select("h1", "h2", "first"), "repeated")
     later = all_windows.join(first, ["h1", "h2"]).where(
-        ~(tied(F.col("_tm_id"), F.col("first._tm_id")) & (F.col("_tm_mark") == F.col("first._tm_mark")) & (F.col("pos") == F.col("first.pos")))
+        ~(tied(F.col("_tm_id"), F.col("first._tm_id")) & (F.col("_tm_mark") == F.col("first._tm_mark")) & (F.col("p0") == F.col("first.p0")))
     )
-    # at most as many positions as the document has lines
-    gone = F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + size - 1))))
+    # at most as many numbers as the document has lines
+    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array(*[f"p{i}" for i in range(size)])))))
     return later.groupBy("_tm_id", "_tm_mark").agg(gone.alias("gone"))
 
 
@@ -67,30 +68,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The first occurrence of a window is the one with the smallest (id, hash of the text,
     position), null ids last. Removed lines go with their line ends; empty lines stay where
-    they are. Columns of the names it adds are replaced. Texts with fewer than ``size`` lines that hold more than white space, empty
-    texts and null texts come back as they are. Rows equal in id and text count as one
-    document: each keeps what the others keep. An empty table gives an empty table.
+    they are. Columns of the names it adds are replaced, others are kept. Texts with fewer than ``size``
+    lines that hold more than white space, empty texts and null texts come back as they are. The work on a
+    text is linear in its lines. Rows equal in id and text count as one document: each keeps what the
+    others keep. An empty table gives an empty table.
     """
     gone = covered(docs, id_col, text_col, size).withColumnsRenamed({"_tm_id": "_tm_gid", "_tm_mark": "_tm_gmark", "gone": "_tm_gone"})
     rows = _keyed(docs, id_col, text_col)
     rows = rows.join(gone, tied(F.col("_tm_id"), F.col("_tm_gid")) & (F.col("_tm_mark") == F.col("_tm_gmark")), "left")
-    parts = F.split(text_col, "\n", -1)
-    # positions count only lines that hold something
-    number = F.aggregate(
-        F.col("_tm_parts"),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.when(_trim(x) == "", F.struct(s["n"].alias("n"), F.array_append(s["kept"], x).alias("kept"))).otherwise(
-            F.struct(
-                (s["n"] + 1).alias("n"),
-                F.when(F.array_contains("_tm_gone", s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
-            )
-        ),
-        lambda s: F.array_join(s["kept"], "\n"),
-    )
+    rows = rows.withColumn("_tm_parts", F.split(text_col, "\n", -1))
+    # what stays are the stretches between lines that go
+    ends = F.concat(F.array(F.lit(-1)), "_tm_gone", F.array(F.size("_tm_parts")))
+    rows = rows.withColumn("_tm_ends", ends)
+    stretch = lambda i: F.slice("_tm_parts", F.get("_tm_ends", i) + 2, F.get("_tm_ends", i + 1) - F.get("_tm_ends", i) - 1)
+    clean = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_tm_ends") - 2), stretch)), "\n")
     filled = F.size(F.filter("_tm_parts", lambda x: _trim(x) != ""))
-    clean = rows.withColumn("_tm_parts", parts)
-    return clean.select(
-        *[F.when(F.col("_tm_gone").isNull(), F.col(c)).otherwise(number).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+    return rows.select(
+        *[F.when(F.col("_tm_gone").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_col).isNull(), 0).otherwise(filled).alias("n_lines"),
         F.coalesce(F.size("_tm_gone"), F.lit(0)).alias("n_removed"),
     )

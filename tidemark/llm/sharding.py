@@ -8,6 +8,11 @@ one. Where rows go depends on the arcs' counts alone, and there are
 ``shards * virtual_nodes`` arcs whatever the size of the table: that walk is the only
 thing the driver does. Rows get their ranks inside an arc from sub-ranges of the arc, so
 no task holds an arc.
+
+Counts that differ by at most one leave no spare room, so what overflows one shard fills the
+next: more rows move between n and n + 1 shards than the 1 / (n + 1) of a ring with spare room. Many
+virtual nodes keep the arcs' sums close to the room, so that little overflows. Groups of equal texts
+are not kept together: the key is the id.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 
 PIECE_ROWS = 50_000  # rows of one rank window, about
+VIRTUAL_NODES = 512
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
@@ -58,19 +64,16 @@ def walk(counts: list[int], owners: list[int], shards: int) -> list[tuple[int, i
     used = [0] * shards
     at = [0] * len(counts)
     dealt = []
-    for hop in range(len(counts)):
-        left = False
-        for arc, n in enumerate(counts):
-            if at[arc] < n:
-                s = owners[(arc + hop) % len(counts)]
-                take = min(n - at[arc], room[s] - used[s])
-                if take:
-                    dealt.append((arc, at[arc], at[arc] + take, s, used[s]))
-                    used[s] += take
-                    at[arc] += take
-                left = left or at[arc] < n
-        if not left:
-            break
+    left, hop = [arc for arc, n in enumerate(counts) if n], 0
+    while left:
+        for arc in left:
+            s = owners[(arc + hop) % len(counts)]
+            take = min(counts[arc] - at[arc], room[s] - used[s])
+            if take:
+                dealt.append((arc, at[arc], at[arc] + take, s, used[s]))
+                used[s] += take
+                at[arc] += take
+        left, hop = [arc for arc in left if at[arc] < counts[arc]], hop + 1
     return dealt
 
 
@@ -79,15 +82,15 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int = 16,
-    virtual_nodes: int = 64,
+    virtual_nodes: int = VIRTUAL_NODES,
 ) -> DataFrame:
     """``id_col, size, text_crc32, shard, slot`` for every row of ``docs``.
 
     ``size`` is the UTF-8 bytes of the text plus 1, a null text has none. Shard counts
     differ by at most one and slots run from 0 without a gap. The key is the id; a null id
     is a key like any other. Rows equal in id and text are interchangeable: they are ranked
-    together and get neighbouring slots. Other columns are not read. An empty table gives an
-    empty table.
+    together and get neighbouring slots. Texts may be of any length; only their sizes and hashes are
+    shuffled. Other columns are not read. An empty table gives an empty table.
     """
     points, owners = ring(shards, virtual_nodes)
     rows = docs.select(

@@ -6,15 +6,17 @@ words in both directions, attention pools its states, and a logistic unit scores
 window. A text is covered by all its half-overlapping windows; its score is the highest,
 shifted and scaled on the training rows.
 
-Only texts are inputs. Training takes a bounded sample of labelled rows, whole texts, and
-learns by multiple instances: a toxic document answers for its most toxic window, a clean
-one for its own most toxic window and for others.
+Only texts are inputs. Training takes a sample of labelled rows that is bounded in rows and bytes,
+whole texts, and learns by multiple instances: a toxic document answers for its most toxic window, a
+clean one for its own most toxic window and for others. It runs in one task over that sample; the
+driver sees the weights only.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +32,13 @@ WINDOW, STRIDE = 64, 32
 WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 15
 EMBED, HIDDEN = 8, 8
 SAMPLE = 4000  # labelled rows that training reads at most, half of them toxic
+SAMPLE_BYTES = 32 << 20  # bytes of text that training reads at most; a row that would exceed them is left out
 EPOCHS, BATCH, RATE = 14, 128, 0.01
 STEPS = 800  # least number of weight updates, about
 ASIDE = 5  # one in so many sampled rows only sets the threshold
 MEMO = 100_000  # words a worker remembers at a time
 CHUNK = 512  # windows scored at a time
+GRID = 1024  # steps between 0 and 1 that states are rounded to in scoring
 
 Weights = dict[str, np.ndarray]
 
@@ -63,10 +67,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _project(x: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """``x @ m`` by blocks so small that the matrix library keeps to one thread."""
-    if not len(x):
-        return x @ m
-    return np.concatenate([x[at : at + CHUNK] @ m for at in range(0, len(x), CHUNK)])
+    """``x @ m`` for a short inner side, summed in a fixed order: a row's result does not depend on the rows beside it."""
+    out = np.zeros((len(x), m.shape[1]), m.dtype)
+    for k in range(m.shape[0]):
+        out += x[:, k, None] * m[k]
+    return out
+
+
+def _weighed(h: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``h @ v`` for a vector ``v``, in the same fixed order."""
+    out = h[:, :, 0] * v[0]
+    for k in range(1, len(v)):
+        out += h[:, :, k] * v[k]
+    return out
+
+
+def settled(w: Weights) -> Weights:
+    """The weights with those of the recurrence rounded to a grid so coarse that its sums are exact in any order.
+
+    States are rounded to ``GRID`` steps when texts are scored. Products with these weights are then
+    multiples of one small power of two, and their sums fit the 24 bits of a float.
+    """
+    out = dict(w)
+    for name in ("uf", "ub"):
+        steps = 2.0 ** np.floor(np.log2(2**24 / GRID / max(1.0, float(np.abs(w[name]).sum(0).max()) + 1)))
+        out[name] = (np.rint(w[name] * steps) / steps).astype(np.float32)
+    return out
 
 
 def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -94,9 +120,12 @@ def initial(seed: int = 3) -> Weights:
 def features(words: list[str], w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Input vector of each word, its word row, its character rows in one array and their starts."""
     rows = np.fromiter(map(word_row, words), np.int64, len(words))
-    runs = [char_rows(x) for x in words]
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-    flat = np.fromiter((r for run in runs for r in run), np.int64, int(sizes.sum()))
+    runs, sizes = array("i"), np.zeros(len(words), np.int64)
+    for i, x in enumerate(words):
+        run = char_rows(x)
+        runs.extend(run)
+        sizes[i] = len(run)
+    flat = np.array(runs, np.int64)
     starts = np.cumsum(sizes) - sizes
     return _inputs(rows, flat, starts, sizes, w), rows, flat, starts
 
@@ -108,8 +137,8 @@ def _inputs(rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.nd
     return np.hstack([w["word"][rows], means]).astype(np.float32)
 
 
-def gru(p: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool = False):
-    """States of a GRU over ``p`` (steps, windows, 3 * hidden), the projected inputs."""
+def gru(p: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool = False, grid: int = 0):
+    """States of a GRU over ``p`` (steps, windows, 3 * hidden), the projected inputs; with ``grid`` rounded to so many steps."""
     h = np.zeros((p.shape[1], HIDDEN), np.float32)
     states = np.empty((p.shape[0], p.shape[1], HIDDEN), np.float32)
     trace = []
@@ -117,8 +146,12 @@ def gru(p: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool = Fals
         zr = _sigmoid(p[t, :, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         rh = r * h
+        if grid:
+            rh = np.rint(rh * grid) / grid
         c = np.tanh(p[t, :, 2 * HIDDEN :] + rh @ u[:, 2 * HIDDEN :])
         new = h + z * (c - h)
+        if grid:
+            new = np.rint(new * grid) / grid
         if mask is not None:
             new = np.where(mask[t][:, None], new, h)
         if keep:
@@ -127,13 +160,13 @@ def gru(p: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool = Fals
     return states, trace
 
 
-def score_windows(pf: np.ndarray, pb: np.ndarray, mask: np.ndarray | None, w: Weights) -> np.ndarray:
+def score_windows(pf: np.ndarray, pb: np.ndarray, mask: np.ndarray | None, w: Weights, grid: int = 0) -> np.ndarray:
     """Logits of windows from their projected inputs (steps, windows, 3 * hidden)."""
-    hf, _ = gru(pf, w["uf"], mask)
-    hb, _ = gru(pb[::-1], w["ub"], None if mask is None else mask[::-1])
+    hf, _ = gru(pf, w["uf"], mask, grid=grid)
+    hb, _ = gru(pb[::-1], w["ub"], None if mask is None else mask[::-1], grid=grid)
     hb = hb[::-1]
-    e = hf @ w["attend"][:HIDDEN] + hb @ w["attend"][HIDDEN:]
-    o = hf @ w["out"][:HIDDEN] + hb @ w["out"][HIDDEN:]
+    e = _weighed(hf, w["attend"][:HIDDEN]) + _weighed(hb, w["attend"][HIDDEN:])
+    o = _weighed(hf, w["out"][:HIDDEN]) + _weighed(hb, w["out"][HIDDEN:])
     if mask is not None:
         e = np.where(mask, e, -np.inf)
     a = np.exp(e - e.max(0))
@@ -157,13 +190,17 @@ class Model:
     scale: float = 1.0
 
     def logits(self, ids: np.ndarray, spans: list[tuple[int, int]], pf: np.ndarray, pb: np.ndarray) -> np.ndarray:
-        """Logits of windows over word ids, from each word's projected inputs."""
+        """Logits of windows over word ids, from each word's projected inputs.
+
+        Windows are scored ``CHUNK`` at a time, the last ones filled up with copies, so that a window's
+        logit does not depend on its batch.
+        """
         out = np.empty(len(spans), np.float32)
         order = sorted(range(len(spans)), key=lambda i: spans[i][1] - spans[i][0])
         for at in range(0, len(spans), CHUNK):
             some = order[at : at + CHUNK]
-            words, mask = _padded(ids, [spans[i] for i in some])
-            out[some] = score_windows(pf[words], pb[words], mask, self.weights)
+            words, mask = _padded(ids, [spans[i] for i in some + some[-1:] * (CHUNK - len(some))])
+            out[some] = score_windows(pf[words], pb[words], mask, self.weights, GRID)[: len(some)]
         return out
 
     def probability(self, logit: float | None) -> float:
@@ -287,20 +324,21 @@ class _Adam:
 def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Fit on whole texts. ``share`` is the toxic share that the final threshold is meant for."""
     w = initial(seed)
-    split = [WORD.findall(t.lower()) for t in texts]
     y = np.array(labels, np.float32)
-    vocab = sorted({x for words in split for x in words})
-    place = {x: i for i, x in enumerate(vocab)}
-    _, rows, flat, starts = features(vocab, w)
-    sizes = np.diff(np.append(starts, len(flat)))
-    ids = np.array([place[x] for words in split for x in words], np.int64)
+    place: dict[str, int] = {}
     spans: list[tuple[int, int]] = []
-    bags, base = [], 0
-    for words in split:
+    parts, bags, base = [], [], 0
+    for text in texts:
+        words = WORD.findall(text.lower())
+        parts.append(np.fromiter((place.setdefault(x, len(place)) for x in words), np.int32, len(words)))
         mine = windows(len(words))
         bags.append((len(spans), len(spans) + len(mine)))
         spans += [(base + s, base + e) for s, e in mine]
         base += len(words)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    _, rows, flat, starts = features(list(place), w)
+    sizes = np.diff(np.append(starts, len(flat)))
+    del parts, place
     full = [i for i, (a, b) in enumerate(bags) if b > a]
     if not full or len(set(y[full])) < 2:
         return Model(w, shift=1e3)  # nothing to learn from: no text is toxic
@@ -340,6 +378,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
             _add_rows(grads["word"], rows[used], dx[:, :EMBED])
             _add_rows(grads["char"], flat[own], np.repeat(dx[:, EMBED:] / sizes[used][:, None], sizes[used], axis=0))
             adam.step(w, grads, rate)
+    w = settled(w)
     logits = all_logits()
     # rows that training did not see set the threshold, unless they lack a class
     judges = aside if len(set(y[aside])) == 2 else full
@@ -361,11 +400,11 @@ def _threshold(logits: np.ndarray, y: np.ndarray, share: float) -> tuple[float,
     return float((x[i] + x[i + 1]) / 2), 1.0
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int], float]:
-    """At most ``most`` labelled texts, half of them toxic, and the toxic share of all labelled rows.
+def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float]:
+    """``place, id, text, y``: at most ``most`` labelled texts, half of them toxic; and the toxic share of all labelled rows.
 
-    Rows are taken in the order of a hash of their id. Rows that are held out, have a null id or
-    label, or contradictory labels, are not taken.
+    Rows are taken in the order of a hash of their id, ``place``. Rows that are held out, have a null id,
+    label or text, or contradictory labels, are not taken. Of repeated ids the smallest text counts.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top")).where("y = top")
@@ -373,10 +412,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col:
     some = [rows.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(most // 2).select("id", "y") for v in (0, 1)]
     wanted = F.broadcast(some[0].unionByName(some[1]))  # at most ``most`` rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").where(F.col("text").isNotNull())
-    # one text for an id; repeated ids take the smallest
-    got = sorted((r["id"], r["text"], r["y"]) for r in texts.groupBy("id", "y").agg(F.min("text").alias("text")).collect())
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return [t for _, t, _ in got], [int(v) for _, _, v in got], share
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("place"), "id", "text", F.col("y").cast("int").alias("y"))
+    return texts, counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def held_out(id_col) -> F.Column:
@@ -391,15 +428,43 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    most_bytes: int = SAMPLE_BYTES,
 ) -> Model:
-    return train(*sample(docs, labels, most, id_col, text_col, label_col))
+    """A model from at most ``most`` labelled rows and ``most_bytes`` bytes of their whole texts.
+
+    For nulls, repeated ids and contradictory labels see :func:`sample`. Labels without texts, of one
+    class only or from an empty table give a model that finds no text toxic. Other columns are not read.
+    Training is one task: one that is lost runs again, to the same weights.
+    """
+    rows, share = sample(docs, labels, most, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, left = [], [], most_bytes
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size = len(text.encode())
+                if size <= left:
+                    texts.append(text)
+                    marks.append(y)
+                    left -= size
+        model = train(texts, marks, share)
+        parts = {**model.weights, "cut": np.array([model.shift, model.scale])}
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts)), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["name", "weights"])
+
+    ordered = rows.repartition(1).sortWithinPartitions("place", "id").select("text", "y")
+    got = {r["name"]: r["weights"] for r in ordered.mapInArrow(run, "name string, weights binary").collect()}  # of fixed size
+    if not got:
+        return Model(initial(), shift=1e3)
+    weights = {k: np.frombuffer(got[k], np.float32).reshape(x.shape).copy() for k, x in initial().items()}
+    return Model(weights, *np.frombuffer(got["cut"], np.float64).tolist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "toxicity") -> DataFrame:
     """All columns of ``docs``, and ``column``: a score of 0 to 1; 0.5 is the decision.
 
-    Null texts and texts without a word score 0. Repeated rows get equal scores. A column of the
-    name ``column`` is replaced. No shuffle; the model is of fixed size.
+    Null texts and texts without a word score 0. Equal texts get equal scores, whatever is scored beside
+    them. Texts may be of any length: all windows count. A column of the name ``column`` is replaced,
+    others are kept. An empty table gives an empty table. No shuffle; the model is of fixed size.
     """
     kept = [c for c in docs.columns if c != column]
     shape = docs.select(*kept).withColumn(column, F.lit(0.0))
