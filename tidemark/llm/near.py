@@ -319,8 +319,8 @@ def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame
     return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def links(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
-    """``a, b``: links of at least ``similarity`` between word sequences, with the components that all links give."""
+def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
+    """``node, component``: the word sequences that have links of at least ``similarity``, and their groups."""
     spark, keep = docs.sparkSession, Scratch()
     rows = marks.where(F.col("norm").isNotNull())
     prefixes = keep.stored(_prefixes(docs, text_col, shingle_words, similarity, _counts(marks)), "prefixes")
@@ -332,9 +332,8 @@ def links(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: i
     involved = members.select("norm").unionByName(pairs.select(F.col("a").alias("norm"))).unionByName(pairs.select(F.col("b").alias("norm")))
     held = keep.stored(_held(docs, rows, keep.stored(involved.distinct(), "involved"), text_col, shingle_words), "shingles")
     alike = keep.stored(_verified(pairs, held, similarity), "alike")
-    before = math.inf
+    before, nodes = math.inf, components(alike, "a", "b")
     for _ in range(STAR_ROUNDS + 1):
-        nodes = components(alike, "a", "b")
         apart, main = _apart(members, nodes, keep)
         work = main.agg(F.sum(F.col("out") * F.col("n"))).first()[0] or 0
         # more stars save comparisons only while groups grow by them
@@ -343,11 +342,18 @@ def links(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: i
         before = work
         outside = keep.stored(_centres(apart.where("group != main")), "outside")
         more = keep.stored(_ordered(_stars(apart, outside, similarity)), "more")
-        alike = keep.stored(alike.unionByName(_verified(more, held, similarity)), "alike")
+        nodes = _joined(nodes, keep.stored(_verified(more, held, similarity), "alike"))
     last = keep.stored(_ordered(_across(apart, similarity)), "across")
-    out = stored(alike.unionByName(_verified(last, held, similarity)), "links")
+    nodes = _joined(nodes, keep.stored(_verified(last, held, similarity), "alike"))
     keep.drop(spark)
-    return out
+    return nodes
+
+
+def _joined(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after further links."""
+    if more.isEmpty():
+        return nodes
+    return components(more.unionByName(nodes.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
 
 
 def groups(
@@ -368,7 +374,7 @@ def groups(
     """
     keep = Scratch()
     marks = keep.stored(_marks(docs, id_col, text_col, shingle_words), "marks")
-    nodes = components(links(docs, marks, similarity, shingle_words, text_col, more_stars), "a", "b")
+    nodes = connected(docs, marks, similarity, shingle_words, text_col, more_stars)
     labelled = marks.where(F.col("norm").isNotNull()).select("id", "key", "mark", "norm").join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "norm")), "labelled")
     keep.drop(docs.sparkSession)
