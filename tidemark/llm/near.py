@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +39,13 @@ from tidemark.llm.common import Scratch, bitmap, bitmap_has, components, sliced,
 
 SKETCH = 512
 WORDS = SKETCH // 64
-COUNT_BITS = 18
+COUNT_BITS = 22
+COUNT_BLOCK = 1 << 16  # cells of a row of counts
 BITMAP_BITS = 25
 MORE_STARS = 1000  # comparisons for each row of the postings beyond which another star round comes first
 STAR_ROUNDS = 6
 SPAN = 1 << 18  # bytes hashed at a time
+SEEN = 100_000  # hashes of texts that a task remembers at a time
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 CELLS = np.uint64((1 << COUNT_BITS) - 1)
@@ -125,7 +128,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     names = ["id", "key", "mark", "norm", "fp", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, types = np.zeros(1 << COUNT_BITS, np.int32), None
+        mine, types = np.zeros(1 << COUNT_BITS, np.uint8), None
         for batch in sliced(batches):
             types = [c.type for c in batch.columns[:3]]
             norms, fps, sets = [], [], []
@@ -135,13 +138,13 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 norms.append(xxhash.xxh3_128_digest(norm))
                 fps.append(simhash.majority(found))
                 sets.append((distinct(found) & CELLS).astype(np.int64))
-            if sets:
-                mine += np.bincount(np.concatenate(sets), minlength=len(mine)).astype(np.int32)
+            at, n = np.unique(np.concatenate(sets), return_counts=True)
+            mine[at] += np.minimum(n, 255 - mine[at].astype(np.int64)).astype(np.uint8)
             made = [pa.array(norms, pa.binary()), pa.array(fps, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=names)
         if types:
             last = [pa.nulls(1, t) for t in (*types, pa.binary(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*last, pa.array([mine.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*last, pa.array([zlib.compress(mine, 1)], pa.binary())], names=names)
 
     rows = _keys(docs, id_col, text_col)
     rows = rows.select(F.col(id_col).alias("id"), F.col("_tm_key").alias("key"), F.col("_tm_mark").alias("mark"), F.col(text_col).cast("binary").alias("text"))
@@ -149,31 +152,50 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def _counts(marks: DataFrame) -> np.ndarray:
-    """How many texts' shingles fall in each cell: 2 ** ``COUNT_BITS`` numbers, whatever the table's size."""
+    """About how many texts' shingles fall in each of 2 ** ``COUNT_BITS`` cells; a task counts to 255, all together to 65,535.
+
+    The counts only order shingles. Any order is right, a good one puts frequent shingles last.
+    """
+    blocks = (1 << COUNT_BITS) // COUNT_BLOCK
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(1 << COUNT_BITS, np.int64)
+        mine = np.zeros(1 << COUNT_BITS, np.uint16)
         for batch in batches:
             for cells in batch.column(0).to_pylist():
-                mine += np.frombuffer(cells, np.int32)
-        at = np.flatnonzero(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine[at])], names=["at", "n"])
+                more = np.frombuffer(zlib.decompress(cells), np.uint8)
+                mine += np.minimum(more, 65535 - mine)
+        rows = mine.reshape(blocks, COUNT_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "cells"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = sums.setdefault(block, np.zeros(COUNT_BLOCK, np.uint16))
+                mine += np.minimum(np.frombuffer(cells, np.uint16), 65535 - mine)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["block", "cells"])
+
+    shape = "block int, cells binary"
+    tables = marks.where(F.col("cells").isNotNull()).select("cells").mapInArrow(add, shape)
+    full = np.zeros((blocks, COUNT_BLOCK), np.uint16)
+    for block, cells in tables.repartition("block").mapInArrow(merge, shape).collect():  # 2 ** COUNT_BITS numbers of two bytes
+        full[block] = np.frombuffer(cells, np.uint16)
+    return full.ravel()
 
-    tables = marks.where(F.col("cells").isNotNull()).select("cells")
-    got = tables.mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
-    full = np.zeros(1 << COUNT_BITS, np.int64)
-    full[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    return full
 
+def _prefixes(docs: DataFrame, picked: np.ndarray, text_col: str, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """``norm, size, s0..s7, firsts``: each text's sketch and its rarest shingles, rarest first.
 
-def _prefixes(docs: DataFrame, text_col: str, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """``norm, size, s0..s7, firsts``: each text's sketch and its rarest shingles, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    ``picked`` has the marks of one spelling of each word sequence; other spellings may come, too.
+    """
+    spark = docs.sparkSession
+    shared, wanted = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(picked)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in sliced(batches):
             norms, sizes, sketches, firsts = [], [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in _fresh(batch, wanted.value, seen):
                 norm = normal(text)
                 found = distinct(shingle_hashes(norm, size))
                 order = np.lexsort((found, shared.value[(found & CELLS).astype(np.int64)]))
@@ -185,10 +207,22 @@ def _prefixes(docs: DataFrame, text_col: str, size: int, similarity: float, coun
             made = [pa.array(norms, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(table[:, i]) for i in range(WORDS)]]
             yield pa.RecordBatch.from_arrays([*made, pa.array(firsts, pa.list_(pa.int64()))], names=["norm", "size", *SKETCHES, "firsts"])
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"norm binary, size int, {_LONGS}, firsts array<long>")
 
 
+def _fresh(batch: pa.RecordBatch, wanted: np.ndarray, seen: set[int]) -> list[bytes]:
+    """The texts of ``mark, text`` rows whose mark is wanted and has not come to this task before."""
+    if len(seen) > SEEN:
+        seen.clear()
+    marks, keep = batch.column(0).to_numpy(), []
+    for i in np.flatnonzero(bitmap_has(marks, wanted, BITMAP_BITS)):
+        if (mark := int(marks[i])) not in seen:
+            seen.add(mark)
+            keep.append(i)
+    return batch.column(1).take(pa.array(keep, pa.int32())).to_pylist()
+
+
 SKETCHES = [f"s{i}" for i in range(WORDS)]
 _LONGS = ", ".join(f"{s} long" for s in SKETCHES)
 MEMBER = ["norm", "size", "pos", *SKETCHES]
@@ -282,16 +316,14 @@ def _across(apart: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("o.norm").alias("a"), F.col("m.norm").alias("b"))
 
 
-def _held(docs: DataFrame, marks: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
+def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
     """``norm, held``: the shingle sets of the texts that pairs need; no other text leaves its task."""
-    # one spelling of each word sequence is enough
-    spelled = marks.groupBy("norm").agg(F.min("mark").alias("mark")).join(involved, "norm", "left_semi")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(spelled.select("mark"), BITMAP_BITS))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(involved.select("mark"), BITMAP_BITS))  # of fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in sliced(batches):
-            hit = pa.array(np.flatnonzero(bitmap_has(batch.column(0).to_numpy(), shared.value, BITMAP_BITS)))
-            norms = [normal(t) for t in batch.column(1).take(hit).to_pylist()]
+            norms = [normal(t) for t in _fresh(batch, shared.value, seen)]
             held = [distinct(shingle_hashes(n, size)).tobytes() for n in norms]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(n) for n in norms], pa.binary()), pa.array(held, pa.binary())], names=["norm", "held"])
 
@@ -299,8 +331,10 @@ def _held(docs: DataFrame, marks: DataFrame, involved: DataFrame, text_col: str,
     return rows.groupBy("norm").agg(F.first("held").alias("held"))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, spelled: DataFrame, pairs: DataFrame, text_col: str, size: int, similarity: float, keep: Scratch) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
+    involved = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).distinct()
+    held = keep.stored(_held(docs, spelled.join(involved, "norm", "left_semi"), text_col, size), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -321,18 +355,19 @@ def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame
 
 def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
     """``node, component``: the word sequences that have links of at least ``similarity``, and their groups."""
-    spark, keep = docs.sparkSession, Scratch()
+    keep = Scratch()
     rows = marks.where(F.col("norm").isNotNull())
-    prefixes = keep.stored(_prefixes(docs, text_col, shingle_words, similarity, _counts(marks)), "prefixes")
+    spelled = keep.stored(rows.groupBy("norm").agg(F.min("mark").alias("mark")), "spelled")
+    picked = bitmap(spelled.select("mark"), BITMAP_BITS)
+    prefixes = keep.stored(_prefixes(docs, picked, text_col, shingle_words, similarity, _counts(marks)), "prefixes")
     postings = keep.stored(_postings(prefixes), "postings")
     centres = keep.stored(_centres(postings), "centres")
-    members = keep.stored(postings.join(centres.select("shingle"), "shingle"), "members")
     near = _ordered(_simhash_pairs(rows, keep))
-    pairs = keep.stored(_ordered(_stars(members, centres, similarity)).unionByName(near).distinct(), "pairs")
-    involved = members.select("norm").unionByName(pairs.select(F.col("a").alias("norm"))).unionByName(pairs.select(F.col("b").alias("norm")))
-    held = keep.stored(_held(docs, rows, keep.stored(involved.distinct(), "involved"), text_col, shingle_words), "shingles")
-    alike = keep.stored(_verified(pairs, held, similarity), "alike")
-    before, nodes = math.inf, components(alike, "a", "b")
+    pairs = keep.stored(_ordered(_stars(postings, centres, similarity)).unionByName(near).distinct(), "pairs")
+    check = lambda pairs: keep.stored(_verified(docs, spelled, pairs, text_col, shingle_words, similarity, keep), "alike")
+    before, nodes = math.inf, components(check(pairs), "a", "b")
+    # a posting of two texts has no pair but its star
+    members = keep.stored(postings.join(centres.where("n > 2").select("shingle"), "shingle"), "members")
     for _ in range(STAR_ROUNDS + 1):
         apart, main = _apart(members, nodes, keep)
         work = main.agg(F.sum(F.col("out") * F.col("n"))).first()[0] or 0
@@ -341,11 +376,10 @@ def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_word
             break
         before = work
         outside = keep.stored(_centres(apart.where("group != main")), "outside")
-        more = keep.stored(_ordered(_stars(apart, outside, similarity)), "more")
-        nodes = _joined(nodes, keep.stored(_verified(more, held, similarity), "alike"))
-    last = keep.stored(_ordered(_across(apart, similarity)), "across")
-    nodes = _joined(nodes, keep.stored(_verified(last, held, similarity), "alike"))
-    keep.drop(spark)
+        nodes = _joined(nodes, check(keep.stored(_ordered(_stars(apart, outside, similarity)), "more")))
+    last = keep.stored(_ordered(_across(apart, similarity)).join(pairs, ["a", "b"], "left_anti"), "across")
+    nodes = _joined(nodes, check(last))
+    keep.drop(docs.sparkSession)
     return nodes
 
 
