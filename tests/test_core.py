@@ -63,12 +63,26 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_queries_without_sql_return_rows(spark, sf, name):
-    try:
-        assert QUERIES[name](spark, sf).count() > 0
-    except ValueError as e:  # too few rows for a fold of two classes at this size
-        assert "fold" in str(e)
+#: Queries of fitted models: what must hold for each result.
+FITTED = {
+    "mixture_regimes": lambda df: df.filter(like="regime").iloc[:, 0].nunique() >= 2,
+    "corr_prune": lambda df: {"volume", "atr_14"} <= set(df.feature) < {"open", "high", "low", "close", "volume", "atr_14"},
+    "forest_importance": lambda df: abs(df.score.sum() - 1) < 1e-9 and (df.score >= 0).all(),
+    "direction_leak": lambda df: set(df.direction) == {"forward", "reverse"} and df.auc.between(0, 1).all(),
+    "walk_forward_gbt_auc": lambda df: df.auc.between(0, 1).all() and df.auc.mean() < 0.75,
+    "walk_forward_logistic_auc": lambda df: df.auc.between(0, 1).all() and df.auc.mean() < 0.75,
+    "ensemble_backtest": lambda df: (df.exit_time > df.entry_time).all() and set(df.exit_reason) <= {"tp", "sl", "time"},
+}
+
+
+def test_all_queries_have_sql_or_a_check():
+    assert set(QUERIES) - set(ORACLES) == set(FITTED)
+
+
+@pytest.mark.parametrize("name", sorted(FITTED))
+def test_fitted_queries(spark, sf, name):
+    out = QUERIES[name](spark, "/root/testdata/sf0.01" if "walk" in name or "ensemble" in name else sf).toPandas()
+    assert len(out) and FITTED[name](out)
 
 
 def series(spark, n=120, symbols=("a", "b"), seed=1):
@@ -334,3 +348,140 @@ def test_queries_named_for_boosting_fit_it(spark, sf, monkeypatch):
     for name, kind in (("walk_forward_gbt_auc", "gbt"), ("walk_forward_logistic_auc", "logistic"), ("ensemble_backtest", "gbt")):
         with pytest.raises(Found, match=f"^{kind}$"):
             QUERIES[name](spark, sf)
+
+
+def test_draws_are_even_and_equal_their_sql(spark, duck):
+    from tidemark.functions.draws import uniform
+    from tidemark.plans.sql import uniform as uniform_sql
+
+    got = spark.range(200).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("s")).select("r", "s", uniform(7, "r", "s").alias("u")).toPandas()
+    want = duck.execute(f"SELECT r, s, {uniform_sql(7, 'r', 's')} AS u FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range(100)) AS s)").df()
+    both = got.merge(want, on=["r", "s"])
+    assert len(both) == 20_000 and (both.u_x == both.u_y).all()
+    assert ((both.u_x >= 0) & (both.u_x < 1)).all() and abs(np.histogram(both.u_x, 20, (0, 1))[0] - 1000).max() < 150
+    wide = got.pivot(index="r", columns="s", values="u").to_numpy()
+    assert abs(np.corrcoef(wide[:, 0], wide[:, 1])[0, 1]) < 0.25 and abs(np.corrcoef(wide[:, 3], np.arange(200))[0, 1]) < 0.25
+
+
+def test_ranks_by_pieces_equal_ranks_of_whole_groups(spark):
+    from tidemark.functions.rows import sums_before, value_ranks
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(40) / 4 if rng.random() > 0.1 else None) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {(r.k, r.x): (r.n, r.before) for r in value_ranks(df, ("k",), "x", pieces=7).collect()}
+    low = lambda x: -1 if x is None else x
+    for k, x in set(rows):
+        assert got[k, x] == (rows.count((k, x)), sum(a == k and low(b) < low(x) for a, b in rows))
+    assert sums_before(df.limit(0), ("k",), "x", F.lit(1), "n").count() == 0
+
+
+def test_exponential_averages_equal_a_plain_loop(spark):
+    from tidemark.operators.recursive import fold
+
+    rng = np.random.default_rng(3)
+    for span in (1, 2, 9, 200):
+        for start in (None, 5.0):
+            x = rng.normal(size=700)
+            x[rng.random(700) < 0.2] = np.nan
+            x[:3] = np.nan
+            alpha, last, want = 2 / (span + 1), np.nan if start is None else start, []
+            for v in x:
+                if v == v:
+                    last = v if last != last else alpha * v + (1 - alpha) * last
+                want.append(last)
+            assert np.allclose(fold(x, alpha, start), want, rtol=1e-11, atol=1e-12, equal_nan=True)
+    assert len(fold(np.array([]), 0.5, None)) == 0 and np.isnan(fold(np.array([np.nan]), 0.5, None)).all()
+
+
+def plain_positions(rows, min_vol, least, k):
+    """Bar by bar: what the threshold strategies return."""
+    out, held, n = [], None, len(rows)
+    for i, r in enumerate(rows):
+        gain = 0.0
+        if i == n - 1:
+            out.append(-k.cost * held["scale"] / 2 if held else 0.0)
+            break
+        if held:
+            nxt = rows[i + 1]
+            held["bars"] += 1
+            s, e, a = held["side"], held["entry"], held["atr"]
+            gain = s * held["scale"] * (nxt["close"] / r["close"] - 1)
+            worst, best = (nxt["low"], nxt["high"]) if s > 0 else (-nxt["high"], -nxt["low"])
+            if worst <= s * e - k.stop_atr * a or best >= s * e + k.target_atr * a or held["bars"] >= k.hold_bars:
+                gain -= k.cost * held["scale"] / 2
+                held = None
+        elif r["vol_p"] >= min_vol:
+            up, down = r["up_p"] >= least, r["down_p"] >= least
+            side = (1 if r["up_p"] > r["down_p"] else -1) if up and down else int(up) - int(down)
+            if side:
+                scale = max(1, min(k.max_contracts, int(k.base_contracts * min(2.0, max(0.5, r["atr"] / (r["predicted_atr"] + 1e-10))))))
+                held = {"side": side, "entry": r["close"], "atr": r["atr"], "bars": 0, "scale": scale / k.base_contracts}
+                gain = -k.cost * held["scale"] / 2
+        out.append(gain)
+    return out
+
+
+def test_grid_returns_equal_a_bar_by_bar_walk():
+    from tidemark.operators import signals as X
+
+    rng = random.Random(5)
+    for trial in range(30):
+        price, rows = 100.0, []
+        for _ in range(rng.choice((1, 2, 40, 200))):
+            price += rng.gauss(0, 1)
+            rows.append({"close": price, "high": price + rng.random(), "low": price - rng.random(), "atr": 0.5 + rng.random(), "predicted_atr": 0.5 + rng.random(), "vol_p": rng.random(), "up_p": rng.random(), "down_p": rng.random()})
+        k = X.GridRules(base_contracts=1 + trial % 2, hold_bars=(3, 30)[trial % 2])
+        frame = pd.DataFrame(rows).assign(min_vol=0.4, min_breakout=0.6)
+        assert np.allclose(X.grid_positions(frame, k), plain_positions(rows, 0.4, 0.6, k), atol=1e-12)
+
+
+def test_excursions_keep_every_trade(spark):
+    from tidemark.operators import signals as X
+
+    t = lambda x: pd.Timestamp(x).to_pydatetime()
+    trade = ("a", t("2024-01-01 01:00"), t("2024-01-01 03:00"), "LONG", 2, 100.0)
+    trades = spark.createDataFrame([trade, trade, ("b", *trade[1:])], "symbol string, entry_time timestamp, exit_time timestamp, direction string, contracts int, entry_price double")
+    bars = spark.createDataFrame([("a", t(f"2024-01-01 0{h}:00"), 100.0 + h, 99.0 - h) for h in range(6)], "symbol string, ts timestamp, high double, low double")
+    got = sorted((r.symbol, r.mfe, r.mae_ticks) for r in X.excursions(trades, bars, X.Rules()).collect())
+    assert got == [("a", 300.0, 16.0), ("a", 300.0, 16.0), ("b", None, None)]
+
+
+def test_resamples_have_the_ledgers_size_and_mean(spark):
+    from tidemark.operators import simulations as M
+
+    rows = [("m", i, float(i % 7 - 3), 1.0, 2.0) for i in range(300)]
+    trades = spark.createDataFrame(rows, "model string, trade_id long, net_pnl double, slippage double, commission double")
+    out = M.runs(trades, 400, M.BOOTSTRAP).toPandas()
+    total = sum(r[2] for r in rows)
+    assert (out.trades == 300).all() and abs(out.net_pnl.mean() - total) < 6 and abs(out.net_pnl.std() - 2.0 * 300**0.5) < 4
+    missed = M.runs(trades, 400, M.MISSED).toPandas()
+    assert 0.9 < missed.trades.mean() / 300 < 0.95 and missed.trades.min() > 230
+    costs = M.runs(trades, 400, M.COSTS).toPandas()
+    assert (costs.trades == 300).all() and abs(costs.net_pnl - total).max() < 300 * (0.25 + 0.2)
+    both = M.runs(trades, 400, M.COMBINED).toPandas()
+    assert both.trades.max() <= 300 and both.net_pnl.std() > costs.net_pnl.std()
+
+
+def test_gaps_of_daily_series_are_filled(spark):
+    from tidemark.operators import bars as B
+    from tidemark.operators import joins as J
+
+    day = lambda n: (pd.Timestamp("2024-01-01") + pd.Timedelta(days=n)).to_pydatetime()
+    daily = spark.createDataFrame([(day(0).date(), 1.0), (day(3).date(), 4.0)], "date date, v double")
+    hours = spark.createDataFrame([("a", day(n)) for n in range(5)], "symbol string, ts timestamp")
+    back = {r.ts.day: r.v for r in J.previous_day(hours, daily, ["v"]).collect()}
+    assert back == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 4.0}
+    same = {r.ts.day: r.v for r in J.same_day(hours, daily, ["v"]).collect()}
+    assert same == {1: 1.0, 2: 1.0, 3: 1.0, 4: 4.0, 5: 4.0}
+    dense = B.densify_days(daily.withColumn("k", F.lit("x")), "k", "date", "v").orderBy("date").collect()
+    assert [r.v for r in dense] == [1.0, 1.0, 1.0, 4.0]
+
+
+def test_made_series(spark):
+    from tidemark.sources import synthetic
+
+    x = synthetic.mean_reverting(spark, 1500).orderBy("date").toPandas().close
+    assert len(x) == 1500 and x.min() >= 9 and 16 < x.mean() < 24 and 0.9 < x.autocorr() < 1
+    walk = synthetic.random_walk(spark, 800, noise=2.0).orderBy("date").toPandas().value
+    assert 1.8 < walk.diff().std() < 2.2 and abs(walk.diff().mean()) < 0.3

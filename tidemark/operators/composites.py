@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import EPS, Frames, flag, ratio
+from tidemark.operators import simulations as M
 from tidemark.operators.cross import row_mean
 from tidemark.operators.joins import previous_day
-from tidemark.operators.metrics import bootstrap, draw
 from tidemark.operators.ranking import fold_scores
 
 FRAMES = Frames()
@@ -107,29 +107,16 @@ def holding_statistics(trades: DataFrame, keys: tuple[str, ...] = ("model",)) ->
     )
 
 
-def bootstrap_sharpe(returns: DataFrame, x: str, sims: int, seed: int = 42, keys: tuple[str, ...] = ("model",), id_col: str = "date", year: float = 252.0) -> DataFrame:
-    """Point estimate and 95 % interval of the annualised Sharpe ratio over Poisson resamples."""
-    rows = returns.select(*keys, F.col(id_col).cast("string").alias("_id"), F.col(x).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    u = draw(seed, F.col("sim"), F.col("_id"))
-    steps, p, total = [], 1 / 2.718281828459045, 0.0
-    for k in range(8):
-        total += p
-        steps.append((total, k))
-        p /= k + 1
-    count = reduce(lambda acc, s: F.when(u < s[0], F.lit(s[1])).otherwise(acc), reversed(steps), F.lit(8))
-    rows = rows.withColumn("_c", count)
-    sums = rows.groupBy(*keys, "sim").agg(F.sum("_c").alias("n"), F.sum(F.col("_x") * F.col("_c")).alias("s"), F.sum(F.col("_x") * F.col("_x") * F.col("_c")).alias("q")).where("n > 1")
-    mean = F.col("s") / F.col("n")
-    sr = mean / (F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) + EPS) * F.lit(year**0.5)
-    sims_out = sums.withColumn("sr", sr).groupBy(*keys).agg(F.percentile("sr", F.lit(0.025)).alias("ci_low"), F.percentile("sr", F.lit(0.975)).alias("ci_high"))
+def bootstrap_sharpe(returns: DataFrame, x: str, sims: int, keys: tuple[str, ...] = ("model",), id_col: str = "date", year: float = 252.0) -> DataFrame:
+    """Point estimate and 95 % interval of the annualised Sharpe ratio over resamples with replacement."""
     point = returns.groupBy(*keys).agg((F.avg(x) / (F.stddev_pop(x) + EPS) * F.lit(year**0.5)).alias("sharpe"))
-    return point.join(sims_out, list(keys))
+    return point.join(M.intervals(M.sharpe_runs(returns, x, sims, keys, id_col, year), "sharpe", keys), list(keys))
 
 
-def bootstrap_total(trades: DataFrame, sims: int, seed: int = 42, keys: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Total profit and its 95 % interval."""
-    runs = bootstrap(trades, sims, seed, keys).groupBy(*keys).agg(F.percentile("net_pnl", F.lit(0.025)).alias("ci_low"), F.percentile("net_pnl", F.lit(0.975)).alias("ci_high"))
-    return trades.groupBy(*keys).agg(F.sum("net_pnl").alias("net_pnl")).join(runs, list(keys))
+def bootstrap_total(trades: DataFrame, sims: int, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Total profit and its 95 % interval over resamples with replacement."""
+    total = trades.groupBy(*keys).agg(F.sum("net_pnl").alias("net_pnl"))
+    return total.join(M.intervals(M.runs(trades, sims, M.BOOTSTRAP, keys), "net_pnl", keys), list(keys))
 
 
 def ensemble_scores(members: DataFrame, columns: list[str], targets: dict[str, str], kinds: dict[str, str] | None = None) -> DataFrame:

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import EPS, Frames, flag, ratio
+from tidemark.functions.rows import PIECES, piece_of
 from tidemark.operators.bars import resample
-from tidemark.operators.joins import asof
+from tidemark.operators.joins import asof_many
 from tidemark.operators.price import true_range
 
 FRAMES = Frames()
 
 
-def paired(bars: DataFrame, primary: str, related: list[str]) -> DataFrame:
-    """Bars of ``primary`` with ``close_{s}`` of each related symbol, as of the bar's time."""
-    out = bars.where(F.col("symbol") == primary)
-    for s in related:
-        other = bars.where(F.col("symbol") == s).select(F.lit(primary).alias("symbol"), "ts", F.col("close").alias(f"close_{s}"))
-        out = asof(out, other, [f"close_{s}"])
+def paired(bars: DataFrame, primary: str, related: list[str], pieces: int = PIECES) -> DataFrame:
+    """Bars of ``primary`` with ``close_{s}`` of each related symbol, as of the bar's time.
+
+    One pass over all symbols by pieces of time serves every related market: inside a piece the last close
+    so far, before its first one the last close of earlier pieces, of which there is one row a piece.
+    """
+    own, close = F.col("symbol") == primary, lambda s: F.when(F.col("symbol") == s, F.col("close"))
+    rows = bars.where(F.col("symbol").isin(primary, *related)).withColumn("_piece", piece_of(bars, "ts", pieces))
+    w = Window.partitionBy("_piece").orderBy("ts", own).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({f"close_{s}": F.last(close(s), ignorenulls=True).over(w) for s in related}).where(own)
+    ends = rows.groupBy("_piece").agg(*[F.max_by(close(s), F.when(close(s).isNotNull(), F.col("ts"))).alias(f"_e_{s}") for s in related])
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a piece
+    starts = ends.select("_piece", *[F.last(f"_e_{s}", ignorenulls=True).over(before).alias(f"_e_{s}") for s in related])
+    out = seen.join(F.broadcast(starts), "_piece")
+    out = out.withColumns({f"close_{s}": F.coalesce(f"close_{s}", f"_e_{s}") for s in related}).drop("_piece", *[f"_e_{s}" for s in related])
     made = {"ret": ratio("close", FRAMES.lag("close")) - 1}
     return out.withColumns(made | {f"ret_{s}": ratio(f"close_{s}", FRAMES.lag(f"close_{s}")) - 1 for s in related})
 
@@ -115,10 +125,8 @@ def timeframe_columns(bars: DataFrame, minutes: int, frames: Frames = FRAMES) ->
 
 def multi_timeframe(bars: DataFrame, minutes: list[int], frames: Frames = FRAMES) -> DataFrame:
     """Bars with each coarser timeframe's columns as of their time, and how far the timeframes agree."""
-    out = bars
-    for m in minutes:
-        tf = timeframe_columns(bars, m, frames)
-        out = asof(out, tf, [c for c in tf.columns if c.startswith("tf")])
+    coarse = [timeframe_columns(bars, m, frames) for m in minutes]
+    out = asof_many(bars, [(tf, [c for c in tf.columns if c.startswith("tf")]) for tf in coarse])
     base = flag(F.col("close") > frames.lag("close"))
     out = out.withColumn("_b", base)
     trends = [F.col("_b").cast("double"), *[F.col(f"tf{m}_trend_up").cast("double") for m in minutes]]

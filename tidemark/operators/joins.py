@@ -16,14 +16,23 @@ def asof(
     """``left`` with the right side's ``columns`` of its last row at or before each time.
 
     Each column takes its last non-null value. Without ``inclusive`` rows of the same time do not count.
+    Of right rows of one time the one with the greatest values counts, in the order of ``columns``.
     """
-    kept = left.columns
-    l = left.select(*kept, *[F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in columns], F.lit(1 if inclusive else 0).alias("_side"))
-    nulls = [F.lit(None).cast(left.schema[c].dataType).alias(c) if c not in (*by, on) else F.col(c) for c in kept]
-    r = right.select(*by, on, *[F.col(c).alias(f"_r_{c}") for c in columns])
-    r = r.select(*nulls, *[f"_r_{c}" for c in columns], F.lit(0 if inclusive else 1).alias("_side"))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumns({c: F.last(f"_r_{c}", ignorenulls=True).over(w) for c in columns})
+    return asof_many(left, [(right, columns)], by, on, inclusive)
+
+
+def asof_many(left: DataFrame, rights: list[tuple[DataFrame, list[str]]], by: tuple[str, ...] = ("symbol",), on: str = "ts", inclusive: bool = True) -> DataFrame:
+    """:func:`asof` for several right sides with columns of their own, in one sorted pass over all of them."""
+    kept, columns = left.columns, [c for _, names in rights for c in names]
+    kinds = {c: right.schema[c].dataType for right, names in rights for c in names}
+    none = {c: F.lit(None).cast(k).alias(f"_r_{c}") for c, k in kinds.items()}
+    rows = left.select(*kept, *none.values(), F.lit(1 if inclusive else 0).alias("_side"))
+    empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) if c not in (*by, on) else F.col(c) for c in kept]
+    for right, names in rights:
+        r = right.select(*by, on, *[F.col(c).alias(f"_r_{c}") for c in names])
+        rows = rows.unionByName(r.select(*empty, *[F.col(f"_r_{c}") if c in names else none[c] for c in columns], F.lit(0 if inclusive else 1).alias("_side")))
+    w = Window.partitionBy(*by).orderBy(on, "_side", *[f"_r_{c}" for c in columns]).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumns({c: F.last(f"_r_{c}", ignorenulls=True).over(w) for c in columns})
     return both.where(F.col("_side") == (1 if inclusive else 0)).select(*kept, *columns)
 
 

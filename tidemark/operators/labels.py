@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,28 @@ def pipeline_targets(bars: DataFrame, frames: Frames = FRAMES) -> DataFrame:
     return bars.withColumns(made)
 
 
+def strategy_targets(bars: DataFrame, h: int = 10, lookback: int = 20, expansion: float = 1.2, frames: Frames = FRAMES) -> DataFrame:
+    """Whether volatility expands, price rises and the range of ``lookback`` bars breaks within ``h`` bars; 0 where that is unknown."""
+    out = bars.withColumn("_r", ratio("close", frames.lag("close")) - 1)
+    made = {
+        "strategy_vol_expansion": flag(future("_r", h, F.stddev_samp, frames) > frames.std("_r", h) * expansion),
+        "strategy_direction": flag(frames.lead("close", h) > F.col("close")),
+        "strategy_breakout_up": flag(future("high", h, F.max, frames) > frames.high("high", lookback)),
+        "strategy_breakout_down": flag(future("low", h, F.min, frames) < frames.low("low", lookback)),
+    }
+    return out.withColumns(made).drop("_r")
+
+
+def largest_horizon(names: list[str], default: int = 10) -> int:
+    """The largest number that target names end with: how many bars ahead their labels look."""
+    return max([int(m[1]) for n in names if (m := re.search(r"_(\d+)$", n))], default=default)
+
+
+def label_ends(numbered: DataFrame, names: list[str], default: int = 10) -> DataFrame:
+    """Rows with ``row_no`` and ``rows``, and ``t1``: the number of the row at which the longest of the named labels is known."""
+    return numbered.withColumn("t1", F.least(F.col("row_no") + largest_horizon(names, default), F.col("rows") - 1))
+
+
 def complete(targets: DataFrame, columns: list[str]) -> DataFrame:
     """Only rows where every target is known; with dead-band directions this also drops flat rows."""
     return targets.dropna(how="any", subset=columns)

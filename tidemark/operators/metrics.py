@@ -5,11 +5,10 @@ Ledgers are keyed by ``model``; every operator works on all models at once.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.draws import uniform
 from tidemark.functions.frames import EPS
 
 YEAR = 252.0
@@ -198,55 +197,36 @@ def best_setting(results: DataFrame, metric: str, columns: list[str], keys: tupl
     return results.groupBy(*keys).agg(F.max_by(F.struct(*columns, metric), order).alias("b")).select(*keys, "b.*")
 
 
-def draw(seed: int, *parts: str | Column) -> Column:
-    """A number in [0, 1) that depends on the row and the seed only, not on partitions."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-
-def bootstrap(trades: DataFrame, sims: int, seed: int = 42, keys: tuple[str, ...] = ("model",), id_col: str = "trade_id") -> DataFrame:
-    """Profit and mean of each of ``sims`` Poisson resamples.
-
-    Each trade gets its own Poisson(1) count in each simulation, so trades never meet in one task and
-    partial sums leave the tasks. For many trades this is the usual bootstrap.
-    """
-    u = draw(seed, F.col("sim"), F.col(id_col).cast("string"))
-    steps, p = [], 1 / 2.718281828459045
-    total = 0.0
-    for k in range(8):
-        total += p
-        steps.append((total, k))
-        p /= k + 1
-    count = reduce(lambda acc, s: F.when(u < s[0], F.lit(s[1])).otherwise(acc), reversed(steps), F.lit(8))
-    rows = trades.select(*keys, id_col, "net_pnl", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    rows = rows.withColumn("_c", count).where("_c > 0")
-    return rows.groupBy(*keys, "sim").agg(F.sum(F.col("net_pnl") * F.col("_c")).alias("net_pnl"), F.sum("_c").alias("trades"))
-
-
 def stress(trades: DataFrame, kind: str, level: float, sims: int = 1, seed: int = 7, keys: tuple[str, ...] = ("model",), id_col: str = "trade_id") -> DataFrame:
     """Profit of each simulation under one kind of stress.
 
     ``slippage``: costs times the level. ``dropout``: that share of trades is missed. ``adverse``: that share of
-    winners is missed. ``swan``: one trade in so many loses ten times its size. Draws depend on trade and simulation.
+    winners is missed. ``swan``: one trade in so many loses ten times its size. ``combined``: slippage times 3, 30 %
+    of trades and 20 % of winners missed, and the level's share of ten-fold losses. Draws depend on the
+    trade's whole number ``id_col`` and the simulation.
     """
-    rows = trades.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    u = draw(seed, F.col("sim"), F.col(id_col).cast("string"))
+    rows = trades.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
+    u = lambda k: uniform(seed + k, id_col, "sim")
     pnl = F.col("net_pnl")
+    swan = lambda x: F.when(u(0) < level, -10 * F.abs(x)).otherwise(x)
     if kind == "slippage":
-        rows = rows.withColumn("_p", pnl - F.col("slippage") * (level - 1))
+        out = pnl - F.col("slippage") * (level - 1)
     elif kind == "dropout":
-        rows = rows.withColumn("_p", F.when(u >= level, pnl))
+        out = F.when(u(0) >= level, pnl)
     elif kind == "adverse":
-        rows = rows.withColumn("_p", F.when((pnl <= 0) | (u >= level), pnl))
+        out = F.when((pnl <= 0) | (u(0) >= level), pnl)
     elif kind == "swan":
-        rows = rows.withColumn("_p", F.when(u < level, -10 * F.abs(pnl)).otherwise(pnl))
+        out = swan(pnl)
+    elif kind == "combined":
+        out = F.when((u(1) >= 0.3) & ((pnl <= 0) | (u(2) >= 0.2)), swan(pnl - F.col("slippage") * 2))
     else:
         raise ValueError(f"unknown stress {kind!r}")
-    return rows.groupBy(*keys, "sim").agg(F.sum("_p").alias("net_pnl"), F.count("_p").alias("trades"))
+    return rows.groupBy(*keys, "sim").agg(F.sum(out).alias("net_pnl"), F.count(out).alias("trades"))
 
 
 def simulation_summary(sims: DataFrame, x: str = "net_pnl", keys: tuple[str, ...] = ("model",)) -> DataFrame:
     q = lambda p: F.percentile(x, F.lit(p))
     return sims.groupBy(*keys).agg(
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q(0.5).alias("median"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"),
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), q(0.5).alias("median"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"),
         F.min(x).alias("min"), F.max(x).alias("max"), (F.count_if(F.col(x) > 0) / F.count(F.lit(1))).alias("prob_positive"),
     )

@@ -115,3 +115,10 @@ def lookahead_scan(df: DataFrame, columns: list[str], ret: str, keys: tuple[str,
     one = rows.agg(*[correlation(c, ret).alias(f"p_{c}") for c in columns], *[correlation(c, "_next").alias(f"f_{c}") for c in columns])
     out = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"p_{c}").alias("past"), F.col(f"f_{c}").alias("future")) for c in columns])).alias("r"))
     return out.select("r.*").withColumn("suspicious", F.coalesce(F.abs("future") > 0.3, F.lit(False)).cast("int"))
+
+
+def pick(df: DataFrame, names: list[str] = (), prefixes: tuple[str, ...] = (), horizon: int | None = None, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """Keys and the columns that are named, start with a prefix or end with the horizon's number, each once and in the table's order."""
+    ends = f"_{horizon}" if horizon is not None else None
+    chosen = [c for c in df.columns if c not in keys and (c in names or c.startswith(tuple(prefixes)) or (ends and c.endswith(ends)))]
+    return df.select(*keys, *chosen)

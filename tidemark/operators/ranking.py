@@ -15,13 +15,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import correlation
+from tidemark.functions.rows import sums_before, value_ranks
 from tidemark.operators.quality import long_form
 
 
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature, median``: exact medians from the counts of the distinct values."""
+    ranks = value_ranks(long_form(df, columns, []).where("x is not null"), ("feature",), "x")
+    sizes = ranks.groupBy("feature").agg(F.sum("n").alias("_all"))  # one row for each column
+    middle = ranks.join(F.broadcast(sizes), "feature")
+    covers = lambda k: (F.col("before") <= k) & (F.col("before") + F.col("n") > k)
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return middle.groupBy("feature").agg(((F.max(F.when(covers(low), F.col("x"))) + F.max(F.when(covers(high), F.col("x")))) / 2).alias("median"))
+
+
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls become the column's exact median."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    out = df.join(F.broadcast(medians))  # one row
+    one = medians(df, columns).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"_m_{c}") for c in columns])
+    out = df.join(F.broadcast(one))  # one row
     return out.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
@@ -59,19 +70,21 @@ def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Rank correlation of each column with the target, average ranks for ties."""
     rows = long_form(df.where(F.col(target).isNotNull()), columns, [target]).where("x is not null")
 
-    def ranked(c: str) -> F.Column:
-        w = Window.partitionBy("feature").orderBy(c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy("feature", c)) - 1) / 2
+    def ranked(rows: DataFrame, c: str, name: str) -> DataFrame:
+        ranks = value_ranks(rows, ("feature",), c)
+        return rows.join(ranks.select("feature", c, (F.col("before") + (F.col("n") + 1) / 2).alias(name)), ["feature", c])
 
-    rows = rows.withColumns({"_rx": ranked("x"), "_ry": ranked(target)})
+    rows = ranked(ranked(rows, "x", "_rx"), target, "_ry")
     return rows.groupBy("feature").agg(correlation("_rx", "_ry").alias("score"))
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 16) -> DataFrame:
-    """Information between each column, cut at its quantiles, and the classes of the target."""
+    """Information between each column, cut into bins of its ranks, and the classes of the target; equal values share a bin."""
     rows = long_form(df.where(F.col(target).isNotNull()), columns, [target]).where("x is not null")
-    cut = rows.withColumn("_b", F.ntile(bins).over(Window.partitionBy("feature").orderBy("x")))
-    n = cut.groupBy("feature", "_b", target).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sizes = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("_all"))  # one row for each column
+    binned = value_ranks(rows, ("feature",), "x").join(F.broadcast(sizes), "feature")
+    binned = binned.select("feature", "x", F.expr(f"before * {bins} div _all").alias("_b"))
+    n = rows.join(binned, ["feature", "x"]).groupBy("feature", "_b", target).agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     left, right = F.sum("n").over(Window.partitionBy("feature", "_b")), F.sum("n").over(Window.partitionBy("feature", target))
     part = F.col("n") / total * F.ln(F.col("n") * total / (left * right))
@@ -114,8 +127,7 @@ def auc(scored: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -
     """
     y = F.col(label).cast("double")
     by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by = by.withColumn("_below", F.sum("_neg").over(w) - F.col("_neg"))
+    by = sums_before(by, keys, score, F.col("_neg"), "_below")
     out = by.groupBy(*keys).agg(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_u"), F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nq"))
     return out.select(*keys, (F.col("_u") / F.nullif(F.col("_np") * F.col("_nq"), F.lit(0.0))).alias("auc"))
 

@@ -4,12 +4,13 @@ A fold is no frame aggregate. ``ema`` groups by symbol, sorts there and runs one
 filter per column. A long single series is split into chunks first: each chunk is folded with a
 zero start, which gives the pair (decay, sum) that carries a start value to its end; a prefix
 scan over the few chunk pairs yields every chunk's start, and the chunks are folded again with it.
-So no task holds more than a chunk.
+With ``long_series`` no task holds more than a chunk; without it the row numbers come from one sorted pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from tidemark.functions.rows import row_numbers
 
 CHUNK_ROWS = 200_000
+BLOCK_RANGE = 1e3  # how much the weights of a block differ at most
 
 
 def alpha_of(span: int) -> float:
@@ -31,14 +33,22 @@ def fold(x: np.ndarray, alpha: float, start: float | None) -> np.ndarray:
 
     A null keeps the average as it is, and nothing is known before the first value.
     """
-    out = np.empty(len(x))
-    last = np.nan if start is None else start
-    keep = 1.0 - alpha
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            last = v if last != last else alpha * v + keep * last
-        out[i] = last
-    return out
+    known = np.flatnonzero(~np.isnan(x))
+    if not len(known):
+        return np.full(len(x), np.nan if start is None else start)
+    values = x[known]
+    made, last, keep = np.empty(len(values)), values[0] if start is None else start, 1.0 - alpha
+    # within a block y[i] = keep ** (i + 1) * (last + sum of alpha * x[j] / keep ** (j + 1)); short ones keep the powers small
+    size = max(1, int(np.log(BLOCK_RANGE) / -np.log(keep))) if keep > 0 else 1
+    powers = keep ** np.arange(1, size + 1)
+    for at in range(0, len(values), size):
+        some = values[at : at + size]
+        p = powers[: len(some)]
+        made[at : at + size] = p * (last + np.cumsum(alpha * some / p)) if keep > 0 else some
+        last = made[min(at + size, len(values)) - 1]
+    # a null keeps the average before it
+    place = np.searchsorted(known, np.arange(len(x)), side="right") - 1
+    return np.where(place >= 0, made[np.maximum(place, 0)], np.nan if start is None else start)
 
 
 def ema(
@@ -51,6 +61,21 @@ def ema(
 ) -> DataFrame:
     """Add ``{new: (source column, span)}`` exponential averages.
 
+    See :func:`ema_by_rate`.
+    """
+    return ema_by_rate(df, {n: (c, alpha_of(s)) for n, (c, s) in columns.items()}, keys, order, chunk_rows, long_series)
+
+
+def ema_by_rate(
+    df: DataFrame,
+    sources: dict[str, tuple[str, float]],
+    keys: tuple[str, ...] = ("symbol",),
+    order: str = "ts",
+    chunk_rows: int = CHUNK_ROWS,
+    long_series: bool = False,
+) -> DataFrame:
+    """Add ``{new: (source column, rate)}`` exponential averages: each value moves the average by the rate's share.
+
     Rows are numbered by a window over each series; with ``long_series`` by range-partitioned pieces
     and their counts, so that no task sees a whole series.
     """
@@ -59,10 +84,11 @@ def ema(
     else:
         numbered = df.withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     chunked = numbered.withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("long")).drop("_number")
-    sources = {n: (c, alpha_of(s)) for n, (c, s) in columns.items()}
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in columns]])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in sources]])
     ends = _chunk_ends(chunked, sources, keys, order)
-    joined = chunked.join(ends, [*keys, "_chunk"], "left")
+    ends = ends.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, "_chunk")})
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_k_{k}")), keys, F.col("_chunk") == F.col("_k__chunk"))
+    joined = chunked.join(ends, same, "left").drop(*[f"_k_{k}" for k in (*keys, "_chunk")])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,12 +141,18 @@ class Limits:
     max_daily_trades: int = 10
     max_daily_loss: float = 1000.0
     max_consecutive_losses: int = 5
+    session: tuple[int, int] | None = None  # minutes of the day between which positions open and close, Monday to Friday
+
+
+def in_session(ts: pd.Timestamp, session: tuple[int, int] | None) -> bool:
+    return session is None or (session[0] <= ts.hour * 60 + ts.minute < session[1] and ts.weekday() < 5)
 
 
 def walk_one_position(frame: pd.DataFrame, limits: Limits, rules: Rules, contracts: int = 1) -> list[dict]:
     """Trades of one series with a single position at a time.
 
-    Slippage is part of both prices and is charged as a cost again, as the ledger's definition has it.
+    Slippage is part of both prices and is charged as a cost again, as the ledger's definition has it. Bars outside
+    the session count as held but change nothing.
     """
     slip = rules.slippage_ticks * rules.tick
     trades, position = [], None
@@ -154,6 +162,8 @@ def walk_one_position(frame: pd.DataFrame, limits: Limits, rules: Rules, contrac
     rows = list(zip(frame["ts"], frame["close"], frame["high"], frame["low"], frame["score"]))
     for i in range(len(rows) - limits.hold_bars - 1):
         ts, close, _, _, score = rows[i]
+        if not in_session(ts, limits.session):
+            continue
         day = ts.date()
         if position:
             moved = (close - position["entry_price"]) * position["side"]
@@ -193,14 +203,14 @@ def walk_one_position(frame: pd.DataFrame, limits: Limits, rules: Rules, contrac
 
 
 TRADE = (
-    "symbol string, entry_time timestamp_ntz, exit_time timestamp_ntz, direction string, contracts int, entry_price double, exit_price double, "
+    "symbol string, entry_time {time}, exit_time {time}, direction string, contracts int, entry_price double, exit_price double, "
     "gross_pnl double, net_pnl double, exit_reason string, bars_held int, mfe double, mae double"
 )
 
 
 def _per_series(df: DataFrame, keys: tuple[str, ...], run: Callable[[pd.DataFrame], list[dict]]) -> DataFrame:
     """A path-dependent walk over each group; groups are series, folds or strategies, not the whole table."""
-    schema = T._parse_datatype_string(TRADE)
+    schema = T.StructType.fromDDL(TRADE.format(time=df.schema["ts"].dataType.simpleString()))
     extra = [df.schema[k] for k in keys if k != "symbol"]
     full = T.StructType([*schema.fields, *extra])
 
@@ -249,53 +259,86 @@ def reentry_trades(signals: DataFrame, rules: Rules, keys: tuple[str, ...] = ("s
     return _per_series(signals, keys, lambda frame: walk_reentry(frame, rules.holding, rules.tp_atr, rules.sl_atr, rules))
 
 
-def strategy_grid_returns(scored: DataFrame, grid: DataFrame, holding: int = 30, stop: float = 2.0, target: float = 3.0, cost: float = 0.0005) -> DataFrame:
-    """Per-bar returns of each threshold strategy: one position, ATR exits, costs split over entry and exit.
+@dataclass(frozen=True)
+class GridRules:
+    """Exits, sizes and costs of the threshold strategies. The defaults are fixed values."""
+
+    stop_atr: float = 2.0
+    target_atr: float = 3.0
+    hold_bars: int = 30
+    cost: float = 0.0005  # of a round trip
+    base_contracts: int = 1
+    max_contracts: int = 3
+
+
+def _held_bars(side: int, entry: float, atr: float, high: np.ndarray, low: np.ndarray, rules: GridRules) -> int | None:
+    """How many bars a position stays, given the bars after the one that follows its entry; None: beyond them."""
+    down, up = (rules.stop_atr, rules.target_atr) if side > 0 else (rules.target_atr, rules.stop_atr)
+    touched = (low <= entry * (1 - down * atr / entry)) | (high >= entry * (1 + up * atr / entry))
+    touched = touched[: rules.hold_bars]
+    if touched.any():
+        return int(touched.argmax()) + 1
+    return rules.hold_bars if len(touched) == rules.hold_bars else None
+
+
+def grid_positions(frame: pd.DataFrame, rules: GridRules) -> np.ndarray:
+    """Return of each bar of one strategy: positions open at a bar's close and follow the next bars' returns.
 
-    ``grid`` (``strategy, long_above, short_below``) is a parameter table; it is replicated to the series.
+    The volatility gate and one breakout threshold open a position, the higher probability where both sides
+    pass. Half of the cost falls on the bar of entry and half on the bar before the exit's prices.
+    """
+    close, high, low, atr, expected, vol, up, down = (frame[c].to_numpy(float) for c in ("close", "high", "low", "atr", "predicted_atr", "vol_p", "up_p", "down_p"))
+    n, least = len(close), frame["min_breakout"].iloc[0]
+    rise, fall = up >= least, down >= least
+    side = np.where(rise & (~fall | (up > down)), 1, np.where(fall, -1, 0)) * (vol >= frame["min_vol"].iloc[0]) * ~(np.isnan(atr) | np.isnan(expected))
+    size = np.clip(np.floor(rules.base_contracts * np.clip(atr / (expected + EPS), 0.5, 2.0)), 1, rules.max_contracts) / rules.base_contracts
+    out, starts, at = np.zeros(n), np.flatnonzero(side[: max(0, n - 1)]), 0
+    while (k := int(np.searchsorted(starts, at))) < len(starts):
+        e = int(starts[k])
+        s, scale = int(side[e]), float(size[e])
+        held = _held_bars(s, close[e], atr[e], high[e + 2 :], low[e + 2 :], rules)
+        last = n - 2 if held is None else e + held
+        out[e] -= rules.cost * scale / 2
+        out[e + 1 : last + 1] += s * scale * (close[e + 2 : last + 2] / close[e + 1 : last + 1] - 1)
+        out[n - 1 if held is None else last] -= rules.cost * scale / 2
+        at = last + 1
+    return out
+
+
+def strategy_grid_returns(scored: DataFrame, grid: DataFrame, rules: GridRules = GridRules()) -> DataFrame:
+    """``symbol, strategy, ts, ret``: per-bar returns of each pair of a volatility and a breakout threshold.
+
+    ``scored`` has bars with ``vol_p, up_p, down_p, atr, predicted_atr``; ``grid`` (``strategy, min_vol, min_breakout``)
+    is a parameter table. One position at a time depends on its own past, so a task walks one series of one strategy.
     """
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts", kind="stable").reset_index(drop=True)
-        up, down = frame["long_above"].iloc[0], frame["short_below"].iloc[0]
-        close, score, atr = (frame[c].to_list() for c in ("close", "score", "atr"))
-        out, side, entry, since, level = [0.0] * len(close), 0, 0.0, 0, 0.0
-        for i in range(1, len(close)):
-            if side:
-                out[i] += side * (close[i] / close[i - 1] - 1)
-                moved = (close[i] - entry) * side
-                if moved <= -stop * level or moved >= target * level or i - since >= holding:
-                    out[i] -= cost / 2
-                    side = 0
-                    continue
-            if not side and score[i] == score[i] and atr[i] == atr[i]:
-                side = 1 if score[i] > up else -1 if score[i] < down else 0
-                if side:
-                    entry, since, level = close[i], i, atr[i]
-                    out[i] -= cost / 2
-        return frame[["symbol", "strategy", "ts"]].assign(ret=out)
+        return frame[["symbol", "strategy", "ts"]].assign(ret=grid_positions(frame, rules))
 
     kind = scored.schema["ts"].dataType.simpleString()
-    pairs = scored.select("symbol", "ts", "close", "score", "atr").join(F.broadcast(grid))  # a parameter table
+    pairs = scored.select("symbol", "ts", "high", "low", "close", "vol_p", "up_p", "down_p", "atr", "predicted_atr").join(F.broadcast(grid))  # a parameter table
     return pairs.groupBy("symbol", "strategy").applyInPandas(walk, f"symbol string, strategy int, ts {kind}, ret double")
 
 
 def excursions(trades: DataFrame, bars: DataFrame, rules: Rules) -> DataFrame:
-    """Best and worst excursion of each trade in money and ticks, from the bars it was open.
+    """Best and worst excursion of each trade in money and ticks, from the bars it was open; null where there is none.
 
-    Trades and bars meet by day: a trade is spread over the days it was open, never over all bars.
+    Trades and bars meet by day: a trade is spread over the days it was open, never over all bars. Equal
+    trades have equal excursions, so they are looked up once and each keeps its row.
     """
-    keyed = trades.withColumn("_id", F.monotonically_increasing_id())
-    spread = keyed.withColumn("_day", F.explode(F.sequence(F.to_date("entry_time"), F.to_date("exit_time"))))
+    keys = ["symbol", "entry_time", "exit_time", "direction", "contracts", "entry_price"]
+    spread = trades.select(*keys).distinct().withColumn("_day", F.explode(F.sequence(F.to_date("entry_time"), F.to_date("exit_time"))))
     b = bars.select(F.col("symbol").alias("_s"), F.col("ts").alias("_ts"), F.to_date("ts").alias("_day"), "high", "low")
-    met = spread.join(b, (spread["symbol"] == b["_s"]) & (spread["_day"] == b["_day"]) & (F.col("_ts") >= F.col("entry_time")) & (F.col("_ts") <= F.col("exit_time")))
+    open_then = (spread["symbol"] == b["_s"]) & (spread["_day"] == b["_day"]) & (F.col("_ts") >= F.col("entry_time")) & (F.col("_ts") <= F.col("exit_time"))
     top, bottom = F.max("high") - F.first("entry_price"), F.first("entry_price") - F.min("low")
     long = F.first("direction") == "LONG"
-    keys = ["symbol", "entry_time", "exit_time", "direction", "contracts", "entry_price"]
-    found = met.groupBy(*keys).agg(F.when(long, top).otherwise(bottom).alias("_f"), F.when(long, bottom).otherwise(top).alias("_a"))
-    f, a = F.greatest("_f", F.lit(0.0)), F.greatest("_a", F.lit(0.0))
-    money = rules.point_value * F.col("contracts")
-    return found.select(*keys, (f * money).alias("mfe"), (a * money).alias("mae"), (f / rules.tick).alias("mfe_ticks"), (a / rules.tick).alias("mae_ticks"))
+    found = spread.join(b, open_then).groupBy(*keys).agg(F.when(long, top).otherwise(bottom).alias("_f"), F.when(long, bottom).otherwise(top).alias("_a"))
+    found = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.greatest("_f", F.lit(0.0)).alias("_f"), F.greatest("_a", F.lit(0.0)).alias("_a"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_k_{k}")), keys, F.lit(True))
+    money, f, a = rules.point_value * F.col("contracts"), F.col("_f"), F.col("_a")
+    out = trades.select(*keys).join(found, same, "left")
+    return out.select(*keys, (f * money).alias("mfe"), (a * money).alias("mae"), (f / rules.tick).alias("mfe_ticks"), (a / rules.tick).alias("mae_ticks"))
 
 
 def meta_size(prob: str, method: str = "linear", floor: float = 0.55, largest: float = 1.0) -> Column:

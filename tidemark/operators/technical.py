@@ -197,7 +197,7 @@ def realised_volatility(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 21),
     ).drop("_r", "_hl")
 
 
-def hurst(bars: DataFrame, periods: tuple[int, ...] = (20, 50), frames: Frames = FRAMES) -> DataFrame:
+def hurst(bars: DataFrame, periods: tuple[int, ...] = (20, 50, 100), frames: Frames = FRAMES) -> DataFrame:
     run = hurst_udf()
     out = bars.withColumn("_r", simple_return(1, frames))
     out = out.withColumns({f"_v{n}": frames.values("_r", n) for n in periods})

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import normal
 from tidemark.functions.frames import EPS, correlation
-from tidemark.operators.metrics import draw
+from tidemark.functions.draws import uniform
 
 
 def autocorrelations(series: DataFrame, x: str, lags: int, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
@@ -49,6 +48,21 @@ def moments(series: DataFrame, x: str, keys: tuple[str, ...] = ("symbol",), year
     return out.withColumn("sharpe", F.col("mean") / F.nullif(F.col("std"), F.lit(0.0)) * F.lit(math.sqrt(year)))
 
 
+def deflated_by_logs(moment_rows: DataFrame, trials: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``sharpe, expected_max, statistic, p_value`` with the asymptotic expansion of the largest of ``trials`` normal values."""
+    root = math.sqrt(2 * math.log(trials)) if trials > 1 else 0.0
+    top = root - (normal.EULER + math.log(2 * math.log(trials))) / (2 * root) if trials > 1 else 0.0
+    s, g = F.col("sharpe"), F.col("skew")
+    error = F.sqrt((1 + 0.5 * s * s - g * s + F.col("kurtosis") / 4 * s * s) / (F.col("n") - 1))
+    out = moment_rows.withColumns({"expected_max": F.lit(top), "statistic": (s - top) / (error + EPS)})
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: 1 - normal.cdf(v), na_action="ignore")
+
+    return out.select(*keys, "sharpe", "expected_max", "statistic", tail("statistic").alias("p_value"))
+
+
 @dataclass(frozen=True)
 class Deflated:
     observed: float
@@ -112,9 +126,10 @@ def symmetric_splits(block_rows: DataFrame, n: int, keys: tuple[str, ...] = ("sy
     All C(n, n/2) halves are combined from each block's count, sum and sum of squares; the series itself is
     read once. ``n`` bounds the halves, not the data.
     """
-    spark = block_rows.sparkSession
-    halves = spark.createDataFrame([(i, b, int(b in c)) for i, c in enumerate(combinations(range(n), n // 2)) for b in range(n)], "split int, block int, inside int")
-    met = block_rows.join(F.broadcast(halves), "block")  # n * C(n, n/2) rows
+    splits = block_rows.sparkSession.range(1 << n).where(F.bit_count("id") == n // 2).select(F.col("id").alias("split"))
+    halves = splits.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    halves = halves.withColumn("inside", F.expr("shiftright(split, block) & 1"))
+    met = block_rows.join(halves, "block")  # n * C(n, n/2) rows for each series
     pick = lambda c, v: F.sum(F.when(F.col("inside") == v, F.col(c)))
     sums = met.groupBy(*keys, "split").agg(*[pick(c, v).alias(f"{c}{v}") for c in ("n", "s", "ss") for v in (0, 1)])
     worse = (_ratio("n1", "s1", "ss1") > _ratio("n0", "s0", "ss0")).cast("int")
@@ -145,13 +160,16 @@ def rank_overfit(performance: DataFrame, path: str, strategy: str, inside: str,
     return best.agg(F.avg((F.col("_w") <= 0.5).cast("int")).alias("pbo"), F.avg(logit).alias("mean_logit"), F.count(F.lit(1)).alias("paths"))
 
 
-def random_half_overfit(returns: DataFrame, trials: int, seed: int = 11, period: str = "period", strategy: str = "strategy", ret: str = "ret") -> DataFrame:
-    """Overfit probability over random halves of the periods; halves depend on period, trial and seed only."""
-    rows = returns.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    rows = rows.withColumn("_in", draw(seed, F.col("trial"), F.col(period).cast("string")) < 0.5)
+def random_half_overfit(returns: DataFrame, trials: int = 1000, seed: int = 11, period: str = "period", strategy: str = "strategy", ret: str = "ret") -> DataFrame:
+    """Overfit probability over random halves of the periods (whole numbers); halves depend on period, trial and seed only.
+
+    Ratios are compared to nine places, so strategies with the same trades are equals.
+    """
+    rows = returns.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    rows = rows.withColumn("_in", uniform(seed, period, "trial") < 0.5)
     perf = rows.groupBy("trial", strategy).agg(
-        (F.avg(F.when(F.col("_in"), F.col(ret))) / (F.stddev_pop(F.when(F.col("_in"), F.col(ret))) + EPS)).alias("inside"),
-        (F.avg(F.when(~F.col("_in"), F.col(ret))) / (F.stddev_pop(F.when(~F.col("_in"), F.col(ret))) + EPS)).alias("outside"),
+        F.round(F.avg(F.when(F.col("_in"), F.col(ret))) / (F.stddev_pop(F.when(F.col("_in"), F.col(ret))) + EPS), 9).alias("inside"),
+        F.round(F.avg(F.when(~F.col("_in"), F.col(ret))) / (F.stddev_pop(F.when(~F.col("_in"), F.col(ret))) + EPS), 9).alias("outside"),
     )
     return rank_overfit(perf, "trial", strategy, "inside", "outside")
 

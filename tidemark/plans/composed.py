@@ -9,14 +9,15 @@ from tidemark.operators import labels as L
 from tidemark.operators import metrics as G
 from tidemark.operators import ranking as A
 from tidemark.operators import signals as X
+from tidemark.operators import simulations as M
 from tidemark.operators import splits as V
 from tidemark.operators import validation as S
 from tidemark.operators import vectors
 from tidemark.plans.catalog import add, hour_bars, on_bars, shown
 from tidemark.plans.features import DAILY, below_share, daily_levels, mean_of
 from tidemark.plans.indicators import EPS, TR, frame_list, ret
-from tidemark.plans.research import LEDGER, RULES, ledger, scored
-from tidemark.plans.sql import flag, lag, roll, statement
+from tidemark.plans.research import CENT_SHIFT, DAYPNL, LEDGER, RULES, SIMS, ledger, runs_sql, scored
+from tidemark.plans.sql import flag, lag, roll, statement, uniform
 from tidemark.plans.statistics import FEAT, MODEL, featured
 
 CLIP = lambda x, a, b: f"least(greatest({x}, {a}), {b})"
@@ -128,8 +129,22 @@ add(
     m AS (SELECT avg(auc) AS mean, stddev_samp(auc) AS std, count(auc) AS folds FROM a)
     SELECT round(mean, 6) AS mean, round(std, 6) AS std, round((mean - 0.5) / (std / sqrt(folds)), 6) AS t, round(mean - 1.96 * std / sqrt(folds), 6) AS ci_low, round(mean + 1.96 * std / sqrt(folds), 6) AS ci_high, folds FROM m""",
 )
-add("bootstrap_sharpe", lambda s, d: K.bootstrap_sharpe(G.daily_pnl(ledger(s, d)), "pnl", 200))
-add("bootstrap_total", lambda s, d: K.bootstrap_total(ledger(s, d), 200))
+_U = uniform(42, "nth", "sim")
+add(
+    "bootstrap_sharpe",
+    lambda s, d: K.bootstrap_sharpe(G.daily_pnl(ledger(s, d)), "pnl", SIMS).select("model", *[F.round(c, 6).alias(c) for c in ("sharpe", "ci_low", "ci_high")]),
+    f"""WITH {DAYPNL}, num AS (SELECT model, pnl, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS nth, count(*) OVER (PARTITION BY model) AS n FROM days),
+    d AS (SELECT model, sim, CAST(floor({_U} * n) AS BIGINT) AS pick FROM num, (SELECT unnest(range({SIMS})) AS sim)),
+    r AS (SELECT d.model, sim, avg(pnl) / (stddev_pop(pnl) + {EPS}) * sqrt(252) AS x FROM d JOIN num p ON p.model = d.model AND p.nth = d.pick GROUP BY ALL),
+    t AS (SELECT model, avg(pnl) / (stddev_pop(pnl) + {EPS}) * sqrt(252) AS sharpe FROM days GROUP BY model)
+    SELECT model, round(any_value(sharpe), 6) AS sharpe, round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high FROM r JOIN t USING (model) GROUP BY model""",
+)
+add(
+    "bootstrap_total",
+    lambda s, d: K.bootstrap_total(ledger(s, d), SIMS).select("model", *[F.round(F.col(c) + CENT_SHIFT, 2).alias(c) for c in ("net_pnl", "ci_low", "ci_high")]),
+    f"""WITH {runs_sql(M.BOOTSTRAP)}, t AS (SELECT model, sum(net_pnl) AS net_pnl FROM trades GROUP BY model)
+    SELECT model, round(any_value(net_pnl) + {CENT_SHIFT}, 2) AS net_pnl, round(quantile_cont(x, 0.025) + {CENT_SHIFT}, 2) AS ci_low, round(quantile_cont(x, 0.975) + {CENT_SHIFT}, 2) AS ci_high FROM r JOIN t USING (model) GROUP BY model""",
+)
 add("direction_leak", lambda s, d: A.direction_leak(V.holdout(V.numbered(featured(s, d)), 0.3).withColumn("fold", F.lit(0)), MODEL, "target_direction_1").select("direction", "auc"))
 
 

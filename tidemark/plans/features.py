@@ -415,11 +415,11 @@ add(
     lambda s, d: shown(J.asof(hour_bars(s, d), error_events(s, d).select(F.col("event_type").alias("_t"), "ts", "value").drop("_t"), ["value"], by=()), ["close", "value"]),
     f"WITH {BARS} SELECT symbol, bars.ts AS ts, round(close + 1.3e-7, 6) AS close, round(e.value + 1.3e-7, 6) AS value FROM bars ASOF LEFT JOIN {CLICKS} e ON bars.ts >= e.ts",
 )
-DAYS = "daily_errors AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS err_mean, CAST(count(*) AS DOUBLE) AS err_count FROM events WHERE event_type = 'error' AND dayofyear(ts) % 3 <> 0 GROUP BY 1)"
+DAYS = "daily_errors AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS err_mean, CAST(count(*) AS DOUBLE) AS err_count FROM events WHERE event_type = 'error' GROUP BY 1)"
 
 
 def daily_errors(spark, sf_dir):
-    rows = error_events(spark, sf_dir).where(F.dayofyear("ts") % 3 != 0)
+    rows = error_events(spark, sf_dir)
     return rows.groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("err_mean"), F.count(F.lit(1)).cast("double").alias("err_count"))
 
 
@@ -475,7 +475,7 @@ add(
 add(
     "outer_daily_merge",
     lambda s, d: J.outer_by_day(daily_errors(s, d), _daily_views(s, d)).select("date", *[F.round(c, 6).alias(c) for c in ("err_mean", "err_count", "view_mean")]),
-    f"""WITH {DAYS}, v AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS view_mean FROM events WHERE event_type = 'view' AND dayofyear(ts) % 4 <> 0 GROUP BY 1),
+    f"""WITH {DAYS}, v AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS view_mean FROM events WHERE event_type = 'view' GROUP BY 1),
     j AS (SELECT coalesce(e.date, v.date) AS date, err_mean, err_count, view_mean FROM daily_errors e FULL JOIN v ON e.date = v.date)
     SELECT date, """
     + ", ".join(f"round(last_value({c} IGNORE NULLS) OVER (ORDER BY date), 6) AS {c}" for c in ("err_mean", "err_count", "view_mean"))
@@ -484,7 +484,7 @@ add(
 
 
 def _daily_views(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_type = 'view'").where(F.dayofyear("ts") % 4 != 0)
+    rows = table(spark, sf_dir, "events").where("event_type = 'view'")
     return rows.groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("view_mean"))
 
 

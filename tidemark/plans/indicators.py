@@ -8,7 +8,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import price as P
 from tidemark.operators import technical as T
 from tidemark.plans.catalog import add, hour_bars, on_bars, shown
-from tidemark.plans.sql import BARS, ema_ctes, flag, lag, quantile, roll, running, statement
+from tidemark.plans.sql import BARS, ema_ctes, flag, lag, over, quantile, roll, running, statement
 
 OHLC = ["open", "high", "low", "close"]
 TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
@@ -244,17 +244,34 @@ VP = ["rel_volume_20", "volume_roc_5", "volume_trend", "pvt"]
 add("volume_profile", on_bars(lambda b: T.volume_profile(b).withColumn("pvt", F.round("pvt", 3)), VP), statement(VOLUME, VP))
 RV = [
     {"r": f"ln(close / nullif({lag('close')}, 0))", "hl": "pow(ln(high / nullif(low, 0)), 2)"},
-    {f"rv_{n}": f"{roll('stddev_samp', 'r', n)} * sqrt(252.0)" for n in (5, 10, 21)}
-    | {f"parkinson_{n}": f"sqrt({roll('avg', 'hl', n)} / (4 * ln(2.0)))" for n in (5, 10, 21)},
+    {f"rv_{n}": f"{roll('stddev_samp', 'r', n)} * sqrt(252.0)" for n in (5, 10, 21, 63)}
+    | {f"parkinson_{n}": f"sqrt({roll('avg', 'hl', n)} / (4 * ln(2.0)))" for n in (5, 10, 21, 63)},
 ]
-add("rv_parkinson", on_bars(T.realised_volatility, list(RV[1])), statement(RV, list(RV[1])))
+add("rv_parkinson", on_bars(lambda b: T.realised_volatility(b, (5, 10, 21, 63)), list(RV[1])), statement(RV, list(RV[1])))
 QUANT = {"q25": quantile("close", 20, 0.25), "q50": quantile("close", 20, 0.5), "q90": quantile("close", 20, 0.9)}
 add(
     "rolling_percentile",
     on_bars(lambda b: b.withColumns({n: T.FRAMES.quantile("close", 20, p) for n, p in (("q25", 0.25), ("q50", 0.5), ("q90", 0.9))}), list(QUANT)),
     statement([QUANT], list(QUANT)),
 )
-add("hurst", on_bars(T.hurst, ["hurst_20", "hurst_50"]))
+HURST = (20, 50, 100)
+
+
+def hurst_sql() -> str:
+    """Rescaled ranges of the prefixes of each window, and the slope of their logarithms."""
+    steps = [f"v{n} AS (SELECT symbol, ts, CASE WHEN count(r) {over(n)} = {n} THEN list(r) {over(n)} END AS v FROM r)" for n in HURST]
+    for n in HURST:
+        steps += [
+            f"p{n} AS (SELECT symbol, ts, k, v[1:k] AS part FROM (SELECT *, unnest(range(8, {n + 1}, 4)) AS k FROM v{n} WHERE v IS NOT NULL))",
+            f"w{n} AS (SELECT *, list_transform(range(1, k + 1), lambda i: list_sum(part[1:i]) - i * list_avg(part)) AS walk FROM p{n})",
+            f"s{n} AS (SELECT symbol, ts, ln(k) AS a, ln((list_max(walk) - list_min(walk)) / list_stddev_pop(part)) AS b FROM w{n} WHERE list_stddev_pop(part) > 0 AND list_max(walk) > list_min(walk))",
+            f"h{n} AS (SELECT symbol, ts, CASE WHEN count(*) >= 3 THEN least(greatest(regr_slope(b, a), 0.0), 1.0) END AS hurst_{n} FROM s{n} GROUP BY symbol, ts)",
+        ]
+    joins = " ".join(f"LEFT JOIN h{n} USING (symbol, ts)" for n in HURST)
+    return f"WITH {BARS}, r AS (SELECT *, {ret(1)} AS r FROM bars), " + ", ".join(steps) + f" SELECT symbol, ts, {', '.join(f'round(hurst_{n} + 1.3e-7, 6) AS hurst_{n}' for n in HURST)} FROM bars {joins}"
+
+
+add("hurst", on_bars(T.hurst, [f"hurst_{n}" for n in HURST]), hurst_sql())
 
 
 def flagship(spark, sf_dir):

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as G
 from tidemark.operators import price as P
+from tidemark.operators import quality as Q
 from tidemark.operators import signals as X
+from tidemark.operators import simulations as M
 from tidemark.operators import splits as V
 from tidemark.operators import technical as T
-from tidemark.plans.catalog import add, hour_bars, on_bars, shown, table
+from tidemark.plans.catalog import TIE_SHIFT, add, hour_bars, on_bars, shown, table
 from tidemark.plans.indicators import EPS, TR, ret
-from tidemark.plans.sql import BARS, ahead, flag, lag, over, quantile, roll, statement
+from tidemark.plans.sql import BARS, ahead, flag, lag, over, quantile, roll, statement, uniform
 
 LEADC = lambda k: f"lead(close, {k}) OVER (PARTITION BY symbol ORDER BY ts)"
 
@@ -201,6 +203,33 @@ add(
     SELECT symbol, ts, CAST(steps AS INTEGER) AS steps, round(c, 4) AS checksum FROM q WHERE steps = 10""",
 )
 
+STRATEGY = [
+    {"r": ret(1)},
+    {
+        "strategy_vol_expansion": flag(f"{ahead('stddev_samp', 'r', 10)} > {roll('stddev_samp', 'r', 10)} * 1.2"),
+        "strategy_direction": flag(f"{LEADC(10)} > close"),
+        "strategy_breakout_up": flag(f"{ahead('max', 'high', 10)} > {roll('max', 'high', 20)}"),
+        "strategy_breakout_down": flag(f"{ahead('min', 'low', 10)} < {roll('min', 'low', 20)}"),
+    },
+]
+add("targets_strategy", on_bars(L.strategy_targets, [], list(STRATEGY[1])), statement(STRATEGY, [], list(STRATEGY[1])))
+add(
+    "column_pick",
+    lambda s, d: shown(Q.pick(L.strategy_targets(T.moving_averages(hour_bars(s, d), (5, 20))), ["close"], ("strategy_",), 20).select("symbol", "ts", "close", "sma_20", *STRATEGY[1]), ["close", "sma_20"], list(STRATEGY[1])),
+    statement([{"sma_20": roll("avg", "close", 20)}, *STRATEGY], ["close", "sma_20"], list(STRATEGY[1])),
+)
+add(
+    "label_ends",
+    lambda s, d: L.label_ends(numbered(s, d), ["vol_expansion_5", "new_high_10", "new_low_10"]).select("symbol", "ts", F.col("t1").cast("int").alias("t1")),
+    f"WITH {BARS} SELECT symbol, ts, CAST(least(row_number() {over()} - 1 + 10, count(*) OVER (PARTITION BY symbol) - 1) AS INTEGER) AS t1 FROM bars",
+)
+add(
+    "cpcv_by_bars",
+    lambda s, d: members(V.combinatorial(numbered(s, d), 6, 2, None, 0.01, 0.01)),
+    CP.replace("NOT (g = a OR g = b) AND t1 <= size * a AS kept", "NOT (g = a OR g = b) AND NOT (row_no >= size * a - emb AND row_no < size * a) AS kept")
+    + " SELECT symbol, ts, CAST(fold AS INTEGER) AS fold, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM j WHERE test OR (kept AND NOT (row_no > last AND row_no <= last + emb))",
+)
+
 # ---- signals and trades
 RULES = X.Rules(min_vol=0.40, min_breakout=0.45, tp_atr=2.5, sl_atr=1.25, base_contracts=2, max_contracts=5)  # the served model's
 
@@ -299,15 +328,103 @@ add(
     + """) SELECT symbol, entry_time, CAST(direction AS INTEGER) AS direction, contracts, round(entry_price, 4) AS entry_price, round(exit_price, 4) AS exit_price,
     round((exit_price - entry_price) * direction * 50.0 * contracts - 1.29 * 2 * contracts - 0.5 * 0.25 * 50.0 * 2 * contracts, 4) AS net_pnl FROM q WHERE direction <> 0""",
 )
-add("trade_sim_one_position", lambda s, d: X.one_position_trades(scored(s, d).withColumn("score", F.col("vol_p")), X.Limits(), RULES))
-add("trade_sim_reentry", lambda s, d: X.reentry_trades(signals(s, d).withColumn("atr", F.col("atr_14")), RULES))
-
-
-def grid(spark):
-    return spark.createDataFrame([(i, 0.5 + i / 20, 0.5 - i / 20) for i in range(5)], "strategy int, long_above double, short_below double")
-
-
-add("strategy_grid_returns", lambda s, d: X.strategy_grid_returns(scored(s, d).withColumns({"score": F.col("vol_p"), "atr": F.col("atr_14")}), grid(s)))
+# ---- one position at a time: recursive steps along the bars of each series
+WALKED = statement(signal_layers("weighted"), [], []).rsplit("\nSELECT", 1)[0] + f",\nb AS (SELECT *, row_number() {over()} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM l5)"
+TRADED = ["entry_price", "exit_price", "gross_pnl", "net_pnl"]
+SESSION = (570, 960)
+
+
+def one_position_sql(session: tuple[int, int] | None) -> str:
+    x = X.Limits()
+    is_open = f"(hour(b.ts) * 60 + minute(b.ts) >= {session[0]} AND hour(b.ts) * 60 + minute(b.ts) < {session[1]} AND isodow(b.ts) <= 5)" if session else "true"
+    slip = RULES.slippage_ticks * RULES.tick
+    moved = "(close - entry) * side"
+    return f"""{WALKED},
+w AS (
+  SELECT DISTINCT symbol, -1::BIGINT AS i, 0 AS side, 0.0::DOUBLE AS entry, 0::BIGINT AS bar, NULL::TIMESTAMP AS since, 0.0::DOUBLE AS top, 0.0::DOUBLE AS bottom, NULL::DATE AS today, 0 AS taken, 0.0::DOUBLE AS lost, 0 AS streak,
+    NULL::VARCHAR AS reason, NULL::TIMESTAMP AS closed, 0.0::DOUBLE AS price, 0.0::DOUBLE AS net, 0 AS was, 0.0::DOUBLE AS entered, 0::BIGINT AS held, NULL::TIMESTAMP AS opened, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM b
+  UNION ALL
+  SELECT symbol, i, CASE WHEN why IS NOT NULL THEN 0 WHEN goes <> 0 THEN goes ELSE side END, CASE WHEN goes <> 0 THEN close + {slip} * goes ELSE entry END, CASE WHEN goes <> 0 THEN i ELSE bar END,
+    CASE WHEN goes <> 0 THEN ts ELSE since END, CASE WHEN goes <> 0 THEN high ELSE greatest(top, high) END, CASE WHEN goes <> 0 THEN low ELSE least(bottom, low) END,
+    CAST(ts AS DATE), taken + abs(goes), lost + CASE WHEN why IS NOT NULL THEN least(0.0, result) ELSE 0.0 END, CASE WHEN why IS NULL THEN streak WHEN result < 0 THEN streak + 1 ELSE 0 END,
+    why, ts, close - {slip} * side, result, side, entry, i - bar, since, greatest(top, high) - entry, entry - least(bottom, low)
+  FROM (
+    SELECT *, ((close - {slip} * side) - entry) * side * {RULES.point_value} - {RULES.commission} * 2 - {slip} * {RULES.point_value} * 2 AS result,
+      CASE WHEN side = 0 AND is_open AND taken < {x.max_daily_trades} AND abs(lost) < {x.max_daily_loss} AND streak < {x.max_consecutive_losses} AND abs(vol_p - 0.5) >= {x.min_strength}
+        THEN CASE WHEN vol_p > {x.long_above} THEN 1 WHEN vol_p < {x.short_below} THEN -1 ELSE 0 END ELSE 0 END AS goes,
+      CASE WHEN side <> 0 AND is_open THEN CASE WHEN {moved} <= {-x.stop_ticks * RULES.tick} THEN 'stop' WHEN i - bar >= {x.hold_bars} THEN 'hold' WHEN {moved} >= {x.target_ticks * RULES.tick} THEN 'target' END END AS why
+    FROM (SELECT w.symbol, b.i, w.side, w.entry, w.bar, w.since, w.top, w.bottom, w.streak, b.ts, b.close, b.high, b.low, b.vol_p, {is_open} AS is_open,
+        CASE WHEN w.today = CAST(b.ts AS DATE) THEN w.taken ELSE 0 END AS taken, CASE WHEN w.today = CAST(b.ts AS DATE) THEN w.lost ELSE 0.0 END AS lost
+      FROM w JOIN b ON b.symbol = w.symbol AND b.i = w.i + 1 WHERE b.i < b.n - {x.hold_bars + 1}) q) p)
+SELECT symbol, opened AS entry_time, closed AS exit_time, CASE WHEN was > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, round(entered, 6) AS entry_price, round(price, 6) AS exit_price,
+  round((price - entered) * was * {RULES.point_value}, 6) AS gross_pnl, round(net, 6) AS net_pnl, reason AS exit_reason, CAST(held AS INTEGER) AS bars_held,
+  round(greatest(0.0, CASE WHEN was > 0 THEN up ELSE down END) * {RULES.point_value}, 4) AS mfe, round(greatest(0.0, CASE WHEN was > 0 THEN down ELSE up END) * {RULES.point_value}, 4) AS mae
+FROM w WHERE reason IS NOT NULL"""
+
+
+for name, session in (("trade_sim_one_position", None), ("trade_sim_session", SESSION)):
+    add(
+        name,
+        lambda s, d, k=session: X.one_position_trades(scored(s, d).withColumn("score", F.col("vol_p")), X.Limits(session=k), RULES).select(
+            "symbol", "entry_time", "exit_time", "direction", *[F.round(c, 6).alias(c) for c in TRADED], "exit_reason", "bars_held", *[F.round(c, 4).alias(c) for c in ("mfe", "mae")]
+        ),
+        one_position_sql(session),
+    )
+add(
+    "trade_sim_reentry",
+    lambda s, d: X.reentry_trades(signals(s, d).withColumn("atr", F.col("atr_14")), RULES).select(
+        "symbol", "entry_time", "exit_time", "direction", *[F.round(c, 6).alias(c) for c in TRADED], "exit_reason", "bars_held"
+    ),
+    f"""{WALKED},
+w AS (
+  SELECT DISTINCT symbol, -1::BIGINT AS i, 0 AS side, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS tp, 0.0::DOUBLE AS sl, 0::BIGINT AS bar, NULL::TIMESTAMP AS since,
+    NULL::VARCHAR AS reason, NULL::TIMESTAMP AS closed, 0.0::DOUBLE AS price, 0 AS was, 0.0::DOUBLE AS entered, 0::BIGINT AS held, NULL::TIMESTAMP AS opened FROM b
+  UNION ALL
+  SELECT symbol, i, CASE WHEN goes THEN direction WHEN why IS NOT NULL THEN 0 ELSE side END, CASE WHEN goes THEN close ELSE entry END,
+    CASE WHEN goes THEN close + {RULES.tp_atr} * atr_14 * direction ELSE tp END, CASE WHEN goes THEN close - {RULES.sl_atr} * atr_14 * direction ELSE sl END, CASE WHEN goes THEN i ELSE bar END,
+    CASE WHEN goes THEN ts ELSE since END, why, ts, CASE why WHEN 'tp' THEN tp WHEN 'sl' THEN sl ELSE close END, side, entry, i - bar, since
+  FROM (SELECT *, (side = 0 OR why IS NOT NULL) AND direction <> 0 AND atr_14 IS NOT NULL AND i < n - 1 AS goes
+    FROM (SELECT w.symbol, b.i, b.n, b.ts, b.close, b.direction, b.atr_14, w.side, w.entry, w.tp, w.sl, w.bar, w.since,
+        CASE WHEN w.side = 0 THEN NULL WHEN (w.side > 0 AND b.high >= w.tp) OR (w.side < 0 AND b.low <= w.tp) THEN 'tp' WHEN (w.side > 0 AND b.low <= w.sl) OR (w.side < 0 AND b.high >= w.sl) THEN 'sl'
+          WHEN b.i - w.bar >= {RULES.holding} THEN 'time' END AS why
+      FROM w JOIN b ON b.symbol = w.symbol AND b.i = w.i + 1) q) p)
+SELECT symbol, opened AS entry_time, closed AS exit_time, CASE WHEN was > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, round(entered, 6) AS entry_price, round(price, 6) AS exit_price,
+  round((price - entered) * was * {RULES.point_value}, 6) AS gross_pnl,
+  round((price - entered) * was * {RULES.point_value} - {RULES.commission} * 2 - {RULES.slippage_ticks * RULES.tick * RULES.point_value} * 2, 6) AS net_pnl, reason AS exit_reason, CAST(held AS INTEGER) AS bars_held
+FROM w WHERE reason IS NOT NULL""",
+)
+#: Pairs of a volatility and a breakout threshold: fixed values.
+THRESHOLDS = (0.40, 0.45, 0.50, 0.55, 0.60)
+GRID = [(i, v, b) for i, (v, b) in enumerate((v, b) for v in THRESHOLDS for b in THRESHOLDS)]
+
+
+def grid_returns(spark, sf_dir):
+    grid = spark.createDataFrame(GRID, "strategy int, min_vol double, min_breakout double")
+    return X.strategy_grid_returns(scored(spark, sf_dir).withColumns({"atr": F.col("atr_7"), "predicted_atr": F.col("atr_14")}), grid)
+
+
+_R = X.GridRules()
+_LEAVES = f"(l1 <= entry * (1 - CASE WHEN side > 0 THEN {_R.stop_atr} ELSE {_R.target_atr} END * atr / entry) OR h1 >= entry * (1 + CASE WHEN side > 0 THEN {_R.target_atr} ELSE {_R.stop_atr} END * atr / entry) OR hold + 1 >= {_R.hold_bars})"
+GRID_RETURNS = f"""{WALKED},
+nx AS (SELECT *, lead(close) {over()} AS c1, lead(high) {over()} AS h1, lead(low) {over()} AS l1 FROM b),
+g(strategy, min_vol, min_breakout) AS (VALUES {", ".join(f"({i}, {v}::DOUBLE, {b}::DOUBLE)" for i, v, b in GRID)}),
+w AS (
+  SELECT DISTINCT symbol, strategy, min_vol, min_breakout, -1::BIGINT AS i, NULL::TIMESTAMP AS ts, 0 AS side, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS atr, 0 AS hold, 1.0::DOUBLE AS scale, 0.0::DOUBLE AS ret FROM b, g
+  UNION ALL
+  SELECT symbol, strategy, min_vol, min_breakout, i, ts, CASE WHEN side = 0 THEN goes WHEN leaves THEN 0 ELSE side END, CASE WHEN side = 0 THEN close ELSE entry END, CASE WHEN side = 0 THEN atr_7 ELSE atr END,
+    CASE WHEN side = 0 THEN 0 ELSE hold + 1 END, CASE WHEN side = 0 AND goes <> 0 THEN size ELSE scale END,
+    CASE WHEN i = n - 1 THEN CASE WHEN side <> 0 THEN -{_R.cost} * scale / 2 ELSE 0.0 END WHEN side = 0 THEN CASE WHEN goes <> 0 THEN -{_R.cost} * size / 2 ELSE 0.0 END
+      ELSE side * scale * (c1 / close - 1) - CASE WHEN leaves THEN {_R.cost} * scale / 2 ELSE 0.0 END END
+  FROM (SELECT w.symbol, w.strategy, w.min_vol, w.min_breakout, nx.i, nx.n, nx.ts, w.side, w.entry, w.atr, w.hold, w.scale, nx.close, nx.c1, nx.atr_7, coalesce({_LEAVES}, false) AS leaves,
+      least(greatest(floor({_R.base_contracts} * least(greatest(nx.atr_7 / (nx.atr_14 + {EPS}), 0.5), 2.0)), 1), {_R.max_contracts}) / {_R.base_contracts}.0 AS size,
+      CASE WHEN nx.i < nx.n - 1 AND nx.vol_p >= w.min_vol AND nx.atr_7 IS NOT NULL AND nx.atr_14 IS NOT NULL
+        THEN CASE WHEN nx.up_p >= w.min_breakout AND (nx.down_p < w.min_breakout OR nx.up_p > nx.down_p) THEN 1 WHEN nx.down_p >= w.min_breakout THEN -1 ELSE 0 END ELSE 0 END AS goes
+    FROM w JOIN nx ON nx.symbol = w.symbol AND nx.i = w.i + 1) q)"""
+add(
+    "strategy_grid_returns",
+    lambda s, d: grid_returns(s, d).select("symbol", "strategy", "ts", F.round(F.col("ret") + TIE_SHIFT, 6).alias("ret")),
+    GRID_RETURNS + " SELECT symbol, strategy, ts, round(ret + 1.3e-7, 6) AS ret FROM w WHERE i >= 0",
+)
 
 # ---- metrics on a ledger made of orders
 LEDGER = """m AS (SELECT avg(o_totalprice) AS a FROM orders),
@@ -467,7 +584,52 @@ add(
     slippage_levels,
     f"WITH {LEDGER} " + " UNION ALL ".join(f"SELECT model, {x}::DOUBLE AS level, count(*) AS trades, round(sum(net_pnl - slippage * {x - 1}::DOUBLE), 2) AS net_pnl FROM trades GROUP BY model" for x in LEVELS),
 )
-add("monte_carlo_bootstrap", lambda s, d: G.simulation_summary(G.bootstrap(ledger(s, d), 200)))
-add("monte_carlo_dropout", lambda s, d: G.simulation_summary(G.stress(ledger(s, d), "dropout", 0.2, 100)))
-add("monte_carlo_adverse", lambda s, d: G.simulation_summary(G.stress(ledger(s, d), "adverse", 0.1, 100)))
-add("monte_carlo_swan", lambda s, d: G.simulation_summary(G.stress(ledger(s, d), "swan", 0.001, 100)))
+SIMS, STRESS_SIMS = 10_000, 5_000
+CENT_SHIFT = 0.0001303  # means and quantiles of cents often end in half a cent, which engines round to different sides
+SUMMED = ["mean", "std", "median", "ci_low", "ci_high", "min", "max"]
+
+
+def summary_of(runs):
+    return lambda s, d: G.simulation_summary(runs(ledger(s, d))).select("model", *[F.round(F.col(c) + CENT_SHIFT, 2).alias(c) for c in SUMMED], F.round("prob_positive", 6).alias("prob_positive"))
+
+
+SUMMARY = (
+    "SELECT model, "
+    + ", ".join(
+        f"round({x} + {CENT_SHIFT}, 2) AS {c}"
+        for c, x in zip(SUMMED, ("avg(x)", "stddev_pop(x)", "quantile_cont(x, 0.5)", "quantile_cont(x, 0.025)", "quantile_cont(x, 0.975)", "min(x)", "max(x)"))
+    )
+    + ", round(count(*) FILTER (WHERE x > 0) / count(*), 6) AS prob_positive FROM r GROUP BY model"
+)
+
+
+def runs_sql(k: M.Shocks, sims: int = SIMS) -> str:
+    """The ledger's runs as ``r(model, sim, x)``."""
+    u = lambda j: uniform(k.seed + j, "nth", "sim")
+    pnl = "net_pnl"
+    if k.cost:
+        pnl += "".join(f" - {c} * (2 * {u(j)} - 1) * {m}::DOUBLE" for j, (c, m) in enumerate(zip(("slippage", "commission"), k.cost), 1))
+    if k.dropout:
+        low, high = k.dropout
+        pnl = f"CASE WHEN {u(4)} > {low}::DOUBLE + {high - low}::DOUBLE * {uniform(k.seed + 3, '0', 'sim')} THEN {pnl} END"
+    draws = f"SELECT model, nth, sim, CAST(floor({u(0)} * n) AS BIGINT) AS pick FROM num, sims" if k.resample else "SELECT model, nth, sim, nth AS pick FROM num, sims"
+    return f"""{LEDGER}, num AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY trade_id) - 1 AS nth, count(*) OVER (PARTITION BY model) AS n FROM trades),
+    sims AS (SELECT unnest(range({sims})) AS sim), d AS ({draws}), o AS (SELECT d.model, d.sim, d.nth, p.net_pnl, p.slippage, p.commission FROM d JOIN num p ON p.model = d.model AND p.nth = d.pick),
+    r AS (SELECT model, sim, sum({pnl}) AS x FROM o GROUP BY model, sim)"""
+
+
+for name, shocks in (("bootstrap", M.BOOTSTRAP), ("missed", M.MISSED), ("costs", M.COSTS), ("combined", M.COMBINED)):
+    add(f"monte_carlo_{name}", summary_of(lambda t, k=shocks: M.runs(t, SIMS, k)), f"WITH {runs_sql(shocks)} {SUMMARY}")
+_U = lambda j: uniform(7 + j, "trade_id", "sim")
+STRESSES = {
+    "dropout": (0.2, f"CASE WHEN {_U(0)} >= 0.2 THEN net_pnl END"),
+    "adverse": (0.1, f"CASE WHEN net_pnl <= 0 OR {_U(0)} >= 0.1 THEN net_pnl END"),
+    "swan": (0.001, f"CASE WHEN {_U(0)} < 0.001 THEN -10 * abs(net_pnl) ELSE net_pnl END"),
+    "combined": (0.1, f"CASE WHEN {_U(1)} >= 0.3 AND (net_pnl <= 0 OR {_U(2)} >= 0.2) THEN CASE WHEN {_U(0)} < 0.1 THEN -10 * abs(net_pnl - slippage * 2) ELSE net_pnl - slippage * 2 END END"),
+}
+for kind, (level, expression) in STRESSES.items():
+    add(
+        f"stress_{kind}" if kind == "combined" else f"monte_carlo_{kind}",
+        summary_of(lambda t, k=kind, v=level: G.stress(t, k, v, STRESS_SIMS)),
+        f"WITH {LEDGER}, r AS (SELECT model, sim, sum({expression}) AS x FROM trades, (SELECT unnest(range({STRESS_SIMS})) AS sim) GROUP BY model, sim) {SUMMARY}",
+    )

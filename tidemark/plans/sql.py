@@ -69,3 +69,18 @@ def ema_ctes(base: str, source: str, names: dict[str, tuple[str, int]], out: str
 {out}_e AS (SELECT symbol, rn, {first} FROM {out}_n WHERE rn = 1
   UNION ALL SELECT r.symbol, r.rn, {step} FROM {out}_e e JOIN {out}_n r ON r.symbol = e.symbol AND r.rn = e.rn + 1),
 {out} AS (SELECT n.*, {", ".join(f"e.{c}" for c in names)} FROM {out}_n n JOIN {out}_e e USING (symbol, rn))"""
+
+
+def uniform(seed: int, row: str, sim: str) -> str:
+    """The draw of ``tidemark.functions.draws`` for whole numbers from 0."""
+    p = 2**31 - 1
+    mixed = f"((({row}) % {p} * 48271 + ({sim}) % {p} * 69621 + {seed * 16807}) % {p})"
+    once = f"(({mixed} * {mixed} + ({row}) % {p}) % {p})"
+    return f"((({once} * {once} + ({sim}) % {p}) % {p}) / {p}::DOUBLE)"
+
+
+def normal_tail(x: str) -> str:
+    """1 - Phi(x) by the series of odd powers over double factorials; beyond 8 it is 0 or 1."""
+    term = f"exp((2 * k + 1) * ln(abs({x})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))"
+    area = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: {term}))"
+    return f"(CASE WHEN {x} = 0 THEN 0.5 WHEN {x} > 8 THEN 0.0 WHEN {x} < -8 THEN 1.0 ELSE 0.5 - sign({x}) * ({area}) END)"

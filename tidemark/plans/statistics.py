@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as G
 from tidemark.operators import price as P
@@ -14,9 +17,8 @@ from tidemark.operators import technical as T
 from tidemark.operators import validation as S
 from tidemark.plans.catalog import add, hour_bars, table
 from tidemark.plans.indicators import EPS, TR, ret
-from tidemark.plans.research import DAYPNL, LEDGER, grid, ledger, scored
-from tidemark.plans.sql import BARS, lag, over, roll, statement
-from tidemark.operators import signals as X
+from tidemark.plans.research import DAYPNL, GRID_RETURNS, LEDGER, grid_returns, ledger
+from tidemark.plans.sql import BARS, lag, normal_tail, over, roll, statement, uniform
 
 RET = "r AS (SELECT *, " + ret(1) + " AS return_1 FROM bars)"
 
@@ -69,18 +71,32 @@ add(
     lambda s, d: moment_rows(s, d).select("model", "n", *[F.round(c, 2).alias(c) for c in ("mean", "std")], *[F.round(c, 6).alias(c) for c in ("skew", "kurtosis", "sharpe")]),
     f"WITH {MOMENTS} SELECT model, n, round(mean, 2) AS mean, round(std, 2) AS std, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(mean / std * sqrt(252), 6) AS sharpe FROM mo",
 )
-add("deflated_sharpe", lambda s, d: S.deflated(moment_rows(s, d), 81, ("model",)))
+TRIALS = 81
+_TOP = S.expected_max_sharpe(TRIALS)
+_ROOT = (2 * math.log(TRIALS)) ** 0.5
+_LOGS = _ROOT - (normal.EULER + math.log(2 * math.log(TRIALS))) / (2 * _ROOT)
+for name, run, top, error in (
+    ("deflated_sharpe", S.deflated, _TOP, "sqrt(greatest(v, 1e-10))"),
+    ("deflated_sharpe_logs", S.deflated_by_logs, _LOGS, f"(sqrt(v) + {EPS})"),
+):
+    add(
+        name,
+        lambda s, d, f=run: f(moment_rows(s, d), TRIALS, ("model",)).select("model", *[F.round(c, 6).alias(c) for c in ("sharpe", "expected_max", "statistic", "p_value")]),
+        f"""WITH {MOMENTS}, s AS (SELECT *, mean / std * sqrt(252) AS sr FROM mo), v AS (SELECT *, (1 + 0.5 * sr * sr - skew * sr + kurtosis / 4 * sr * sr) / (n - 1) AS v FROM s),
+        t AS (SELECT model, sr, (sr - {top!r}::DOUBLE) / {error} AS x FROM v)
+        SELECT model, round(sr, 6) AS sharpe, round({top!r}::DOUBLE, 6) AS expected_max, round(x, 6) AS statistic, round({normal_tail("x")}, 6) AS p_value FROM t""",
+    )
 BLK = f"""{DAYPNL}, k AS (SELECT model, pnl, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS r, count(*) OVER (PARTITION BY model) AS nn FROM days),
-b AS (SELECT model, CAST(r // (nn // 8) AS INTEGER) AS block, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM k WHERE r // (nn // 8) < 8 GROUP BY 1, 2)"""
+b AS (SELECT model, CAST(r // (nn // 16) AS INTEGER) AS block, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM k WHERE r // (nn // 16) < 16 GROUP BY 1, 2)"""
 add(
     "return_blocks",
-    lambda s, d: S.blocks(daily(s, d), "pnl", 8, ("model",), "date").select("model", "block", "n", F.round("s", 2).alias("s")),
+    lambda s, d: S.blocks(daily(s, d), "pnl", 16, ("model",), "date").select("model", "block", "n", F.round("s", 2).alias("s")),
     f"WITH {BLK} SELECT model, block, n, round(s, 2) AS s FROM b",
 )
 add(
     "cscv",
-    lambda s, d: S.symmetric_splits(S.blocks(daily(s, d), "pnl", 8, ("model",), "date"), 8, ("model",)).withColumn("p_overfit", F.round("p_overfit", 6)),
-    f"""WITH {BLK}, h AS (SELECT m FROM (SELECT unnest(range(256)) AS m) WHERE bit_count(m) = 4),
+    lambda s, d: S.symmetric_splits(S.blocks(daily(s, d), "pnl", 16, ("model",), "date"), 16, ("model",)).withColumn("p_overfit", F.round("p_overfit", 6)),
+    f"""WITH {BLK}, h AS (SELECT m FROM (SELECT unnest(range(65536)) AS m) WHERE bit_count(m) = 8),
     x AS (SELECT model, m, (m >> block) & 1 AS i, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM b, h GROUP BY ALL),
     y AS (SELECT model, m, i, (s / n) / (sqrt(greatest((ss - s * s / n) / (n - 1), 0)) + {EPS}) AS sr FROM x),
     z AS (SELECT model, m, max(sr) FILTER (WHERE i = 1) > max(sr) FILTER (WHERE i = 0) AS w FROM y GROUP BY model, m)
@@ -114,11 +130,23 @@ def _yearly(spark, sf_dir):
     return daily(spark, sf_dir).groupBy(F.year("date").alias("year"), "model").agg(F.avg(F.when(half, F.col("pnl"))).alias("inside"), F.avg(F.when(~half, F.col("pnl"))).alias("outside")).dropna()
 
 
+HALVES = f"""{GRID_RETURNS},
+p AS (SELECT strategy, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS period, sum(ret) AS ret FROM w WHERE i >= 0 GROUP BY ALL),
+tr AS (SELECT trial, strategy, ret, {uniform(11, "period", "trial")} < 0.5 AS inside FROM p, (SELECT unnest(range(1000)) AS trial)),
+pf AS (SELECT trial, strategy, round(avg(ret) FILTER (WHERE inside) / (stddev_pop(ret) FILTER (WHERE inside) + {EPS}), 9) AS a, round(avg(ret) FILTER (WHERE NOT inside) / (stddev_pop(ret) FILTER (WHERE NOT inside) + {EPS}), 9) AS b FROM tr GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY a DESC, strategy) AS i, rank() OVER (PARTITION BY trial ORDER BY b) AS o, count(*) OVER (PARTITION BY trial) AS n FROM pf),
+bs AS (SELECT o / (n + 1) AS x FROM rk WHERE i = 1)"""
+
+
+def halves(spark, sf_dir):
+    by_day = grid_returns(spark, sf_dir).groupBy("strategy", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("period"))
+    return S.random_half_overfit(by_day.agg(F.sum("ret").alias("ret")))
+
+
 add(
     "random_half_overfit",
-    lambda s, d: S.random_half_overfit(
-        X.strategy_grid_returns(scored(s, d).withColumns({"score": F.col("vol_p"), "atr": F.col("atr_14")}), grid(s)).groupBy("strategy", F.to_date("ts").alias("period")).agg(F.sum("ret").alias("ret")), 50
-    ),
+    lambda s, d: halves(s, d).select(*[F.round(c, 6).alias(c) for c in ("pbo", "mean_logit")], "paths"),
+    HALVES + " SELECT round(avg(CASE WHEN x <= 0.5 THEN 1 ELSE 0 END), 6) AS pbo, round(avg(ln(x / (1 - x))), 6) AS mean_logit, count(*) AS paths FROM bs",
 )
 
 # ---- quality
@@ -231,7 +259,15 @@ add(
     round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((u - np * (np + 1) / 2) / (np * nq), 6) AS auc FROM c""",
 )
 MODEL = ["return_1", "atr_14", "volume", "close"]
-add("mutual_information", lambda s, d: A.mutual_information(featured(s, d), MODEL, "target_direction_1"))
+LONG = ", ".join(["q AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, y FROM f WHERE {c} IS NOT NULL" for c in MODEL) + ")"])
+INFO = f"""{FEAT}, {LONG}, bk AS (SELECT feature, y, (rank() OVER (PARTITION BY feature ORDER BY x) - 1) * 16 // count(*) OVER (PARTITION BY feature) AS b FROM q),
+nb AS (SELECT feature, b, y, count(*)::DOUBLE AS n FROM bk GROUP BY ALL), pb AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, b) AS l, sum(n) OVER (PARTITION BY feature, y) AS r FROM nb),
+info AS (SELECT feature, sum(n / t * ln(n * t / (l * r))) AS score FROM pb GROUP BY feature)"""
+add(
+    "mutual_information",
+    lambda s, d: A.mutual_information(featured(s, d), MODEL, "target_direction_1").withColumn("score", F.round("score", 6)),
+    f"WITH {INFO} SELECT feature, round(score, 6) AS score FROM info",
+)
 add(
     "f_test_rank",
     lambda s, d: A.f_scores(featured(s, d), MODEL, "target_direction_1").withColumn("score", F.round("score", 4)),
@@ -241,7 +277,13 @@ add(
     SELECT feature, round((sum((cm - gm) * (cm - gm)) / (count(DISTINCT y) - 1)) / (sum((x - cm) * (x - cm)) / (count(*) - count(DISTINCT y))), 4) AS score FROM d GROUP BY feature""",
 )
 add("forest_importance", lambda s, d: A.forest_importance(featured(s, d), MODEL, "target_direction_1"))
-add("mean_rank", lambda s, d: A.mean_rank([A.spearman(featured(s, d), MODEL, "target_direction_1"), A.mutual_information(featured(s, d), MODEL, "target_direction_1")]))
+add(
+    "mean_rank",
+    lambda s, d: A.mean_rank([A.spearman(featured(s, d), MODEL, "target_direction_1"), A.mutual_information(featured(s, d), MODEL, "target_direction_1")]),
+    f"""WITH {INFO}, sr AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2 AS ry FROM q),
+    a AS (SELECT feature, abs(corr(rx, ry)) AS s, 0 AS m FROM sr GROUP BY feature UNION ALL SELECT feature, abs(score), 1 FROM info),
+    k AS (SELECT feature, rank() OVER (PARTITION BY m ORDER BY s DESC) AS r FROM a) SELECT feature, avg(r) AS mean_rank FROM k GROUP BY feature""",
+)
 
 
 def folds(spark, sf_dir):
