@@ -194,6 +194,38 @@ def test_blocks_follow_redirects_and_allows_win(spark):
     assert [r.verdict for r in rows] == 2 * ["block", "block", "allow", "allow", "allow", "block", "block"]
 
 
+def test_relative_links_are_resolved(spark):
+    base = "http://A.org/dir/page?q#f"
+    cases = {
+        "/x": "http://A.org/x", "x": "http://A.org/dir/x", "./x": "http://A.org/dir/x", "?a&amp;b": "http://A.org/dir/page?a&b", "//B.net/es/": "http://B.net/es/",
+        "HTTP://b.net": "HTTP://b.net", "#top": None, "mailto:me": None, "": None,
+    }
+    rows = spark.createDataFrame([(base, h) for h in cases], "base string, href string")
+    got = [r.u for r in rows.select(urls.resolved(F.col("base"), F.col("href")).alias("u")).collect()]
+    assert got == list(cases.values())
+    bare = spark.createDataFrame([("http://a.org", "x")], "base string, href string")
+    assert bare.select(urls.resolved(F.col("base"), F.col("href")).alias("u")).first().u == "http://a.org/x"
+    assert spark.createDataFrame([("HTTP://A.Org/X?Y",)], "u string").select(urls.alias_key(F.col("u")).alias("u")).first().u == "http://a.org/X?Y"
+
+
+def test_blocks_follow_relative_and_later_tags(spark, sf):
+    import duckdb
+
+    html = {
+        "http://Q.net/es/1": "",
+        "http://q.net/a/b": '<link rel="alternate" href="http://z.org/"><link rel=canonical href="http://z.org/"> <LINK REL="canonical" HREF="/es/1">',
+        "http://z.org/": "long " * 50_000,
+        "http://q.net/a/c": "<meta http-equiv=refresh content='0;url=b'>",
+        "http://q.net/a/d": '<link rel="canonical" href="#here">',
+    }
+    pages = spark.createDataFrame([(i, u, h, "own") for i, (u, h) in enumerate(html.items())], "page_id long, url string, html string, verdict string")
+    rows = sorted(urls.judge(pages, queries.URL_RULES).collect(), key=lambda r: r.page_id)
+    assert [r.verdict for r in rows] == ["block", "block", "block", "block", "allow"]
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert [r[0] for r in con.execute(f"SELECT verdict FROM ({queries.ORACLE_SQL['op5_url_filter']}) ORDER BY page_id").fetchall()] == [r.verdict for r in rows]
+
+
 # ---- line dedup
 
 

@@ -14,11 +14,20 @@ rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.
 fits AS (
   SELECT p.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS k
   FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+refs AS (
+  SELECT url, regexp_extract(url, '^.*?://[^/?#]*', 0, 's') AS origin, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, regexp_extract(url, '^.*?:', 0, 's') AS scheme,
+    replace(unnest(list_concat(
+      list_transform(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'si'), lambda x: regexp_extract(x, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'si')),
+      list_transform(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'si'), lambda x: regexp_extract(x, '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'si')))), '&amp;', '&') AS ref
+  FROM pages WHERE contains(url, '://')),
+named AS (
+  SELECT url AS a, CASE WHEN ref = '' OR starts_with(ref, '#') THEN NULL WHEN contains(ref, '://') THEN ref WHEN starts_with(ref, '//') THEN scheme || ref WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(ref, '/') THEN origin || ref WHEN starts_with(ref, '?') THEN origin || path || ref
+    ELSE origin || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^.*/', 0, 's') ELSE '/' END || regexp_replace(ref, '^\./', '') END AS b FROM refs),
 links AS (
-  SELECT url AS a, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'si'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'si'),
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'si'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'si')]) AS b FROM pages WHERE url IS NOT NULL),
-both_ways AS (SELECT a, b FROM links WHERE contains(b, '://') AND a <> b UNION SELECT b, a FROM links WHERE contains(b, '://') AND a <> b),
+  SELECT translate(regexp_extract(a, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(a, length(regexp_extract(a, '^.*?://[^/?#]*', 0, 's')) + 1) AS a,
+    translate(regexp_extract(b, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(b, length(regexp_extract(b, '^.*?://[^/?#]*', 0, 's')) + 1) AS b FROM named),
+both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 ends AS (SELECT a, b, substr(b, strpos(b, '://') + 3) AS rest FROM reach),
 judged AS (
@@ -27,7 +36,7 @@ judged AS (
     AND starts_with(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), r.path)),
 classes AS (SELECT a, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM judged WHERE k = 1 GROUP BY a)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, c.verdict, 'allow') AS verdict
-FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN classes c ON c.a = p.url
+FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN classes c ON c.a = translate(regexp_extract(p.url, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(p.url, length(regexp_extract(p.url, '^.*?://[^/?#]*', 0, 's')) + 1)
 """
 
 OP7_LINE_DEDUP = f"""

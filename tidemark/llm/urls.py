@@ -47,19 +47,40 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def alias_key(url: Column) -> Column:
+    """A url with A-Z of its scheme and host lower-cased: the name that aliases go by."""
+    start = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    return F.concat(F.translate(start, UPPER, UPPER.lower()), F.substring(url, F.length(start) + 1, F.length(url)))
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """The url that a page's reference means; null where it names no other page. Dot segments inside a path stay."""
+    ref = F.replace(href, F.lit("&amp;"), F.lit("&"))
+    origin = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise("/")
+    return (
+        F.when((ref == "") | ref.startswith("#"), None)
+        .when(ref.contains("://"), ref)
+        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?):", 0), ref))
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(ref.startswith("/"), F.concat(origin, ref))
+        .when(ref.startswith("?"), F.concat(origin, path, ref))
+        .otherwise(F.concat(origin, folder, F.regexp_replace(ref, r"^\./", "")))
+    )
+
+
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``src, dst``: canonical links and refresh redirects that the pages' html states."""
+    """``src, dst``: all canonical links and refresh redirects that the pages' html states, resolved against the page's url."""
     tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
     href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     meta = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
     to = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
-    found = F.array(
-        F.regexp_extract(F.regexp_extract(html_col, tag, 0), href, 1),
-        F.regexp_extract(F.regexp_extract(html_col, meta, 0), to, 1),
-    )
-    rows = pages.where(F.col(url_col).isNotNull() & F.lower(html_col).rlike("canonical|refresh"))
-    rows = rows.select(F.col(url_col).alias("src"), F.explode(found).alias("dst"))
-    return rows.where(F.col("dst").contains("://") & (F.col("dst") != F.col("src")))
+    named = lambda tags, ref: F.transform(F.regexp_extract_all(html_col, F.lit(tags), F.lit(0)), lambda x: F.regexp_extract(x, ref, 1))
+    rows = pages.where(F.col(url_col).contains("://") & F.lower(html_col).rlike("canonical|refresh"))
+    rows = rows.select(F.col(url_col).alias("src"), F.explode(F.concat(named(tag, href), named(meta, to))).alias("ref"))
+    rows = rows.select(alias_key(F.col("src")).alias("src"), alias_key(resolved(F.col("src"), F.col("ref"))).alias("dst"))
+    return rows.where("dst <> src")
 
 
 def judge(
@@ -73,11 +94,12 @@ def judge(
     """``id_col, host, path, rule, verdict`` for every row of ``pages``.
 
     ``links`` (``src, dst`` urls) defaults to what the pages' html states. Rows with a null
-    or odd url get an empty host and path, no rule and ``allow``. Repeated rows are kept.
-    Links from or to null are ignored, urls outside ``pages`` take part in the classes.
-    An empty table gives an empty table.
+    or odd url get an empty host and path, no rule and ``allow``. Repeated rows are kept, other columns
+    are not read. Texts of any length are searched whole. Links from or to null are ignored, urls outside
+    ``pages`` take part in the classes. Aliases are compared with scheme and host in lower case. An empty
+    table gives an empty table. More than ``MOST_RULES`` rules raise a ValueError.
     """
-    links = alias_links(pages, url_col, html_col) if links is None else links.select("src", "dst")
+    links = alias_links(pages, url_col, html_col) if links is None else links.select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst"))
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", matched(F.col("host"), F.col("path"), rules))
@@ -91,9 +113,9 @@ def judge(
         .otherwise("allow")
         .alias("decision")
     )
-    named = named.join(decided, "component").where("own is null and decision = 'block'").select("node")
+    named = named.join(stored(decided, "decided"), "component").where("own is null and decision = 'block'").select("node")
     # only blocked aliases without a rule change anything, and a url is one row here
-    rows = rows.join(named, rows["url"] == named["node"], "left")
+    rows = rows.join(named, alias_key(rows["url"]) == named["node"], "left")
     verdict = F.coalesce("hit.verdict", F.when(F.col("node").isNotNull(), "block").otherwise("allow"))
     return rows.select(
         F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict")
