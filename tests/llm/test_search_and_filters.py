@@ -194,6 +194,53 @@ def test_blocks_follow_redirects_and_allows_win(spark):
     assert [r.verdict for r in rows] == 2 * ["block", "block", "allow", "allow", "allow", "block", "block"]
 
 
+def plain_patience(a, b):
+    """Patience alignment by its definition: unique common words, their longest increasing run by trying all, then the gaps."""
+    if not a or not b:
+        return 0
+    anchors = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    if not anchors:
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        m = 0
+        while m < min(len(a), len(b)) - n and a[-1 - m] == b[-1 - m]:
+            m += 1
+        return n + m
+    best = []
+    for k, (_, y) in enumerate(anchors):
+        before = max((x for x in best if x[-1][1] < y), key=len, default=[])
+        best.append([*before, anchors[k]])
+    run = [(-1, -1), *max(best, key=len), (len(a), len(b))]
+    return len(run) - 2 + sum(plain_patience(a[x0 + 1 : x1], b[y0 + 1 : y1]) for (x0, y0), (x1, y1) in zip(run, run[1:]))
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD", "MIT-text", "Apache-2.0-notice", "GPL-notice"])
+def test_license_coverage_equals_a_plain_alignment(spark, name):
+    """Whole and damaged notices among other words: the coverage is that of the best window at any word."""
+    rng = random.Random(len(name))
+    template = licenses.WORD.findall(licenses.TEMPLATES[name].lower())
+    m, texts = len(template), []
+    for drop in (0, 0.05, 0.15, 0.19, 0.25, 0.5):
+        for extra in (0, 7):
+            words = [w for w in template if rng.random() >= drop]
+            for _ in range(extra if m > 12 else 0):
+                words.insert(rng.randrange(len(words) + 1), f"added{rng.randrange(99)}")
+            around = [f"other{rng.randrange(500)}" for _ in range(rng.randrange(3 * m + 60))]
+            at = rng.randrange(len(around) + 1)
+            texts.append(" ".join([*around[:at], *words, *around[at:]]))
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, [*texts, None]), {name: licenses.TEMPLATES[name]}, least=0.8).collect()}
+    caught = 0
+    for i, text in enumerate(texts):
+        words = text.split()
+        hits = [k for k, w in enumerate(words) if w in set(template)]
+        starts = range(max(0, min(hits, default=0) - 3), max(hits, default=0) + 1, 1 if m < 60 else 7)
+        want = max(plain_patience(words[s : s + 2 * m], template) / m for s in starts) if hits else 0.0
+        assert (got[i].coverage >= 0.8) == (want >= 0.8) and (want < 0.8 or abs(got[i].coverage - want) <= 1.01 / m)
+        caught += want >= 0.8
+    assert caught >= 4 and got[len(texts)].license is None
+
+
 def test_relative_links_are_resolved(spark):
     base = "http://A.org/dir/page?q#f"
     cases = {

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import sliced
 
-#: Short notices of public licenses: fixed values.
+#: Notices and texts of public licenses: fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -34,6 +34,20 @@ TEMPLATES = {
     " and associated documentation files, to deal in the Software without restriction.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted"
     " provided that the following conditions are met.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"),"
+    " to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+    " copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and"
+    " this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND,"
+    " EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"
+    " AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR"
+    " IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain"
+    " a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License"
+    " is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing"
+    " permissions and limitations under the License.",
+    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
+    " Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY"
+    " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
 }
 WORD = re.compile(r"\w+")
@@ -112,12 +126,25 @@ class Template:
             # the template may come twice in a region: then no word is unique there, but it is in a half
             for lo, hi in ((0, 2 * m), *((s, s + m) for s in range(0, m + 1, max(1, m // 4)))):
                 found = align(region[lo:hi], self.words)
-                if found and len(found) >= self.must() and (best is None or len(found) / m > best[0]):
-                    best = (len(found) / m, start + lo + found[0][0], start + lo + found[-1][0])
-                if found and len(found) == m:
-                    break
+                if found and len(found) >= self.must():
+                    share, first, last = self._tight(words, start + lo + found[0][0], start + lo + found[-1][0], len(found))
+                    if best is None or share > best[0]:
+                        best = (share, first, last)
+                    if share == 1.0:
+                        break
         return best
 
+    def _tight(self, words: list[str], first: int, last: int, matched: int) -> tuple[float, int, int]:
+        """The coverage of a place once its surroundings are cut: words that also stand there are no anchors in a wide region."""
+        m, best = len(self.words), (matched, first, last)
+        for before in (0, m - matched, m // 4):
+            for after in (0, m - matched, m // 4):
+                lo = max(0, first - before)
+                found = align(words[lo : last + 1 + after], self.words)
+                if len(found) > best[0]:
+                    best = (len(found), lo + found[0][0], lo + found[-1][0])
+        return best[0] / m, best[1], best[2]
+
 
 def scan_text(text: str, templates: list[Template], prefilter: bool = True) -> list[dict]:
     """Every template that the text covers, the best first; spans are character offsets of the text."""
@@ -147,8 +174,9 @@ def scan_licenses(
 
     ``license`` is the template with the highest coverage of at least ``least``, the earlier and
     then the lower name of equals; null with coverage 0 if there is none. ``matches`` holds all
-    of them. ``start`` and ``stop`` are character offsets. Null and empty texts match nothing.
-    Repeated rows are kept, other columns are not read. One pass, no shuffle.
+    of them. ``start`` and ``stop`` are character offsets. Null and empty texts match nothing, texts of
+    any length are scanned whole. Rows with a null id and repeated rows are kept, other columns are not
+    read. An empty table gives an empty table. One pass, no shuffle.
     """
     chosen = [Template(n, t, least) for n, t in sorted((TEMPLATES if templates is None else templates).items())]
     kind = docs.schema[id_col].dataType.simpleString()
