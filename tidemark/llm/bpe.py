@@ -201,8 +201,8 @@ def encode(
 
     ``ids`` are those of the tokenizers library for the whole text without added special
     tokens; special strings in a text become their ids. Null and empty texts give an empty
-    list. Repeated rows and rows with a null id are kept, other columns are not read. An
-    empty table gives an empty table.
+    list. Repeated rows and rows with a null id are kept, other columns are not read. Texts may be of any
+    length: chunks are bounded, a task holds its longest text. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)

@@ -268,8 +268,9 @@ def decontaminate(
     the item's own, the shares of its question's and answer's words there, and the window's
     first word. A hit needs a score of at least ``least`` and shares of at least ``question`` and
     ``answer``. Null and empty texts have no hits. Items with a null id, or without a word, take
-    no part; repeated items are found as often as they are there. Repeated rows are kept. No
-    shuffle of documents.
+    no part; repeated items are found as often as they are there. Repeated rows are kept. Texts and
+    items may be of any length; a text's passages are searched one by one. No documents give no rows, no
+    items give no hits. No shuffle of documents.
     """
     spark = docs.sparkSession
     fields = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("start", pa.int32())])

@@ -133,8 +133,8 @@ def near_duplicates(
     ``max_bits`` differing bits; equal fingerprints always link, and texts without a
     word share fingerprint zero. Null texts count as empty. Rows with a null id take
     part; they never give a component its id, and a component of null ids alone has a
-    null one. Repeated rows are kept. Other columns are not read. An empty table gives
-    an empty table.
+    null one. Repeated rows are kept. Texts may be of any length; ``SLICE`` shingles are counted at a
+    time. Other columns are not read. An empty table gives an empty table.
     """
     marks = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     return marks.join(classes(marks, id_col, max_bits, cell_limit), "fp").select(id_col, "fp", "component_id")

@@ -183,7 +183,8 @@ def token_counts(
 
     A pre-token found among the whole tokens counts one without any merge; only the others
     are merged. Null and empty texts have no bytes and no tokens. One pass, no shuffle.
-    Repeated rows are kept, other columns are not read.
+    Rows with a null id and repeated rows are kept, other columns are not read. Texts may be of any
+    length: pre-tokens are counted as they come. An empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -31,6 +31,7 @@ BLOCK = 1024  # vectors of a block
 GROUP = 4  # blocks of a group
 PARTIAL = 16  # rotated coordinates of the first bound
 SAFE_FLOAT = 2.0**52
+LARGEST = 2.0**62  # of a squared length, and so of any score
 BLOCK_SCHEMA = "dim int, block long, top double, ids binary, values binary"
 
 
@@ -160,10 +161,15 @@ def top_k(
     dimension but those with the query's own id. Scores are integer inner products of
     floor(scale * x); ties go to the smaller id. Vectors that are null, empty or hold a null
     or non-finite component, and rows with a null id, take no part. Repeated candidate rows
-    each count; equal query rows are one query. Fewer than ``k`` candidates give all of them.
+    each count; equal query rows are one query. Fewer than ``k`` candidates give all of them. An empty
+    table gives an empty table; other columns are not read. Components so large that a score might not
+    fit 64 bits raise a ValueError.
     """
     rows = quantized(vectors, id_col, vector_col, scale).withColumn("length", _length(F.col("v")))
     rows = stored(rows, "vectors")
+    longest = rows.agg(F.max("length")).first()[0] or 0.0
+    if longest * longest >= LARGEST:
+        raise ValueError("components are too large for 64-bit scores")
     out = None
     for dim, n in sorted((r["dim"], r["n"]) for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()):
         one = _one_dimension(rows.where(F.size("v") == dim), dim, n, k, every)
@@ -196,14 +202,12 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, k: int, every: int) -> Dat
     asked = stored(asked.mapInPandas(floors, f"{BLOCK_SCHEMA}, floors binary, need double"), "asked")
     # groups of consecutive blocks: a part of the range partitioning holds about GROUP blocks
     sides = blocks.withColumn("g", F.shiftright("block", 32))
-    heads = stored(sides.groupBy("g").agg(F.max("top").alias("reach")), "heads")
-    last = heads.agg(F.max("g")).first()[0]
+    heads = sides.groupBy("g").agg(F.max("top").alias("reach")).agg(F.collect_list(F.struct("g", "reach")).alias("heads"))
     wanted = asked.withColumn("qg", F.shiftright("block", 32))
-    # lengths that differ from the bound by rounding alone must stay
-    pairs = wanted.groupBy("qg").agg(F.min("need").alias("need")).select(
-        "qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("g"), "need"
-    )
-    pairs = pairs.join(heads, "g").where(F.col("reach") * (1 + 1e-9) + 1e-6 >= F.col("need"))
+    # one row of 16 bytes for each GROUP * BLOCK vectors; lengths that differ from the bound by rounding alone must stay
+    pairs = wanted.groupBy("qg").agg(F.min("need").alias("need")).join(F.broadcast(heads))
+    near = F.filter("heads", lambda h: h["reach"] * (1 + 1e-9) + 1e-6 >= F.col("need"))
+    pairs = pairs.select("qg", F.explode(near).alias("h")).select("qg", "h.g")
     pairs = stored(pairs.select("qg", "g"), "pairs")
     def meet(key: tuple, ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         theirs = [Block(r, rotation) for r in theirs.sort_values(["top", "block"], ascending=[False, True]).itertuples()]
