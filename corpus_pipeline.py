@@ -1,4 +1,10 @@
-"""Five corpus operators in a row, from raw documents to token ids."""
+"""Five corpus operators in a row, from raw documents to token ids.
+
+Every stage takes rows with null ids or texts, empty and very long texts, repeated rows, further columns
+(but for names that start with ``_tm_``) and an empty table; all but the last return the columns they got. Null
+and empty texts are never toxic, hold no line that goes and no benchmark item, are near copies of each
+other, and have no tokens. Rows equal in id and text are one document from the near-duplicate stage on.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +19,7 @@ from tidemark.llm.queries import table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Without labels of both classes none is."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, column="_tm_toxicity").where("_tm_toxicity < 0.5").select(*docs.columns)
 
