@@ -106,7 +106,7 @@ def test_items_of_very_different_length_do_not_change_each_other(spark):
 
 
 def test_scores_beyond_64_bits_are_refused(spark):
-    vectors = spark.createDataFrame([(0, [1e8] * 4), (1, [1.0] * 4)], "vec_id long, embedding array<double>")
+    vectors = spark.createDataFrame([(0, [1e9] * 4), (1, [1e9] * 4)], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
         topk.top_k(vectors)
 

@@ -31,7 +31,7 @@ BLOCK = 1024  # vectors of a block
 GROUP = 4  # blocks of a group
 PARTIAL = 16  # rotated coordinates of the first bound
 SAFE_FLOAT = 2.0**52
-LARGEST = 2.0**62  # of a squared length, and so of any score
+LARGEST = 2.0**62  # of the product of two lengths, and so of a score
 BLOCK_SCHEMA = "dim int, block long, top double, ids binary, values binary"
 
 
@@ -167,8 +167,8 @@ def top_k(
     """
     rows = quantized(vectors, id_col, vector_col, scale).withColumn("length", _length(F.col("v")))
     rows = stored(rows, "vectors")
-    longest = rows.agg(F.max("length")).first()[0] or 0.0
-    if longest * longest >= LARGEST:
+    longest = [r["length"] for r in rows.select("length").orderBy(F.desc("length")).limit(2).collect()]
+    if len(longest) == 2 and longest[0] * longest[1] >= LARGEST:
         raise ValueError("components are too large for 64-bit scores")
     out = None
     for dim, n in sorted((r["dim"], r["n"]) for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()):
