@@ -96,11 +96,12 @@ def bitmap(names: DataFrame, bits: int) -> np.ndarray:
     longs = names.schema[0].dataType.simpleString() == "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(1 << bits, bool)
+        mine = np.zeros(1 << bits >> 6, np.uint64)
         for batch in batches:
             if batch.num_rows:
-                mine[_slots(batch.column(0).to_numpy() if longs else batch.column(0).to_pylist(), bits)] = True
-        words = np.packbits(mine, bitorder="little").view(np.int64)
+                slots = _slots(batch.column(0).to_numpy() if longs else batch.column(0).to_pylist(), bits)
+                np.bitwise_or.at(mine, (slots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slots & np.uint64(63)))
+        words = mine.view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 

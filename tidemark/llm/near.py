@@ -41,11 +41,11 @@ SKETCH = 512
 WORDS = SKETCH // 64
 COUNT_BITS = 22
 COUNT_BLOCK = 1 << 16  # cells of a row of counts
-BITMAP_BITS = 25
+BITMAP_BITS = 26
 MORE_STARS = 1000  # comparisons for each row of the postings beyond which another star round comes first
 STAR_ROUNDS = 6
 SPAN = 1 << 18  # bytes hashed at a time
-SEEN = 100_000  # hashes of texts that a task remembers at a time
+SEEN = 100_000  # keys that a task remembers at a time
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 CELLS = np.uint64((1 << COUNT_BITS) - 1)
@@ -183,12 +183,12 @@ def _counts(marks: DataFrame) -> np.ndarray:
     return full.ravel()
 
 
-def _prefixes(docs: DataFrame, picked: np.ndarray, text_col: str, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
+def _prefixes(rows: DataFrame, picked: np.ndarray, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
     """``norm, size, s0..s7, firsts``: each text's sketch and its rarest shingles, rarest first.
 
-    ``picked`` has the marks of one spelling of each word sequence; other spellings may come, too.
+    ``rows`` are ``key, text``; ``picked`` has the key of one row of each word sequence, others may come, too.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     shared, wanted = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(picked)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +207,17 @@ def _prefixes(docs: DataFrame, picked: np.ndarray, text_col: str, size: int, sim
             made = [pa.array(norms, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(table[:, i]) for i in range(WORDS)]]
             yield pa.RecordBatch.from_arrays([*made, pa.array(firsts, pa.list_(pa.int64()))], names=["norm", "size", *SKETCHES, "firsts"])
 
-    rows = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"norm binary, size int, {_LONGS}, firsts array<long>")
 
 
 def _fresh(batch: pa.RecordBatch, wanted: np.ndarray, seen: set[int]) -> list[bytes]:
-    """The texts of ``mark, text`` rows whose mark is wanted and has not come to this task before."""
+    """The texts of ``key, text`` rows whose key is wanted and has not come to this task before."""
     if len(seen) > SEEN:
         seen.clear()
-    marks, keep = batch.column(0).to_numpy(), []
-    for i in np.flatnonzero(bitmap_has(marks, wanted, BITMAP_BITS)):
-        if (mark := int(marks[i])) not in seen:
-            seen.add(mark)
+    keys, keep = batch.column(0).to_numpy(), []
+    for i in np.flatnonzero(bitmap_has(keys, wanted, BITMAP_BITS)):
+        if (key := int(keys[i])) not in seen:
+            seen.add(key)
             keep.append(i)
     return batch.column(1).take(pa.array(keep, pa.int32())).to_pylist()
 
@@ -316,9 +315,9 @@ def _across(apart: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("o.norm").alias("a"), F.col("m.norm").alias("b"))
 
 
-def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> DataFrame:
+def _held(rows: DataFrame, involved: DataFrame, size: int) -> DataFrame:
     """``norm, held``: the shingle sets of the texts that pairs need; no other text leaves its task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(involved.select("mark"), BITMAP_BITS))  # of fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(involved.select("key"), BITMAP_BITS))  # of fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -327,14 +326,13 @@ def _held(docs: DataFrame, involved: DataFrame, text_col: str, size: int) -> Dat
             held = [distinct(shingle_hashes(n, size)).tobytes() for n in norms]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(n) for n in norms], pa.binary()), pa.array(held, pa.binary())], names=["norm", "held"])
 
-    rows = docs.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text")).mapInArrow(sets, "norm binary, held binary")
-    return rows.groupBy("norm").agg(F.first("held").alias("held"))
+    return rows.mapInArrow(sets, "norm binary, held binary").groupBy("norm").agg(F.first("held").alias("held"))
 
 
-def _verified(docs: DataFrame, spelled: DataFrame, pairs: DataFrame, text_col: str, size: int, similarity: float, keep: Scratch) -> DataFrame:
+def _verified(rows: DataFrame, spelled: DataFrame, pairs: DataFrame, size: int, similarity: float, keep: Scratch) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
     involved = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).distinct()
-    held = keep.stored(_held(docs, spelled.join(involved, "norm", "left_semi"), text_col, size), "shingles")
+    held = keep.stored(_held(rows, spelled.join(involved, "norm", "left_semi"), size), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -353,18 +351,20 @@ def _verified(docs: DataFrame, spelled: DataFrame, pairs: DataFrame, text_col: s
     return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
+def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
     """``node, component``: the word sequences that have links of at least ``similarity``, and their groups."""
     keep = Scratch()
-    rows = marks.where(F.col("norm").isNotNull())
-    spelled = keep.stored(rows.groupBy("norm").agg(F.min("mark").alias("mark")), "spelled")
-    picked = bitmap(spelled.select("mark"), BITMAP_BITS)
-    prefixes = keep.stored(_prefixes(docs, picked, text_col, shingle_words, similarity, _counts(marks)), "prefixes")
+    known = marks.where(F.col("norm").isNotNull())
+    rows = _keys(docs, id_col, text_col).select(F.col("_tm_key").alias("key"), F.col(text_col).cast("binary").alias("text"))
+    # one row of each word sequence is enough
+    spelled = keep.stored(known.groupBy("norm").agg(F.min("key").alias("key")), "spelled")
+    picked = bitmap(spelled.select("key"), BITMAP_BITS)
+    prefixes = keep.stored(_prefixes(rows, picked, shingle_words, similarity, _counts(marks)), "prefixes")
     postings = keep.stored(_postings(prefixes), "postings")
     centres = keep.stored(_centres(postings), "centres")
-    near = _ordered(_simhash_pairs(rows, keep))
+    near = _ordered(_simhash_pairs(known, keep))
     pairs = keep.stored(_ordered(_stars(postings, centres, similarity)).unionByName(near).distinct(), "pairs")
-    check = lambda pairs: keep.stored(_verified(docs, spelled, pairs, text_col, shingle_words, similarity, keep), "alike")
+    check = lambda pairs: keep.stored(_verified(rows, spelled, pairs, shingle_words, similarity, keep), "alike")
     before, nodes = math.inf, components(check(pairs), "a", "b")
     # a posting of two texts has no pair but its star
     members = keep.stored(postings.join(centres.where("n > 2").select("shingle"), "shingle"), "members")
@@ -408,7 +408,7 @@ def groups(
     """
     keep = Scratch()
     marks = keep.stored(_marks(docs, id_col, text_col, shingle_words), "marks")
-    nodes = connected(docs, marks, similarity, shingle_words, text_col, more_stars)
+    nodes = connected(docs, marks, similarity, shingle_words, id_col, text_col, more_stars)
     labelled = marks.where(F.col("norm").isNotNull()).select("id", "key", "mark", "norm").join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "norm")), "labelled")
     keep.drop(docs.sparkSession)
