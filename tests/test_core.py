@@ -65,12 +65,13 @@ def test_entry_runs(spark):
 
 #: Queries of fitted models: what must hold for each result.
 FITTED = {
-    "mixture_regimes": lambda df: df.filter(like="regime").iloc[:, 0].nunique() >= 2,
+    "mixture_regimes": lambda df: set(df.mixture) <= {0, 1, 2, 3} and df.mixture.nunique() >= 2 and df.mixture_p.between(0.25, 1.000001).all(),
     "corr_prune": lambda df: {"volume", "atr_14"} <= set(df.feature) < {"open", "high", "low", "close", "volume", "atr_14"},
     "forest_importance": lambda df: abs(df.score.sum() - 1) < 1e-9 and (df.score >= 0).all(),
     "direction_leak": lambda df: set(df.direction) == {"forward", "reverse"} and df.auc.between(0, 1).all(),
-    "walk_forward_gbt_auc": lambda df: df.auc.between(0, 1).all() and df.auc.mean() < 0.75,
-    "walk_forward_logistic_auc": lambda df: df.auc.between(0, 1).all() and df.auc.mean() < 0.75,
+    # closes are independent draws, so a high one is mostly followed by a lower one: five in six at best
+    "walk_forward_gbt_auc": lambda df: df.auc.between(0.7, 0.9).all(),
+    "walk_forward_logistic_auc": lambda df: df.auc.between(0.7, 0.9).all(),
     "ensemble_backtest": lambda df: (df.exit_time > df.entry_time).all() and set(df.exit_reason) <= {"tp", "sl", "time"},
 }
 
