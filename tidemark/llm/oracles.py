@@ -63,3 +63,30 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP12_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT k, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS all_n FROM words GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+langs AS (SELECT l.lang, count(term) AS v, coalesce(sum(all_n), 0)::HUGEINT AS lang_n FROM (SELECT DISTINCT lang FROM docs) l LEFT JOIN kept USING (lang) GROUP BY l.lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+held AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS group_n FROM groups g LEFT JOIN held USING (lang, source) GROUP BY g.lang, g.source),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(h.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(h.n, 0) + 2)) // (s.group_n + 2 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.all_n + 2)) // (l.lang_n + 2 * l.v) AS q
+  FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN held h ON h.lang = s.lang AND h.source = s.source AND h.term = k.term),
+pair_sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+over_terms AS (SELECT lang, source, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM over_terms QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 10)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, line_dedup, oracles, sharding, simhash, tokens, topk, toxicity, urls
+from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, sharding, simhash, tokens, topk, toxicity, urls
 
 #: The rules of the URL query: fixed values.
 URL_RULES = [
@@ -86,6 +86,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
@@ -97,10 +101,12 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op12_divergence": op12_divergence,
 }
 #: The others need the tokenizer, a trained model, XXH64 or alignment; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": oracles.OP5_URL_FILTER,
     "op7_line_dedup": oracles.OP7_LINE_DEDUP,
     "op8_exact_topk": oracles.OP8_EXACT_TOPK,
+    "op12_divergence": oracles.OP12_DIVERGENCE,
 }
