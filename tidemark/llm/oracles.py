@@ -90,3 +90,30 @@ ranked AS (
   UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM over_terms QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 10)
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
 """
+
+OP13_PREFIX_TRIE = r"""
+WITH ids AS (SELECT conv_id, max(n) AS n FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id) GROUP BY conv_id),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ord FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id, bit by bit
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT) % 4 AS h FROM ids),
+lent AS (SELECT h.conv_id, t.ord AS pos, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.base AND t.ord <= h.h),
+own AS (SELECT h.conv_id, t.ord + 10 AS pos, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.ord > h.h),
+rebuilt AS (SELECT * FROM lent UNION ALL SELECT * FROM own),
+paths AS (SELECT i.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS path FROM ids i LEFT JOIN rebuilt USING (conv_id) GROUP BY i.conv_id),
+members AS (SELECT conv_id, len(path) AS length, unnest(range(len(path) + 1)) AS depth, path FROM paths),
+keyed AS (SELECT conv_id, depth, depth = length AS ends_here, path[:depth] AS node, CASE WHEN depth > 0 THEN path[:depth - 1] END AS parent FROM members),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends_here), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '[^\x20\x09-\x0D]+')) END AS saved FROM keyed GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+below AS (
+  SELECT n.node[:k] AS node, n.saved, CASE WHEN c.node IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM (SELECT node, saved, unnest(range(depth + 1)) AS k FROM nodes) n LEFT JOIN children c ON c.node = n.node),
+subtrees AS (SELECT node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM below GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.node = n.node LEFT JOIN children c ON c.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.parent
+"""

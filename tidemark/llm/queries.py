@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, sharding, simhash, tokens, topk, toxicity, urls
+from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, sharding, simhash, tokens, topk, toxicity, trie, urls
 
 #: The rules of the URL query: fixed values.
 URL_RULES = [
@@ -90,6 +90,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trie.prefix_trie(table(spark, sf_dir, "conversations"), every=20, most=4)
+    return out.drop("position", "subtree_end")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
@@ -102,6 +107,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
     "op12_divergence": op12_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 #: The others need the tokenizer, a trained model, XXH64 or alignment; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +115,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": oracles.OP7_LINE_DEDUP,
     "op8_exact_topk": oracles.OP8_EXACT_TOPK,
     "op12_divergence": oracles.OP12_DIVERGENCE,
+    "op13_prefix_trie": oracles.OP13_PREFIX_TRIE,
 }
