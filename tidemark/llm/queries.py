@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, sharding, simhash, tokens, topk, toxicity, trie, urls
+from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, quality_rules, sharding, simhash, tokens, topk, toxicity, trie, urlsfrom tidemark.llm.common import stored
 
 #: The rules of the URL query: fixed values.
 URL_RULES = [
@@ -86,6 +86,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality_rules.statistics(table(spark, sf_dir, "documents"), keep=["doc_id"]), "statistics")
+    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
 
@@ -106,6 +114,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_quality_rules": op11_quality_rules,
     "op12_divergence": op12_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
