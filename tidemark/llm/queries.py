@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, quality_rules, sharding, simhash, tokens, topk, toxicity, trie, urlsfrom tidemark.llm.common import stored
+from tidemark.llm import bpe, decontaminate, divergence, licenses, line_dedup, oracles, quality_rules, sharding, simhash, tokens, topk, toxicity, trie, urls
+from tidemark.llm.common import stored
 
 #: The rules of the URL query: fixed values.
 URL_RULES = [
