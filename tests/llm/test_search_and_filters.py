@@ -529,3 +529,23 @@ def test_groups_hold_all_similar_pairs(spark, sf):
     assert kept == {min(x) for x in by.values()}
     twice = documents(spark, ["same text here"]).unionByName(documents(spark, ["same text here"]))
     assert near.keep_one(twice).count() == 1 and near.keep_one(docs.limit(0)).count() == 0
+
+
+def test_toxicity_on_the_given_tables(spark):
+    """Held-out rows of the small tables: 6 toxic and 64 clean ones."""
+    sf = "/root/testdata/sf0.01"
+    out = queries.op6_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    toxic, clean = ([r for r in out if r.toxic == y] for y in (1, 0))
+    assert len(toxic) >= 5 and len(clean) >= 50
+    right = sum((t.score > c.score) + 0.5 * (t.score == c.score) for t in toxic for c in clean)
+    assert right >= 0.87 * len(toxic) * len(clean)  # a toxic row of 6 that is missed costs 0.1
+    assert sum(r.predicted for r in clean) < 0.02 * len(clean) or sum(r.predicted for r in clean) <= 1
+    assert sum(r.predicted for r in toxic) >= 0.5 * len(toxic)
+
+
+def test_words_never_seen_are_neutral(spark):
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    scorer = toxicity.Scorer(model)
+    texts = ["the quick brown fox", "one two three", " ".join(f"word{i}" for i in range(160)), *[" ".join(f"zq{i * j}vu" for j in range(99)) for i in range(1, 30)]]
+    assert max(scorer.score(texts)) < 0.5

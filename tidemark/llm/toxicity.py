@@ -1,15 +1,17 @@
 """Toxicity scores from a bidirectional GRU with attention pooling, trained in numpy.
 
-A word enters as its own embedding (hashed) next to the mean embedding of its character
-n-grams (hashed), so a new form of a known stem is not unknown. A GRU reads a window of
-words in both directions, attention pools its states, and a logistic unit scores the
-window. A text is covered by all its half-overlapping windows; its score is the highest,
-shifted and scaled on the training rows.
+A word enters as its own embedding (hashed) next to the mean embedding of its
+beginnings (hashed), so a new form of a known stem is not unknown. An embedding is what the training rows say
+about the word or beginning, for certain, plus what training adds; it is zero where they say nothing, so a word never
+seen is neutral. While training, a text's words are judged by other texts only. A GRU reads a window of words in both directions, attention pools its states, and a logistic
+unit scores the window. A text is covered by all its half-overlapping windows; its score is the highest,
+shifted and scaled on rows that training did not see.
 
 Only texts are inputs. Training takes a sample of labelled rows that is bounded in rows and bytes,
 whole texts, and learns by multiple instances: a toxic document answers for its most toxic window, a
-clean one for its own most toxic window and for others. It runs in one task over that sample; the
-driver sees the weights only.
+clean one for its own most toxic window and for others. Words drop out at random, weights decay, and of all epochs
+the one that serves the rows held aside best is kept. It runs in one task over that sample; the driver sees the
+weights only.
 """
 
 from __future__ import annotations
@@ -29,17 +31,25 @@ from tidemark.llm.common import sliced
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 64, 32
-WORD_ROWS, CHAR_ROWS = 1 << 12, 1 << 15
+WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 17
 EMBED, HIDDEN = 8, 8
 SAMPLE = 4000  # labelled rows that training reads at most, half of them toxic
 SAMPLE_BYTES = 32 << 20  # bytes of text that training reads at most; a row that would exceed them is left out
-EPOCHS, BATCH, RATE = 14, 128, 0.01
-STEPS = 800  # least number of weight updates, about
+EPOCHS, BATCH, RATE = 6, 128, 0.01
+STEPS = 160  # least number of weight updates, about
+SURE = 1.5  # standard errors by which a word or n-gram must differ between the classes to start with a weight
+DROP = 0.1  # share of a window's words that a step of training does not see
+FALSE = 0.005  # most clean rows, as a share, that the threshold lets through where it is set
+FOLDS = 4  # a text is trained on with what the texts of the other folds say about its words
+DECAY = 0.002  # share of the weights that a step takes away
 ASIDE = 5  # one in so many sampled rows only sets the threshold
 MEMO = 100_000  # words a worker remembers at a time
 CHUNK = 512  # windows scored at a time
 GRID = 1024  # steps between 0 and 1 that states are rounded to in scoring
 
+#: The direction in an embedding that stands for evidence.
+ALONG = np.where(np.arange(EMBED) % 2, -0.5, 0.5).astype(np.float32)
+
 Weights = dict[str, np.ndarray]
 
 
@@ -48,10 +58,9 @@ def word_row(word: str) -> int:
 
 
 def char_rows(word: str) -> list[int]:
-    """Hashed rows of the word's runs of four bytes, ends marked, and of its beginnings, which carry stems."""
-    raw = ("<" + word + ">").encode()
-    runs = [raw[i : i + 4] for i in range(len(raw) - 3)] or [raw]
-    return [zlib.crc32(r, 1) % CHAR_ROWS for r in runs] + [zlib.crc32(raw[:n], 2) % CHAR_ROWS for n in range(4, min(10, len(raw)))]
+    """Hashed rows of the word's beginnings of four to seven bytes, which carry stems, or of all of a shorter word."""
+    raw = word.encode()
+    return [zlib.crc32(raw[:n], 2) % CHAR_ROWS for n in range(4, min(7, len(raw)) + 1)] or [zlib.crc32(raw, 3) % CHAR_ROWS]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -106,17 +115,40 @@ def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 def initial(seed: int = 3) -> Weights:
     rng = np.random.default_rng(seed)
     draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-    w = {"word": draw(WORD_ROWS, EMBED, scale=0.1), "char": draw(CHAR_ROWS, EMBED, scale=0.3)}
+    w = {"word": np.zeros((WORD_ROWS, EMBED), np.float32), "char": np.zeros((CHAR_ROWS, EMBED), np.float32)}
     for d in "fb":
-        w[f"x{d}"] = draw(2 * EMBED, 3 * HIDDEN, scale=0.4)
+        w[f"x{d}"] = draw(2 * EMBED, 3 * HIDDEN, scale=0.1)
         w[f"b{d}"] = np.zeros(3 * HIDDEN, np.float32)
-        w[f"u{d}"] = draw(HIDDEN, 3 * HIDDEN, scale=0.3)
-    w["attend"] = draw(2 * HIDDEN, scale=0.3)
-    w["out"] = draw(2 * HIDDEN, scale=0.3)
+        w[f"u{d}"] = draw(HIDDEN, 3 * HIDDEN, scale=0.1)
+        # one state of each direction starts as the evidence of the words just read
+        w[f"x{d}"][:, 2 * HIDDEN] = np.tile(ALONG, 2) / float(ALONG @ ALONG)
+        w[f"u{d}"][:, 2 * HIDDEN] = 0
+    w["attend"] = draw(2 * HIDDEN, scale=0.1)
+    w["out"] = draw(2 * HIDDEN, scale=0.1)
+    w["attend"][::HIDDEN] = w["out"][::HIDDEN] = 2
     w["bias"] = np.zeros(1, np.float32)
     return w
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log odds of being in a toxic row against a clean one, less ``SURE`` standard errors; zero within those."""
+    a, b = toxic + 0.5, clean + 0.5
+    odds = np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1))
+    return (np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * np.sqrt(1 / a + 1 / b))).astype(np.float32)
+
+
+def said(bags: list[np.ndarray], y: np.ndarray, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Weights:
+    """The evidence on each word row and beginning row of the texts ``bags`` (word ids) with labels ``y``, as embeddings."""
+    counts = {"word": np.zeros((2, WORD_ROWS)), "char": np.zeros((2, CHAR_ROWS))}
+    for words, label in zip(bags, y):
+        used = np.unique(words)
+        counts["word"][int(label), np.unique(rows[used])] += 1
+        at = np.arange(sizes[used].sum()) + np.repeat(starts[used] - (np.cumsum(sizes[used]) - sizes[used]), sizes[used])
+        counts["char"][int(label), np.unique(flat[at])] += 1
+    n_toxic = int(y.sum())
+    return {name: evidence(toxic, clean, n_toxic, len(y) - n_toxic)[:, None] * ALONG for name, (clean, toxic) in counts.items()}
+
+
 def features(words: list[str], w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Input vector of each word, its word row, its character rows in one array and their starts."""
     rows = np.fromiter(map(word_row, words), np.int64, len(words))
@@ -308,17 +340,30 @@ def _gru_back(dh: np.ndarray, trace: list, u: np.ndarray, mask: np.ndarray | Non
 
 
 class _Adam:
+    """Steps for all weights; of the embeddings, only for the rows that a batch used."""
+
     def __init__(self, w: Weights) -> None:
         self.m = {k: np.zeros_like(x) for k, x in w.items()}
         self.v = {k: np.zeros_like(x) for k, x in w.items()}
         self.t = 0
 
-    def step(self, w: Weights, g: Weights, rate: float) -> None:
+    def step(self, w: Weights, g: Weights, rate: float, used: Weights) -> None:
         self.t += 1
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            w[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+            at = used.get(k, slice(None))
+            self.m[k][at] += 0.1 * (x - self.m[k][at])
+            self.v[k][at] += 0.01 * (x * x - self.v[k][at])
+            w[k][at] -= rate * (self.m[k][at] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k][at] / (1 - 0.99**self.t)) + 1e-6)
+            if k not in used and k != "bias":
+                w[k] *= 1 - DECAY
+
+
+def _rows_used(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, and the sum of the ``values`` of each."""
+    used, at = np.unique(rows, return_inverse=True)
+    sums = np.zeros((len(used), values.shape[1]), np.float32)
+    _add_rows(sums, at, values)
+    return used, sums
 
 
 def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS, seed: int = 3) -> Model:
@@ -338,64 +383,111 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     _, rows, flat, starts = features(list(place), w)
     sizes = np.diff(np.append(starts, len(flat)))
-    del parts, place
+    del place
     full = [i for i, (a, b) in enumerate(bags) if b > a]
     if not full or len(set(y[full])) < 2:
         return Model(w, shift=1e3)  # nothing to learn from: no text is toxic
-    aside = [i for i in full if zlib.crc32(texts[i].encode(), 2) % ASIDE == 0]
-    seen = [i for i in full if zlib.crc32(texts[i].encode(), 2) % ASIDE]
-    seen = seen if len(set(y[seen])) == 2 else full
+    aside, seen = _sides(texts, y, full)
+    folds = [[i for k, i in enumerate(seen) if k % FOLDS == f] for f in range(FOLDS)]
+    tell = lambda some: said([parts[i] for i in some], y[some], rows, flat, starts, sizes)
+    known, others = tell(seen), [tell([i for i in seen if i not in fold]) for fold in map(set, folds)]
     rng, adam = np.random.default_rng(seed), _Adam(w)
 
-    def all_logits() -> np.ndarray:
-        x = _inputs(rows, flat, starts, sizes, w)
-        return Model(w).logits(ids, spans, _project(x, w["xf"]) + w["bf"], _project(x, w["xb"]) + w["bb"])
+    def with_start(start: Weights) -> Weights:
+        return {**w, "word": w["word"] + start["word"], "char": w["char"] + start["char"]}
+
+    def best_logits(of: list[int], start: Weights) -> tuple[np.ndarray, list[int]]:
+        """The highest logit of each text, and its window."""
+        x = _inputs(rows, flat, starts, sizes, with_start(start))
+        some = [s for i in of for s in range(*bags[i])]
+        logits = Model(w).logits(ids, [spans[s] for s in some], _project(x, w["xf"]) + w["bf"], _project(x, w["xb"]) + w["bb"])
+        top, where, at = [], [], 0
+        for i in of:
+            n = bags[i][1] - bags[i][0]
+            k = int(logits[at : at + n].argmax())
+            top.append(logits[at + k])
+            where.append(bags[i][0] + k)
+            at += n
+        return np.array(top), where
+
+    def telling(of: list[int], start: Weights) -> list[int]:
+        """The window of each text with the most evidence."""
+        x = _inputs(rows, flat, starts, sizes, start)
+        sums = np.append(0, np.cumsum((x[:, 0] + x[:, EMBED]).astype(np.float64)[ids]))
+        return [max(range(*bags[i]), key=lambda s: sums[spans[s][1]] - sums[spans[s][0]]) for i in of]
 
     # small samples are seen more often
-    epochs = max(epochs, min(60, -(-STEPS * BATCH // (2 * len(seen)))))
+    epochs = max(epochs, min(40, -(-STEPS * BATCH // (2 * len(seen)))))
+    every = max(1, epochs // EPOCHS)
+    weigh = np.where(y > 0, 1 / (2 * y[seen].mean()), 1 / (2 * (1 - y[seen].mean())))
+    best, kept = None, None
+    tops = [telling(fold, start) for fold, start in zip(folds, others)]
     for epoch in range(epochs):
-        logits = all_logits() if epoch else rng.random(len(spans))
-        picks = []
-        for i in seen:
-            a, b = bags[i]
-            picks.append((a + int(logits[a:b].argmax()), i))
-            if not y[i]:
-                picks.append((int(rng.integers(a, b)), i))
-        rng.shuffle(picks)
-        toxic = sum(y[i] for _, i in picks)
-        weigh = np.where(y > 0, len(picks) / (2 * toxic), len(picks) / (2 * (len(picks) - toxic)))
-        rate = RATE * (0.2 if epoch >= epochs - 3 else 1)
-        for at in range(0, len(picks), BATCH):
-            some = picks[at : at + BATCH]
+        if epoch and epoch % every == 0:
+            tops = [best_logits(fold, start)[1] if fold else [] for fold, start in zip(folds, others)]
+        steps = []
+        for fold, top, start in zip(folds, tops, others):
+            picks = [(t, i) for t, i in zip(top, fold)] + [(int(rng.integers(*bags[i])), i) for i in fold if not y[i]]
+            rng.shuffle(picks)
+            steps += [(picks[at : at + BATCH], start) for at in range(0, len(picks), BATCH)]
+        rate = RATE * (0.2 if epoch >= epochs * 3 // 4 else 1)
+        for k in rng.permutation(len(steps)):
+            some, start = steps[k]
             words, mask = _padded(ids, [spans[s] for s, _ in some])
             used, local = np.unique(words, return_inverse=True)
             own_starts = np.cumsum(sizes[used]) - sizes[used]
             own = np.arange(sizes[used].sum()) + np.repeat(starts[used] - own_starts, sizes[used])
-            x = _inputs(rows[used], flat[own], own_starts, sizes[used], w)
+            x = _inputs(rows[used], flat[own], own_starts, sizes[used], w) + _inputs(rows[used], flat[own], own_starts, sizes[used], start)
+            heard = (rng.random(len(x)) >= DROP)[:, None].astype(np.float32)
             docs = [i for _, i in some]
-            grads, dx = gradients(x, local.reshape(words.shape), mask, y[docs], weigh[docs] / len(some), w)
-            grads["word"], grads["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-            _add_rows(grads["word"], rows[used], dx[:, :EMBED])
-            _add_rows(grads["char"], flat[own], np.repeat(dx[:, EMBED:] / sizes[used][:, None], sizes[used], axis=0))
-            adam.step(w, grads, rate)
-    w = settled(w)
-    logits = all_logits()
-    # rows that training did not see set the threshold, unless they lack a class
-    judges = aside if len(set(y[aside])) == 2 else full
-    best = np.array([logits[a:b].max() for a, b in (bags[i] for i in judges)])
-    return Model(w, *_threshold(best, y[judges], share))
+            grads, dx = gradients(x * heard, local.reshape(words.shape), mask, y[docs], weigh[docs] / len(some), w)
+            dx *= heard
+            touched = {}
+            touched["word"], grads["word"] = _rows_used(rows[used], dx[:, :EMBED])
+            touched["char"], grads["char"] = _rows_used(flat[own], np.repeat(dx[:, EMBED:] / sizes[used][:, None], sizes[used], axis=0))
+            adam.step(w, grads, rate, touched)
+        if epoch % every == every - 1 or epoch == epochs - 1:
+            loss = _loss(best_logits(aside, known)[0], y[aside])
+            if best is None or loss < best:
+                best, kept = loss, {k: x.copy() for k, x in w.items()}
+    w = settled(kept)
+    judged = [(aside, known)] if aside is not seen else []
+    judged += [(fold, start) for fold, start in zip(folds, others) if fold]
+    logits = np.concatenate([best_logits(of, start)[0] for of, start in judged])
+    marks = np.concatenate([y[of] for of, _ in judged])
+    return Model(with_start(known), *_threshold(logits, marks, share))
+
+
+def _sides(texts: list[str], y: np.ndarray, full: list[int]) -> tuple[list[int], list[int]]:
+    """Rows held aside, and rows to learn from: of each class one in ``ASIDE``, by a hash of the text. Without both classes on both sides, all are on both."""
+    order = sorted(full, key=lambda i: zlib.crc32(texts[i].encode(), 2))
+    of = [[i for i in order if y[i] == v] for v in (0, 1)]
+    aside = [i for rows in of for i in rows[: len(rows) // ASIDE]]
+    held = set(aside)
+    seen = [i for i in order if i not in held]
+    return (aside, seen) if len(set(y[aside])) == 2 and len(set(y[seen])) == 2 else (full, full)
+
+
+def _loss(logits: np.ndarray, y: np.ndarray) -> float:
+    """Share of pairs of a toxic and a clean row in the wrong order, with the log loss of the best shift as a tie-breaker."""
+    toxic, clean = np.sort(logits[y > 0]), logits[y == 0]
+    wrong = float(np.searchsorted(toxic, clean, side="right").mean()) / len(toxic)
+    spread = float(toxic.mean() - clean.mean()) / (float(logits.std()) + 1e-6)
+    return wrong - 1e-3 * spread
 
 
 def _threshold(logits: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Middle of the widest best cut by F1 at the toxic share, and a scale that spreads the classes."""
+    """Middle of the widest best cut by F1 at the toxic share, of those that at most ``FALSE`` of the clean rows exceed; and a scale of 1."""
     order = np.argsort(logits)
     x, t = logits[order], y[order]
     pos, neg = share / max(1, t.sum()), (1 - share) / max(1, (1 - t).sum())
     caught = (t.sum() - np.cumsum(t)) * pos
-    false = ((1 - t).sum() - np.cumsum(1 - t)) * neg
-    f1 = 2 * caught / np.maximum(1e-12, caught + false + share)
-    top = f1[:-1] >= f1[:-1].max() - 1e-9
-    gaps = np.where(top, x[1:] - x[:-1], -1)
+    wrong = (1 - t).sum() - np.cumsum(1 - t)
+    f1 = 2 * caught / np.maximum(1e-12, caught + wrong * neg + share)
+    f1[wrong > FALSE * (1 - t).sum()] = -1
+    if f1[:-1].max() <= 0:  # no cut catches a toxic row and spares the clean ones
+        return float(x[-1]) + 1, 1.0
+    gaps = np.where(f1[:-1] >= f1[:-1].max() - 1e-9, x[1:] - x[:-1], -1)
     i = int(gaps.argmax())
     return float((x[i] + x[i + 1]) / 2), 1.0
 
