@@ -179,9 +179,9 @@ def test_queries_are_registered_and_hold_their_sql(spark, sf):
     import duckdb
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {q.split("_")[0] + "_" for q in names} and "pipeline" in names
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()

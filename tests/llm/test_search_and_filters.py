@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, line_dedup, near, queries, topk, toxicity, urls
+from tidemark.llm import common, decontaminate, licenses, line_dedup, near, queries, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, id string"
 
@@ -504,7 +504,9 @@ def test_training_reads_a_bounded_sample_and_takes_odd_labels(spark):
 # ---- near-duplicate groups
 
 
-def test_groups_hold_all_similar_pairs(spark, sf):
+@pytest.mark.parametrize("most_bits", [28, 4])
+def test_groups_hold_all_similar_pairs(spark, sf, most_bits, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)  # 4: bitmaps are full, joins take over
     rng = random.Random(6)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     base = " ".join(f"word{rng.randrange(500)}" for _ in range(220)).split()

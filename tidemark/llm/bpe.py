@@ -28,13 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bitmap, bitmap_has, sliced, stored, tied
+from tidemark.llm.common import bitmap, bitmap_has, bits_for, sliced, stored, tied
 from tidemark.llm.tokens import MEMO, byte_letters, library_tokenizer, pre_tokens, vocabulary
 
 WINDOW = 32  # bytes a cut depends on
 MEAN_BITS = 10  # a cut every 1024 bytes on average
 LEAST, MOST = 256, 8192  # bytes of a chunk, but for the last
-BITMAP_BITS = 25  # 4 MB in each worker
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint32)
 #: White space under every definition in use, after a character that is none under any.
 SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
@@ -177,8 +176,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _shared(rows: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the chunks that occur more than once; its size does not depend on the rows."""
+def _shared(rows: DataFrame, bits: int | None) -> tuple[np.ndarray, int]:
+    """A bitmap of the chunks that occur more than once, and its bits as a power of two."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -186,7 +185,9 @@ def _shared(rows: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary())], names=["name"])
 
     found = rows.select("text").mapInArrow(names, "name binary").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return bitmap(found.where("n > 1").select("name"), bits)
+    twice = stored(found.where("n > 1").select("name"), "shared")
+    bits = bits or bits_for(twice.count())
+    return bitmap(twice, bits), bits
 
 
 def encode(
@@ -195,7 +196,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     decode: bool = False,
-    bitmap_bits: int = BITMAP_BITS,
+    bitmap_bits: int | None = None,
 ) -> DataFrame:
     """``id_col, ids`` (array<int>) for every row, and with ``decode`` the ``decoded`` text of the ids.
 
@@ -207,7 +208,8 @@ def encode(
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(_shared(rows, bitmap_bits))  # of fixed size
+    full, bitmap_bits = _shared(rows, bitmap_bits)
+    shared = spark.sparkContext.broadcast(full)  # its size follows the number of shared chunks, 32 MB at most
     result = f"id {kind}, ids array<int>" + ", decoded string" * decode
 
     def texts_of_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

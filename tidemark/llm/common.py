@@ -88,6 +88,19 @@ def _slots(names: list[bytes] | np.ndarray, bits: int) -> np.ndarray:
     return words & np.uint64((1 << bits) - 1)
 
 
+MOST_BITS = 28  # of a bitmap: 32 MB
+
+
+def bits_for(n: int, most: int = MOST_BITS) -> int:
+    """Bits of a bitmap for ``n`` names, as a power of two: some 16 for each name, 2 ** ``most`` at most."""
+    return min(most, max(20, (16 * max(1, n) - 1).bit_length()))
+
+
+def fills(n: int, bits: int) -> bool:
+    """Whether a bitmap of ``n`` names has so few bits to spare that it stops saving work: fewer than four a name."""
+    return 4 * n > 1 << bits
+
+
 def bitmap(names: DataFrame, bits: int) -> np.ndarray:
     """A set of 16-byte names or of 64-bit hashes as 2 ** ``bits`` bits, whatever their number.
 

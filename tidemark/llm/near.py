@@ -34,14 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
-from tidemark.llm.common import Scratch, bitmap, bitmap_has, components, sliced, stored
+from tidemark.llm import common, simhash
+from tidemark.llm.common import Scratch, bitmap, bitmap_has, bits_for, components, fills, sliced, stored
 
 SKETCH = 512
 WORDS = SKETCH // 64
 COUNT_BITS = 22
 COUNT_BLOCK = 1 << 16  # cells of a row of counts
-BITMAP_BITS = 26
 MORE_STARS = 1000  # comparisons for each row of the postings beyond which another star round comes first
 STAR_ROUNDS = 6
 SPAN = 1 << 18  # bytes hashed at a time
@@ -183,19 +182,21 @@ def _counts(marks: DataFrame) -> np.ndarray:
     return full.ravel()
 
 
-def _prefixes(rows: DataFrame, picked: np.ndarray, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
+def _prefixes(rows: DataFrame, spelled: DataFrame, size: int, similarity: float, counts: np.ndarray) -> DataFrame:
     """``norm, size, s0..s7, firsts``: each text's sketch and its rarest shingles, rarest first.
 
-    ``rows`` are ``key, text``; ``picked`` has the key of one row of each word sequence, others may come, too.
+    ``rows`` are ``key, text``; ``spelled`` has the key of one row of each word sequence. Others come, too, where a bitmap
+    of the keys has false hits; where so many would come that their prefixes crowd the postings, they go before.
     """
-    spark = rows.sparkSession
-    shared, wanted = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(picked)  # of fixed size
+    spark, n = rows.sparkSession, spelled.count()
+    bits = bits_for(n, common.MOST_BITS)
+    shared, wanted = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(bitmap(spelled.select("key"), bits))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in sliced(batches):
             norms, sizes, sketches, firsts = [], [], [], []
-            for text in _fresh(batch, wanted.value, seen):
+            for text in _fresh(batch, wanted.value, bits, seen):
                 norm = normal(text)
                 found = distinct(shingle_hashes(norm, size))
                 order = np.lexsort((found, shared.value[(found & CELLS).astype(np.int64)]))
@@ -207,15 +208,18 @@ def _prefixes(rows: DataFrame, picked: np.ndarray, size: int, similarity: float,
             made = [pa.array(norms, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(table[:, i]) for i in range(WORDS)]]
             yield pa.RecordBatch.from_arrays([*made, pa.array(firsts, pa.list_(pa.int64()))], names=["norm", "size", *SKETCHES, "firsts"])
 
-    return rows.mapInArrow(run, f"norm binary, size int, {_LONGS}, firsts array<long>")
+    out = rows.mapInArrow(run, f"norm binary, size int, {_LONGS}, firsts array<long>")
+    if fills(n, bits):
+        out = out.groupBy("norm").agg(*[F.first(c).alias(c) for c in ("size", *SKETCHES, "firsts")])
+    return out
 
 
-def _fresh(batch: pa.RecordBatch, wanted: np.ndarray, seen: set[int]) -> list[bytes]:
+def _fresh(batch: pa.RecordBatch, wanted: np.ndarray, bits: int, seen: set[int]) -> list[bytes]:
     """The texts of ``key, text`` rows whose key is wanted and has not come to this task before."""
     if len(seen) > SEEN:
         seen.clear()
     keys, keep = batch.column(0).to_numpy(), []
-    for i in np.flatnonzero(bitmap_has(keys, wanted, BITMAP_BITS)):
+    for i in np.flatnonzero(bitmap_has(keys, wanted, bits)):
         if (key := int(keys[i])) not in seen:
             seen.add(key)
             keep.append(i)
@@ -227,20 +231,27 @@ _LONGS = ", ".join(f"{s} long" for s in SKETCHES)
 MEMBER = ["norm", "size", "pos", *SKETCHES]
 
 
-def _postings(prefixes: DataFrame) -> DataFrame:
+def _postings(prefixes: DataFrame, keep: Scratch) -> DataFrame:
     """``shingle, norm, size, pos, s0..s7, held``: the prefix shingles that other rows have in their prefixes, too.
 
-    ``pos`` is the shingle's place in the prefix, ``held`` about the share of the prefix that others have.
+    ``pos`` is the shingle's place in the prefix, ``held`` about the share of the prefix that others have. A bitmap whose size
+    follows the number of shared shingles leaves the others in their tasks; beyond ``MOST_BITS`` a join with the shared ones does,
+    which has no limit.
     """
-    twice = prefixes.select(F.explode("firsts").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap(twice.select("shingle"), BITMAP_BITS))  # of fixed size
+    twice = prefixes.select(F.explode("firsts").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    twice = keep.stored(twice, "twice")
+    n = twice.count()
+    bits = bits_for(n, common.MOST_BITS)
+    if fills(n, bits):
+        return _met(prefixes, twice)
+    shared = prefixes.sparkSession.sparkContext.broadcast(bitmap(twice, bits))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows, shingles, places, held = [], [], [], []
             for i, firsts in enumerate(batch.column("firsts")):
                 found = firsts.values.to_numpy() if firsts.is_valid else np.zeros(0, np.int64)
-                hit = np.flatnonzero(bitmap_has(found, shared.value, BITMAP_BITS))
+                hit = np.flatnonzero(bitmap_has(found, shared.value, bits))
                 if len(hit):
                     rows.append(np.full(len(hit), i))
                     shingles.append(found[hit])
@@ -257,6 +268,16 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     return found.groupBy("shingle", "norm").agg(*[F.first(c).alias(c) for c in (*MEMBER[1:], "held")])
 
 
+def _met(prefixes: DataFrame, twice: DataFrame) -> DataFrame:
+    """The same by joins: shingles without sketches meet the shared ones, and only what is left meets the sketches."""
+    places = prefixes.select("norm", F.posexplode("firsts").alias("pos", "shingle")).groupBy("shingle", "norm").agg(F.min("pos").alias("pos"))
+    left = places.join(twice, "shingle")
+    sums = left.groupBy("norm").agg(F.count(F.lit(1)).alias("k"))
+    texts = prefixes.groupBy("norm").agg(*[F.first(c).alias(c) for c in ("size", *SKETCHES)], F.first(F.size("firsts")).alias("all"))
+    out = left.join(texts, "norm").join(sums, "norm")
+    return out.select("shingle", *MEMBER, (F.col("k") / F.col("all")).alias("held"))
+
+
 def _may_link(a: str, b: str, similarity: float) -> Column:
     """Whether two members of a posting can be similar and have it as their first one; true for every similar pair."""
     na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -308,21 +329,25 @@ def _apart(members: DataFrame, nodes: DataFrame, keep: Scratch) -> tuple[DataFra
 def _across(apart: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: every pair of texts of a posting that are in different groups and can be similar."""
     columns = [F.struct(*MEMBER, "group").alias("m"), (F.col("group") == F.col("main")).alias("in_main")]
-    every = apart.select("shingle", *columns)
-    outside = every.where("not in_main").select("shingle", F.col("m").alias("o"))
+    # similar texts are in one class of sizes or in neighbours
+    level = F.floor(F.log("size") / -math.log(similarity)) if similarity < 1 else F.col("size").cast("long")
+    every = apart.select("shingle", level.alias("level"), *columns)
+    near = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level")
+    outside = every.where("not in_main").select("shingle", near, F.col("m").alias("o"))
     apart_still = (F.col("o.group") != F.col("m.group")) & (F.col("in_main") | (F.col("o.norm") < F.col("m.norm")))
-    met = outside.join(every, "shingle").where(apart_still & _may_link("o", "m", similarity))
+    met = outside.join(every, ["shingle", "level"]).where(apart_still & _may_link("o", "m", similarity))
     return met.select(F.col("o.norm").alias("a"), F.col("m.norm").alias("b"))
 
 
 def _held(rows: DataFrame, involved: DataFrame, size: int) -> DataFrame:
     """``norm, held``: the shingle sets of the texts that pairs need; no other text leaves its task."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(involved.select("key"), BITMAP_BITS))  # of fixed size
+    bits = bits_for(involved.count(), common.MOST_BITS)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(involved.select("key"), bits))  # of bounded size; false hits are joined away
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in sliced(batches):
-            norms = [normal(t) for t in _fresh(batch, shared.value, seen)]
+            norms = [normal(t) for t in _fresh(batch, shared.value, bits, seen)]
             held = [distinct(shingle_hashes(n, size)).tobytes() for n in norms]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(n) for n in norms], pa.binary()), pa.array(held, pa.binary())], names=["norm", "held"])
 
@@ -332,7 +357,8 @@ def _held(rows: DataFrame, involved: DataFrame, size: int) -> DataFrame:
 def _verified(rows: DataFrame, spelled: DataFrame, pairs: DataFrame, size: int, similarity: float, keep: Scratch) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
     involved = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).distinct()
-    held = keep.stored(_held(rows, spelled.join(involved, "norm", "left_semi"), size), "shingles")
+    involved = keep.stored(spelled.join(involved, "norm", "left_semi"), "involved")
+    held = keep.stored(_held(rows, involved, size), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -358,9 +384,8 @@ def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_word
     rows = _keys(docs, id_col, text_col).select(F.col("_tm_key").alias("key"), F.col(text_col).cast("binary").alias("text"))
     # one row of each word sequence is enough
     spelled = keep.stored(known.groupBy("norm").agg(F.min("key").alias("key")), "spelled")
-    picked = bitmap(spelled.select("key"), BITMAP_BITS)
-    prefixes = keep.stored(_prefixes(rows, picked, shingle_words, similarity, _counts(marks)), "prefixes")
-    postings = keep.stored(_postings(prefixes), "postings")
+    prefixes = keep.stored(_prefixes(rows, spelled, shingle_words, similarity, _counts(marks)), "prefixes")
+    postings = keep.stored(_postings(prefixes, keep), "postings")
     centres = keep.stored(_centres(postings), "centres")
     near = _ordered(_simhash_pairs(known, keep))
     pairs = keep.stored(_ordered(_stars(postings, centres, similarity)).unionByName(near).distinct(), "pairs")
