@@ -72,6 +72,7 @@ FITTED = {
     # closes are independent draws, so a high one is mostly followed by a lower one: five in six at best
     "walk_forward_gbt_auc": lambda df: df.auc.between(0.7, 0.9).all(),
     "walk_forward_logistic_auc": lambda df: df.auc.between(0.7, 0.9).all(),
+    "full_validation": lambda df: len(df) == 1 and (df.overall_pass == (df.cpcv_pass & df.pbo_pass & df.dsr_pass)).all() and df.trials.eq(1000).all() and df.folds.between(5, 15).all(),
     "ensemble_backtest": lambda df: (df.exit_time > df.entry_time).all() and set(df.exit_reason) <= {"tp", "sl", "time"},
 }
 
@@ -341,11 +342,15 @@ def test_queries_named_for_boosting_fit_it(spark, sf, monkeypatch):
     class Found(Exception):
         pass
 
-    def stop(members, columns, target, kind="gbt"):
+    def boosted(*_, **__):
+        raise Found("gbt")
+
+    def other(kind, *_):
         raise Found(kind)
 
-    monkeypatch.setattr(ranking, "fold_scores", stop)
-    monkeypatch.setattr(composites, "fold_scores", stop)
+    monkeypatch.setattr(ranking, "boosted_scores", boosted)
+    monkeypatch.setattr(composites, "boosted_scores", boosted)
+    monkeypatch.setattr(ranking, "pipeline", other)
     for name, kind in (("walk_forward_gbt_auc", "gbt"), ("walk_forward_logistic_auc", "logistic"), ("ensemble_backtest", "gbt")):
         with pytest.raises(Found, match=f"^{kind}$"):
             QUERIES[name](spark, sf)
@@ -464,6 +469,31 @@ def test_resamples_have_the_ledgers_size_and_mean(spark):
     assert both.trades.max() <= 300 and both.net_pnl.std() > costs.net_pnl.std()
 
 
+def test_splits_of_a_resample_are_binomial(spark):
+    from tidemark.functions.draws import uniform, uniform_array
+    from tidemark.operators import simulations as M
+
+    n, sims = 5 * M.BLOCK + 77, np.arange(4000)
+    draws = np.array([M.block_draws(n, b, 42, sims) for b in range(6)])
+    assert (draws.sum(0) == n).all()
+    for k, share in zip(draws, [M.BLOCK / n] * 5 + [77 / n]):
+        sd = (n * share * (1 - share)) ** 0.5
+        assert abs(k.mean() - n * share) < 5 * sd / 4000**0.5 and abs(k.std() / sd - 1) < 0.05
+        assert abs(np.quantile(k, 0.975) - (n * share + 1.96 * sd)) < 0.15 * sd + 1
+    assert abs(np.corrcoef(draws[0], draws[1])[0, 1] + 1 / 5.07) < 0.07  # a draw in one block is none in another
+    frame = spark.createDataFrame([(r, s) for r in (-5, 0, 3, 2**31 - 1, 2**40 + 1) for s in (0, 1, 9999)], "r long, s long").select("r", "s", uniform(7, "r", "s").alias("u")).toPandas()
+    assert np.array_equal(uniform_array(7, frame.r.values, frame.s.values), frame.u.values)
+    rng = np.random.default_rng(1)
+    pnl = rng.normal(1, 10, 3000)
+    trades = spark.createDataFrame([(None, i, float(x)) for i, x in enumerate(pnl)] + [("one", 1, 2.0)], "model string, trade_id long, net_pnl double")
+    out = M.runs(trades, 500, M.BOOTSTRAP).toPandas()
+    many = out[out.model.isna()]
+    plain = np.array([rng.choice(pnl, 3000).sum() for _ in range(500)])
+    assert (many.trades == 3000).all() and (out[out.model == "one"].net_pnl == 2.0).all()
+    assert abs(many.net_pnl.mean() - plain.mean()) < 4 * plain.std() * (2 / 500) ** 0.5 and abs(many.net_pnl.std() / plain.std() - 1) < 0.15
+    assert M.runs(trades.limit(0), 10, M.BOOTSTRAP).count() == 0
+
+
 def test_gaps_of_daily_series_are_filled(spark):
     from tidemark.operators import bars as B
     from tidemark.operators import joins as J
@@ -486,3 +516,65 @@ def test_made_series(spark):
     assert len(x) == 1500 and x.min() >= 9 and 16 < x.mean() < 24 and 0.9 < x.autocorr() < 1
     walk = synthetic.random_walk(spark, 800, noise=2.0).orderBy("date").toPandas().value
     assert 1.8 < walk.diff().std() < 2.2 and abs(walk.diff().mean()) < 0.3
+
+
+def plain_boosting(x, y, train, cuts, trees, depth, rate, l2):
+    """One model, row by row in numpy."""
+    b = np.stack([(x[:, k][:, None] > np.array(c)[None]).sum(1) for k, c in enumerate(cuts)], 1)
+    p = y[train].mean()
+    raw = np.full(len(y), np.log(p / (1 - p)))
+    for _ in range(trees):
+        q = 1 / (1 + np.exp(-raw))
+        g, h, node = q - y, q * (1 - q), np.ones(len(y), int)
+        for _ in range(depth):
+            below, leaf = 2 * node, {}
+            for k in np.unique(node[train]):
+                m = train[node[train] == k]
+                gt, ht, best = g[m].sum(), h[m].sum(), (0, None)
+                for f in range(b.shape[1]):
+                    for c in np.unique(b[m, f]):
+                        left = m[b[m, f] <= c]
+                        gl, hl = g[left].sum(), h[left].sum()
+                        if min(hl, ht - hl) >= 1e-3:
+                            gain = round(gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2), 9)
+                            best = max(best, (gain, (f, c, gl, hl)), key=lambda z: z[0])
+                leaf[2 * k] = leaf[2 * k + 1] = -gt / (ht + l2)
+                if best[1]:
+                    f, c, gl, hl = best[1]
+                    below[node == k] = 2 * k + (b[node == k, f] > c)
+                    leaf[2 * k], leaf[2 * k + 1] = -gl / (hl + l2), -(gt - gl) / (ht - hl + l2)
+            node = below
+        raw += rate * np.array([leaf.get(k, 0.0) for k in node])
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_boosting_of_all_folds_equals_single_models(spark):
+    from tidemark.operators import boosting as B
+
+    rng = np.random.default_rng(1)
+    n = 300
+    x = rng.normal(size=(n, 2))
+    ys = {"y1": (x[:, 0] * x[:, 1] > 0).astype(int), "y2": (x[:, 1] + rng.normal(size=n) / 2 > 0).astype(int)}
+    rows = [("a", i, f, "test" if i % 3 == f else "train", *map(float, x[i]), *(int(y[i]) for y in ys.values())) for i in range(n) for f in (0, 1)]
+    rows += [("a", n, 0, "train", None, 1.0, 1, 1), ("a", n + 1, 0, "train", 1.0, 1.0, None, None), *[("a", n + 2 + k, 7, ("train", "test")[k], 1.0, 1.0, 1, 1) for k in (0, 1)]]
+    members = spark.createDataFrame(rows, "symbol string, ts long, fold int, role string, a double, b double, y1 int, y2 int").repartition(5)
+    cuts = {c: np.quantile(x[:, k], np.arange(1, 12) / 12).tolist() for k, c in enumerate("ab")}
+    out = B.boosted_scores(members, ["a", "b"], list(ys), trees=3, depth=3, rate=0.3, cuts=cuts).toPandas()
+    assert set(out.fold) == {0, 1}  # a fold of one class has no scores
+    for (fold, target), got in out.groupby(["fold", "target"]):
+        train = np.array([i for i in range(n) if i % 3 != fold])
+        want = plain_boosting(x, ys[target], train, list(cuts.values()), 3, 3, 0.3, 1.0)
+        assert len(got) == n // 3 and np.abs(got.score.values - want[got.ts.values]).max() < 1e-9
+        assert (got.label.values == ys[target][got.ts.values]).all()
+
+
+def test_gates_of_the_full_validation(spark):
+    from tidemark.operators import validation as S
+
+    folds = spark.createDataFrame([("v", 0.6, 0.05, 15, 7.7, 0.57, 0.63), ("h", 0.55, 0.1, 15, 1.9, 0.5, 0.6)], "target string, mean double, std double, folds long, t double, ci_low double, ci_high double")
+    overfit = spark.createDataFrame([(0.2, 1.0, 1000)], "pbo double, mean_logit double, paths long")
+    for p, passes in ((0.02, True), (0.3, False), (None, False)):
+        row = S.gated(folds, overfit, spark.createDataFrame([(2.0, 1.9, 1.2, p)], "sharpe double, expected_max double, statistic double, p_value double"), "v", {"h": "high_auc"}).first()
+        assert (row.cpcv_pass, row.pbo_pass, row.dsr_pass, row.overall_pass) == (True, True, passes, passes) and row.high_auc == 0.55
+    weak = folds.withColumn("ci_low", F.lit(0.49))
+    assert not S.gated(weak, overfit, spark.createDataFrame([(2.0, 1.9, 1.2, 0.01)], "sharpe double, expected_max double, statistic double, p_value double"), "v", {}).first().overall_pass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,3 +19,34 @@ def uniform(seed: int, row: str | Column, sim: str | Column) -> Column:
     mixed = (r * 48271 + s * 69621 + seed * 16807) % p
     once = (mixed * mixed + r) % p
     return ((once * once + s) % p) / F.lit(float(PRIME))
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number with the same remainder by ``PRIME``: below 2 ** 33 for any of 64 bits, below 2 ** 31 + 8 for those. ``x`` is used up."""
+    high = x >> np.uint64(31)
+    x &= np.uint64(PRIME)
+    x += high
+    return x
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.int64)
+    if x.size and (x.min() < 0 or x.max() >= PRIME):
+        x = np.mod(x, PRIME)
+    return x.astype(np.uint64)
+
+
+def uniform_array(seed: int, row: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """:func:`uniform` for arrays of whole numbers, which may broadcast."""
+    r, s = _reduced(row), _reduced(sim)
+    x = _fold(np.atleast_1d(r * np.uint64(48271) + s * np.uint64(69621) + np.uint64(seed * 16807)))
+    x *= x
+    x += r
+    x = _fold(_fold(x))
+    x *= x
+    x += s
+    x = _fold(_fold(x))
+    x -= np.uint64(PRIME) * (x >= np.uint64(PRIME))
+    out = x.astype(np.float64)
+    out /= float(PRIME)
+    return out

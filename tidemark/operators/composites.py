@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import EPS, Frames, flag, ratio
 from tidemark.operators import simulations as M
+from tidemark.operators.boosting import boosted_scores
 from tidemark.operators.cross import row_mean
 from tidemark.operators.joins import previous_day
 from tidemark.operators.ranking import fold_scores
@@ -120,9 +121,18 @@ def bootstrap_total(trades: DataFrame, sims: int, keys: tuple[str, ...] = ("mode
 
 
 def ensemble_scores(members: DataFrame, columns: list[str], targets: dict[str, str], kinds: dict[str, str] | None = None) -> DataFrame:
-    """Out-of-fold scores of several models side by side: ``{score column: target column}``, each with its own kind."""
+    """Out-of-fold scores of several models side by side: ``{score column: target column}``, each with its own kind.
+
+    The boosted ones are fitted together.
+    """
     parts = []
+    boosted = {n: t for n, t in targets.items() if (kinds or {}).get(n, "gbt") == "gbt"}
+    if boosted:
+        scores = boosted_scores(members, columns, sorted(set(boosted.values())))
+        parts += [scores.where(F.col("target") == t).select("symbol", "ts", "fold", F.col("score").alias(n)) for n, t in boosted.items()]
     for name, target in targets.items():
-        one = fold_scores(members, columns, target, (kinds or {}).get(name, "gbt"))
+        if name in boosted:
+            continue
+        one = fold_scores(members, columns, target, kinds[name])
         parts.append(one.select("symbol", "ts", "fold", F.col("score").alias(name)))
     return reduce(lambda a, b: a.join(b, ["symbol", "ts", "fold"]), parts)

@@ -5,11 +5,13 @@ Ledgers are keyed by ``model``; every operator works on all models at once.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import uniform
+from tidemark.functions.draws import uniform_array
 from tidemark.functions.frames import EPS
+from tidemark.operators.simulations import every_trade
 
 YEAR = 252.0
 
@@ -205,23 +207,23 @@ def stress(trades: DataFrame, kind: str, level: float, sims: int = 1, seed: int
     of trades and 20 % of winners missed, and the level's share of ten-fold losses. Draws depend on the
     trade's whole number ``id_col`` and the simulation.
     """
-    rows = trades.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    u = lambda k: uniform(seed + k, id_col, "sim")
-    pnl = F.col("net_pnl")
-    swan = lambda x: F.when(u(0) < level, -10 * F.abs(x)).otherwise(x)
-    if kind == "slippage":
-        out = pnl - F.col("slippage") * (level - 1)
-    elif kind == "dropout":
-        out = F.when(u(0) >= level, pnl)
-    elif kind == "adverse":
-        out = F.when((pnl <= 0) | (u(0) >= level), pnl)
-    elif kind == "swan":
-        out = swan(pnl)
-    elif kind == "combined":
-        out = F.when((u(1) >= 0.3) & ((pnl <= 0) | (u(2) >= 0.2)), swan(pnl - F.col("slippage") * 2))
-    else:
+    kinds = {
+        "slippage": lambda t, u: t["x"] - t["slippage"] * (level - 1),
+        "dropout": lambda t, u: np.where(u(0) >= level, t["x"], np.nan),
+        "adverse": lambda t, u: np.where((t["x"] <= 0) | (u(0) >= level), t["x"], np.nan),
+        "swan": lambda t, u: _swan(t["x"], u(0) < level),
+        "combined": lambda t, u: np.where((u(1) >= 0.3) & ((t["x"] <= 0) | (u(2) >= 0.2)), _swan(t["x"] - t["slippage"] * 2, u(0) < level), np.nan),
+    }
+    if kind not in kinds:
         raise ValueError(f"unknown stress {kind!r}")
-    return rows.groupBy(*keys, "sim").agg(F.sum(out).alias("net_pnl"), F.count(out).alias("trades"))
+    columns = {"x": "net_pnl"} | ({"slippage": "slippage"} if kind in ("slippage", "combined") else {})
+    value = lambda trade, row, sim: kinds[kind](trade, lambda k: uniform_array(seed + k, row, sim))
+    out = every_trade(trades, columns, id_col, value, sims, keys)
+    return out.select(*keys, "sim", F.when(F.col("n") > 0, F.col("x")).alias("net_pnl"), F.col("n").cast("long").alias("trades"))
+
+
+def _swan(x: np.ndarray, struck: np.ndarray) -> np.ndarray:
+    return np.where(struck, -10 * np.abs(x), x)
 
 
 def simulation_summary(sims: DataFrame, x: str = "net_pnl", keys: tuple[str, ...] = ("model",)) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import correlation
 from tidemark.functions.rows import sums_before, value_ranks
+from tidemark.operators.boosting import boosted_scores
 from tidemark.operators.quality import long_form
 
 
@@ -170,7 +171,9 @@ def pipeline(kind: str, columns: list[str], target: str) -> Pipeline:
 
 
 def fold_scores(members: DataFrame, columns: list[str], target: str, kind: str = "gbt") -> DataFrame:
-    """Out-of-fold scores: for each fold a model of its training rows scores its test rows."""
+    """Out-of-fold scores: for each fold a model of its training rows scores its test rows. ``gbt`` fits all folds at once."""
+    if kind == "gbt":
+        return boosted_scores(members, columns, [target]).select("symbol", "ts", "fold", F.col("label").alias(target), "score")
     data = members.dropna(subset=[*columns, target])
     folds = [r["fold"] for r in data.select("fold").distinct().orderBy("fold").collect()]
     out = []

@@ -1,20 +1,31 @@
 """Monte Carlo runs over a trade ledger.
 
-Every draw is a function of the trade's number and the run, so runs need no order and no gathering of
-trades: partial sums of each run leave the tasks. Resampling draws a trade's number with replacement and
-meets the drawn trade by an equi-join, which Spark broadcasts only where the ledger is small.
+Every draw is a function of whole numbers, so runs need no order and no gathering of trades, and any engine finds the
+same ones. Tasks hold a few trades and all runs as arrays: sums of each run leave them, never a row for a trade and a run.
+
+A resample with replacement is split, not drawn and joined. The trades of a ledger are numbered and cut into blocks; the
+blocks are the leaves of a fixed binary tree. A run draws as many trades as the ledger has, and at each node so many of
+its draws go left as a binomial number says. The way from the root to a block takes a number for each level, so the task that
+has a block finds for itself how often each run draws from it, and draws within the block only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import uniform
+from tidemark.functions.draws import uniform_array
 from tidemark.functions.rows import row_numbers
 
+BLOCK = 1024  # trades of a block, at least
+ROOM = 1 << 14  # numbers that the draws within a block take
+AT_ONCE = 1 << 16  # draws that a task makes at a time
+
 
 @dataclass(frozen=True)
 class Shocks:
@@ -33,33 +44,148 @@ COSTS = Shocks(cost=COST)
 COMBINED = Shocks(resample=True, dropout=DROPOUT, cost=COST)
 
 
+def split(draws: np.ndarray, left: int, right: int, seed: int, node: int, sims: np.ndarray) -> np.ndarray:
+    """How many of each run's ``draws`` fall in the first ``left`` of ``left + right`` trades.
+
+    A normal number of the binomial mean and variance, rounded (the rounding's own variance taken off): nodes split more than
+    ``BLOCK`` trades, where the two agree to a fraction of a draw.
+    """
+    if not right:
+        return draws
+    p = left / (left + right)
+    z = np.sqrt(-2 * np.log(1 - uniform_array(seed + 11, node, sims))) * np.cos(2 * np.pi * uniform_array(seed + 12, node, sims))
+    spread = np.sqrt(np.maximum(draws * p * (1 - p) - 1 / 12, 0))
+    return np.clip(np.floor(draws * p + z * spread + 0.5), 0, draws).astype(np.int64)
+
+
+def block_draws(n: int, block: int, seed: int, sims: np.ndarray) -> np.ndarray:
+    """How often each run draws from a block of a ledger of ``n`` trades."""
+    size = 1 << (-(-n // BLOCK) - 1).bit_length()
+    draws, first, node = np.full(len(sims), n, np.int64), 0, 1
+    while size > 1:
+        size //= 2
+        left = min(n - first * BLOCK, size * BLOCK)
+        right = max(0, min(n - (first + size) * BLOCK, size * BLOCK))
+        taken = split(draws, left, right, seed, node, sims)
+        later = block >= first + size
+        draws, first, node = (draws - taken, first + size, 2 * node + 1) if later else (taken, first, 2 * node)
+    return draws
+
+
+#: From a trade's columns, the number of the draw and the run, its result; NaN where the run misses it.
+Value = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+
+
+def _shocked(shocks: Shocks) -> Value:
+    def value(trade: dict[str, np.ndarray], row: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        pnl = trade["x"]
+        for k, most in enumerate(shocks.cost or (), 1):
+            pnl = pnl - trade[("slippage", "commission")[k - 1]] * (2 * uniform_array(shocks.seed + k, row, sim) - 1) * most
+        if shocks.dropout:
+            low, high = shocks.dropout
+            rate = low + (high - low) * uniform_array(shocks.seed + 3, np.int64(0), sim)
+            pnl = np.where(uniform_array(shocks.seed + 4, row, sim) > rate, pnl, np.nan)
+        return pnl
+
+    return value
+
+
+def _moments(value: np.ndarray, sim: np.ndarray, sims: int) -> np.ndarray:
+    """Number, sum and sum of squares of the values of each run, without NaN."""
+    seen = ~np.isnan(value)
+    value, sim = value[seen], sim[seen]
+    return np.stack([np.bincount(sim, minlength=sims), np.bincount(sim, value, sims), np.bincount(sim, value * value, sims)])
+
+
+def _added(parts: DataFrame, keys: tuple[str, ...], work: Callable[[dict, dict], None], sims: int) -> DataFrame:
+    """``keys, sim, n, x, xx``: what ``work`` adds to the moments of each ledger and run from a batch of rows, over all tasks."""
+    kinds = [parts.schema[k] for k in keys]
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["sim long", "n double", "x double", "xx double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            work(batch.to_pydict(), sums)
+        for key, moments in sums.items():
+            columns = [pa.array([v] * sims, t) for v, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(sims)), *map(pa.array, moments)], names=[*keys, "sim", "n", "x", "xx"])
+
+    return parts.mapInArrow(run, shape).groupBy(*keys, "sim").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx")])
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def every_trade(trades: DataFrame, columns: dict[str, str], row: str, value: Value, sims: int, keys: tuple[str, ...]) -> DataFrame:
+    """Moments of runs in which each trade occurs once, with the draws of its ``row`` number. Nothing is ordered or joined."""
+    named = trades.select(*keys, F.col(row).cast("long").alias("_row"), *[F.col(c).cast("double").alias(n) for n, c in columns.items()])
+
+    def work(rows: dict, sums: dict) -> None:
+        of: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(rows[k] for k in keys)) if keys else [()] * len(rows["_row"])):
+            of.setdefault(key, []).append(i)
+        ids, step, sim = np.array(rows["_row"], np.int64), max(1, AT_ONCE // sims), np.arange(sims)
+        held = {n: np.array(rows[n], np.float64) for n in columns}
+        for key, all_at in of.items():
+            mine = sums.setdefault(key, np.zeros((3, sims)))
+            for first in range(0, len(all_at), step):
+                at = all_at[first : first + step]
+                got = np.broadcast_to(value({n: x[at][:, None] for n, x in held.items()}, ids[at][:, None], sim[None]), (len(at), sims))
+                seen = ~np.isnan(got)
+                got = np.where(seen, got, 0)
+                mine += np.stack([seen.sum(0), got.sum(0), (got * got).sum(0)])
+
+    return _added(named.repartition(_tasks(trades), "_row"), keys, work, sims)
+
+
+def resampled(trades: DataFrame, columns: dict[str, str], order: str, value: Value, sims: int, keys: tuple[str, ...], seed: int) -> DataFrame:
+    """Moments of runs that draw as many trades as the ledger has, with replacement. ``order`` numbers the trades and is unique."""
+    rows = row_numbers(trades.select(*keys, order, *[F.col(c).cast("double").alias(f"_{n}") for n, c in columns.items()]), keys, order, "_nth")
+    count = trades.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))  # one row for each ledger
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    held = F.array_sort(F.collect_list(F.struct("_nth", *[f"_{n}" for n in columns])))  # at most BLOCK trades
+    blocks = rows.groupBy(*keys, F.floor(F.col("_nth") / BLOCK).alias("_block")).agg(held.alias("_held")).join(count, same)
+    picked = blocks.select(*keys, "_block", "_n", *[F.col(f"_held._{n}").alias(n) for n in columns])
+
+    def work(rows: dict, sums: dict) -> None:
+        for i, (block, n) in enumerate(zip(rows["_block"], rows["_n"])):
+            mine = sums.setdefault(tuple(rows[k][i] for k in keys), np.zeros((3, sims)))
+            trade = {name: np.array(rows[name][i], np.float64) for name in columns}
+            size = len(next(iter(trade.values())))
+            draws = block_draws(n, block, seed, np.arange(sims))
+            ends = np.cumsum(draws)
+            first = 0
+            while first < sims:
+                before = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+                counts = draws[first:last]
+                sim = np.repeat(np.arange(first, last), counts)
+                row = block * ROOM + np.arange(len(sim)) - np.repeat(ends[first:last] - counts - before, counts)
+                pick = np.floor(uniform_array(seed, row, sim) * size).astype(np.int64)
+                mine[:, first:last] += _moments(value({name: x[pick] for name, x in trade.items()}, row, sim), sim - first, last - first)
+                first = last
+
+    return _added(picked.repartition(_tasks(trades), *keys, "_block"), keys, work, sims)
+
+
 def runs(trades: DataFrame, sims: int, shocks: Shocks, keys: tuple[str, ...] = ("model",), id_col: str = "trade_id") -> DataFrame:
     """``sim, net_pnl, trades`` of each run of each ledger.
 
     Trades need a unique whole number ``id_col``; ``slippage`` and ``commission`` are read for cost shocks only.
-    A resample has as many trades as the ledger.
+    A resample has as many trades as the ledger. Null keys are a ledger of their own; null results count as missed.
     """
-    costs = ["slippage", "commission"] if shocks.cost else []
-    rows = row_numbers(trades.select(*keys, id_col, "net_pnl", *costs), keys, id_col, "_nth")
-    count = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row for each ledger
-    sim = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))).alias("sim")
+    columns = {"x": "net_pnl"} | ({"slippage": "slippage", "commission": "commission"} if shocks.cost else {})
     if shocks.resample:
-        drawn = rows.select(*keys, "_nth").join(count, list(keys)).select(*keys, "_nth", "_n", sim)
-        drawn = drawn.withColumn("_pick", F.floor(uniform(shocks.seed, "_nth", "sim") * F.col("_n")))
-        out = drawn.select(*keys, "sim", F.col("_nth").alias("_at"), F.col("_pick").alias("_nth")).join(rows.drop(id_col), [*keys, "_nth"])
-        out = out.drop("_nth").withColumnRenamed("_at", "_nth")
+        out = resampled(trades, columns, id_col, _shocked(shocks), sims, keys, shocks.seed)
     else:
-        out = rows.select(*keys, "_nth", "net_pnl", *costs, sim)
-    u = lambda k: uniform(shocks.seed + k, "_nth", "sim")
-    pnl: Column = F.col("net_pnl")
-    if shocks.cost:
-        for k, (c, most) in enumerate(zip(costs, shocks.cost), 1):
-            pnl = pnl - F.col(c) * (2 * u(k) - 1) * most
-    if shocks.dropout:
-        low, high = shocks.dropout
-        rate = low + (high - low) * uniform(shocks.seed + 3, F.lit(0), "sim")
-        pnl = F.when(u(4) > rate, pnl)
-    return out.groupBy(*keys, "sim").agg(F.sum(pnl).alias("net_pnl"), F.count(pnl).alias("trades"))
+        numbered = row_numbers(trades.select(*keys, id_col, "net_pnl", *[c for c in columns if c != "x"]), keys, id_col, "_nth")
+        out = every_trade(numbered, columns, "_nth", _shocked(shocks), sims, keys)
+    return out.select(*keys, "sim", F.when(F.col("n") > 0, F.col("x")).alias("net_pnl"), F.col("n").cast("long").alias("trades"))
 
 
 def intervals(sims: DataFrame, x: str, keys: tuple[str, ...] = ("model",)) -> DataFrame:
@@ -69,10 +195,7 @@ def intervals(sims: DataFrame, x: str, keys: tuple[str, ...] = ("model",)) -> Da
 
 def sharpe_runs(returns: DataFrame, x: str, sims: int, keys: tuple[str, ...] = ("model",), id_col: str = "date", year: float = 252.0, seed: int = 42) -> DataFrame:
     """``sim, sharpe``: annualised Sharpe ratios of resamples with replacement; ``id_col`` orders the returns."""
-    rows = row_numbers(returns.select(*keys, id_col, F.col(x).alias("_x")), keys, id_col, "_nth")
-    count = returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sim = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))).alias("sim")
-    drawn = rows.select(*keys, "_nth").join(count, list(keys)).select(*keys, "_nth", "_n", sim)
-    picks = drawn.select(*keys, "sim", F.floor(uniform(seed, "_nth", "sim") * F.col("_n")).alias("_nth")).join(rows.drop(id_col), [*keys, "_nth"])
-    ratio = F.avg("_x") / (F.stddev_pop("_x") + 1e-10) * F.lit(year**0.5)
-    return picks.groupBy(*keys, "sim").agg(ratio.alias("sharpe"))
+    sums = resampled(returns, {"x": x}, id_col, lambda trade, row, sim: trade["x"], sims, keys, seed)
+    mean = F.col("x") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("xx") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.where("n > 0").select(*keys, "sim", (mean / (spread + 1e-10) * F.lit(year**0.5)).alias("sharpe"))

@@ -189,6 +189,31 @@ def fold_summary(metrics: DataFrame, metric: str, keys: tuple[str, ...] = (), ch
     return out.withColumns({"t": (F.col("mean") - chance) / F.nullif(se, F.lit(0.0)), "ci_low": F.col("mean") - 1.96 * se, "ci_high": F.col("mean") + 1.96 * se})
 
 
+#: Gates of the full validation: fixed values.
+AUC_GATE, P_GATE, OVERFIT_GATE, DEFLATED_GATE = 0.5, 0.05, 0.5, 0.10
+
+
+def gated(folds: DataFrame, overfit: DataFrame, deflated_row: DataFrame, main: str, others: dict[str, str]) -> DataFrame:
+    """One row of a full validation, with its gates.
+
+    ``folds``: :func:`fold_summary` by ``target``; ``overfit``: of :func:`random_half_overfit`; ``deflated_row``: of :func:`deflated`
+    for the chosen strategy. The model of target ``main`` must beat chance in the lower end of its interval and by
+    its two-sided p-value (``z`` of the fold metrics), the overfit probability and the deflated p-value must be small. ``others`` name the AUC of other targets.
+    """
+
+    @F.pandas_udf("double")
+    def two_sided(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: 2 * (1 - normal.cdf(abs(x))), na_action="ignore")
+
+    m = folds.where(F.col("target") == main).select(F.col("mean").alias("auc"), "ci_low", "ci_high", two_sided("t").alias("p_value"), "folds")
+    for target, name in others.items():
+        m = m.join(F.broadcast(folds.where(F.col("target") == target).select(F.col("mean").alias(name))))  # one row each
+    m = m.join(F.broadcast(overfit.select("pbo", "mean_logit", F.col("paths").alias("trials")))).join(F.broadcast(deflated_row.select(F.col("sharpe").alias("observed_sharpe"), F.col("expected_max").alias("haircut"), F.col("statistic").alias("dsr"), F.col("p_value").alias("dsr_p_value"))))
+    gates = {"cpcv_pass": (F.col("ci_low") > AUC_GATE) & (F.col("p_value") < P_GATE), "pbo_pass": F.col("pbo") < OVERFIT_GATE, "dsr_pass": F.col("dsr_p_value") < DEFLATED_GATE}
+    m = m.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in gates.items()})
+    return m.withColumn("overall_pass", F.col("cpcv_pass") & F.col("pbo_pass") & F.col("dsr_pass"))
+
+
 def verdict(p_overfit: float, deflated_p: float, stationary: bool, positive_share: float) -> str:
     """The ladder of the combined assessment."""
     passed = (deflated_p < 0.05) + (p_overfit < 0.5) + bool(stationary) + (positive_share >= 0.8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.tables import Table
 from tidemark.operators import composites as K
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as G
@@ -13,11 +14,12 @@ from tidemark.operators import simulations as M
 from tidemark.operators import splits as V
 from tidemark.operators import validation as S
 from tidemark.operators import vectors
+from tidemark.operators.boosting import boosted_scores
 from tidemark.plans.catalog import add, hour_bars, on_bars, shown
 from tidemark.plans.features import DAILY, below_share, daily_levels, mean_of
 from tidemark.plans.indicators import EPS, TR, frame_list, ret
-from tidemark.plans.research import CENT_SHIFT, DAYPNL, LEDGER, RULES, SIMS, ledger, runs_sql, scored
-from tidemark.plans.sql import flag, lag, roll, statement, uniform
+from tidemark.plans.research import CENT_SHIFT, DAYPNL, GRID, LEDGER, RULES, SIMS, ledger, runs_sql, scored
+from tidemark.plans.sql import flag, lag, resample, roll, statement
 from tidemark.plans.statistics import FEAT, MODEL, featured
 
 CLIP = lambda x, a, b: f"least(greatest({x}, {a}), {b})"
@@ -129,12 +131,11 @@ add(
     m AS (SELECT avg(auc) AS mean, stddev_samp(auc) AS std, count(auc) AS folds FROM a)
     SELECT round(mean, 6) AS mean, round(std, 6) AS std, round((mean - 0.5) / (std / sqrt(folds)), 6) AS t, round(mean - 1.96 * std / sqrt(folds), 6) AS ci_low, round(mean + 1.96 * std / sqrt(folds), 6) AS ci_high, folds FROM m""",
 )
-_U = uniform(42, "nth", "sim")
 add(
     "bootstrap_sharpe",
     lambda s, d: K.bootstrap_sharpe(G.daily_pnl(ledger(s, d)), "pnl", SIMS).select("model", *[F.round(c, 6).alias(c) for c in ("sharpe", "ci_low", "ci_high")]),
-    f"""WITH {DAYPNL}, num AS (SELECT model, pnl, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS nth, count(*) OVER (PARTITION BY model) AS n FROM days),
-    d AS (SELECT model, sim, CAST(floor({_U} * n) AS BIGINT) AS pick FROM num, (SELECT unnest(range({SIMS})) AS sim)),
+    f"""WITH RECURSIVE {DAYPNL}, num AS (SELECT model, pnl, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS nth, count(*) OVER (PARTITION BY model) AS n FROM days),
+    sims AS (SELECT unnest(range({SIMS})) AS sim), {resample(42)},
     r AS (SELECT d.model, sim, avg(pnl) / (stddev_pop(pnl) + {EPS}) * sqrt(252) AS x FROM d JOIN num p ON p.model = d.model AND p.nth = d.pick GROUP BY ALL),
     t AS (SELECT model, avg(pnl) / (stddev_pop(pnl) + {EPS}) * sqrt(252) AS sharpe FROM days GROUP BY model)
     SELECT model, round(any_value(sharpe), 6) AS sharpe, round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high FROM r JOIN t USING (model) GROUP BY model""",
@@ -142,12 +143,36 @@ add(
 add(
     "bootstrap_total",
     lambda s, d: K.bootstrap_total(ledger(s, d), SIMS).select("model", *[F.round(F.col(c) + CENT_SHIFT, 2).alias(c) for c in ("net_pnl", "ci_low", "ci_high")]),
-    f"""WITH {runs_sql(M.BOOTSTRAP)}, t AS (SELECT model, sum(net_pnl) AS net_pnl FROM trades GROUP BY model)
+    f"""WITH RECURSIVE {runs_sql(M.BOOTSTRAP)}, t AS (SELECT model, sum(net_pnl) AS net_pnl FROM trades GROUP BY model)
     SELECT model, round(any_value(net_pnl) + {CENT_SHIFT}, 2) AS net_pnl, round(quantile_cont(x, 0.025) + {CENT_SHIFT}, 2) AS ci_low, round(quantile_cont(x, 0.975) + {CENT_SHIFT}, 2) AS ci_high FROM r JOIN t USING (model) GROUP BY model""",
 )
 add("direction_leak", lambda s, d: A.direction_leak(V.holdout(V.numbered(featured(s, d)), 0.3).withColumn("fold", F.lit(0)), MODEL, "target_direction_1").select("direction", "auc"))
 
 
+#: Targets of the full validation and the horizon of the longest, in bars: fixed values.
+VALIDATED, LONGEST = {"vol_expansion_5": "vol_p", "new_high_10": "up_p", "new_low_10": "down_p"}, 10
+
+
+def full_validation(spark, sf_dir):
+    """15 purged folds of 6 choose 2 for three targets in one fit, 25 strategies over their scores, 1,000 overfit trials, the deflated Sharpe ratio, and the gates."""
+    bars = scored(spark, sf_dir)
+    f = V.numbered(L.price_targets(L.volatility_targets(bars, (5,), regime_rows=100), (1.0,), (LONGEST,))).withColumn("t1", F.col("row_no") + LONGEST)
+    members = V.combinatorial(f, 6, 2, t1="t1", embargo_share=0.01, purge_share=0.01)
+    scores = Table(boosted_scores(members, ["rsi_14", "atr_14", "atr_7", "volume"], list(VALIDATED)), "scores").rows
+    folds = S.fold_summary(A.auc(scores, "score", "label", ("target", "fold")), "auc", ("target",))
+    wide = scores.groupBy("symbol", "ts").pivot("target", list(VALIDATED)).agg(F.avg("score")).withColumnsRenamed(VALIDATED)
+    held = bars.select("symbol", "ts", "high", "low", "close", F.col("atr_7").alias("atr"), F.col("atr_14").alias("predicted_atr")).join(wide, ["symbol", "ts"], "left").na.fill(0.0, list(VALIDATED.values()))
+    grid = spark.createDataFrame(GRID, "strategy int, min_vol double, min_breakout double")
+    returns = Table(X.strategy_grid_returns(held, grid), "returns").rows
+    hours = returns.groupBy("strategy", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("period")).agg(F.sum("ret").alias("ret"))
+    chosen = hours.where(F.col("strategy") == next(i for i, v, b in GRID if (v, b) == (0.5, 0.5)))
+    deflated = S.deflated(S.moments(chosen, "ret", ("strategy",), 252.0 * 24), len(GRID), ("strategy",))
+    return S.gated(folds, S.random_half_overfit(hours), deflated, "vol_expansion_5", {"new_high_10": "high_auc", "new_low_10": "low_auc"})
+
+
+add("full_validation", full_validation)
+
+
 def ensemble(spark, sf_dir):
     """Scores of a volatility and two breakout models, resolved to signals and simulated."""
     f = L.price_targets(L.volatility_targets(scored(spark, sf_dir), (5,), regime_rows=100), (1.0,), (10,))

@@ -16,7 +16,7 @@ from tidemark.operators import splits as V
 from tidemark.operators import technical as T
 from tidemark.plans.catalog import TIE_SHIFT, add, hour_bars, on_bars, shown, table
 from tidemark.plans.indicators import EPS, TR, ret
-from tidemark.plans.sql import BARS, ahead, flag, lag, over, quantile, roll, statement, uniform
+from tidemark.plans.sql import BARS, ahead, flag, lag, over, quantile, resample, roll, statement, uniform
 
 LEADC = lambda k: f"lead(close, {k}) OVER (PARTITION BY symbol ORDER BY ts)"
 
@@ -612,14 +612,14 @@ def runs_sql(k: M.Shocks, sims: int = SIMS) -> str:
     if k.dropout:
         low, high = k.dropout
         pnl = f"CASE WHEN {u(4)} > {low}::DOUBLE + {high - low}::DOUBLE * {uniform(k.seed + 3, '0', 'sim')} THEN {pnl} END"
-    draws = f"SELECT model, nth, sim, CAST(floor({u(0)} * n) AS BIGINT) AS pick FROM num, sims" if k.resample else "SELECT model, nth, sim, nth AS pick FROM num, sims"
+    draws = resample(k.seed) if k.resample else "d AS (SELECT model, nth, sim, nth AS pick FROM num, sims)"
     return f"""{LEDGER}, num AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY trade_id) - 1 AS nth, count(*) OVER (PARTITION BY model) AS n FROM trades),
-    sims AS (SELECT unnest(range({sims})) AS sim), d AS ({draws}), o AS (SELECT d.model, d.sim, d.nth, p.net_pnl, p.slippage, p.commission FROM d JOIN num p ON p.model = d.model AND p.nth = d.pick),
+    sims AS (SELECT unnest(range({sims})) AS sim), {draws}, o AS (SELECT d.model, d.sim, d.nth, p.net_pnl, p.slippage, p.commission FROM d JOIN num p ON p.model = d.model AND p.nth = d.pick),
     r AS (SELECT model, sim, sum({pnl}) AS x FROM o GROUP BY model, sim)"""
 
 
 for name, shocks in (("bootstrap", M.BOOTSTRAP), ("missed", M.MISSED), ("costs", M.COSTS), ("combined", M.COMBINED)):
-    add(f"monte_carlo_{name}", summary_of(lambda t, k=shocks: M.runs(t, SIMS, k)), f"WITH {runs_sql(shocks)} {SUMMARY}")
+    add(f"monte_carlo_{name}", summary_of(lambda t, k=shocks: M.runs(t, SIMS, k)), f"WITH RECURSIVE {runs_sql(shocks)} {SUMMARY}")
 _U = lambda j: uniform(7 + j, "trade_id", "sim")
 STRESSES = {
     "dropout": (0.2, f"CASE WHEN {_U(0)} >= 0.2 THEN net_pnl END"),

@@ -79,6 +79,19 @@ def uniform(seed: int, row: str, sim: str) -> str:
     return f"((({once} * {once} + ({sim}) % {p}) % {p}) / {p}::DOUBLE)"
 
 
+def resample(seed: int, num: str = "num", sims: str = "sims") -> str:
+    """``d(model, sim, nth, pick)``: the draws of ``tidemark.operators.simulations``, down its tree of blocks. The statement must be recursive."""
+    z = f"sqrt(-2 * ln(1 - {uniform(seed + 11, 'node', 'sim')})) * cos(2 * pi() * {uniform(seed + 12, 'node', 'sim')})"
+    return f"""tree(model, n, sim, lo, size, node, k) AS (
+      SELECT model, n, sim, CAST(0 AS BIGINT), CAST(pow(2, ceil(log2(ceil(n / 1024.0)))) AS BIGINT), CAST(1 AS BIGINT), n FROM (SELECT DISTINCT model, n FROM {num}), {sims}
+      UNION ALL SELECT model, n, sim, lo + side * half, half, 2 * node + side, CASE side WHEN 0 THEN l ELSE k - l END
+      FROM (SELECT *, CAST(CASE WHEN b <= 0 THEN k ELSE greatest(0, least(k, floor(k * (a / (a + b)) + {z} * sqrt(greatest(k * (a / (a + b)) * (1 - a / (a + b)) - 1 / 12, 0)) + 0.5))) END AS BIGINT) AS l
+        FROM (SELECT *, size // 2 AS half, least(n - lo * 1024, size // 2 * 1024) AS a, greatest(0, least(n - (lo + size // 2) * 1024, size // 2 * 1024)) AS b FROM tree WHERE size > 1)), (SELECT unnest([0, 1]) AS side)
+      WHERE (lo + side * half) * 1024 < n),
+    leaves AS (SELECT model, n, sim, lo, unnest(range(k)) AS j FROM tree WHERE size = 1),
+    d AS (SELECT model, sim, lo * 16384 + j AS nth, lo * 1024 + CAST(floor({uniform(seed, "(lo * 16384 + j)", "sim")} * least(1024, n - lo * 1024)) AS BIGINT) AS pick FROM leaves)"""
+
+
 def normal_tail(x: str) -> str:
     """1 - Phi(x) by the series of odd powers over double factorials; beyond 8 it is 0 or 1."""
     term = f"exp((2 * k + 1) * ln(abs({x})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))"
