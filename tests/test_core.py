@@ -578,3 +578,29 @@ def test_gates_of_the_full_validation(spark):
         assert (row.cpcv_pass, row.pbo_pass, row.dsr_pass, row.overall_pass) == (True, True, passes, passes) and row.high_auc == 0.55
     weak = folds.withColumn("ci_low", F.lit(0.49))
     assert not S.gated(weak, overfit, spark.createDataFrame([(2.0, 1.9, 1.2, 0.01)], "sharpe double, expected_max double, statistic double, p_value double"), "v", {}).first().overall_pass
+
+
+def test_sliding_quantiles_equal_those_of_frames(spark):
+    from tidemark.functions.frames import Frames
+    from tidemark.functions.sliding import sliding_quantiles
+
+    bars = series(spark, 400).withColumn("x", F.when(F.col("close") % 7 > 0.1, F.round("close", 1)))
+    want = bars.withColumns({"a": Frames().quantile("x", 30, 0.33), "b": Frames().quantile("x", 30, 0.9)}).orderBy("symbol", "ts").toPandas()
+    for chunk in (30, 64, 0):
+        got = sliding_quantiles(bars, "x", 30, {"a": 0.33, "b": 0.9}, chunk_rows=chunk).orderBy("symbol", "ts").toPandas()
+        assert list(got.columns) == list(want.columns) and len(got) == len(want)
+        for c in ("a", "b"):
+            assert (got[c].isna() == want[c].isna()).all() and np.nanmax(np.abs(got[c] - want[c])) < 1e-9
+    assert want.a.notna().sum() > 100
+
+
+def test_sliding_quantiles_of_a_long_frame(spark):
+    from tidemark.functions.sliding import sliding_quantiles
+
+    n = 60_000
+    x = np.random.default_rng(2).normal(size=n)
+    frame = spark.createDataFrame(pd.DataFrame({"symbol": "a", "ts": np.arange(n), "x": x}))
+    got = sliding_quantiles(frame, "x", 19_656, {"q": 0.67}, chunk_rows=20_000).orderBy("ts").toPandas()
+    for at in (19_655, 20_000, 39_999, 40_000, 59_999):
+        assert abs(got.q[at] - np.quantile(x[at - 19_655 : at + 1], 0.67)) < 1e-12
+    assert got.q[:19_655].isna().all() and got.q[19_655:].notna().all()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Frames, flag, ratio
+from tidemark.functions.sliding import sliding_quantiles
 from tidemark.operators.price import true_range
 
 FRAMES = Frames()
@@ -36,7 +37,7 @@ def volatility_targets(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 20),
             }
         )
     out = out.withColumns({"_rv": frames.std("_r", 20), "_frv": future("_r", 20, F.stddev_samp, frames)})
-    out = out.withColumns({"_q1": frames.quantile("_rv", regime_rows, 0.33), "_q2": frames.quantile("_rv", regime_rows, 0.67)})
+    out = sliding_quantiles(out, "_rv", regime_rows, {"_q1": 0.33, "_q2": 0.67}, frames.keys, frames.order[0])
     regime = F.when(F.col("_frv") <= F.col("_q1"), 0).when(F.col("_frv") <= F.col("_q2"), 1).otherwise(2)
     return out.withColumn("future_regime", regime).drop("_r", "_tr", "_hl", "_now", "_rv", "_frv", "_q1", "_q2")
 

@@ -28,11 +28,14 @@ for h in (5, 10, 20):
     VT1 |= {f"future_parkinson_{h}": f"sqrt({ahead('avg', 'hl', h)} / (4 * ln(2.0)))"}
     VT2 |= {f"vol_expansion_{h}": flag(f"future_rv_{h} > now_{h} * 1.2"), f"vol_contraction_{h}": flag(f"future_rv_{h} < now_{h} / 1.2")}
 VT1 |= {"rv": roll("stddev_samp", "r", 20), "frv": ahead("stddev_samp", "r", 20)}
-VT2 |= {"q1": quantile("rv", 100, 0.33), "q2": quantile("rv", 100, 0.67)}
+VT2 |= {"q1": quantile("rv", 19656, 0.33), "q2": quantile("rv", 19656, 0.67)}
 VT3 = {"future_regime": "CASE WHEN frv <= q1 THEN 0 WHEN frv <= q2 THEN 1 ELSE 2 END"}
 VTF = [c for c in VT1 if c.startswith("future")]
 VTI = [c for c in VT2 if c.startswith("vol_")] + ["future_regime"]
-add("targets_vol", on_bars(lambda b: L.volatility_targets(b, regime_rows=100), VTF, VTI), statement([VT0, VT1, VT2, VT3], VTF, VTI))
+add("targets_vol", on_bars(L.volatility_targets, VTF, VTI), statement([VT0, VT1, VT2, VT3], VTF, VTI))
+#: The same over a frame that the hourly series here fill.
+VT2S = VT2 | {"q1": quantile("rv", 100, 0.33), "q2": quantile("rv", 100, 0.67)}
+add("targets_vol_100", on_bars(lambda b: L.volatility_targets(b, regime_rows=100), VTF, VTI), statement([VT0, VT1, VT2S, VT3], VTF, VTI))
 TT = {}
 for h in (10, 20, 30):
     r = f"(({LEADC(h)} - close) / nullif(close, 0))"
