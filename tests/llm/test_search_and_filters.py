@@ -504,9 +504,9 @@ def test_training_reads_a_bounded_sample_and_takes_odd_labels(spark):
 # ---- near-duplicate groups
 
 
-@pytest.mark.parametrize("most_bits", [28, 4])
+@pytest.mark.parametrize("most_bits", [28, 8])
 def test_groups_hold_all_similar_pairs(spark, sf, most_bits, monkeypatch):
-    monkeypatch.setattr(common, "MOST_BITS", most_bits)  # 4: bitmaps are full, joins take over
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)  # 8: bitmaps are full, joins take over
     rng = random.Random(6)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     base = " ".join(f"word{rng.randrange(500)}" for _ in range(220)).split()

@@ -39,7 +39,7 @@ from tidemark.llm.common import Scratch, bitmap, bitmap_has, bits_for, component
 
 SKETCH = 512
 WORDS = SKETCH // 64
-COUNT_BITS = 22
+COUNT_BITS = (20, 26)  # cells of the shingle counts, as powers of two: at least and at most
 COUNT_BLOCK = 1 << 16  # cells of a row of counts
 MORE_STARS = 1000  # comparisons for each row of the postings beyond which another star round comes first
 STAR_ROUNDS = 6
@@ -47,7 +47,6 @@ SPAN = 1 << 18  # bytes hashed at a time
 SEEN = 100_000  # keys that a task remembers at a time
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
-CELLS = np.uint64((1 << COUNT_BITS) - 1)
 
 
 def normal(text: bytes | None) -> bytes:
@@ -121,13 +120,22 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"_tm_key": key, "_tm_mark": F.xxhash64(text_col)})
 
 
-def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def count_bits(rows: int) -> int:
+    """Cells for the shingle counts of so many texts: some 64 a text, so that they tell rare shingles from others at any size."""
+    return min(COUNT_BITS[1], max(COUNT_BITS[0], (64 * max(1, rows) - 1).bit_length()))
+
+
+def _cells(found: np.ndarray, bits: int) -> np.ndarray:
+    return (found & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, size: int, bits: int) -> DataFrame:
     """``id, key, mark, norm, fp`` for each row, and a row for each task with its shingle counts by cell, ``cells``."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "key", "mark", "norm", "fp", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, types = np.zeros(1 << COUNT_BITS, np.uint8), None
+        mine, types = np.zeros(1 << bits, np.uint8), None
         for batch in sliced(batches):
             types = [c.type for c in batch.columns[:3]]
             norms, fps, sets = [], [], []
@@ -136,7 +144,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 found = shingle_hashes(norm, size)
                 norms.append(xxhash.xxh3_128_digest(norm))
                 fps.append(simhash.majority(found))
-                sets.append((distinct(found) & CELLS).astype(np.int64))
+                sets.append(_cells(distinct(found), bits))
             at, n = np.unique(np.concatenate(sets), return_counts=True)
             mine[at] += np.minimum(n, 255 - mine[at].astype(np.int64)).astype(np.uint8)
             made = [pa.array(norms, pa.binary()), pa.array(fps, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
@@ -150,15 +158,15 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, key long, mark long, norm binary, fp long, cells binary")
 
 
-def _counts(marks: DataFrame) -> np.ndarray:
-    """About how many texts' shingles fall in each of 2 ** ``COUNT_BITS`` cells; a task counts to 255, all together to 65,535.
+def _counts(marks: DataFrame, bits: int) -> np.ndarray:
+    """About how many texts' shingles fall in each of 2 ** ``bits`` cells; a task counts to 255, all together to 65,535.
 
     The counts only order shingles. Any order is right, a good one puts frequent shingles last.
     """
-    blocks = (1 << COUNT_BITS) // COUNT_BLOCK
+    blocks = (1 << bits) // COUNT_BLOCK
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(1 << COUNT_BITS, np.uint16)
+        mine = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for cells in batch.column(0).to_pylist():
                 more = np.frombuffer(zlib.decompress(cells), np.uint8)
@@ -177,7 +185,7 @@ def _counts(marks: DataFrame) -> np.ndarray:
     shape = "block int, cells binary"
     tables = marks.where(F.col("cells").isNotNull()).select("cells").mapInArrow(add, shape)
     full = np.zeros((blocks, COUNT_BLOCK), np.uint16)
-    for block, cells in tables.repartition("block").mapInArrow(merge, shape).collect():  # 2 ** COUNT_BITS numbers of two bytes
+    for block, cells in tables.repartition("block").mapInArrow(merge, shape).toLocalIterator():  # 2 ** bits numbers of two bytes, 128 MB at most
         full[block] = np.frombuffer(cells, np.uint16)
     return full.ravel()
 
@@ -188,7 +196,7 @@ def _prefixes(rows: DataFrame, spelled: DataFrame, size: int, similarity: float,
     ``rows`` are ``key, text``; ``spelled`` has the key of one row of each word sequence. Others come, too, where a bitmap
     of the keys has false hits; where so many would come that their prefixes crowd the postings, they go before.
     """
-    spark, n = rows.sparkSession, spelled.count()
+    spark, n, cell_bits = rows.sparkSession, spelled.count(), len(counts).bit_length() - 1
     bits = bits_for(n, common.MOST_BITS)
     shared, wanted = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(bitmap(spelled.select("key"), bits))  # of bounded size
 
@@ -199,7 +207,7 @@ def _prefixes(rows: DataFrame, spelled: DataFrame, size: int, similarity: float,
             for text in _fresh(batch, wanted.value, bits, seen):
                 norm = normal(text)
                 found = distinct(shingle_hashes(norm, size))
-                order = np.lexsort((found, shared.value[(found & CELLS).astype(np.int64)]))
+                order = np.lexsort((found, shared.value[_cells(found, cell_bits)]))
                 norms.append(xxhash.xxh3_128_digest(norm))
                 sizes.append(len(found))
                 sketches.append(sketch(found))
@@ -377,14 +385,14 @@ def _verified(rows: DataFrame, spelled: DataFrame, pairs: DataFrame, size: int,
     return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def connected(docs: DataFrame, marks: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
+def connected(docs: DataFrame, marks: DataFrame, bits: int, similarity: float, shingle_words: int, id_col: str, text_col: str, more_stars: float = MORE_STARS) -> DataFrame:
     """``node, component``: the word sequences that have links of at least ``similarity``, and their groups."""
     keep = Scratch()
     known = marks.where(F.col("norm").isNotNull())
     rows = _keys(docs, id_col, text_col).select(F.col("_tm_key").alias("key"), F.col(text_col).cast("binary").alias("text"))
     # one row of each word sequence is enough
     spelled = keep.stored(known.groupBy("norm").agg(F.min("key").alias("key")), "spelled")
-    prefixes = keep.stored(_prefixes(rows, spelled, shingle_words, similarity, _counts(marks)), "prefixes")
+    prefixes = keep.stored(_prefixes(rows, spelled, shingle_words, similarity, _counts(marks, bits)), "prefixes")
     postings = keep.stored(_postings(prefixes, keep), "postings")
     centres = keep.stored(_centres(postings), "centres")
     near = _ordered(_simhash_pairs(known, keep))
@@ -432,8 +440,9 @@ def groups(
     ``more_stars`` decides about effort, not about results.
     """
     keep = Scratch()
-    marks = keep.stored(_marks(docs, id_col, text_col, shingle_words), "marks")
-    nodes = connected(docs, marks, similarity, shingle_words, id_col, text_col, more_stars)
+    bits = count_bits(docs.count())
+    marks = keep.stored(_marks(docs, id_col, text_col, shingle_words, bits), "marks")
+    nodes = connected(docs, marks, bits, similarity, shingle_words, id_col, text_col, more_stars)
     labelled = marks.where(F.col("norm").isNotNull()).select("id", "key", "mark", "norm").join(nodes.withColumnRenamed("node", "norm"), "norm", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "norm")), "labelled")
     keep.drop(docs.sparkSession)

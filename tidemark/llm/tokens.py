@@ -27,7 +27,7 @@ NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0370-\U0010ffff]")
 FULL = regex.compile(PATTERN)
 LONG = 200  # bytes from which a pre-token is merged with a heap
 NO_MERGE = (1 << 60, -1)
-MEMO = 200_000  # pre-tokens a worker remembers at a time
+MEMO = 100_000  # pre-tokens a worker remembers at a time
 
 
 @functools.cache

@@ -16,6 +16,7 @@ weights only.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -540,6 +541,8 @@ def fit(
                     marks.append(y)
                     left -= size
         model = train(texts, marks, share)
+        del texts
+        gc.collect()  # the worker goes on to other tasks
         parts = {**model.weights, "cut": np.array([model.shift, model.scale])}
         yield pa.RecordBatch.from_arrays([pa.array(list(parts)), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["name", "weights"])
 
