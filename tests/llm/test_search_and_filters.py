@@ -133,6 +133,33 @@ def test_alignment_is_a_common_subsequence():
     assert len(licenses.align("we use it under the mit terms here".split(), "under the mit terms".split())) == 4
 
 
+def test_licenses_of_one_kin_are_told_apart(spark):
+    gpl = licenses.TEMPLATES["GPL-2.0-notice"]
+    texts = {
+        "GPL-2.0-notice": "Intro. " + gpl + " You should have received a copy.",
+        "GPL-notice": "x " + licenses.TEMPLATES["GPL-notice"],
+        "LGPL-2.1-notice": licenses.TEMPLATES["LGPL-2.1-notice"].replace("hope that", "hope"),
+        "LGPL-3.0-notice": licenses.TEMPLATES["LGPL-3.0-notice"],
+        "AGPL-3.0-notice": licenses.TEMPLATES["AGPL-3.0-notice"].lower(),
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "LGPL-3.0": "licensed under the GNU Lesser General Public License, version 3.",
+        "CC-BY-4.0": "Text. Licensed under CC BY 4.0. More text, and the number 3.",
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+        "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+        "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+        "BSD-2-Clause": licenses.TEMPLATES["BSD-2-Clause"],
+        "BSD-3-Clause": licenses.TEMPLATES["BSD-3-Clause"],
+        "MIT-text": licenses.TEMPLATES["MIT-text"],
+        "MIT-notice": licenses.TEMPLATES["MIT-notice"],
+        "Apache-2.0-notice": licenses.TEMPLATES["Apache-2.0-notice"],
+    }
+    rows = licenses.scan_licenses(documents(spark, list(texts.values()))).collect()
+    assert [r.license for r in sorted(rows, key=lambda r: r.doc_id)] == list(texts)
+    odd = spark.createDataFrame([(None, "Licensed under CC BY 4.0.", "clash", "clash")] * 2 + [(1, None, "clash", "clash")], "doc_id long, text string, license string, matches string")
+    found = licenses.scan_licenses(odd).collect()
+    assert sorted((r.doc_id or 0, r.license or "") for r in found) == [(0, "CC-BY-4.0"), (0, "CC-BY-4.0"), (1, "")]
+
+
 def test_licenses_are_found_wherever_they_stand(spark, sf):
     notice = licenses.TEMPLATES["Apache-2.0"]
     texts = [

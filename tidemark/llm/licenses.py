@@ -5,6 +5,9 @@ increasing subsequence of their places keeps those in the same order; the gaps b
 them are aligned the same way. Where a gap has no anchor, equal words at its two ends are
 matched. Coverage is the share of the template's words that found their place.
 
+Coverage alone cannot tell licenses apart that differ in a word or a version. So templates have words that must
+stand in the place found, and words of their kin that must not (``DECISIVE``).
+
 A text is aligned in overlapping regions twice as long as the template, so every place where
 the whole template fits lies in one region, however long the text is. A region is skipped
 only where too few of the template's words occur in it for the coverage asked for.
@@ -28,7 +31,15 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "Licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
     " and associated documentation files, to deal in the Software without restriction.",
@@ -48,8 +59,43 @@ TEMPLATES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
     " Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY"
     " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
+    " Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY"
+    " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free"
+    " Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT"
+    " ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0-notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free"
+    " Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT"
+    " ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free"
+    " Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT"
+    " ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce"
+    " the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE"
+    " IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF"
+    " MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce"
+    " the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the"
+    " name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written"
+    " permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED"
+    " WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
 }
+#: For each license of a kin: words that have to stand in the place found, and words of its kin that may not. Fixed values.
+DECISIVE: dict[str, tuple[str, str]] = {
+    "GPL-2.0": ("2", "lesser library affero"), "GPL-2.0-notice": ("2", "lesser library affero"),
+    "GPL-3.0": ("3", "lesser library affero"), "GPL-notice": ("3", "lesser library affero"),
+    "LGPL-2.1": ("lesser 2 1", ""), "LGPL-2.1-notice": ("lesser 2 1", ""),
+    "LGPL-3.0": ("lesser 3", ""), "LGPL-3.0-notice": ("lesser 3", ""),
+    "AGPL-3.0": ("affero 3", ""), "AGPL-3.0-notice": ("affero 3", ""),
+    "CC-BY-4.0": ("cc by 4", "nc sa nd"), "CC-BY-SA-4.0": ("cc sa 4", "nc"), "CC-BY-ND-4.0": ("cc nd 4", "nc"),
+    "CC-BY-NC-4.0": ("cc nc 4", "sa nd"), "CC-BY-NC-SA-4.0": ("cc nc sa 4", ""),
+    "BSD-2-Clause": ("", "neither endorse"), "BSD-3-Clause": ("neither endorse", ""),
+    "Apache-2.0": ("apache 2", ""), "Apache-2.0-notice": ("apache 2", ""), "MIT": ("mit", ""), "MPL-2.0": ("mozilla 2", ""),
+}
 WORD = re.compile(r"\w+")
 MATCH = "struct<license:string,coverage:double,start:int,stop:int>"
 
@@ -101,6 +147,7 @@ class Template:
         self.name, self.least = name, least
         self.words = WORD.findall(text.lower())
         self.count = Counter(self.words)
+        self.wanted, self.barred = (set(x.split()) for x in DECISIVE.get(name, ("", "")))
         # without any of these words the coverage cannot be reached
         spare, self.needed = len(self.words) - self.must(), []
         for w in sorted(self.count, key=lambda w: (-len(w), w)):
@@ -128,6 +175,9 @@ class Template:
                 found = align(region[lo:hi], self.words)
                 if found and len(found) >= self.must():
                     share, first, last = self._tight(words, start + lo + found[0][0], start + lo + found[-1][0], len(found))
+                    here_too = set(words[first : last + 1])
+                    if not self.wanted <= here_too or self.barred & here_too:
+                        continue
                     if best is None or share > best[0]:
                         best = (share, first, last)
                     if share == 1.0:
@@ -147,7 +197,7 @@ class Template:
 
 
 def scan_text(text: str, templates: list[Template], prefilter: bool = True) -> list[dict]:
-    """Every template that the text covers, the best first; spans are character offsets of the text."""
+    """Every template that the text covers, the best first, of equals the one with more words; spans are character offsets of the text."""
     low = text.lower()
     if len(low) != len(text):  # a letter that lower-casing lengthens would shift the spans
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -160,7 +210,8 @@ def scan_text(text: str, templates: list[Template], prefilter: bool = True) -> l
         if found := t.find(words):
             share, first, last = found
             out.append({"license": t.name, "coverage": share, "start": places[first].start(), "stop": places[last].end()})
-    return sorted(out, key=lambda x: (-x["coverage"], x["start"], x["license"]))
+    size = {t.name: len(t.words) for t in open_}
+    return sorted(out, key=lambda x: (-x["coverage"], -size[x["license"]], x["start"], x["license"]))
 
 
 def scan_licenses(
@@ -172,8 +223,8 @@ def scan_licenses(
 ) -> DataFrame:
     """``id_col, license, coverage, start, stop, matches`` for every row of ``docs``.
 
-    ``license`` is the template with the highest coverage of at least ``least``, the earlier and
-    then the lower name of equals; null with coverage 0 if there is none. ``matches`` holds all
+    ``license`` is the template with the highest coverage of at least ``least``, of equals the one with more words, then the
+    earlier, then the lower name; null with coverage 0 if there is none. ``matches`` holds all
     of them. ``start`` and ``stop`` are character offsets. Null and empty texts match nothing, texts of
     any length are scanned whole. Rows with a null id and repeated rows are kept, other columns are not
     read. An empty table gives an empty table. One pass, no shuffle.
