@@ -94,7 +94,7 @@ DECISIVE: dict[str, tuple[str, str]] = {
     "CC-BY-4.0": ("cc by 4", "nc sa nd"), "CC-BY-SA-4.0": ("cc sa 4", "nc"), "CC-BY-ND-4.0": ("cc nd 4", "nc"),
     "CC-BY-NC-4.0": ("cc nc 4", "sa nd"), "CC-BY-NC-SA-4.0": ("cc nc sa 4", ""),
     "BSD-2-Clause": ("", "neither endorse"), "BSD-3-Clause": ("neither endorse", ""),
-    "Apache-2.0": ("apache 2", ""), "Apache-2.0-notice": ("apache 2", ""), "MIT": ("mit", ""), "MPL-2.0": ("mozilla 2", ""),
+    "Apache-2.0": ("2", ""), "Apache-2.0-notice": ("2", ""), "MPL-2.0": ("2", ""),
 }
 WORD = re.compile(r"\w+")
 MATCH = "struct<license:string,coverage:double,start:int,stop:int>"
