@@ -143,11 +143,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, least: float) -> None:
+    def __init__(self, name: str, text: str, least: float, decisive: tuple[str, str] = ("", "")) -> None:
         self.name, self.least = name, least
         self.words = WORD.findall(text.lower())
         self.count = Counter(self.words)
-        self.wanted, self.barred = (set(x.split()) for x in DECISIVE.get(name, ("", "")))
+        self.wanted, self.barred = (set(x.split()) for x in decisive)
         # without any of these words the coverage cannot be reached
         spare, self.needed = len(self.words) - self.must(), []
         for w in sorted(self.count, key=lambda w: (-len(w), w)):
@@ -218,6 +218,7 @@ def scan_licenses(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
     least: float = 0.8,
+    decisive: dict[str, tuple[str, str]] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -225,11 +226,14 @@ def scan_licenses(
 
     ``license`` is the template with the highest coverage of at least ``least``, of equals the one with more words, then the
     earlier, then the lower name; null with coverage 0 if there is none. ``matches`` holds all
-    of them. ``start`` and ``stop`` are character offsets. Null and empty texts match nothing, texts of
+    of them. ``decisive`` has, by template, words that have to stand in the place found and words that may not, each list
+    space-joined; own templates have none by default. ``start`` and ``stop`` are character offsets. Null and empty texts match nothing, texts of
     any length are scanned whole. Rows with a null id and repeated rows are kept, other columns are not
     read. An empty table gives an empty table. One pass, no shuffle.
     """
-    chosen = [Template(n, t, least) for n, t in sorted((TEMPLATES if templates is None else templates).items())]
+    if templates is None:
+        templates, decisive = TEMPLATES, DECISIVE if decisive is None else decisive
+    chosen = [Template(n, t, least, (decisive or {}).get(n, ("", ""))) for n, t in sorted(templates.items())]
     kind = docs.schema[id_col].dataType.simpleString()
     fields = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())])
 
