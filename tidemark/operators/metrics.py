@@ -176,13 +176,24 @@ def worst_windows(trades: DataFrame, n: int = 30, k: int = 10, keys: tuple[str,
 
 
 def sensitivity(trades: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Metrics for each row of a parameter table (``min_prob, tp_scale, sl_scale``) by filtering and rescaling results."""
-    pnl = F.when(F.col("net_pnl") > 0, F.col("net_pnl") * F.col("tp_scale")).otherwise(F.col("net_pnl") * F.col("sl_scale"))
-    rows = trades.join(F.broadcast(grid), F.col("prob") >= F.col("min_prob"))  # a parameter table
-    rows = rows.withColumn("_p", pnl)
-    return rows.groupBy(*keys, "min_prob", "tp_scale", "sl_scale").agg(
-        F.count(F.lit(1)).alias("trades"), F.sum("_p").alias("net_pnl"), (F.count_if(F.col("_p") > 0) / F.count(F.lit(1))).alias("win_rate"),
-        (F.avg("_p") / (F.stddev_samp("_p") + EPS)).alias("trade_sharpe"),
+    """Metrics for each row of a parameter table (``min_prob, tp_scale, sl_scale``) by filtering and rescaling results.
+
+    Scaled results have moments that follow from those of the winners and the others, so trades meet the different ``min_prob`` only,
+    and the settings meet sums.
+    """
+    x, won = F.col("net_pnl"), F.col("net_pnl") > 0
+    rows = trades.join(F.broadcast(grid.select("min_prob").distinct()), F.col("prob") >= F.col("min_prob"))  # a parameter table
+    sums = rows.groupBy(*keys, "min_prob").agg(
+        F.count(F.lit(1)).alias("trades"), F.count(x).alias("_n"), F.count_if(won).alias("_wins"), F.count_if(x < 0).alias("_losses"),
+        _sum_if(won, x).alias("_w"), _sum_if(~won, x).alias("_l"), _sum_if(won, x * x).alias("_ww"), _sum_if(~won, x * x).alias("_ll"),
+    )
+    t, s, n = F.col("tp_scale"), F.col("sl_scale"), F.col("_n")
+    total = t * F.col("_w") + s * F.col("_l")
+    variance = (t * t * F.col("_ww") + s * s * F.col("_ll") - total * total / n) / F.nullif(n - 1, F.lit(0))
+    hits = F.when(t > 0, F.col("_wins")).otherwise(0) + F.when(s < 0, F.col("_losses")).otherwise(0)
+    return sums.join(F.broadcast(grid), "min_prob").select(
+        *keys, "min_prob", "tp_scale", "sl_scale", "trades", F.when(n > 0, total).alias("net_pnl"), (hits / F.col("trades")).alias("win_rate"),
+        (total / n / (F.sqrt(F.greatest(variance, F.lit(0.0))) + EPS)).alias("trade_sharpe"),
     )
 
 

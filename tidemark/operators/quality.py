@@ -16,7 +16,7 @@ def valid_ohlc() -> Column:
 
 
 def bar_quality(bars: DataFrame) -> DataFrame:
-    """Nulls, broken bars, times out of order, repeated times and negative volumes by symbol."""
+    """Nulls, broken bars, repeated times and negative volumes by symbol; rows have no order to be out of."""
     nulls = sum((F.col(c).isNull().cast("int") for c in ("open", "high", "low", "close", "volume")), F.lit(0))
     same = Window.partitionBy("symbol", "ts")
     rows = bars.withColumn("_twins", F.count(F.lit(1)).over(same))

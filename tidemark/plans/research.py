@@ -545,7 +545,8 @@ add(
     f"""WITH {LEDGER}, w AS (SELECT model, first_value(entry_time) {W30} AS start, entry_time AS "end", trade_id, count(*) {W30} AS n, sum(net_pnl) {W30} AS window_pnl, avg(CASE WHEN net_pnl > 0 THEN 1 ELSE 0 END) {W30} AS win_rate FROM trades)
     SELECT model, start, "end", round(window_pnl, 2) AS window_pnl, round(win_rate, 2) AS win_rate FROM w WHERE n = 30 ORDER BY w.window_pnl, model, "end", trade_id LIMIT 10""",
 )
-SETTINGS = [(p, t, q) for p in (0.0, 0.25, 0.5) for t in (0.8, 1.0, 1.2) for q in (0.8, 1.0)]
+#: 81 settings, as many as the usual search has.
+SETTINGS = [(p / 10, t, q) for p in range(9) for t in (0.8, 1.0, 1.2) for q in (0.8, 1.0, 1.2)]
 
 
 def settings(spark):
