@@ -92,8 +92,9 @@ def _shocked(shocks: Shocks) -> Value:
 
 def _moments(value: np.ndarray, sim: np.ndarray, sims: int) -> np.ndarray:
     """Number, sum and sum of squares of the values of each run, without NaN."""
-    seen = ~np.isnan(value)
-    value, sim = value[seen], sim[seen]
+    missed = np.isnan(value)
+    if missed.any():
+        value, sim = value[~missed], sim[~missed]
     return np.stack([np.bincount(sim, minlength=sims), np.bincount(sim, value, sims), np.bincount(sim, value * value, sims)])
 
 
