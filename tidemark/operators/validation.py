@@ -106,6 +106,21 @@ def deflated(moment_rows: DataFrame, trials: int, keys: tuple[str, ...] = ("symb
     return moment_rows.withColumn("_d", run("sharpe", "n", "skew", "kurtosis")).select(*keys, "sharpe", "_d.*")
 
 
+def deflated_by_bound(moment_rows: DataFrame, trials: int, keys: tuple[str, ...] = ("symbol",), year: float = 252.0) -> DataFrame:
+    """The form of :func:`deflated_sharpe_log` for each series of a moments table, on ratios per period."""
+    root, sr = math.sqrt(year), F.col("sharpe") / math.sqrt(year)
+    top = F.lit(math.sqrt(2 * math.log(trials))) * F.when(sr != 0, 1 / sr).otherwise(1.0)
+    variance = (1 + 0.5 * sr * sr - F.col("skew") * sr + F.col("kurtosis") / 4 * sr * sr) / F.col("n")
+    stat = F.when(variance > 0, (sr - top / root) / F.sqrt(variance)).otherwise(0.0)
+    out = moment_rows.withColumns({"expected_max": top, "statistic": stat})
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: 1 - normal.cdf(v), na_action="ignore")
+
+    return out.select(*keys, "sharpe", "expected_max", "statistic", tail("statistic").alias("p_value"))
+
+
 def blocks(series: DataFrame, x: str, n: int, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
     """``block, n, s, ss``: each series cut into ``n`` equal parts; rows past the last whole part are left out."""
     w = Window.partitionBy(*keys)

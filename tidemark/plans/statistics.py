@@ -86,6 +86,13 @@ for name, run, top, error in (
         t AS (SELECT model, sr, (sr - {top!r}::DOUBLE) / {error} AS x FROM v)
         SELECT model, round(sr, 6) AS sharpe, round({top!r}::DOUBLE, 6) AS expected_max, round(x, 6) AS statistic, round({normal_tail("x")}, 6) AS p_value FROM t""",
     )
+add(
+    "deflated_sharpe_bound",
+    lambda s, d: S.deflated_by_bound(moment_rows(s, d), TRIALS, ("model",)).select("model", *[F.round(c, 6).alias(c) for c in ("sharpe", "expected_max", "statistic", "p_value")]),
+    f"""WITH {MOMENTS}, s AS (SELECT *, mean / std AS sr FROM mo), v AS (SELECT *, (1 + 0.5 * sr * sr - skew * sr + kurtosis / 4 * sr * sr) / n AS v, {_ROOT!r}::DOUBLE / sr AS top FROM s),
+    t AS (SELECT model, sr, top, (sr - top / sqrt(252)) / sqrt(v) AS x FROM v)
+    SELECT model, round(sr * sqrt(252), 6) AS sharpe, round(top, 6) AS expected_max, round(x, 6) AS statistic, round({normal_tail("x")}, 6) AS p_value FROM t""",
+)
 BLK = f"""{DAYPNL}, k AS (SELECT model, pnl, row_number() OVER (PARTITION BY model ORDER BY date) - 1 AS r, count(*) OVER (PARTITION BY model) AS nn FROM days),
 b AS (SELECT model, CAST(r // (nn // 16) AS INTEGER) AS block, count(*) AS n, sum(pnl) AS s, sum(pnl * pnl) AS ss FROM k WHERE r // (nn // 16) < 16 GROUP BY 1, 2)"""
 add(
