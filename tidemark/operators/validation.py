@@ -32,9 +32,15 @@ def autocorrelations(series: DataFrame, x: str, lags: int, keys: tuple[str, ...]
 
 
 def ljung_box(acf: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The Ljung-Box statistic over the lags of an autocorrelation table."""
+    """The Ljung-Box statistic over the lags of an autocorrelation table, and its chi-square p-value."""
     n = F.col("n")
-    return acf.groupBy(*keys).agg((F.first("n") * (F.first("n") + 2) * F.sum(F.col("acf") ** 2 / (n - F.col("lag")))).alias("q"), F.max("lag").alias("lags"))
+    out = acf.groupBy(*keys).agg((F.first("n") * (F.first("n") + 2) * F.sum(F.col("acf") ** 2 / (n - F.col("lag")))).alias("q"), F.max("lag").alias("lags"))
+
+    @F.pandas_udf("double")
+    def tail(q: pd.Series, lags: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else normal.chi2_tail(x, int(k)) for x, k in zip(q, lags)], dtype=float)
+
+    return out.withColumn("p_value", tail("q", "lags"))
 
 
 def suggested_embargo(acf: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

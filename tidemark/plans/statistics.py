@@ -49,8 +49,9 @@ add(
 )
 add(
     "ljung_box",
-    lambda s, d: S.ljung_box(acf(s, d), ("model",)).select("model", "lags", F.round("q", 4).alias("q")),
-    f"WITH {ACF} SELECT model, max(lag) AS lags, round(any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)), 4) AS q FROM a GROUP BY model",
+    lambda s, d: S.ljung_box(acf(s, d), ("model",)).select("model", "lags", F.round("q", 4).alias("q"), F.round("p_value", 6).alias("p_value")),
+    f"""WITH {ACF}, b AS (SELECT model, max(lag) AS lags, any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM a GROUP BY model)
+    SELECT model, lags, round(q, 4) AS q, round(greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda k: exp((lags / 2 + k) * ln(q / 2) - q / 2 - lgamma(lags / 2 + k + 1))))), 6) AS p_value FROM b""",
 )
 add(
     "embargo_suggestion",
