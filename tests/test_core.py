@@ -604,3 +604,55 @@ def test_sliding_quantiles_of_a_long_frame(spark):
     for at in (19_655, 20_000, 39_999, 40_000, 59_999):
         assert abs(got.q[at] - np.quantile(x[at - 19_655 : at + 1], 0.67)) < 1e-12
     assert got.q[:19_655].isna().all() and got.q[19_655:].notna().all()
+
+
+def test_grids_hold_the_same_draws():
+    from tidemark.functions.draws import PRIME, Grid, first_draw, uniform_array
+
+    sims, rows = np.array([0, 1, 2, 777, 9999]), np.array([0, 3, 2**31 - 1, 2**40 + 1, -5, 123456789])
+    grid = Grid(sims, 10)
+    for seed in (7, 42, 46):
+        grid.at(rows)
+        want = uniform_array(seed, rows[:, None], sims[None])
+        assert np.array_equal((grid.whole(seed) - np.uint64(1)) / float(PRIME), want) and np.array_equal(grid.floats(seed), want * PRIME + 1)
+        for size in (1, 77, 1000, 1023, 1024):
+            assert np.array_equal(grid.picks(seed, size), np.floor(want * size))
+        for share in (0.0, 0.1, float(want[2, 3]), 1.0):
+            assert np.array_equal(grid.reach(seed, first_draw(share)), want >= share) and np.array_equal(grid.reach(seed, first_draw(share, above=True)), want > share)
+    grid = Grid(np.arange(2000), 500)
+    for at in range(0, 20_000, 500):  # ten million more
+        grid.at(np.arange(at, at + 500))
+        assert np.array_equal((grid.whole(42) - np.uint64(1)) / float(PRIME), uniform_array(42, np.arange(at, at + 500)[:, None], np.arange(2000)[None]))
+
+
+def test_runs_equal_draws_made_one_by_one(spark):
+    """A grid's corners, a block that is not full, a null trade, and how many draws a task holds at a time."""
+    from tidemark.functions.draws import uniform_array
+    from tidemark.operators import simulations as M
+
+    n, sims = M.BLOCK + 37, 7
+    pnl = np.round(np.random.default_rng(3).normal(0, 90, n), 2)
+    cost = np.arange(n) % 3 + 1.0
+    trades = spark.createDataFrame([("m", i, None if i in (5, n - 1) else float(x), float(c), float(2 * c)) for i, (x, c) in enumerate(zip(pnl, cost))], "model string, trade_id long, net_pnl double, slippage double, commission double")
+    held = np.where(np.isin(np.arange(n), (5, n - 1)), np.nan, pnl)
+    held_at_once = []
+    for k in (M.BOOTSTRAP, M.MISSED, M.COSTS, M.COMBINED):
+        got = M.runs(trades, sims, k).toPandas().set_index("sim")
+        for s in range(sims):
+            if k.resample:
+                own = [M.block_draws(n, b, k.seed, np.array([s]))[0] for b in (0, 1)]
+                row = np.concatenate([b * M.ROOM + np.arange(c) for b, c in enumerate(own)])
+                size = np.repeat([M.BLOCK, 37], own)
+                pick = (row // M.ROOM * M.BLOCK + np.floor(uniform_array(k.seed, row, np.array(s)) * size)).astype(int)
+            else:
+                row = pick = np.arange(n)
+            x = held[pick]
+            for j, most in enumerate(k.cost or (), 1):
+                x = x - cost[pick] * j * (2 * uniform_array(k.seed + j, row, np.array(s)) - 1) * most
+            if k.dropout:
+                rate = k.dropout[0] + (k.dropout[1] - k.dropout[0]) * uniform_array(k.seed + 3, np.array(0), np.array(s))
+                x = x[uniform_array(k.seed + 4, row, np.array(s)) > rate]
+            assert got.trades[s] == (~np.isnan(x)).sum() and abs(got.net_pnl[s] - np.nansum(x)) < 1e-6, (k, s)
+    for first, last, grid, rows in M._grids(10_000):  # no array of a task leaves a core's cache
+        held_at_once.append((last - first) * rows)
+    assert max(held_at_once) <= M.AT_ONCE <= 1 << 15
