@@ -578,3 +578,20 @@ def test_words_never_seen_are_neutral(spark):
     scorer = toxicity.Scorer(model)
     texts = ["the quick brown fox", "one two three", " ".join(f"word{i}" for i in range(160)), *[" ".join(f"zq{i * j}vu" for j in range(99)) for i in range(1, 30)]]
     assert max(scorer.score(texts)) < 0.5
+
+
+def test_search_of_reached_blocks_alone_finds_the_same():
+    from tidemark.llm import decontaminate as D
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words, 20))) for i in range(150)]
+    index = D.Index(items, {w: 1.0 + i % 7 for i, w in enumerate(words)}, 20.0)
+    found = 0
+    for n in range(60):
+        text = " ".join([*rng.choice(words, 150), *items[n][1].split(), *rng.choice(words, 90)]).split()
+        for _, terms, blocks in index.reached(text, 0.6):
+            got = index.search(terms, 0.6, blocks)
+            assert got == index.search(terms, 0.6) and {i // D.BLOCK for i, _ in got} <= set(blocks)
+            found += len(got)
+    assert found >= 60

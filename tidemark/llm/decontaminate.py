@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,8 +116,8 @@ class Index:
         self.splits[least] = drives, self.joint[quiet - 1] if quiet else 0.0
         return self.splits[least]
 
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All (item, score) with a score of at least ``least``, by block-max WAND."""
+    def search(self, terms: list[int], least: float, reached: list[int] | None = None) -> list[tuple[int, float]]:
+        """All (item, score) with a score of at least ``least``, by block-max WAND; ``reached``: the blocks of items that can have it, in order."""
         drives, rest = self.split(least)
         goal = least - rest - 1e-9
         lists = [[self.items[t][0], 0, t] for t in terms if drives[t]]  # current item, position, term
@@ -132,11 +133,23 @@ class Index:
             if pivot < 0:
                 break
             item = lists[pivot][0]
+            if reached is not None:
+                k = bisect_left(reached, item // BLOCK)
+                if k == len(reached):
+                    break
+                if (first := reached[k] * BLOCK) > item:
+                    self._advance(lists, [x for x in lists if x[0] < first], first)
+                    continue
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
             ahead = lists[: pivot + 1]
-            shallow = [(self._block(x, item), x[2]) for x in ahead]
-            if sum(self.tops[t][b] for b, t in shallow if b != END) >= goal:
+            shallow, reach = [], 0.0
+            for x in ahead:
+                b, t = self._block(x, item), x[2]
+                if b != END:
+                    shallow.append((b, t))
+                    reach += self.tops[t][b]
+            if reach >= goal:
                 if lists[0][0] == item:
                     score = sum(self.of_item[t].get(item, 0.0) for t in terms)
                     if score >= least - 1e-9:
@@ -145,7 +158,7 @@ class Index:
                 else:
                     self._advance(lists, [x for x in ahead if x[0] < item], item)
             else:  # no item before the end of the shortest block can reach the goal
-                ends = [self.items[t][min((b + 1) * BLOCK, len(self.items[t])) - 1] for b, t in shallow if b != END]
+                ends = [self.items[t][min((b + 1) * BLOCK, len(self.items[t])) - 1] for b, t in shallow]
                 nexts = [lists[pivot + 1][0]] if pivot + 1 < len(lists) else []
                 self._advance(lists, ahead, max(item + 1, min([*(e + 1 for e in ends), *nexts], default=item + 1)))
         return found
@@ -153,26 +166,25 @@ class Index:
     def _block(self, at: list, item: int) -> int:
         """The block of a list that may hold ``item``."""
         places = self.items[at[2]]
-        b = at[1] // BLOCK
-        while b * BLOCK < len(places):
-            if places[min((b + 1) * BLOCK, len(places)) - 1] >= item:
-                return b
-            b += 1
-        return END
+        p = bisect_left(places, item, at[1])
+        return p // BLOCK if p < len(places) else END
 
     def _advance(self, lists: list[list], some: list[list], item: int) -> None:
         for x in some:
-            places, p = self.items[x[2]], x[1]
-            while p < len(places) and places[p] < item:
-                p += 1
+            places = self.items[x[2]]
+            p = bisect_left(places, item, x[1])
             x[0], x[1] = (places[p], p) if p < len(places) else (END, p)
         lists[:] = [x for x in lists if x[0] != END]
 
     def passages(self, words: list[str], least: float) -> Iterator[tuple[int, list[int]]]:
         """Start and index terms of every passage whose bound reaches ``least`` for some block of items."""
+        return ((start, terms) for start, terms, _ in self.reached(words, least))
+
+    def reached(self, words: list[str], least: float) -> Iterator[tuple[int, list[int], list[int]]]:
+        """Start and index terms of every passage whose bound reaches ``least`` for some block of items, and those blocks."""
         get, step = self.term.get, self.longest
         drives, rest = self.split(least)
-        ids = np.fromiter((get(w, END) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(END)), np.int64, len(words))
         at = np.flatnonzero(ids >= 0)
         at = at[drives[ids[at]]]
         if not len(at):
@@ -192,15 +204,19 @@ class Index:
             reached = pair[np.bincount(at, top) + rest >= least - 1e-9]
         else:
             reached = np.flatnonzero(np.bincount(pair, top) + rest >= least - 1e-9)
-        for w in np.unique(reached // self.blocks).tolist():
-            here = np.unique(ids[w * step : (w + 2) * step])
-            yield w * step, here[here >= 0].tolist()
+        own: dict[int, list[int]] = {}
+        for pair in reached.tolist():  # in order
+            own.setdefault(pair // self.blocks, []).append(pair % self.blocks)
+        for w, blocks in own.items():
+            here = set(ids[w * step : (w + 2) * step].tolist())
+            here.discard(END)
+            yield w * step, sorted(here), blocks
 
     def hits(self, text: str, least: float, question: float, answer: float) -> list[dict]:
         """The best verified hit for each item in a text."""
         words, best, seen = words_of(text), {}, set()
-        for start, terms in self.passages(words, least):
-            retrieved = self.search(terms, least)
+        for start, terms, reached in self.reached(words, least):
+            retrieved = self.search(terms, least, reached)
             for n, _ in retrieved:
                 size = self.lengths[n]
                 for at in range(start // size * size, min(start + 2 * self.longest, len(words)), size):
