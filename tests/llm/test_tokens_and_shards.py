@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, queries, sharding, simhash, tokens
+from tidemark.llm import bpe, common, queries, sharding, simhash, tokens
 
 ODD = [
     None,
@@ -83,6 +83,24 @@ def test_a_full_bitmap_changes_nothing(spark, sf):
     assert small == {r.doc_id: r.ids for r in bpe.encode(docs, path).collect()}
 
 
+def test_few_documents_without_a_shared_chunk_are_dealt_out(spark):
+    names = [xxhash.xxh3_128_digest(str(i).encode()) for i in range(80_000)]
+    bits = common.bits_for(50_000)  # just under a step: 20 bits a name
+    words = common.bitmap(spark.createDataFrame([(bytearray(n),) for n in names[:50_000]], "name binary"), bits, bpe.PROBES)
+    hits = common.bitmap_has(names, words, bits, bpe.PROBES)
+    assert all(hits[:50_000]) and sum(hits[50_000:]) < 0.005 * 30_000
+
+
+def test_texts_of_shared_chunks_are_not_stored(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(bpe, "stored", lambda df, name: kept.setdefault(name, common.stored(df, name)))
+    body = " ".join(f"word{i}" for i in range(900))
+    docs = spark.createDataFrame([(0, body), (1, body), (2, "in front of it " + body), (3, "short"), (None, body), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.decoded) for r in bpe.encode(docs, queries.tokenizer_path(), decode=True).collect()}
+    assert got == {(r.doc_id, r.text or "") for r in docs.collect()}
+    assert kept["pending"].count() == 4 and all("text" not in df.columns for df in kept.values())
+
+
 def test_long_runs_merge_as_short_ones():
     v = tokens.vocabulary(queries.tokenizer_path())
     for s in ("aaaa" * 40, "thndonéß" * 15, "=-=" * 50, "abcabcab" * 20):

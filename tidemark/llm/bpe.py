@@ -10,8 +10,9 @@ have. A window starts and ends where white space follows other text. No pre-toke
 special string can cross such a place, so agreement there is exact.
 
 A document without a shared chunk never leaves its task. Which chunks are shared reaches
-the tasks as a bitmap of fixed size; a false hit only costs its shuffle, so the bitmap may
-fill up without harm to the result.
+the tasks as a bitmap; a false hit only costs its shuffle, so the bitmap may fill up without
+harm to the result. A document with shared chunks is dealt out once with its text, to meet
+their ids; only the names of its chunks are stored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ LEAST, MOST = 256, 8192  # bytes of a chunk, but for the last
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint32)
 #: White space under every definition in use, after a character that is none under any.
 SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+PROBES = 4  # bits of the bitmap that a chunk must find set
 REACH = 96  # characters to either side of a join that are searched first
 
 
@@ -187,7 +189,7 @@ def _shared(rows: DataFrame, bits: int | None) -> tuple[np.ndarray, int]:
     found = rows.select("text").mapInArrow(names, "name binary").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     twice = stored(found.where("n > 1").select("name"), "shared")
     bits = bits or bits_for(twice.count())
-    return bitmap(twice, bits), bits
+    return bitmap(twice, bits, PROBES), bits
 
 
 def encode(
@@ -217,7 +219,7 @@ def encode(
             names, texts = [], []
             for _, text, ends, own in _chunked(batch, 0):
                 if own:
-                    for a, b, n, hit in zip([0, *ends], ends, own, bitmap_has(own, shared.value, bitmap_bits)):
+                    for a, b, n, hit in zip([0, *ends], ends, own, bitmap_has(own, shared.value, bitmap_bits, PROBES)):
                         if hit:
                             names.append(n)
                             texts.append(text[a:b])
@@ -229,15 +231,19 @@ def encode(
             ids = [array(enc.packed, enc.encode(t.decode())).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["name", "ids"])
 
-    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def waiting(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """Documents that may hold shared chunks: with their texts, or with the names of these chunks."""
         for batch in sliced(batches):
             keep, names = [], []
             for row, _, _, own in _chunked(batch, 2):
-                if own and any(hit := bitmap_has(own, shared.value, bitmap_bits)):
+                if own and any(hit := bitmap_has(own, shared.value, bitmap_bits, PROBES)):
                     keep.append(row)
                     names.append([n for n, h in zip(own, hit) if h])
             kept = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.list_(pa.binary()))], names=["id", "mark", "text", "names"])
+            if whole:
+                yield kept
+            else:
+                yield pa.RecordBatch.from_arrays([*kept.columns[:2], pa.array(names, pa.list_(pa.binary()))], names=["id", "mark", "names"])
 
     def finished(column: pa.Array, ids: list[array], enc: Encoder) -> pa.RecordBatch:
         flat = np.frombuffer(b"".join(x.tobytes() for x in ids), np.int32)
@@ -256,7 +262,7 @@ def encode(
         for batch in sliced(batches):
             keep, out = [], []
             for row, text, ends, own in _chunked(batch, 1):
-                if not own or not any(bitmap_has(own, shared.value, bitmap_bits)):
+                if not own or not any(bitmap_has(own, shared.value, bitmap_bits, PROBES)):
                     keep.append(row)
                     out.append(assemble(enc, text, ends, [None] * len(ends)))
             kept = batch.column(0).take(pa.array(keep, pa.int32()))
@@ -275,12 +281,13 @@ def encode(
     chunks = rows.select("text").mapInArrow(texts_of_hits, "name binary, text binary")
     chunks = chunks.groupBy("name").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")).where("n > 1")
     chunks = stored(chunks.select("name", "text").mapInArrow(encode_chunks, "name binary, ids binary"), "chunks")
-    pending = rows.mapInArrow(waiting, f"id {kind}, mark long, text binary, names array<binary>")
-    pending = stored(pending, "pending")
-    wanted = pending.select("id", "mark", F.explode("names").alias("name")).distinct().join(chunks, "name")
+    named = stored(rows.mapInArrow(lambda batches: waiting(batches, False), f"id {kind}, mark long, names array<binary>"), "pending")
+    wanted = named.select("id", "mark", F.explode("names").alias("name")).distinct().join(chunks, "name")
     # a document's own chunks: never more than it has
     wanted = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("name", "ids")).alias("given"))
     wanted = wanted.withColumnsRenamed({"id": "wid", "mark": "wmark"})
+    # found again, not stored: naming chunks costs little, a table of these texts would be some 0.3 of the input
+    pending = rows.mapInArrow(lambda batches: waiting(batches, True), f"id {kind}, mark long, text binary")
     full = pending.join(wanted, tied(pending["id"], F.col("wid")) & (pending["mark"] == F.col("wmark")), "left")
     full = full.select("id", "text", "given").mapInArrow(together, result)
     return rows.select("id", "text").mapInArrow(alone, result).unionByName(full).withColumnRenamed("id", id_col)
