@@ -568,6 +568,39 @@ def test_boosting_of_all_folds_equals_single_models(spark):
         assert (got.label.values == ys[target][got.ts.values]).all()
 
 
+def test_boosting_stores_rows_once_and_sends_cells(spark, monkeypatch):
+    from tidemark.operators import boosting as B
+
+    written = []
+    table = B.Table
+    monkeypatch.setattr(B, "Table", lambda df, name: written.append(name) or table(df, name))
+    rows = [("a", i, 0, ("train", "test")[i % 2], float(i % 7), i % 3 % 2) for i in range(200)]
+    members = spark.createDataFrame(rows, "symbol string, ts long, fold int, role string, a double, y int")
+    out = B.boosted_scores(members, ["a"], ["y"], trees=5, cuts={"a": [1.0, 3.0, 5.0]})
+    assert out.count() == 100 and written == ["boosted"]
+
+
+def test_both_directions_are_one_fit(spark, monkeypatch):
+    from tidemark.operators import boosting as B
+    from tidemark.operators import ranking as A
+
+    fits = []
+    fit = A.boosted_scores
+    monkeypatch.setattr(A, "boosted_scores", lambda *a, **k: fits.append(1) or fit(*a, **k, trees=3))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    rows = [("a", i, i % 2, "train" if i < 250 else "test", *map(float, x[i]), int(y[i])) for i in range(400)]
+    members = spark.createDataFrame(rows, "symbol string, ts long, fold int, role string, a double, b double, y int")
+    got = {r.direction: r.auc for r in A.direction_leak(members, ["a", "b"], "y").collect()}
+    assert len(fits) == 1
+    cuts = B.cut_points(members, ["a", "b"])
+    swapped = members.withColumn("role", F.when(F.col("role") == "train", "test").otherwise("train"))
+    for way, m in (("forward", members), ("reverse", swapped)):
+        want = A.auc(B.boosted_scores(m, ["a", "b"], ["y"], cuts=cuts, trees=3), "score", "label").first().auc
+        assert abs(got[way] - want) < 1e-12
+
+
 def test_gates_of_the_full_validation(spark):
     from tidemark.operators import validation as S
 

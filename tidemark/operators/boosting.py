@@ -1,17 +1,22 @@
 """Gradient boosting of many folds and targets at once.
 
 Every (fold, target) pair has trees of its own, and all of them grow together: a level of a tree is one aggregate
-of gradients by (pair, node, feature, bin), whatever the number of pairs. What comes to the driver is one row for each
-pair and node, the split; the trees go back as a table of one row a pair. A model reads the training rows of its fold only.
+of gradients by (pair, node, feature, bin), whatever the number of pairs. Each task adds up the cells of its rows in arrays
+first, so what is shuffled does not grow with the rows. What comes to the driver is one row for each pair and node, the split;
+the trees go back with the next tasks, which find the rows' scores from them: the rows are stored once, as bins, and never
+again. A model reads the training rows of its fold only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemark.functions.tables import Table
 
@@ -25,41 +30,86 @@ def cut_points(df: DataFrame, columns: Sequence[str], bins: int = 32) -> Cuts:
     return {c: sorted(set(x)) for c, x in zip(columns, found)}
 
 
-def _bins(cuts: Cuts) -> Column:
-    count = lambda c, at: sum(((F.col(c) > x).cast("int") for x in at), F.lit(0))
-    return F.array(*[count(c, at) for c, at in cuts.items()])
-
-
-def _walk(levels: int) -> Column:
-    """The node that a row reaches after ``levels`` splits; the root is 1, the children of k are 2 k and 2 k + 1."""
-    node = F.lit(1)
-    for _ in range(levels):
-        node = 2 * node + (F.get("bins", F.get("features", node)) > F.get("at", node)).cast("int")
-    return node
+def _bin(column: str, at: list[float]) -> Column:
+    return sum(((F.col(column) > x).cast("short") for x in at), F.lit(0)).cast("short")
 
 
 class _Tree:
-    """A growing tree of one pair, as arrays by node."""
+    """A growing tree of one pair, as arrays by node: the root is 1, the children of k are 2 k and 2 k + 1."""
 
     def __init__(self, depth: int) -> None:
-        self.features, self.at = [0] * (1 << depth), [1 << 30] * (1 << depth)  # no split: all go left
-        self.leaves = [0.0] * (1 << depth)
+        self.features, self.at = [0] * (1 << depth), [None] * (1 << depth)  # no split: all go left
+        self.leaves = np.zeros(1 << depth)
+
+    def nodes(self, bins: list[np.ndarray], levels: int) -> np.ndarray:
+        """The node that each row reaches after so many splits."""
+        node = np.ones(len(bins[0]), np.int16)
+        for level in range(levels):
+            right = np.zeros(len(node), bool)
+            for k in range(1 << level, 2 << level):
+                if self.at[k] is not None:
+                    above = bins[self.features[k]] > self.at[k]
+                    right |= above if level == 0 else above & (node == k)
+            node = 2 * node + right
+        return node
+
+
+class _Model:
+    """The trees of one pair and its score before the first."""
 
-    def row(self, pair: int) -> tuple:
-        return pair, self.features, self.at, self.leaves
+    def __init__(self, pair: int, start: float) -> None:
+        self.pair, self.start, self.trees = pair, start, []
 
+    def raw(self, bins: list[np.ndarray], depth: int, rate: float) -> np.ndarray:
+        """Scores of all trees that are grown, as log odds."""
+        out = np.full(len(bins[0]), self.start)
+        for tree in self.trees:
+            out += rate * tree.leaves[tree.nodes(bins, depth) - (1 << depth)]
+        return out
 
-def _trees(rows: DataFrame, grown: dict[int, _Tree]) -> DataFrame:
-    shape = "pair int, features array<int>, at array<int>, leaves array<double>"
-    table = rows.sparkSession.createDataFrame([t.row(p) for p, t in grown.items()], shape)
-    return rows.join(F.broadcast(table), "pair")  # one row for each fold and target
 
+Models = dict[tuple[int, int], _Model]  # by fold and place of the target
 
-def _splits(rows: DataFrame, level: int, l2: float) -> list:
+
+def _by_model(batch: pa.RecordBatch, models: Models, features: int, targets: int) -> Iterator[tuple[int, _Model, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Place of the target, model, places of the rows, their bins and labels, for each model that has rows in the batch."""
+    column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+    folds, labels = column("fold"), [column(f"_y{t}") for t in range(targets)]
+    bins = [column(f"_b{f}") for f in range(features)]
+    for fold in np.unique(folds):
+        for t in range(targets):
+            if model := models.get((int(fold), t)):
+                at = np.flatnonzero((folds == fold) & ~np.isnan(labels[t]))
+                if len(at):
+                    yield t, model, at, [b[at] for b in bins], labels[t][at]
+
+
+def _splits(train: DataFrame, models: Models, grown: dict[int, _Tree], level: int, sizes: list[int], targets: int, depth: int, rate: float, l2: float) -> list:
     """The best split of each node of a level, with the sums on its left side and of the whole node."""
-    p = 1 / (1 + F.exp(-F.col("raw")))
-    slopes = rows.select("pair", _walk(level).alias("node"), (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), F.posexplode("bins").alias("feature", "bin"))
-    cells = slopes.groupBy("pair", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    first, wide = 1 << level, max(sizes)
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for _, model, _, bins, y in _by_model(batch, models, len(sizes), targets):
+                p = 1 / (1 + np.exp(-model.raw(bins, depth, rate)))
+                g, h = p - y, p * (1 - p)
+                base = (grown[model.pair].nodes(bins, level).astype(np.int64) - first) * wide
+                mine = sums.setdefault(model.pair, np.zeros((3, len(sizes), first * wide)))
+                for f, b in enumerate(bins):
+                    cell = base + b
+                    for i, weights in enumerate((g, h, None)):
+                        mine[i, f] += np.bincount(cell, weights, first * wide)
+        for pair, mine in sums.items():
+            feature, cell = np.nonzero(mine[2])
+            ints = [np.full(len(cell), pair), first + cell // wide, feature, cell % wide]
+            arrays = [*(pa.array(x.astype(np.int32)) for x in ints), *(pa.array(mine[i, feature, cell]) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["pair", "node", "feature", "bin", "g", "h"])
+
+    cells = train.mapInArrow(cells_of, "pair int, node int, feature int, bin int, g double, h double")
+    # what a task sends is summed up already: one exchange by node serves all that follows
+    cells = cells.repartition(min(len(grown) << level, _cores(train)), "pair", "node")
+    cells = cells.groupBy("pair", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     whole = Window.partitionBy("pair", "node", "feature")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as there are bins
     cells = cells.withColumns({"gl": F.sum("g").over(upto), "hl": F.sum("h").over(upto), "gt": F.sum("g").over(whole), "ht": F.sum("h").over(whole)})
@@ -73,6 +123,10 @@ def _splits(rows: DataFrame, level: int, l2: float) -> list:
     return cells.groupBy("pair", "node").agg(best.alias("s")).select("pair", "node", "s.*").collect()  # pairs x nodes
 
 
+def _cores(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def boosted_scores(
     members: DataFrame,
     columns: Sequence[str],
@@ -90,20 +144,27 @@ def boosted_scores(
     or the target take no part. A fold whose training rows have one class only gives no scores. ``depth`` splits on the way to a
     leaf, second-order steps of ``rate``, no sampling: scores are the same on any partitioning but for rounding.
     """
-    cuts = cuts or cut_points(members, columns)
-    marks = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets]))
-    data = members.dropna(subset=list(columns)).select(*keys, "fold", "role", _bins(cuts).alias("bins"), marks.alias("m")).select(*keys, "fold", "role", "bins", "m.*")
-    base = Table(data.where("y is not null"), "members")
-    sums = base.rows.where("role = 'train'").groupBy("fold", "target").agg(F.avg("y").alias("p")).where("p > 0 and p < 1").orderBy("fold", "target").collect()
-    if not sums:
+    if cuts is None:  # two passes: what both read is stored
+        members = Table(members.select(*dict.fromkeys([*keys, "fold", "role", *columns, *targets])), "members").rows
+        cuts = cut_points(members, columns)
+    bins = [_bin(c, at).alias(f"_b{f}") for f, (c, at) in enumerate(cuts.items())]
+    labels = [F.col(t).cast("double").alias(f"_y{k}") for k, t in enumerate(targets)]
+    data = members.dropna(subset=list(columns)).select(*keys, F.col("fold").cast("int").alias("fold"), "role", *bins, *labels)
+    data = data.where(F.col("fold").isNotNull() & F.coalesce(*[F.col(f"_y{t}") for t in range(len(targets))]).isNotNull())
+    # a few files for each core, whatever the number of series; a batch of rows is of few folds
+    rows = Table(data.repartition(2 * _cores(members), *keys).sortWithinPartitions("role", "fold"), "boosted").rows
+    means = rows.where("role = 'train'").groupBy("fold").agg(*[F.avg(f"_y{t}").alias(f"_p{t}") for t in range(len(targets))]).orderBy("fold").collect()
+    shares = {(r["fold"], t): r[f"_p{t}"] for r in means for t in range(len(targets))}
+    shares = {k: p for k, p in shares.items() if p is not None and 0 < p < 1}
+    if not shares:
         raise ValueError("no fold has training rows of two classes")
-    pairs = members.sparkSession.createDataFrame([(r["fold"], r["target"], k, math.log(r["p"] / (1 - r["p"]))) for k, r in enumerate(sums)], "fold int, target string, pair int, raw double")
-    last = Table(base.rows.withColumn("fold", F.col("fold").cast("int")).join(F.broadcast(pairs), ["fold", "target"]), "boosted")
-    base.drop()
+    models: Models = {k: _Model(n, math.log(p / (1 - p))) for n, (k, p) in enumerate(shares.items())}
+    sizes = [len(at) + 1 for at in cuts.values()]
+    train = rows.where("role = 'train'").select("fold", *[f"_b{f}" for f in range(len(sizes))], *[f"_y{t}" for t in range(len(targets))])
     for _ in range(trees):
-        grown = {k: _Tree(depth) for k in range(len(sums))}
+        grown = {m.pair: _Tree(depth) for m in models.values()}
         for level in range(depth):
-            for s in _splits(_trees(last.rows.where("role = 'train'"), grown), level, l2):
+            for s in _splits(train, models, grown, level, sizes, len(targets), depth, rate, l2):
                 tree, node = grown[s["pair"]], s["node"]
                 found = s["gain"] > 0
                 if found:
@@ -112,9 +173,17 @@ def boosted_scores(
                     left, right = ((s["gl"], s["hl"]), (s["gt"] - s["gl"], s["ht"] - s["hl"])) if found else ((s["gt"], s["ht"]),) * 2
                     at = 2 * node - (1 << depth)
                     tree.leaves[at], tree.leaves[at + 1] = -left[0] / (left[1] + l2), -right[0] / (right[1] + l2)
-        kept = last.rows.columns
-        stepped = _trees(last.rows, grown).withColumn("raw", F.col("raw") + rate * F.get("leaves", _walk(depth) - (1 << depth)))
-        step = Table(stepped.select(*kept), "boosted")
-        last.drop()
-        last = step
-    return last.rows.where("role = 'test'").select(*keys, "fold", "target", F.col("y").alias("label"), (1 / (1 + F.exp(-F.col("raw")))).alias("score"))
+        for m in models.values():
+            m.trees.append(grown[m.pair])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, model, at, mine, _ in _by_model(batch, models, len(sizes), len(targets)):
+                taken = batch.select([*keys, "fold", f"_y{t}"]).take(pa.array(at))
+                names = pa.array([targets[t]] * len(at), pa.string())
+                columns = [*taken.columns[: len(keys) + 1], names, taken.column(len(keys) + 1), pa.array(model.raw(mine, depth, rate))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "fold", "target", "label", "raw"])
+
+    shape = StructType([*(rows.schema[k] for k in (*keys, "fold")), StructField("target", StringType()), StructField("label", DoubleType()), StructField("raw", DoubleType())])
+    out = rows.where("role = 'test'").drop("role").mapInArrow(scores, shape)
+    return out.select(*keys, "fold", "target", "label", (1 / (1 + F.exp(-F.col("raw")))).alias("score"))

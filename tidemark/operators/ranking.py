@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import correlation
 from tidemark.functions.rows import sums_before, value_ranks
-from tidemark.operators.boosting import boosted_scores
+from tidemark.functions.tables import Table
+from tidemark.operators.boosting import boosted_scores, cut_points
 from tidemark.operators.quality import long_form
 
 
@@ -197,10 +198,17 @@ def meta_model(df: DataFrame, columns: list[str], primary: str, meta_label: str,
 
 
 def direction_leak(members: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """AUC of models fitted forwards and with the parts swapped: features that leak do equally well both ways."""
-    swapped = members.withColumn("role", F.when(F.col("role") == "train", "test").otherwise("train"))
-    parts = [auc(fold_scores(m, columns, target), "score", target).withColumn("direction", F.lit(n)) for n, m in (("forward", members), ("reverse", swapped))]
-    return parts[0].unionByName(parts[1])
+    """AUC of models fitted forwards and with the parts swapped: features that leak do equally well both ways.
+
+    Both ways are folds of one fit, an even and an odd one for each fold of ``members``. A way without training rows of two classes has no row.
+    """
+    rows = Table(members.select(*dict.fromkeys(["symbol", "ts", "fold", "role", *columns, target])), "members").rows
+    ways = rows.withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1))))
+    swapped = F.when(F.col("role") == "train", "test").otherwise("train")
+    ways = ways.withColumns({"fold": 2 * F.col("fold") + F.col("_way"), "role": F.when(F.col("_way") == 0, F.col("role")).otherwise(swapped)})
+    scores = Table(boosted_scores(ways, columns, [target], cuts=cut_points(rows, columns)), "scores").rows
+    direction = F.when(F.pmod("fold", F.lit(2)) == 0, "forward").otherwise("reverse")
+    return auc(scores.withColumn("direction", direction), "score", "label", ("direction",)).select("auc", "direction")
 
 
 def zscored(df: DataFrame, means: dict[str, float], scales: dict[str, float]) -> DataFrame:
