@@ -601,6 +601,42 @@ def test_both_directions_are_one_fit(spark, monkeypatch):
         assert abs(got[way] - want) < 1e-12
 
 
+def test_positions_look_no_further_than_they_are_held():
+    from tidemark.operators import signals as X
+
+    class Counted(np.ndarray):
+        seen = 0
+
+        def __array_ufunc__(self, ufunc, method, *args, **kwargs):
+            args = [np.asarray(a) for a in args]
+            Counted.seen += max(a.size for a in args)
+            return getattr(ufunc, method)(*args, **kwargs)
+
+    rules = X.GridRules()
+    flat = np.full(100_000, 100.0).view(Counted)
+    assert X._held_bars(1, 100.0, 1.0, flat, flat, rules) == rules.hold_bars
+    assert 0 < Counted.seen < 10 * rules.hold_bars
+
+
+@pytest.mark.parametrize("odd", [0, 2])
+def test_random_halves_equal_the_plain_form(spark, odd):
+    from tidemark.functions.draws import uniform
+    from tidemark.functions.frames import EPS
+    from tidemark.operators import validation as S
+
+    rng = np.random.default_rng(4)
+    rows = [(s, p, float(rng.normal(0.1 * s, 1)) if s < 4 else 0.25 * (s - 4)) for s in range(6) for p in range(-3, 60)]
+    rows += [(0, 5, 0.3), (1, None, 9.0), (2, 7, None), (7, 1, 0.5)]
+    rows += [(0, 11, math.nan), (1, 12, math.inf)][:odd]
+    returns = spark.createDataFrame(rows, "strategy int, period long, ret double").repartition(4)
+    got = S.random_half_overfit(returns, trials=60).first()
+    all_trials = returns.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long")))).withColumn("_in", uniform(11, "period", "trial") < 0.5)
+    ratio = lambda half: F.round(F.avg(F.when(half, F.col("ret"))) / (F.stddev_pop(F.when(half, F.col("ret"))) + EPS), 9)
+    want = S.rank_overfit(all_trials.groupBy("trial", "strategy").agg(ratio(F.col("_in")).alias("inside"), ratio(~F.col("_in")).alias("outside")), "trial", "strategy", "inside", "outside").first()
+    assert (got.pbo, got.paths) == (want.pbo, want.paths) and abs(got.mean_logit - want.mean_logit) < 1e-12
+    assert "Generate" not in S.random_half_overfit(returns)._jdf.queryExecution().executedPlan().toString()  # no row for each trial
+
+
 def test_gates_of_the_full_validation(spark):
     from tidemark.operators import validation as S
 

@@ -7,15 +7,19 @@ are plain arithmetic.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidemark.functions import normal
 from tidemark.functions.frames import EPS, correlation
-from tidemark.functions.draws import uniform
+from tidemark.functions.draws import uniform_array
 
 
 def autocorrelations(series: DataFrame, x: str, lags: int, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
@@ -184,17 +188,54 @@ def rank_overfit(performance: DataFrame, path: str, strategy: str, inside: str,
 def random_half_overfit(returns: DataFrame, trials: int = 1000, seed: int = 11, period: str = "period", strategy: str = "strategy", ret: str = "ret") -> DataFrame:
     """Overfit probability over random halves of the periods (whole numbers); halves depend on period, trial and seed only.
 
-    Ratios are compared to nine places, so strategies with the same trades are equals.
+    Ratios are compared to nine places, so strategies with the same trades are equals. ``strategy`` names a grid of parameters:
+    a task holds four sums for each trial, half and strategy, and nothing is multiplied by the trials but these.
     """
-    rows = returns.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    rows = rows.withColumn("_in", uniform(seed, period, "trial") < 0.5)
-    perf = rows.groupBy("trial", strategy).agg(
-        F.round(F.avg(F.when(F.col("_in"), F.col(ret))) / (F.stddev_pop(F.when(F.col("_in"), F.col(ret))) + EPS), 9).alias("inside"),
-        F.round(F.avg(F.when(~F.col("_in"), F.col(ret))) / (F.stddev_pop(F.when(~F.col("_in"), F.col(ret))) + EPS), 9).alias("outside"),
-    )
+    spans = returns.groupBy(strategy).agg(F.min(ret).alias("a"), F.max(ret).alias("b")).orderBy(strategy).collect()  # strategies
+    place, n = {r[strategy]: k for k, r in enumerate(spans)}, len(spans)
+    # constant returns have no spread to the last bit when they are counted from their own value
+    centre = np.array([r["a"] if r["a"] is not None and r["a"] == r["b"] and math.isfinite(r["a"]) else 0.0 for r in spans])
+    sims = np.arange(trials)
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 4, trials, n))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            periods, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            who = np.array([place[x] for x in batch.column(1).to_pylist()])
+            x = batch.column(2).to_numpy() - centre[who]
+            odd = ~np.isfinite(x)  # they spoil their own half only
+            x = np.where(odd, 0.0, x)
+            cells = np.zeros((4, len(periods), n))
+            for cell, value in zip(cells, (1.0, x, x * x, odd.astype(float))):
+                np.add.at(cell, (at, who), value)
+            inside = uniform_array(seed, periods[:, None], sims[None, :]).T < 0.5
+            for half, chosen in enumerate((inside, ~inside)):
+                sums[half] += chosen.astype(float) @ cells
+        flat = sums.reshape(8, -1)
+        ids = [np.repeat(sims, n), np.tile(np.arange(n), trials).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids, *flat)], names=["trial", "_k", *HALVES])
+
+    rows = returns.where(F.col(period).isNotNull() & F.col(ret).isNotNull()).select(F.col(period).cast("long").alias("period"), strategy, F.col(ret).cast("double").alias("ret"))
+    rows = rows.repartition("period").sortWithinPartitions("period")  # strategies of a period share its draws
+    sums = rows.mapInArrow(halves, "trial long, _k int, " + ", ".join(f"{c} double" for c in HALVES)).groupBy("trial", "_k").agg(*[F.sum(c).alias(c) for c in HALVES])
+    names = returns.sparkSession.createDataFrame([(r[strategy], k, float(c)) for k, (r, c) in enumerate(zip(spans, centre))], StructType([returns.schema[strategy], StructField("_k", IntegerType()), StructField("_c", DoubleType())]))
+
+    def ratio(half: int) -> Column:
+        count, total, squares, odd = (F.col(c) for c in HALVES[4 * half : 4 * half + 4])
+        mean, square = total / F.nullif(count, F.lit(0.0)), squares / F.nullif(count, F.lit(0.0))
+        spread = F.when(square - mean * mean > 1e-13 * square, F.sqrt(square - mean * mean)).otherwise(0.0)
+        return F.when(odd > 0, F.lit(float("nan"))).otherwise(F.round((F.col("_c") + mean) / (spread + EPS), 9))
+
+    perf = sums.join(F.broadcast(names), "_k").select("trial", strategy, ratio(0).alias("inside"), ratio(1).alias("outside"))
     return rank_overfit(perf, "trial", strategy, "inside", "outside")
 
 
+#: Sums of both halves: rows, returns, squares, returns that are no finite numbers.
+HALVES = [f"_{half}{c}" for half in ("in", "out") for c in "nsqx"]
+
+
 def stationarity(series: DataFrame, x: str, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
     """An approximate unit-root statistic: correlation of the level with the next change, times root n."""
     before = F.lag(x).over(Window.partitionBy(*keys).orderBy(order))
