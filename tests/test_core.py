@@ -725,3 +725,87 @@ def test_runs_equal_draws_made_one_by_one(spark):
     for first, last, grid, rows in M._grids(10_000):  # no array of a task leaves a core's cache
         held_at_once.append((last - first) * rows)
     assert max(held_at_once) <= M.AT_ONCE <= 1 << 15
+
+
+def test_shares_are_the_draws_and_half_a_step():
+    from tidemark.functions.draws import PRIME, places, row_terms, shares, sim_terms, uniform_array
+
+    def drawn(seed, sims, rows):
+        by_sim, by_row = sim_terms(sims), row_terms(seed, rows)
+        return shares(by_sim, by_row, np.empty((len(sims), len(rows))), np.empty((len(sims), len(rows))))
+
+    sims, rows = np.array([0, 1, 2, 777, 9999, 2**31 - 40]), np.array([0, 3, 2**31 - 1, 2**40 + 1, -5, 123456789])
+    edges = 0
+    for seed, sims, rows in ((7, sims, rows), (42, sims, rows), (42, np.arange(2000), np.arange(1 << 24, (1 << 24) + 5000)), (46, np.arange(8000, 10_000), np.arange(5000))):
+        want = uniform_array(seed, rows[None], sims[:, None])
+        whole = np.rint(want * PRIME)
+        got = drawn(seed, sims, rows)
+        assert np.abs(got * PRIME - whole - 0.5).max() < 0.17
+        edges += ((whole % 2**21 == 2**21 - 1) | (whole % 2**21 == 0)).sum()
+        for size in (1024, 1023, 77, 1):
+            assert np.array_equal(np.floor(places(got.copy(), size)), np.floor(want * size)), (seed, size)
+    assert edges > 5  # draws one step from the next trade
+
+
+def _resampled_one_by_one(M, k, n, block, trade, sims):
+    """Sums and numbers of each run's draws from a block, each draw by itself."""
+    from tidemark.functions.draws import uniform_array
+
+    size = len(trade["x"])
+    for s in range(sims):
+        row = block * M.ROOM + np.arange(M.block_draws(n, block, k.seed, np.array([s]))[0])
+        pick = np.floor(uniform_array(k.seed, row, np.array(s)) * size).astype(int)
+        x = trade["x"][pick]
+        for j, c in enumerate(("slippage", "commission") if k.cost else (), 1):
+            x = x - trade[c][pick] * (uniform_array(k.seed + j, row, np.array(s)) * M.PRIME + 1)
+        if k.dropout:
+            rate = k.dropout[0] + (k.dropout[1] - k.dropout[0]) * uniform_array(k.seed + 3, np.array(0), np.array(s))
+            x = x[uniform_array(k.seed + 4, row, np.array(s)) > rate]
+        x = x[~np.isnan(x)]
+        yield x.sum(), len(x), (x * x).sum()
+
+
+def test_ledgers_share_the_draws_of_a_block(monkeypatch):
+    """Made once for all, as often for five ledgers as for one, and right for each: lengths differ, trades are null or endless."""
+    from tidemark.operators import simulations as M
+
+    calls = []
+    make = M.shares
+    monkeypatch.setattr(M, "shares", lambda *a: calls.append(1) or make(*a))
+    rng, sims = np.random.default_rng(5), 70
+    for size, block, lengths in ((M.BLOCK, 1, (3 * M.BLOCK, 3 * M.BLOCK + 900, 5 * M.BLOCK + 1, 2 * M.BLOCK, 9 * M.BLOCK)), (37, 2, (2 * M.BLOCK + 37,) * 5), (5, 0, (5,) * 5)):
+        trades = [{"x": np.round(rng.normal(5, 90, size), 2), "slippage": rng.integers(1, 4, size) / M.PRIME, "commission": rng.random(size) / M.PRIME} for _ in lengths]
+        trades[1]["x"][3] = np.nan
+        trades[2]["commission"][1] = np.nan
+        for k in (M.BOOTSTRAP, M.COMBINED):
+            mine = [{c: x for c, x in t.items() if k.cost or c == "x"} for t in trades]
+            made = []
+            for at in ([0], [0, 1, 2, 3, 4], [3, 2]):
+                calls.clear()
+                got = M.Blocks(k, sims, squares=not k.cost).moments(block, [lengths[i] for i in at], [mine[i] for i in at])
+                made.append(len(calls))
+                for ledger, i in enumerate(at):
+                    want = np.array(list(_resampled_one_by_one(M, k, lengths[i], block, mine[i], sims))).T
+                    assert np.array_equal(got[1][ledger], want[1]) and np.abs(got[0][ledger] - want[0]).max() < 1e-6, (size, k, at)
+                    assert k.cost or np.abs(got[2][ledger] - want[2]).max() < 1e-4
+            assert len(set(made)) == 1
+    endless = {"x": np.where(np.arange(M.BLOCK) == 9, np.inf, np.where(np.arange(M.BLOCK) == 700, -np.inf, 1.0))}
+    got = M.Blocks(M.BOOTSTRAP, sims, squares=True).moments(1, [3 * M.BLOCK], [endless])
+    with np.errstate(invalid="ignore"):
+        want = np.array(list(_resampled_one_by_one(M, M.BOOTSTRAP, 3 * M.BLOCK, 1, endless, sims))).T
+    assert np.array_equal(got[:, 0], want[[0, 1, 2]], equal_nan=True) and {np.inf, -np.inf} < set(want[0])
+
+
+def test_runs_of_many_ledgers_equal_those_of_each(spark):
+    from tidemark.operators import simulations as M
+
+    rows = [(None if m == 4 else f"m{m}", 10 * i, float((i * (m + 3)) % 17 - 8) if i != 7 else None, 1.0 + i % 3, 2.0) for m in range(11) for i in range((40 if m > 3 else 1500) + 90 * m)]
+    trades = spark.createDataFrame(rows, "model string, trade_id long, net_pnl double, slippage double, commission double")
+    got = M.runs(trades, 40, M.COMBINED)
+    assert "hashpartitioning(_group" in got._jdf.queryExecution().executedPlan().toString()  # a task has a block's number in all ledgers of a group
+    got = got.toPandas()
+    assert len(got) == 11 * 40
+    for m in ("m1", "m3", "m10", None):
+        own = M.runs(trades.where(F.col("model").eqNullSafe(m)), 40, M.COMBINED).toPandas().set_index("sim").sort_index()
+        both = got[got.model.isna() if m is None else got.model == m].set_index("sim").sort_index()
+        assert (own.trades == both.trades).all() and np.abs(own.net_pnl - both.net_pnl).max() < 1e-6
